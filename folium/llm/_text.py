@@ -96,3 +96,14 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         out = mix(out + hashes[j : n - width + 1 + j], 2)
     return out
+
+
+def shingle_sets(part: Texts, k: int) -> Iterator[np.ndarray]:
+    """For each row its distinct shingles, sorted. Same values as shingles()."""
+    part.words()
+    h, at = part.hashes, part.word_at
+    rolled = shingles(h, k) if len(h) >= k else np.zeros(0, U)
+    for i in range(part.rows):
+        first, n = at[i], at[i + 1] - at[i]
+        own = rolled[first : first + n - k + 1] if n >= k else shingles(h[first : first + n], k)
+        yield np.unique(own)

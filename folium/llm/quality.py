@@ -74,7 +74,7 @@ def _weigh(shared, names: list[str]):
         ratio = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for row, part in texts(batch.column("text"), raw=True):
+            for row, part in texts(batch.column("_text"), raw=True):
                 bucket, of = _features(part)
                 out[row : row + part.rows] = np.bincount(of, ratio[bucket], part.rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)], [*names, "log_weight"])
@@ -124,25 +124,42 @@ def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 1024) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, prior: float = 4.0, dead: float = 1.5, temperature: float = 0.25, most_labels: int = 50_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, log_weight, gumbel_key, kept.
+def _scored(docs: DataFrame, shared, temperature: float, seed: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """docs (columns of keep) with log_weight and gumbel_key."""
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    scored = rows.mapInArrow(_weigh(shared, keep), f"{kinds}, log_weight double")
+    chance = (F.xxhash64(F.col(id_col), F.lit(seed), F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
+    return scored.withColumn("gumbel_key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(chance)))
 
-    labels: id_col, quality, toxic (0 or 1). most_labels bounds the labelled rows used: those with the least
-    hash of their id. Four fifths of them fit the model, one fifth sets the threshold.
-    """
+
+def _fit(docs: DataFrame, labels: DataFrame, prior: float, dead: float, temperature: float, most_labels: int, seed: int, id_col: str, text_col: str):
+    """(broadcast model, scores of all rows, least key that stays)."""
     bad = (F.col("quality") != 1) | (F.coalesce("toxic", F.lit(0)) != 0)
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((~F.bool_or(bad)).alias("good"))
     known = cut(known.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(most_labels), "quality-labels")
     held = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(5)) == 0
     ratio = log_ratios(docs, known.where(~held), prior, dead, id_col, text_col)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ratio)
-    kind = dict(docs.dtypes)[id_col]
-    scored = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_weigh(shared, [id_col]), f"`{id_col}` {kind}, log_weight double")
-    chance = (F.xxhash64(F.col(id_col), F.lit(seed), F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
-    scored = cut(scored.withColumn("gumbel_key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(chance))), "quality-scores")
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    scored = cut(_scored(docs, shared, temperature, seed, id_col, text_col, [id_col]), "quality-scores")
     check = scored.join(F.broadcast(known.where(held)), id_col).select("log_weight", "good").toPandas()
     least = threshold(check["log_weight"].to_numpy(), check["good"].to_numpy().astype(bool))
     k = scored.where(F.col("log_weight") >= least).count()
-    cutoff = kth_largest(scored, "gumbel_key", k) if k else float("inf")
+    return shared, scored, kth_largest(scored, "gumbel_key", k) if k else float("inf")
+
+
+def resample(docs: DataFrame, labels: DataFrame, prior: float = 4.0, dead: float = 1.5, temperature: float = 0.25, most_labels: int = 50_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id_col, log_weight, gumbel_key, kept.
+
+    labels: id_col, quality, toxic (0 or 1). most_labels bounds the labelled rows used: those with the least
+    hash of their id. Four fifths of them fit the model, one fifth sets the threshold.
+    """
+    _, scored, cutoff = _fit(docs, labels, prior, dead, temperature, most_labels, seed, id_col, text_col)
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(cutoff))
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame, prior: float = 4.0, dead: float = 1.5, temperature: float = 0.25, most_labels: int = 50_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that resample() keeps."""
+    shared, _, cutoff = _fit(docs, labels, prior, dead, temperature, most_labels, seed, id_col, text_col)
+    scored = _scored(docs, shared, temperature, seed, id_col, text_col, docs.columns)
+    return scored.where(F.col("gumbel_key") >= F.lit(cutoff)).select(docs.columns)
