@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import decontaminate, jaccard_join, licenses, lm_score, mixing, quality, shard
+from folium.llm import ann, decontaminate, jaccard_join, licenses, lm_score, mixing, pii, quality, repeats, shard
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,11 +38,25 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("_row")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_rows", "oversize")
     return shard.shard(_read(spark, sf_dir, "documents"), SHARD_BYTES).select(*names)
 
 
+def suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_passages(_read(spark, sf_dir, "documents"), least=50)
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["stop"].cast("string"))), ",")
+    return found.withColumn("passages", spans)
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_resampling": quality_resampling,
     "op2_lm_scoring": lm_scoring,
@@ -50,7 +64,10 @@ QUERIES = {
     "op4_source_mixing": source_mixing,
     "op5_license_scan": license_scan,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op7_nearest_neighbours": nearest_neighbours,
     "op8_sharding": sharding,
+    "op9_suffix_array_repeats": suffix_array_repeats,
+    "op10_personal_data": personal_data,
 }
 
 ORACLES = {
