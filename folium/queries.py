@@ -1,38 +1,9 @@
-"""Registry of queries: name, DataFrame builder, SQL of the same result."""
+"""All queries of the library outside its llm subpackage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import folium.catalog.ordered  # noqa: F401
+import folium.catalog.text  # noqa: F401
+from folium.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Registers a (spark, sf_dir) -> DataFrame function."""
-
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "a03_repeated_lines",
-    r"""
-SELECT line, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places
-FROM (SELECT doc_id, trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
-WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2
-""",
-)
-def repeated_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    lines = lines.select("doc_id", F.trim(F.regexp_replace("l", r"[ \t\r\f\v]+", " ")).alias("line")).where("line != ''")
-    return lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_places")).where("n_docs >= 2")
+__all__ = ["ORACLES", "QUERIES"]
