@@ -24,22 +24,22 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 # Licence names: label, keyword that must occur, expression over words.
 NAMES = (
-    ("apache-2.0", "apache", "apache( software)? licen[cs]e,? (version |v )?2( 0)?|apache 2( 0)?"),
-    ("apache-1.1", "apache", "apache( software)? licen[cs]e (version |v )?1 1"),
+    ("apache-2.0", "apache", "apache( software)? licen[cs]e,? (version |v ?)?2( 0)?|apache 2( 0)?"),
+    ("apache-1.1", "apache", "apache( software)? licen[cs]e (version |v ?)?1 1"),
     ("mit", "mit", "(the )?mit( x11)?"),
     ("bsd-2-clause", "bsd", "(the )?(simplified|freebsd|2 clause) bsd|bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(the )?(new|modified|revised|3 clause) bsd|bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(the )?(original|4 clause) bsd|bsd 4 clause"),
     ("isc", "isc", "(the )?isc"),
-    ("gpl-2.0", "public", "(gnu )?general public licen[cs]e (version |v )?2( 0)?|gpl ?v? ?2( 0)?"),
-    ("gpl-3.0", "public", "(gnu )?general public licen[cs]e (version |v )?3( 0)?|gpl ?v? ?3( 0)?"),
-    ("lgpl-2.1", "lesser", "(gnu )?(lesser|library) general public licen[cs]e (version |v )?2( 1)?"),
-    ("lgpl-3.0", "lesser", "(gnu )?lesser general public licen[cs]e (version |v )?3( 0)?"),
-    ("agpl-3.0", "affero", "(gnu )?affero general public licen[cs]e (version |v )?3( 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e (version |v )?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public licen[cs]e (version |v )?2( 0)?"),
-    ("epl-1.0", "eclipse", "eclipse public licen[cs]e (version |v )?1( 0)?"),
-    ("epl-2.0", "eclipse", "eclipse public licen[cs]e (version |v )?2( 0)?"),
+    ("gpl-2.0", "public", "(gnu )?general public licen[cs]e (version |v ?)?2( 0)?|gpl ?v? ?2( 0)?"),
+    ("gpl-3.0", "public", "(gnu )?general public licen[cs]e (version |v ?)?3( 0)?|gpl ?v? ?3( 0)?"),
+    ("lgpl-2.1", "lesser", "(gnu )?(lesser|library) general public licen[cs]e (version |v ?)?2( 1)?"),
+    ("lgpl-3.0", "lesser", "(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("agpl-3.0", "affero", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e (version |v ?)?1 1"),
+    ("mpl-2.0", "mozilla", "mozilla public licen[cs]e (version |v ?)?2( 0)?"),
+    ("epl-1.0", "eclipse", "eclipse public licen[cs]e (version |v ?)?1( 0)?"),
+    ("epl-2.0", "eclipse", "eclipse public licen[cs]e (version |v ?)?2( 0)?"),
     ("cddl-1.0", "common", "common development and distribution licen[cs]e (version )?1( 0)?"),
     ("cpl-1.0", "common", "common public licen[cs]e (version )?1( 0)?"),
     ("artistic-1.0", "artistic", "artistic licen[cs]e (version )?1( 0)?"),
@@ -50,7 +50,7 @@ NAMES = (
     ("wtfpl", "wtfpl", "wtfpl"),
     ("cc0-1.0", "cc0", "cc0( 1 0)?"),
     ("ofl-1.1", "sil", "sil open font licen[cs]e (version )?1 1"),
-    ("eupl-1.2", "eupl", "eupl (version |v )?1 2"),
+    ("eupl-1.2", "eupl", "eupl (version |v ?)?1 2"),
     ("ms-pl", "microsoft", "microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"),
     ("python-2.0", "python", "python software foundation licen[cs]e( version 2)?"),
@@ -99,7 +99,7 @@ def rules() -> list[tuple[str, str, str, int, float, bool]]:
         names += [(f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", "cc" if short else "creative", f"cc {parts} {v}" if short else f"creative commons {long} {v}") for v in CC_VERSIONS for short in (True, False)]
     for label, keyword, name in names:
         found += [(label, keyword, form.replace("{name}", name), rank, sure, False) for form, rank, sure in FORMS]
-        if label.startswith("cc-"):
+        if label.startswith("cc-") or "licen" in name:  # the name alone says enough
             found.append((label, keyword, name, 2, 0.8, False))
     found += [(*x, False) for x in NOTICES]
     return sorted(found, key=lambda r: (-r[3], r[0], r[2]))
