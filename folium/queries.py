@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import folium.catalog.aggregates  # noqa: F401
+import folium.catalog.facts  # noqa: F401
 import folium.catalog.ordered  # noqa: F401
 import folium.catalog.relations  # noqa: F401
 import folium.catalog.sets  # noqa: F401
