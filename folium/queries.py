@@ -5,8 +5,10 @@ from __future__ import annotations
 import folium.catalog.aggregates  # noqa: F401
 import folium.catalog.facts  # noqa: F401
 import folium.catalog.ordered  # noqa: F401
+import folium.catalog.plans  # noqa: F401
 import folium.catalog.relations  # noqa: F401
 import folium.catalog.sets  # noqa: F401
+import folium.catalog.sources  # noqa: F401
 import folium.catalog.text  # noqa: F401
 from folium.registry import ORACLES, QUERIES
 
