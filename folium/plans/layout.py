@@ -57,16 +57,32 @@ def icon_texts(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(_icons, "page long, icon_id string, text_id string")
 
 
+def _clusters(gap: float):
+    def clusters(rows: pd.DataFrame) -> pd.DataFrame:
+        boxes = sorted(rows[["box_id", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None), key=lambda b: b[1])
+        name = {b[0]: b[0] for b in boxes}
+
+        def find(x):
+            while name[x] != x:
+                x = name[x]
+            return x
+
+        near: list[tuple] = []  # boxes that may still meet those to come
+        for b in boxes:
+            near = [o for o in near if o[3] + gap >= b[1]]
+            for o in near:
+                if b[2] <= o[4] + gap and o[2] <= b[4] + gap:
+                    x, y = find(b[0]), find(o[0])
+                    name[max(x, y)] = min(x, y)
+            near.append(b)
+        return pd.DataFrame({"page": rows["page"].iloc[0], "box_id": list(name), "cluster": [find(x) for x in name]})
+
+    return clusters
+
+
 def box_clusters(boxes: DataFrame, gap: float = 5.0) -> DataFrame:
-    """Boxes that meet within `gap` are one cluster, named by its least box; by rounds of least neighbour names on each page."""
-    o = boxes.select("page", F.col("box_id").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    meet = (F.col("x0") <= F.col("_x1") + gap) & (F.col("_x0") <= F.col("x1") + gap) & (F.col("y0") <= F.col("_y1") + gap) & (F.col("_y0") <= F.col("y1") + gap)
-    edges = boxes.join(o, "page").where(meet).select("page", "box_id", "_o")
-    names = boxes.select("page", "box_id", F.col("box_id").alias("cluster"))
-    for _ in range(8):  # doubles its reach each round by following names of names
-        near = names.select("page", F.col("box_id").alias("_o"), F.col("cluster").alias("_c"))
-        names = edges.join(near, ["page", "_o"]).groupBy("page", "box_id").agg(F.min("_c").alias("cluster"))
-    return names
+    """Boxes of a page that meet within `gap`, over others too, are one cluster, named by its least box."""
+    return boxes.groupBy("page").applyInPandas(_clusters(gap), "page long, box_id string, cluster string")
 
 
 def stitched_tables(tables: DataFrame) -> DataFrame:
