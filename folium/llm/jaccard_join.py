@@ -26,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from folium.llm._store import cut
+from folium.llm._store import cut, text_bytes
 from folium.llm._text import U, mix, shingle_sets, signed, texts
 from folium.llm.components import components
 
@@ -68,7 +68,7 @@ class Bands:
         large = 100 * small // self.percent
         far = max((s + l) * (100 - self.percent) // (100 + self.percent) for s, l in ((small, large), (small, small)))
         m = far + 1
-        return m, 0 if m < 2 else max(1, math.ceil(m / 40))
+        return m, 0 if m < 2 else math.ceil(m / 100)
 
 
 def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +92,10 @@ def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
     return mix(np.concatenate([sums + tag, less]), 14), np.concatenate([looks, at[:near] < len(empty)])
 
 
-def _emit(k: int, percent: int):
+def _emit(k: int, percent: int, bits: int):
     """Signature rows of a partition, groups within the partition already tied to their least class that looks up.
 
-    key: signature, a: class, looks: whether a looks others up by it, b: class to compare with (null: the least of the key).
+    key: the first bits of a signature, then 0 if a looks others up by it, else 1; a: class; b: class to compare with (null: not tied yet).
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +103,16 @@ def _emit(k: int, percent: int):
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, own, looks = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.lexsort((own, ~looks, key))
-            key, own, looks = key[by], own[by], looks[by]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
+            key, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((own, key))
+            key, own = key[by], own[by]
+            group = key >> 1
+            first = np.concatenate([[True], group[1:] != group[:-1]])
             start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            tied = looks[start] & ~first
+            tied = (key[start] & 1 == 0) & ~first
             hub = own[start]
             keep = ~tied | (own != hub)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(key[keep]), own[keep], looks[keep])] + [pa.array(hub[keep], mask=~tied[keep])], ["key", "a", "looks", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep]), pa.array(hub[keep], mask=~tied[keep])], ["key", "a", "b"])
 
         for batch in batches:
             for s in _sets(batch.column("text"), k):
@@ -121,7 +122,7 @@ def _emit(k: int, percent: int):
                 b = bands.of(len(s))
                 for band in (b, b - 1) if b and len(s) * percent <= 100 * (bands.edges[b] - 1) else (b,):
                     key, looks = _signatures(s, band, bands)
-                    parts.append((key, np.full(len(key), c, np.int64), looks))
+                    parts.append((signed((key >> U(64 - bits) << U(1)) | ~looks), np.full(len(key), c, np.int64)))
                     held += len(key)
                 if held > 4_000_000:
                     yield flush()
@@ -132,16 +133,60 @@ def _emit(k: int, percent: int):
     return emit
 
 
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: those not tied yet are tied to the first of their group if it looks up."""
+    last_group, last_hub, last_looks = -1, 0, False
+    for batch in batches:
+        key, own = np.asarray(batch.column("key")), np.asarray(batch.column("a"))
+        b = np.asarray(batch.column("b").fill_null(0)).copy()
+        open_ = np.flatnonzero(np.asarray(batch.column("b").is_null()))
+        keep = np.ones(len(key), bool)
+        if len(open_):
+            group, mine = key[open_] >> 1, own[open_]
+            first = np.concatenate([[group[0] != last_group], group[1:] != group[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(open_)), -1))
+            hub = np.where(at < 0, last_hub, mine[at])
+            looks = np.where(at < 0, last_looks, key[open_][at] & 1 == 0)
+            b[open_] = hub
+            keep[open_] = looks & ~first & (mine != hub)
+            last_group, last_hub, last_looks = group[-1], hub[-1], bool(looks[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep]), pa.array(b[keep])], ["key", "a", "b"])
+
+
+CELLS = 64
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of CELLS cells, a byte each (modulo 256). Two sets differ in at least as many
+    elements as their sketches do."""
+    return np.bincount((mix(s, 15) % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8).tobytes()
+
+
 def _digest(k: int, names: list[str]):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(s), _class_of(s)) for s in _sets(batch.column("text"), k)]
-            n, c = np.array(got, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(n), pa.array(np.ascontiguousarray(c))], [*names, "n_shingles", "class"])
+            got = [(len(s), _class_of(s), _sketch(s)) for s in _sets(batch.column("text"), k)]
+            n, c, sketch = zip(*got, strict=True) if got else ((), (), ())
+            columns = [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *columns], [*names, "n_shingles", "class", "sketch"])
 
     return digest
 
 
+def _near(percent: int):
+    """Of pairs with their sizes and sketches those that may link: their sketches differ no more than linked sets can."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("_sa", "_sb"))
+            apart = np.minimum(x - y, y - x).astype(np.int64).sum(1)
+            total = np.asarray(batch.column("_na")) + np.asarray(batch.column("_nb"))
+            keep = pa.array(apart * (100 + percent) <= (100 - percent) * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return near
+
+
 def _contents(k: int):
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,15 +215,15 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     """id_col, _row (hash of the text), n_shingles, class, component (a class; null for the empty set), component_id."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_row"))
     kind = dict(docs.dtypes)[id_col]
-    digests = cut(rows.mapInArrow(_digest(k, [id_col, "_row"]), f"`{id_col}` {kind}, _row long, n_shingles long, class long"), "join-digests")
-    classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"), F.min(id_col).alias("least"))
+    digests = cut(rows.mapInArrow(_digest(k, [id_col, "_row"]), f"`{id_col}` {kind}, _row long, n_shingles long, class long, sketch binary"), "join-digests")
+    classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(id_col).alias("least"))
     classes = cut(classes, "join-classes")
-    keyed = rows.select("text").mapInArrow(_emit(k, percent), "key long, a long, looks boolean, b long")
-    spread = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "a"))
-    hub = F.min(F.when(F.col("b").isNull() & F.col("looks"), F.col("a"))).over(Window.partitionBy("_at"))
-    tied = keyed.withColumn("_at", spread).withColumn("b", F.coalesce("b", hub)).where("a != b").select("key", "a", "looks", "b")
-    size = classes.select("class", "n")
+    bits = min(62, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
+    keyed = rows.select("text").mapInArrow(_emit(k, percent, bits), "key long, a long, b long")
+    spread = F.when(F.col("b").isNull(), F.shiftright("key", 1)).otherwise(F.xxhash64("key", "a"))
+    tied = keyed.repartition(spread).sortWithinPartitions("key", "a").mapInArrow(_tie, "key long, a long, b long")
     tied = cut(tied, "join-tied")
+    size = classes.select("class", "n", "sketch")
     first = _fitting(tied.select("a", "b"), size, percent)
     links = cut(_verify(first, rows, classes, k, percent), "join-links")
     rest = cut(_unsettled(tied, components(links, "a", "b"), size, percent).join(first, ["a", "b"], "left_anti"), "join-rest")
@@ -187,7 +232,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     found = components(links, "a", "b")
     labelled = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    own = digests.join(labelled.join(least, "component").select("class", "component", "component_id"), "class", "left")
+    own = digests.drop("sketch").join(labelled.join(least, "component").select("class", "component", "component_id"), "class", "left")
     some = F.col("n_shingles") > 0
     return own.select(
         id_col, "_row", "n_shingles", "class", F.when(some, F.col("component")).alias("component"), F.when(some, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id")
@@ -209,22 +254,25 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     Documents without words stay. Of rows equal in id and text one stays.
     """
     found = cut(_labelled(docs, k, percent, id_col, text_col), "join-found")
-    firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col), F.col("_row"))).alias("s")).select(F.col(f"s.{id_col}").alias("_id"), F.col("s._row").alias("_of"))
+    firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col), F.col("_row"))).alias("s")).select(F.col(f"s.{id_col}").alias("_folium_id"), F.col("s._row").alias("_folium_text"))
     stay = firsts.union(found.where("n_shingles = 0").select(id_col, "_row")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(stay, (F.col("_text_hash") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates([id_col, "_text_hash"]).select(docs.columns)
+    rows = docs.withColumn("_folium_of", F.xxhash64(text_col)).join(stay, (F.col("_folium_of") == F.col("_folium_text")) & docs[id_col].eqNullSafe(F.col("_folium_id")), "left_semi")
+    return rows.dropDuplicates([id_col, "_folium_of"]).select(docs.columns)
 
 
 def _fitting(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, the lesser first, whose sizes allow a link."""
+    """Distinct pairs, the lesser first, whose sizes and sketches allow a link."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(size.withColumnsRenamed({"class": "a", "n": "_na"}), "a").join(size.withColumnsRenamed({"class": "b", "n": "_nb"}), "b")
-    return cut(pairs.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b"), "join-pairs")
+    for c in ("a", "b"):
+        pairs = pairs.join(size.withColumnsRenamed({"class": c, "n": f"_n{c}", "sketch": f"_s{c}"}), c)
+    pairs = pairs.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b", "_na", "_nb", "_sa", "_sb")
+    return cut(pairs.mapInArrow(_near(percent), "a long, b long"), "join-pairs")
 
 
 def _unsettled(tied: DataFrame, found: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a signature: members outside a group's largest component with the others."""
-    members = tied.select("key", "a", "looks").union(tied.select("key", F.col("b"), F.lit(True))).groupBy("key", "a").agg(F.bool_or("looks").alias("looks"))
+    group, looks = F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)) == 0
+    members = tied.select(group, "a", looks.alias("looks")).union(tied.select(group, F.col("b"), F.lit(True))).groupBy("key", "a").agg(F.bool_or("looks").alias("looks"))
     members = members.join(found.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
     parts = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("main"))
     members = cut(members.join(parts.where("parts > 1").select("key", F.col("main.c").alias("main")), "key"), "join-open")
