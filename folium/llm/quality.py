@@ -32,6 +32,7 @@ from folium.llm._text import Texts, U, mix, texts
 N, BITS = 5, 20
 BUCKETS = 1 << BITS
 REPEAT = 0  # the bucket of repeated words
+TEXT, WEIGHT, KEY = "_folium_text", "_folium_weight", "_folium_key"  # beside a table's own columns
 
 
 def _features(part: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +75,10 @@ def _weigh(shared, names: list[str]):
         ratio = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for row, part in texts(batch.column("_text"), raw=True):
+            for row, part in texts(batch.column(TEXT), raw=True):
                 bucket, of = _features(part)
                 out[row : row + part.rows] = np.bincount(of, ratio[bucket], part.rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)], [*names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)], [*names, WEIGHT])
 
     return weigh
 
@@ -125,12 +126,12 @@ def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 1024) -> float:
 
 
 def _scored(docs: DataFrame, shared, temperature: float, seed: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """docs (columns of keep) with log_weight and gumbel_key."""
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    """docs (columns of keep) with WEIGHT and KEY."""
+    rows = docs.select(*keep, F.col(text_col).alias(TEXT))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scored = rows.mapInArrow(_weigh(shared, keep), f"{kinds}, log_weight double")
+    scored = rows.mapInArrow(_weigh(shared, keep), f"{kinds}, {WEIGHT} double")
     chance = (F.xxhash64(F.col(id_col), F.lit(seed), F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
-    return scored.withColumn("gumbel_key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(chance)))
+    return scored.withColumn(KEY, F.col(WEIGHT) / F.lit(temperature) - F.log(-F.log(chance)))
 
 
 def _fit(docs: DataFrame, labels: DataFrame, prior: float, dead: float, temperature: float, most_labels: int, seed: int, id_col: str, text_col: str):
@@ -141,7 +142,7 @@ def _fit(docs: DataFrame, labels: DataFrame, prior: float, dead: float, temperat
     held = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(5)) == 0
     ratio = log_ratios(docs, known.where(~held), prior, dead, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    scored = cut(_scored(docs, shared, temperature, seed, id_col, text_col, [id_col]), "quality-scores")
+    scored = cut(_scored(docs, shared, temperature, seed, id_col, text_col, [id_col]).withColumnsRenamed({WEIGHT: "log_weight", KEY: "gumbel_key"}), "quality-scores")
     check = scored.join(F.broadcast(known.where(held)), id_col).select("log_weight", "good").toPandas()
     least = threshold(check["log_weight"].to_numpy(), check["good"].to_numpy().astype(bool))
     k = scored.where(F.col("log_weight") >= least).count()
@@ -162,4 +163,4 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, prior: float = 4.0, dead:
     """The rows of docs, whole, that resample() keeps."""
     shared, _, cutoff = _fit(docs, labels, prior, dead, temperature, most_labels, seed, id_col, text_col)
     scored = _scored(docs, shared, temperature, seed, id_col, text_col, docs.columns)
-    return scored.where(F.col("gumbel_key") >= F.lit(cutoff)).select(docs.columns)
+    return scored.where(F.col(KEY) >= F.lit(cutoff)).select(docs.columns)

@@ -31,10 +31,10 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_id = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 32)
     by_row = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()), 33)
-    keyed = docs.withColumns({"n_bytes": F.octet_length(text).cast("long") + ROW_BYTES, "_key": F.shiftleft(by_id, 31).bitwiseOR(by_row)})
+    keyed = docs.withColumns({"n_bytes": F.octet_length(text).cast("long") + ROW_BYTES, "_folium_key": F.shiftleft(by_id, 31).bitwiseOR(by_row)})
     total = keyed.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(24, max(1, math.ceil(math.log2(max(1, total / limit_bytes))) + 6))
-    depths, cells, rows = [depth], None, keyed.select("_key", "n_bytes")
+    depths, cells, rows = [depth], None, keyed.select("_folium_key", "n_bytes")
     while True:
         found = cut(_cells(rows, depth), "shard-cells")
         heavy = (F.col("bytes") > limit_bytes) & (F.col("rows") > 1)
@@ -46,24 +46,24 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
             break
         at = over.select(F.col("cell").alias("_over"))
         at = F.broadcast(at) if n_over <= BROADCAST_CELLS else at
-        rows = rows.join(at, F.shiftright("_key", KEY_BITS - depth) == F.col("_over"), "left_semi")
+        rows = rows.join(at, F.shiftright("_folium_key", KEY_BITS - depth) == F.col("_over"), "left_semi")
         depth = min(KEY_BITS, depth + STEP)
         depths.append(depth)
     directory = cut(_directory(cells, limit_bytes), "shard-directory")
     small = directory.count() <= BROADCAST_CELLS
-    out = keyed.drop("shard_id", "shard_depth", "shard_bytes", "shard_rows", "oversize")
     names = ("shard_id", "shard_depth", "shard_bytes", "shard_rows")
+    out = keyed.drop(*names, "oversize")
     for d in depths:
-        own = directory.where(F.col("depth") == d).select(F.col("cell").alias(f"_cell{d}"), *[F.col(c).alias(f"_{c}{d}") for c in names])
+        own = directory.where(F.col("depth") == d).select(F.col("cell").alias(f"_folium_cell{d}"), *[F.col(c).alias(f"_folium_{c}{d}") for c in names])
         own = F.broadcast(own) if small else own
-        out = out.withColumn(f"_at{d}", F.shiftright("_key", KEY_BITS - d)).join(own, F.col(f"_at{d}") == F.col(f"_cell{d}"), "left")
+        out = out.withColumn(f"_folium_at{d}", F.shiftright("_folium_key", KEY_BITS - d)).join(own, F.col(f"_folium_at{d}") == F.col(f"_folium_cell{d}"), "left")
     kept = [c for c in docs.columns if c not in (*names, "oversize", "n_bytes")]
-    return out.select(*kept, "n_bytes", *[F.coalesce(*[F.col(f"_{c}{d}") for d in depths]).alias(c) for c in names]).withColumn("oversize", F.col("shard_bytes") > limit_bytes)
+    return out.select(*kept, "n_bytes", *[F.coalesce(*[F.col(f"_folium_{c}{d}") for d in depths]).alias(c) for c in names]).withColumn("oversize", F.col("shard_bytes") > limit_bytes)
 
 
 def _cells(rows: DataFrame, depth: int) -> DataFrame:
     return (
-        rows.groupBy(F.shiftright("_key", KEY_BITS - depth).alias("cell"))
+        rows.groupBy(F.shiftright("_folium_key", KEY_BITS - depth).alias("cell"))
         .agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")).withColumn("depth", F.lit(depth))
     )
 

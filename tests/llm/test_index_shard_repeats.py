@@ -71,7 +71,7 @@ def check_shards(docs, limit):
 def test_shards_fit_and_split_only_when_needed(spark, docs, rows, empty):
     for limit in (1 << 30, 4000, 600):
         assert len(check_shards(docs, limit)) == len(rows)
-    same = spark.createDataFrame([(1, "equal text", "mine")] * 300, "doc_id long, text string, shard_id string")
+    same = spark.createDataFrame([(1, "equal text", "mine", 7)] * 300, "doc_id long, text string, shard_id string, _key int")
     assert len(check_shards(same, 400)) == 300
     assert shard(empty, 100).count() == 0
 

@@ -44,7 +44,9 @@ def test_odd_rows_and_no_labels(spark, docs, empty):
     assert got.count() == docs.count()
     assert got.where("log_weight is null or kept is null").count() == got.where("kept is null").count()
     assert resample(empty, labels).count() == 0
-    assert keep_resampled(docs.withColumn("_text", F.lit("x")).withColumn("log_weight", F.lit(1)).drop("_text", "log_weight"), labels.limit(0)).columns == docs.columns
+    more = docs.withColumns({"_text": F.lit("x"), "log_weight": F.lit(1), "good": F.lit(True)})
+    kept = keep_resampled(more, labels.limit(0))
+    assert kept.columns == more.columns and kept.where("_text = 'x' and log_weight = 1").count() == docs.count()
 
 
 def test_threshold_and_selection(spark):
