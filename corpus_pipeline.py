@@ -27,16 +27,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    hit = cut(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_row").distinct(), "pipeline-hit")
+    hit = cut(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("_row").alias("_folium_row")).distinct(), "pipeline-hit")
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(hit, "_row", "left_anti").select(docs.columns)
+    return docs.withColumn("_folium_row", F.xxhash64("doc_id", "text")).join(hit, "_folium_row", "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it."""
-    copies = mixing.mix(docs).select("_row", "copies").groupBy("_row").agg(F.first("copies").alias("_copies"))
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text")).join(copies.where("_copies > 0"), "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = mixing.mix(docs).groupBy(F.col("_row").alias("_folium_row")).agg(F.first("copies").alias("_folium_copies")).where("_folium_copies > 0")
+    rows = docs.withColumn("_folium_row", F.xxhash64("doc_id", "source", "text")).join(copies, "_folium_row")
+    return rows.withColumn("_folium_copy", F.explode(F.sequence(F.lit(1), F.col("_folium_copies")))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
