@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_own: dict[str, str] = {}  # by application
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests, one machine) a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-folium-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-folium-", dir="/tmp")
     return folder.rstrip("/")
 
 
@@ -27,6 +29,4 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def text_bytes(docs: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a text column: one number, for choosing partition counts."""
-    from pyspark.sql import functions as F
-
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
