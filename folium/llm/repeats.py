@@ -181,7 +181,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     places = rows.select("text", "text_key").mapInArrow(_first_pass(w), "anchor long, text_key long, pos int")
     places = cut(places, "repeats-anchors")
     live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo != hi").select("anchor")
-    places = places.join(live, "anchor").groupBy("text_key").agg(F.collect_set(F.struct("anchor", "pos")).alias("places"))  # bounded by the length of one text
+    places = cut(places.join(live, "anchor"), "repeats-live")  # on its own, so that a frequent anchor's rows can be split
+    places = places.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "pos")).alias("places"))  # bounded by the length of one text
     wanted = places.join(classes.select("text_key", F.col("rep").alias("_rep")), "text_key").withColumnRenamed("text_key", "_key")
     chosen = rows.join(wanted, (F.col(id_col) == F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
     around = cut(chosen.mapInArrow(_suffixes(reach), "anchor long, text_key long, pos int, left binary, right binary"), "repeats-suffixes")
