@@ -69,7 +69,7 @@ class Texts:
         return self
 
 
-def texts(column: pa.Array, most: int = 4 << 20, raw: bool = False) -> Iterator[tuple[int, Texts]]:
+def texts(column: pa.Array, most: int = 1 << 20, raw: bool = False) -> Iterator[tuple[int, Texts]]:
     """(first row, Texts) for consecutive runs of rows of at most `most` bytes, at least one row each; nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)

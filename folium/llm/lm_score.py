@@ -13,7 +13,8 @@ are two sums per context). After order 0 follow equal shares of the symbols neve
 
 Documents are dealt to buckets of bounded size. Each bucket says which nodes and words it
 needs, the needs are joined with the trie, and what comes back is used with the bucket's
-texts: neither the trie nor the vocabulary is ever held by one process.
+texts: neither the trie nor the vocabulary is ever held by one process. Words are told apart by
+62 bits of a hash.
 
 Defined cases: a null text is empty, and an empty text is its end symbol alone; a null id
 counts as learnt from; repeated rows are scored and learnt each; without any row to learn
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folium.llm._store import cut, text_bytes
-from folium.llm._text import Texts, texts
+from folium.llm._text import U, Texts, texts
 
 END, PAD = 0xFF, 0xFE  # no UTF-8 text holds these bytes
 SYMBOLS = 255  # all bytes but PAD
+WORD = 1 << 62  # words are numbered from here, by a hash of 62 bits
 BUCKET_BYTES = 32 << 20
 
 
@@ -54,79 +56,65 @@ def _grams(part: Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[symbol], np.concatenate([row_of, np.arange(rows)])
 
 
+def _word_nodes(part: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: its number (a hash with bit 62 set, above all nodes), and the row."""
+    part.words()
+    number = (part.hashes >> U(2)).astype(np.int64) | WORD
+    return number, np.repeat(np.arange(part.rows), np.diff(part.word_at))
+
+
 def _need(order: int):
     """A bucket's distinct nodes and words, each with its count in the texts to learn from."""
 
     def need(table: pa.Table) -> pa.Table:
         learn = np.asarray(table["held_out"].fill_null(False)) == 0
-        words: dict[bytes, int] = {}
         parts = []
         for row, part in texts(table["text"]):
             take = learn[row : row + part.rows]
-            gram, of = _grams(part, order)
-            key = (gram << 1) | take[of]
+            keys = [(number.view(U) << U(1)) | take[of].astype(U) for number, of in (_grams(part, order), _word_nodes(part))]
+            key = np.concatenate(keys)
             key.sort()
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.concatenate([edge, [len(key)]]))
             key = key[edge]
-            parts.append((key >> 1, n * (key & 1)))
-            raw = part.data.tobytes()
-            for i in range(part.rows):
-                got = raw[part.at[i] : part.at[i + 1]].split()
-                if take[i]:
-                    for w in got:
-                        words[w] = words.get(w, 0) + 1
-                else:
-                    for w in got:
-                        words.setdefault(w, 0)
+            parts.append(((key >> U(1)).view(np.int64), n * (key & U(1)).astype(np.int64)))
             if len(parts) == 8:
                 parts = [_merged(parts)]
-        gram, n = _merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        node, n = _merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         bucket = table["bucket"][0].as_py()
-        return pa.table({
-            "bucket": pa.array(np.full(len(gram) + len(words), bucket, np.int32)),
-            "gram": pa.concat_arrays([pa.array(gram), pa.nulls(len(words), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(gram), pa.binary()), pa.array(list(words), pa.binary())]),
-            "n": pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))])),
-        })
+        return pa.table({"bucket": pa.array(np.full(len(node), bucket, np.int32)), "node": pa.array(node), "n": pa.array(n)})
 
     return need
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(gram, kind="stable")
-    gram, n = gram[order], n[order]
-    edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    return gram[edge], np.add.reduceat(n, edge)
+    node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(node, kind="stable")
+    node, n = node[order], n[order]
+    edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    return node[edge], np.add.reduceat(n, edge)
 
 
 def _score(order: int, names: list[str], learnt: int, distinct: int, ends: int):
     def score(docs: pa.Table, known: pa.Table) -> pa.Table:
-        is_gram = np.asarray(known["gram"].is_valid())
-        gram = np.asarray(known["gram"].filter(pa.array(is_gram)))
-        value = np.asarray(known["value"].filter(pa.array(is_gram)))
-        by = np.argsort(gram)
-        gram, value = gram[by], value[by]
-        words = known.filter(pa.array(~is_gram))
-        counts = dict(zip(words["word"].to_pylist(), words["value"].to_pylist(), strict=True))
+        by = np.argsort(np.asarray(known["node"]))
+        node, value = np.asarray(known["node"])[by], np.asarray(known["value"])[by]
+        del known
         below = learnt + 0.1 * (distinct + 1)
-        n_tokens, n_known, base, total = ([] for _ in range(4))
+        n_tokens, n_known, base, total = ([np.zeros(0)] for _ in range(4))
         for _, part in texts(docs["text"]):
             need, of = _grams(part, order)
             at = np.argsort(need)
-            need, of = need[at], of[at]
-            total.append(np.bincount(of, value[np.searchsorted(gram, need)], part.rows))
-            raw = part.data.tobytes()
-            for i in range(part.rows):
-                c = np.array([*map(counts.__getitem__, raw[part.at[i] : part.at[i + 1]].split()), float(ends)])
-                n_tokens.append(len(c))
-                n_known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c + 0.1) / below).sum()))
+            total.append(np.bincount(of[at], value[np.searchsorted(node, need[at])], part.rows))
+            need, of = _word_nodes(part)
+            c = value[np.searchsorted(node, need)]
+            n_tokens.append(np.diff(part.word_at) + 1)
+            n_known.append(np.bincount(of, c > 0, part.rows) + (ends > 0))
+            base.append(np.bincount(of, np.log10((c + 0.1) / below), part.rows) + math.log10((ends + 0.1) / below))
+        long = lambda x: pa.array(np.concatenate(x).astype(np.int64))
         return pa.table({
-            **{c: docs[c] for c in names}, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([learnt] * len(n_tokens), pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(np.concatenate(total) if total else [], pa.float64()),
+            **{c: docs[c] for c in names}, "n_tokens": long(n_tokens), "n_known": long(n_known), "train_tokens": pa.array(np.full(docs.num_rows, learnt)),
+            "base_score": pa.array(np.concatenate(base)), "score": pa.array(np.concatenate(total)),
         })
 
     return score
@@ -209,16 +197,14 @@ def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     buckets = max(24, math.ceil(text_bytes(docs, text_col) / bucket_bytes))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), F.length("text")), F.lit(buckets)).cast("int"))
-    needs = cut(rows.groupBy("bucket").applyInArrow(_need(order), "bucket int, gram long, word binary, n long"), "ppm-needs")
-    need_grams, need_words = needs.where("gram is not null"), needs.where("word is not null")
-    grams = cut(need_grams.groupBy(F.col("gram").alias("node")).agg(F.sum("n").alias("c")), "ppm-grams")
-    words = cut(need_words.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
+    needs = cut(rows.groupBy("bucket").applyInArrow(_need(order), "bucket int, node long, n long"), "ppm-needs")
+    counts = cut(needs.groupBy("node").agg(F.sum("n").alias("c")), "ppm-counts")
+    grams, words = counts.where(F.col("node") < WORD), counts.where(F.col("node") >= WORD)
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = rows.where("not held_out").count()
     learnt, distinct = (total["n"] or 0) + ends, (total["v"] or 0) + (ends > 0)
-    costs = _costs(grams, order)
-    back = need_grams.select("bucket", "gram").join(costs.withColumnRenamed("node", "gram"), "gram").select("bucket", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    back = back.unionByName(need_words.select("bucket", "word").join(words, "word").select("bucket", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
+    known = _costs(grams, order).unionByName(words.select("node", F.col("c").cast("double").alias("value")))
+    back = needs.select("bucket", "node").join(known, "node").select("bucket", "node", "value")
     kind = dict(rows.dtypes)[id_col]
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(order, [id_col, "held_out"], learnt, distinct, ends), out)
