@@ -86,13 +86,16 @@ def _weigh(shared, names: list[str]):
 def log_ratios(docs: DataFrame, sample: DataFrame, prior: float, dead: float, id_col: str, text_col: str) -> np.ndarray:
     """The model: one shrunk log ratio for each bucket. sample: id_col, good; at most as many rows as its caller has limited it to."""
     known = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), id_col, "left").select("text", "good")
-    counts = known.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    ratio = np.zeros(BUCKETS)
-    share = counts["target"].sum() / max(1, counts["raw"].sum())
-    if share > 0:
-        log = np.log((counts["target"].to_numpy() + prior) / (counts["raw"].to_numpy() * share + prior))
-        ratio[counts["bucket"].to_numpy()] = np.sign(log) * np.maximum(np.abs(log) - dead, 0)
-    return ratio.astype(np.float32)
+    counts = known.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = cut(counts, "quality-counts")
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    ratio = np.zeros(BUCKETS, np.float32)
+    if total["target"]:
+        log = F.log((F.col("target") + prior) / (F.col("raw") * (total["target"] / total["raw"]) + prior))
+        shrunk = counts.select("bucket", (F.signum(log) * (F.abs(log) - dead)).cast("float").alias("ratio"), F.abs(log).alias("size")).where(F.col("size") > dead)
+        some = shrunk.select("bucket", "ratio").toPandas()
+        ratio[some["bucket"].to_numpy()] = some["ratio"].to_numpy()
+    return ratio
 
 
 def threshold(log_weight: np.ndarray, good: np.ndarray) -> float:
