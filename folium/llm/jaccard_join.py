@@ -3,11 +3,12 @@
 A document is the set of its k-word shingles, as 64-bit hashes. Documents with equal sets form one class. Set sizes are
 cut into bands; two sets that may link lie in one band or in neighbouring ones. Of two linked
 sets whose smaller one is in band b at most H(b) elements are in only one of them. Elements
-are hashed into H(b) + 1 segments, so at least one segment is equal in both (pigeonhole). An empty segment is
-equal in far too many sets: its cost is high. The first segments of a band, whose
-one-deletion neighbourhoods are indexed too, can each count for two: a set with e empty
-segments looks up e of those with a deletion instead, and its empty segments are left out. If it has more
-empty segments than there are such segments, it uses the empty ones as well. Nothing is lost either way.
+are hashed into a few more segments than H(b) + 1. A set can be found by all of its segments; to look
+others up it needs segments worth H(b) + 1 only, as fewer than that can differ (pigeonhole).
+It takes the cheapest: a segment that is empty, or holds only shingles that a bounded sample of documents shows to be
+popular, is equal in far too many sets. The first segments of a band, whose one-deletion neighbourhoods
+are indexed too, count for two if looked up with deletions. Only if all that is not enough
+are dear segments used as well. Costs choose among sufficient segments, so nothing is lost.
 
 Classes that share a signature are compared with the least class of the group (first within a
 task, then over all), not with each other. Components of the verified links follow. Where a group still holds more than one
@@ -33,6 +34,8 @@ from folium.llm._text import U, mix, shingle_sets, signed, texts
 from folium.llm.components import components
 
 BROADCAST_ROWS = 500_000
+SAMPLE, SAMPLE_CHARS, POPULAR = 8_000, 20_000, 4  # for costs: texts, their greatest length, how many make a shingle popular
+SLACK = 0.25  # further segments, so that dear ones can be left out
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -59,47 +62,55 @@ class Bands:
             self.edges.append(max(e + 1, 100 * e // self.percent + 1))
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def segments(self, band: int) -> tuple[int, int]:
-        """(segments, those of them with deletions) for pairs whose smaller set is in the band."""
+    def segments(self, band: int) -> tuple[int, int, int]:
+        """(segments, those of them with deletions, what a lookup must be worth) for pairs whose smaller set is in the band."""
         self.of(self.edges[band] if band < len(self.edges) else 1)
         while len(self.edges) <= band + 1:
             self.of(self.edges[-1])
         small = self.edges[band + 1] - 1
         large = 100 * small // self.percent
         far = max((s + l) * (100 - self.percent) // (100 + self.percent) for s, l in ((small, large), (small, small)))
-        m = far + 1
-        return m, 0 if m < 2 else math.ceil(m / 100)
+        m = far + 1 + math.ceil(far * SLACK)
+        return m, 0 if m < 2 else math.ceil(m / 100), far + 1
 
 
-def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set for one band, and which of them the set looks others up by; by all of them it can be found."""
-    m, q = bands.segments(band)
+def _signatures(s: np.ndarray, dear: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set for one band, and which of them the set looks others up by; by all of them it can be found.
+
+    dear: which elements are popular.
+    """
+    m, q, worth = bands.segments(band)
     at = (mix(s, 11) % U(m)).astype(np.int64)
     by = np.argsort(at, kind="stable")
     at, value = at[by], mix(s, 12)[by]
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     sums = np.zeros(m, U)
     sums[at[edge]] = np.add.reduceat(value, edge)
-    looks = np.ones(m, bool)
-    full = np.zeros(m, bool)
-    full[at[edge]] = True
-    empty = np.flatnonzero(~full)[:q]
-    looks[empty] = False
-    looks[: len(empty)] = True  # a segment left out is made up for by one with deletions
+    rare = np.zeros(m, bool)
+    rare[at[~dear[by]]] = True
+    chosen = np.argsort(~rare, kind="stable")[:worth]  # rare ones first
+    looks = np.zeros(m, bool)
+    looks[chosen] = True
+    twice = np.zeros(m, bool)
+    missing = worth - int(rare.sum())
+    if missing > 0:  # as far as possible, rare segments with deletions make up for dear ones
+        twice[np.flatnonzero(rare[:q])[:missing]] = True
+        drop = chosen[worth - missing :][: int(twice.sum())]
+        looks[drop] = False
     tag = mix(np.arange(m, dtype=U) + U(band << 32), 13)
     near = int(np.searchsorted(at, q))
     less = sums[at[:near]] - value[:near] + tag[at[:near]]
-    return mix(np.concatenate([sums + tag, less]), 14), np.concatenate([looks, at[:near] < len(empty)])
+    return mix(np.concatenate([sums + tag, less]), 14), np.concatenate([looks, twice[at[:near]]])
 
 
-def _emit(k: int, percent: int, bits: int):
+def _emit(k: int, percent: int, bits: int, popular):
     """Signature rows of a partition, groups within the partition already tied to their least class that looks up.
 
     key: the first bits of a signature, then 0 if a looks others up by it, else 1; a: class; b: class to compare with (null: not tied yet).
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        bands, seen, dear = Bands(percent), set(), popular.value
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -120,8 +131,9 @@ def _emit(k: int, percent: int, bits: int):
                     continue
                 seen.add(c)
                 b = bands.of(len(s))
+                is_dear = dear[np.searchsorted(dear, s).clip(0, len(dear) - 1)] == s if len(dear) else np.zeros(len(s), bool)
                 for band in (b, b - 1) if b and len(s) * percent <= 100 * (bands.edges[b] - 1) else (b,):
-                    key, looks = _signatures(s, band, bands)
+                    key, looks = _signatures(s, is_dear, band, bands)
                     parts.append((signed((key >> U(64 - bits) << U(1)) | ~looks), np.full(len(key), c, np.int64)))
                     held += len(key)
                 if held > 4_000_000:
@@ -197,6 +209,25 @@ def _contents(k: int):
     return contents
 
 
+def _shingle_rows(k: int):
+    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch.column("text"), k))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets)) if sets else [], pa.int64())], ["shingle"])
+
+    return shingle_rows
+
+
+def _popular(rows: DataFrame, k: int) -> np.ndarray:
+    """Shingles that POPULAR or more texts of a sample share, sorted. The sample holds about SAMPLE texts, chosen by
+    their hash; it only guides costs."""
+    n = max(1, rows.count())
+    share = min(1_000_000, math.ceil(1_000_000 * SAMPLE / n))
+    some = rows.where((F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) < share) & (F.length("text") < SAMPLE_CHARS)).select("_row", "text").dropDuplicates(["_row"]).select("text")
+    found = some.mapInArrow(_shingle_rows(k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= POPULAR).select("shingle").toPandas()
+    return np.sort(found["shingle"].to_numpy(np.int64).view(U))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct()
@@ -219,7 +250,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(id_col).alias("least"))
     classes = cut(classes, "join-classes")
     bits = min(62, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
-    keyed = rows.select("text").mapInArrow(_emit(k, percent, bits), "key long, a long, b long")
+    popular = docs.sparkSession.sparkContext.broadcast(_popular(rows, k))
+    keyed = rows.select("text").mapInArrow(_emit(k, percent, bits, popular), "key long, a long, b long")
     spread = F.when(F.col("b").isNull(), F.shiftright("key", 1)).otherwise(F.xxhash64("key", "a"))
     tied = keyed.repartition(spread).sortWithinPartitions("key", "a").mapInArrow(_tie, "key long, a long, b long")
     tied = cut(tied, "join-tied")
