@@ -1,14 +1,14 @@
 """Repeated passages by a sparse suffix array.
 
-Suffixes are kept only at content-selected positions: where the hash of ANCHOR words is least within
-a window, so that every passage of `least` words holds one and its copies hold the same. Suffixes whose anchor occurs
-in one text only are dropped. The others are sorted by the words that follow, and each is compared with its
-neighbours in that order; a match is extended over the words on the left and right. Stretches of at
-least `least` words that two different texts share are kept and merged for each text. Longer passages are covered by
-the suffixes along them.
-
-The order is a range partitioning, so a passage that a third of all texts share spreads over
-many tasks; where two partitions meet, their outermost suffixes are compared in a second pass.
+Anchors are kept only at content-selected positions: where the hash of ANCHOR words is least within
+a window, so that every passage of `least` words holds one and its copies hold the same. Anchors that occur
+in one text only are dropped. A suffix belongs to the leftmost least anchor within its first `least` words; the
+suffixes of the anchors left are ordered by the hash (64 bits) of these words, so that equal ones lie together,
+however many share an anchor. Those that two different texts share are kept and merged for each text: every
+passage of `least` words is compared, longer ones by the suffixes along them.
+
+The suffixes of one anchor meet in one task, as 8 bytes each, while at most HOT places hold it. Those of a more
+frequent anchor get a row each and meet by aggregation and a join that can be split.
 Texts equal as a whole are one text here, repeated from end to end.
 
 Defined cases: a null text is empty; words are runs of non-space with A-Z lower-cased; texts with fewer than
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folium.llm._store import cut
-from folium.llm._text import U, shingles, signed, texts
+from folium.llm._text import U, mix, shingles, signed, texts
 
 ANCHOR = 12
-STEPS = 3  # neighbours on each side
+HOT = 50_000  # places of one anchor that one task compares
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -78,91 +78,97 @@ def _first_pass(w: int):
     return anchors
 
 
-def _suffixes(reach: int):
-    """The words around the wanted positions: 4 bytes a word, in text order to the right and backwards to the left."""
+def _prefixes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words of one text, by doubling."""
+    out, have = hashes, 1
+    while have < k:
+        step = min(have, k - have)
+        out = mix(mix(out[:-step], 3) + out[step:], 4)
+        have += step
+    return out
+
+
+def _suffixes(least: int):
+    """For each wanted anchor the suffixes that belong to it, which follow each other: start of the first, and the hashes of their first words."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("places").to_pylist()
             keys = batch.column("text_key").to_pylist()
-            anchor, own, pos, left, right = [], [], [], [], []
+            anchor, often, own, start, run = [], [], [], [], []
             for row, part in texts(batch.column("text")):
                 part.words()
                 for i in range(part.rows):
-                    h = (part.hashes[part.word_at[i] : part.word_at[i + 1]] >> U(32)).astype(">u4")
-                    raw, back = h.tobytes(), h[::-1].tobytes()
-                    n = len(h)
-                    for place in wanted[row + i]:
-                        p = place["pos"]
-                        anchor.append(place["anchor"])
-                        own.append(keys[row + i])
-                        pos.append(p)
-                        right.append(raw[4 * (p + ANCHOR) : 4 * (p + ANCHOR + reach)])
-                        left.append(back[4 * (n - p) : 4 * (n - p + reach)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(own, pa.int64()), pa.array(pos, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["anchor", "text_key", "pos", "left", "right"])
+                    words = part.hashes[part.word_at[i] : part.word_at[i + 1]]
+                    h, first = shingles(words, ANCHOR), _prefixes(words, least)
+                    order = np.argsort(h, kind="stable")
+                    rank = np.empty(len(h), np.int64)
+                    rank[order] = np.arange(len(h))
+                    at = order[_window_min(rank, least - ANCHOR + 1)]  # the anchor of each suffix; never decreases
+                    pos = [place["pos"] for place in wanted[row + i]]
+                    lo, hi = np.searchsorted(at, pos, "left").tolist(), np.searchsorted(at, pos, "right").tolist()
+                    for place, x, y in zip(wanted[row + i], lo, hi, strict=True):
+                        if x < y:
+                            anchor.append(place["anchor"])
+                            often.append(place["n"])
+                            own.append(keys[row + i])
+                            start.append(x)
+                            run.append(first[x:y].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(often, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32()), pa.array(run, pa.binary())], ["anchor", "n", "text_key", "start", "run"])
 
     return suffixes
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two byte strings share from the start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x = np.frombuffer(a, ">u4", n // 4) != np.frombuffer(b, ">u4", n // 4)
-    return int(x.argmax())
+def _unfold(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, text, start and hash of each suffix."""
+    runs = rows.column("run").to_pylist()
+    count = np.array([len(r) // 8 for r in runs], np.int64)
+    row = np.repeat(np.arange(len(runs)), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, rows.column("text_key").to_numpy()[row], rows.column("start").to_numpy()[row] + within, np.frombuffer(b"".join(runs), U)
 
 
-def _neighbours(least: int, edges: bool):
-    """Compares sorted suffixes with their neighbours; gives stretches and, if edges, the outermost suffixes."""
+def _shared(rows: pa.Table, least: int) -> pa.RecordBatch:
+    """Stretches of suffixes whose first words another text has too."""
+    row, key, start, h = _unfold(rows)
+    order = np.argsort(h)
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    key_of = key[order]
+    twice = np.minimum.reduceat(key_of, first) != np.maximum.reduceat(key_of, first)
+    kept = np.empty(len(h), bool)
+    kept[order] = np.repeat(twice, np.diff(np.r_[first, len(h)]))
+    before = np.r_[False, kept[:-1] & (row[1:] == row[:-1])]
+    after = np.r_[kept[1:] & (row[1:] == row[:-1]), False]
+    begins, ends = kept & ~before, kept & ~after
+    return pa.RecordBatch.from_arrays([pa.array(key[begins]), pa.array(start[begins].astype(np.int32)), pa.array((start[ends] + least).astype(np.int32))], ["text_key", "start", "stop"])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []
-        first: list[tuple] = []
-        for batch in batches:
-            out = []
-            rows = list(zip(*[batch.column(c).to_pylist() for c in ("anchor", "text_key", "pos", "left", "right")], strict=True))
-            for row in rows:
-                if edges and len(first) < STEPS:
-                    first.append(row)
-                best = None
-                for near in reversed(last):
-                    if near[0] != row[0]:
-                        break
-                    if near[1] == row[1]:
-                        continue
-                    r, l = _common(near[4], row[4]), _common(near[3], row[3])
-                    if l + ANCHOR + r >= least:
-                        out.append((near[1], near[2] - l, near[2] + ANCHOR + r))
-                        if best is None or l + r > best[1] - best[0]:
-                            best = (row[2] - l, row[2] + r)
-                if best:
-                    out.append((row[1], best[0], best[1] + ANCHOR))
-                last.append(row)
-                if len(last) > STEPS:
-                    last.pop(0)
-            yield _stretches(sorted(set(out)))
-        if edges and first:
-            yield _edges(sorted({*first, *last}))
 
-    return neighbours
-
-
-OUT = "text_key long, start int, stop int, edge boolean, anchor long, left binary, right binary"
-
-
-def _stretches(found: list[tuple]) -> pa.RecordBatch:
-    n = len(found)
-    key, start, stop = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array([False] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], OUT_NAMES)
+def _meet(least: int):
+    """Compares the suffixes of each anchor; rows come sorted by anchor, the last anchor's are held back until it ends."""
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            cut_at = int(np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])[-1])
+            if cut_at or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
+                yield _shared(pa.Table.from_batches([*held, batch.slice(0, cut_at)]), least)
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield _shared(pa.Table.from_batches(held), least)
 
-def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    anchor, key, pos, left, right = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(pos, pa.int32()), pa.array([True] * len(rows), pa.bool_()), pa.array(anchor, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], OUT_NAMES)
+    return meet
 
 
-OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each suffix."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            _, key, start, h = _unfold(batch.slice(at, 1000))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(key), pa.array(start.astype(np.int32))], ["suffix", "text_key", "start"])
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +178,6 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     words, stop exclusive, merged), n_copies (rows with the same text).
     """
     w = least - ANCHOR + 1
-    reach = least - ANCHOR
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     digests = cut(docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_key"), n_words.cast("int").alias("n_words")), "repeats-digests")
@@ -180,19 +185,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     classes = cut(classes, "repeats-texts")
     places = rows.select("text", "text_key").mapInArrow(_first_pass(w), "anchor long, text_key long, pos int")
     places = cut(places, "repeats-anchors")
-    live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo != hi").select("anchor")
+    live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("anchor", "n")
     places = cut(places.join(live, "anchor"), "repeats-live")  # on its own, so that a frequent anchor's rows can be split
-    places = places.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "pos")).alias("places"))  # bounded by the length of one text
+    places = places.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "n", "pos")).alias("places"))  # bounded by the length of one text
     wanted = places.join(classes.select("text_key", F.col("rep").alias("_rep")), "text_key").withColumnRenamed("text_key", "_key")
     chosen = rows.join(wanted, (F.col(id_col) == F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
-    around = cut(chosen.mapInArrow(_suffixes(reach), "anchor long, text_key long, pos int, left binary, right binary"), "repeats-suffixes")
-    order = ["anchor", "right", "left", "text_key", "pos"]
+    around = cut(chosen.mapInArrow(_suffixes(least), "anchor long, n long, text_key long, start int, run binary"), "repeats-suffixes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = around.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    found = cut(ranged.mapInArrow(_neighbours(least, True), OUT), "repeats-found")
-    meet = found.where("edge").select("anchor", "text_key", F.col("start").alias("pos"), "left", "right").distinct()  # a few suffixes for each partition
-    met = meet.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), OUT)
-    stretches = found.where("not edge").unionByName(met).select("text_key", "start", "stop")
+    stretches = around.where(F.col("n") <= HOT).select("anchor", "text_key", "start", "run").repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
+    if not around.where(F.col("n") > HOT).isEmpty():
+        each = cut(around.where(F.col("n") > HOT).mapInArrow(_explode, "suffix long, text_key long, start int"), "repeats-each")
+        twice = each.groupBy("suffix").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo != hi").select("suffix")
+        met = cut(each.join(twice, "suffix").select("text_key", "start"), "repeats-met")  # on its own, as above
+        stretches = stretches.unionByName(met.select("text_key", "start", (F.col("start") + least).alias("stop")))
     whole = classes.where("n_copies > 1").select("text_key", F.lit(0).alias("start"), F.col("n_words").alias("stop"))
     return _per_document(stretches.unionByName(whole).distinct(), digests, classes, id_col)
 

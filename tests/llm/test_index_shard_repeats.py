@@ -6,6 +6,7 @@ import pytest
 
 from folium.llm.ann import nearest
 from folium.llm.components import components
+from folium.llm import repeats
 from folium.llm.repeats import repeated_passages
 from folium.llm.shard import ROW_BYTES, shard
 
@@ -97,6 +98,50 @@ def test_repeats_equal_brute_force(docs, rows, empty):
     assert repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 40])
+def test_repeats_are_whole_where_a_footer_is_frequent(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    draw = random.Random(12)
+    text = lambda n: [f"w{draw.randint(0, 50000)}" for _ in range(n)]
+    words = []
+    for own, foot in ((20, 30), (15, 40), (10, 45), (30, 20), (12, 37)):  # the last two meet in 49 words only
+        for side in (1, -1):
+            for _ in range(3):
+                footer, before = text(foot), text(own)
+                words += [(text(25) + before + footer + text(40))[::side] for _ in range(2)] + [(text(60) + footer + text(40))[::side] for _ in range(200)]
+    words.append(words[0] + words[600][:60])
+    got = {r["doc_id"]: (r["n_words"], r["n_repeated"]) for r in repeats.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")).collect()}
+    holders = defaultdict(set)
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+    want = {}
+    for i, w in enumerate(words):
+        hit = np.zeros(len(w), bool)
+        for j in range(len(w) - 49):
+            if len(holders[tuple(w[j : j + 50])]) > 1:
+                hit[j : j + 50] = True
+        if hit.any():
+            want[i] = (len(w), int(hit.sum()))
+    assert len(want) > 40 and got == want
+
+
+def test_repeats_equal_brute_force_in_every_row(docs, rows):
+    holders, texts = defaultdict(set), [(r[1] or "").encode().lower().split() for r in rows]
+    for r, w in zip(rows, texts):
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(r[1])
+    copies, want = Counter(r[1] for r in rows), Counter()
+    for r, w in zip(rows, texts):
+        hit = np.zeros(len(w), bool)
+        for j in range(len(w) - 49):
+            if len(holders[tuple(w[j : j + 50])]) > 1 or copies[r[1]] > 1:
+                hit[j : j + 50] = True
+        if hit.any():
+            want[(r[0], len(w), int(hit.sum()))] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_repeated"]) for r in repeats.repeated_passages(docs).collect()) == want
+
+
 def test_components(spark):
     draw = random.Random(6)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
