@@ -1,7 +1,8 @@
 """Licence scan with ordered signature rules, in DataFrame functions only.
 
-A text becomes its words (runs of letters and digits, A-Z lower-cased), each after one space. Texts that hold
-none of a few keywords are done with there. For the others, the rules whose own keyword occurs are
+A text becomes its words (runs of letters and digits, A-Z lower-cased), each after one space. A rule has keywords,
+one of which every match holds, and a word of its form, which every match holds too. Texts that hold none of
+any rule's are done with there. For the others, the rules whose own occur are
 tried: each is a regular expression over words with a label, a priority and a confidence. Detections that lie
 inside one of higher priority, or of equal priority and greater length, are suppressed; the rest
 give labels. The phrases of BASE are rules too; theirs are never suppressed.
@@ -22,86 +23,97 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The phrases and labels of the base scan.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Licence names: label, keyword that must occur, expression over words.
+# Licence names: label, keywords (by |) of which every match holds one, expression over words.
 NAMES = (
     ("apache-2.0", "apache", "apache( software)? licen[cs]e,? (version |v ?)?2( 0)?|apache 2( 0)?"),
     ("apache-1.1", "apache", "apache( software)? licen[cs]e (version |v ?)?1 1"),
-    ("mit", "mit", "(the )?mit( x11)?"),
-    ("bsd-2-clause", "bsd", "(the )?(simplified|freebsd|2 clause) bsd|bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(the )?(new|modified|revised|3 clause) bsd|bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(the )?(original|4 clause) bsd|bsd 4 clause"),
-    ("isc", "isc", "(the )?isc"),
-    ("gpl-2.0", "public", "(gnu )?general public licen[cs]e (version |v ?)?2( 0)?|gpl ?v? ?2( 0)?"),
-    ("gpl-3.0", "public", "(gnu )?general public licen[cs]e (version |v ?)?3( 0)?|gpl ?v? ?3( 0)?"),
-    ("lgpl-2.1", "lesser", "(gnu )?(lesser|library) general public licen[cs]e (version |v ?)?2( 1)?"),
-    ("lgpl-3.0", "lesser", "(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?"),
-    ("agpl-3.0", "affero", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e (version |v ?)?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public licen[cs]e (version |v ?)?2( 0)?"),
-    ("epl-1.0", "eclipse", "eclipse public licen[cs]e (version |v ?)?1( 0)?"),
-    ("epl-2.0", "eclipse", "eclipse public licen[cs]e (version |v ?)?2( 0)?"),
-    ("cddl-1.0", "common", "common development and distribution licen[cs]e (version )?1( 0)?"),
-    ("cpl-1.0", "common", "common public licen[cs]e (version )?1( 0)?"),
-    ("artistic-1.0", "artistic", "artistic licen[cs]e (version )?1( 0)?"),
-    ("artistic-2.0", "artistic", "artistic licen[cs]e (version )?2( 0)?"),
-    ("boost-1.0", "boost", "boost software licen[cs]e (version )?1( 0)?"),
-    ("zlib", "zlib", "(the )?zlib( libpng)?"),
+    ("mit", " mit ", "(the )?mit( x11)?"),
+    ("bsd-2-clause", " bsd ", "(the )?(simplified|freebsd|2 clause) bsd|bsd 2 clause"),
+    ("bsd-3-clause", " bsd ", "(the )?(new|modified|revised|3 clause) bsd|bsd 3 clause"),
+    ("bsd-4-clause", " bsd ", "(the )?(original|4 clause) bsd|bsd 4 clause"),
+    ("isc", " isc ", "(the )?isc"),
+    ("gpl-2.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?2( 0)?|gpl ?v? ?2( 0)?"),
+    ("gpl-3.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?3( 0)?|gpl ?v? ?3( 0)?"),
+    ("lgpl-2.1", "general public licen", "(gnu )?(lesser|library) general public licen[cs]e (version |v ?)?2( 1)?"),
+    ("lgpl-3.0", "lesser general public licen", "(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("agpl-3.0", "affero general public licen", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("mpl-1.1", "mozilla public licen", "mozilla public licen[cs]e (version |v ?)?1 1"),
+    ("mpl-2.0", "mozilla public licen", "mozilla public licen[cs]e (version |v ?)?2( 0)?"),
+    ("epl-1.0", "eclipse public licen", "eclipse public licen[cs]e (version |v ?)?1( 0)?"),
+    ("epl-2.0", "eclipse public licen", "eclipse public licen[cs]e (version |v ?)?2( 0)?"),
+    ("cddl-1.0", "common development", "common development and distribution licen[cs]e (version )?1( 0)?"),
+    ("cpl-1.0", "common public licen", "common public licen[cs]e (version )?1( 0)?"),
+    ("artistic-1.0", "artistic licen", "artistic licen[cs]e (version )?1( 0)?"),
+    ("artistic-2.0", "artistic licen", "artistic licen[cs]e (version )?2( 0)?"),
+    ("boost-1.0", "boost software", "boost software licen[cs]e (version )?1( 0)?"),
+    ("zlib", " zlib ", "(the )?zlib( libpng)?"),
     ("unlicense", "unlicense", "(the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0-1.0", "cc0", "cc0( 1 0)?"),
-    ("ofl-1.1", "sil", "sil open font licen[cs]e (version )?1 1"),
-    ("eupl-1.2", "eupl", "eupl (version |v ?)?1 2"),
-    ("ms-pl", "microsoft", "microsoft public licen[cs]e"),
-    ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"),
-    ("python-2.0", "python", "python software foundation licen[cs]e( version 2)?"),
+    ("cc0-1.0", " cc0 ", "cc0( 1 0)?"),
+    ("ofl-1.1", "sil open font", "sil open font licen[cs]e (version )?1 1"),
+    ("eupl-1.2", " eupl ", "eupl (version |v ?)?1 2"),
+    ("ms-pl", "microsoft public", "microsoft public licen[cs]e"),
+    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[cs]e"),
+    ("python-2.0", "python software foundation", "python software foundation licen[cs]e( version 2)?"),
     ("postgresql", "postgresql", "postgresql licen[cs]e"),
     ("openssl", "openssl", "openssl licen[cs]e"),
-    ("gfdl-1.3", "documentation", "(gnu )?free documentation licen[cs]e (version )?1 3"),
-    ("proprietary", "proprietary", "(a |the )?proprietary"),
+    ("gfdl-1.3", "documentation licen", "(gnu )?free documentation licen[cs]e (version )?1 3"),
+    ("proprietary", " proprietary ", "(a |the )?proprietary"),
 )
+# Short names, as SPDX has them: label, name, major and minor version.
+SHORT = (
+    ("apache-1.1", "apache", 1, 1), ("lgpl-2.1", "lgpl", 2, 1), ("lgpl-3.0", "lgpl", 3, 0), ("agpl-3.0", "agpl", 3, 0), ("mpl-1.1", "mpl", 1, 1), ("mpl-2.0", "mpl", 2, 0),
+    ("epl-1.0", "epl", 1, 0), ("epl-2.0", "epl", 2, 0), ("cddl-1.0", "cddl", 1, 0), ("cpl-1.0", "cpl", 1, 0), ("artistic-1.0", "artistic", 1, 0), ("artistic-2.0", "artistic", 2, 0),
+    ("boost-1.0", "bsl", 1, 0), ("ofl-1.1", "ofl", 1, 1), ("python-2.0", "python", 2, 0), ("python-2.0", "psf", 2, 0), ("gfdl-1.3", "gfdl", 1, 3),
+)
+SPDX_ONLY = (("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("postgresql", "postgresql"), ("openssl", "openssl"))  # too common as words for the other forms
 # Creative Commons licences: their parts and versions make the rules.
 CC_PARTS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(ative)?s?", "nc": "non ?commercial"}
-# Ways to name a licence: how the name is set in, priority, confidence.
+# Ways to name a licence: how the name is set in, priority, confidence, word that every match holds.
 FORMS = (
-    ("spdx licen[cs]e identifier ({name})", 9, 1.0),
-    ("licen[cs]ed under (the )?(terms of )?(the )?({name})( licen[cs]e)?", 8, 0.95),
-    ("(released|distributed|available|published|provided) under (the )?(terms of )?(the )?({name})( licen[cs]e)?", 7, 0.95),
-    ("subject to (the )?(terms of )?(the )?({name})( licen[cs]e)?", 6, 0.85),
-    ("({name}) licen[cs]e", 4, 0.8),
-    ("licen[cs]e ({name})", 3, 0.7),
+    ("spdx licen[cs]e identifier ({name})", 9, 1.0, "spdx licen"),
+    ("licen[cs]ed under (the )?(terms of )?(the )?({name})( licen[cs]e)?", 8, 0.95, "ed under "),
+    ("(released|distributed|available|published|provided) under (the )?(terms of )?(the )?({name})( licen[cs]e)?", 7, 0.95, " under "),
+    ("subject to (the )?(terms of )?(the )?({name})( licen[cs]e)?", 6, 0.85, "subject to "),
+    ("({name}) licen[cs]e", 4, 0.8, " licen"),
+    ("licen[cs]e ({name})", 3, 0.7, " licen"),
 )
-# Notices that name no licence: label, keyword, expression, priority, confidence.
+# Notices that name no licence: label, keywords, expression, priority, confidence.
 NOTICES = (
-    ("gpl", "public", "(gnu )?general public licen[cs]e", 2, 0.75),
-    ("lgpl", "lesser", "(gnu )?lesser general public licen[cs]e", 3, 0.75),
+    ("gpl", "general public licen", "(gnu )?general public licen[cs]e", 2, 0.75),
+    ("lgpl", "lesser general public licen", "(gnu )?lesser general public licen[cs]e", 3, 0.75),
     ("apache", "apache", "apache( software)? licen[cs]e", 2, 0.7),
-    ("mozilla", "mozilla", "mozilla public licen[cs]e", 2, 0.7),
-    ("creative-commons", "creative", "creative commons", 1, 0.6),
-    ("public-domain", "domain", "(in|into|to) the public domain|public domain dedication", 2, 0.7),
-    ("copyright", "copyright", "copyright (c )?[12][0-9]{3}", 1, 0.4),
-    ("copyright", "copyright", "copyright notice", 1, 0.4),
-    ("no-warranty", "warranty", "without (any )?warranty of any kind|no warranty", 1, 0.4),
-    ("as-is", "as is", "provided as is", 1, 0.4),
-    ("permissive-grant", "permission", "permission is hereby granted free of charge", 5, 0.85),
-    ("bsd-grant", "redistribution", "redistribution and use in source and binary forms", 5, 0.85),
+    ("mozilla", "mozilla public licen", "mozilla public licen[cs]e", 2, 0.7),
+    ("creative-commons", "creative commons", "creative commons", 1, 0.6),
+    ("public-domain", "public domain", "(in|into|to) the public domain|public domain dedication", 2, 0.7),
+    ("copyright", " copyright ", "copyright (c )?[12][0-9]{3}", 1, 0.4),
+    ("copyright", " copyright ", "copyright notice", 1, 0.4),
+    ("no-warranty", " warranty ", "without (any )?warranty of any kind|no warranty", 1, 0.4),
+    ("as-is", "provided as is ", "provided as is", 1, 0.4),
+    ("permissive-grant", "permission is hereby", "permission is hereby granted free of charge", 5, 0.85),
+    ("bsd-grant", "redistribution and use", "redistribution and use in source and binary forms", 5, 0.85),
 )
-GATES = ("licen", "copyright", "spdx", "rights reserved", " cc ", "creative commons", "public domain", "warranty", "as is", "permission is", "redistribution")
 
 
-def rules() -> list[tuple[str, str, str, int, float, bool]]:
-    """(label, keyword, expression over words with their spaces, priority, confidence, base), highest priority first."""
-    found = [(label, phrase.split()[0], phrase, 0, 0.6, True) for phrase, label in BASE]
+def rules() -> list[tuple[str, str, str, int, float, bool, str]]:
+    """(label, keywords, expression over words with their spaces, priority, confidence, base, word of the form or ""), highest priority first."""
+    found = [(label, f" {phrase} ", phrase, 0, 0.6, True, "") for phrase, label in BASE]
     names = list(NAMES)
+    for label, short, major, minor in SHORT:
+        version = f"{major} {minor}" if minor else f"{major}( 0|(?! [0-9] ))"
+        names.append((label, f" {short}", f"{short} ?(version |v ?)?{version}"))
     for parts in CC_PARTS:
         long = " ".join(CC_WORDS[p] for p in parts.split())
-        names += [(f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", "cc" if short else "creative", f"cc {parts} {v}" if short else f"creative commons {long} {v}") for v in CC_VERSIONS for short in (True, False)]
-    for label, keyword, name in names:
-        found += [(label, keyword, form.replace("{name}", name), rank, sure, False) for form, rank, sure in FORMS]
+        names += [(f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", " cc by " if short else "creative commons", f"cc {parts} {v}" if short else f"creative commons {long} {v}") for v in CC_VERSIONS for short in (True, False)]
+    for label, keywords, name in names:
+        found += [(label, keywords, form.replace("{name}", name), rank, sure, False, word) for form, rank, sure, word in FORMS]
         if label.startswith("cc-") or "licen" in name:  # the name alone says enough
-            found.append((label, keyword, name, 2, 0.8, False))
-    found += [(*x, False) for x in NOTICES]
+            found.append((label, keywords, name, 2, 0.8, False, ""))
+    form, rank, sure, word = FORMS[0]
+    found += [(label, word, form.replace("{name}", name), rank, sure, False, word) for label, name in SPDX_ONLY]
+    found += [(*x, False, "") for x in NOTICES]
     return sorted(found, key=lambda r: (-r[3], r[0], r[2]))
 
 
@@ -132,13 +144,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, SEPARATORS, " ")), F.lit(" "))
     rows = docs.select(F.col(id_col), text.alias("_text"))
     rows = rows.withColumn("n_words", F.when(F.length("_text") <= 2, 0).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit(" "))) - 1).cast("long"))
-    gate = F.lit(False)
-    for word in GATES:
-        gate = gate | F.contains("_text", F.lit(word))
-    fields = ("label", "word", "pattern", "rank", "sure", "base")
-    found = [dict(zip(fields, (label, word, f" (?:{regex})(?= )", rank, sure, base), strict=True)) for label, word, regex, rank, sure, base in rules()]
-    table = F.from_json(F.lit(json.dumps(found)), "array<struct<label:string,word:string,pattern:string,rank:int,sure:double,base:boolean>>")
-    tried = F.filter(table, lambda r: F.contains(F.col("_text"), r["word"]))
+    groups: dict[str, list[dict]] = {}
+    fields = ("label", "pattern", "rank", "sure", "base", "form")
+    for label, keywords, regex, rank, sure, base, form in rules():
+        groups.setdefault(keywords, []).append(dict(zip(fields, (label, f" (?:{regex})(?= )", rank, sure, base, form), strict=True)))
+
+    def holds(words: set[str]) -> Column:
+        out = F.lit(False)
+        for word in sorted(words):
+            out = out | F.contains("_text", F.lit(word))
+        return out
+
+    alone = {w for k, g in groups.items() for w in k.split("|") if any(not r["form"] for r in g)}
+    others = {w for k in groups for w in k.split("|")} - alone
+    gate = holds(alone) | (holds({r["form"] for g in groups.values() for r in g} - {""}) & holds(others))
+    table = [{"words": k.split("|"), "rules": g} for k, g in groups.items()]
+    table = F.from_json(F.lit(json.dumps(table)), "array<struct<words:array<string>,rules:array<struct<label:string,pattern:string,rank:int,sure:double,base:boolean,form:string>>>>")
+    near = F.filter(table, lambda g: F.exists(g["words"], lambda w: F.contains(F.col("_text"), w)))
+    tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.contains(F.col("_text"), r["form"]))
     found = F.flatten(F.transform(tried, lambda r: _spans(F.col("_text"), r)))
     rows = rows.withColumn("_found", F.when(gate, found))
     wider = lambda s, t: (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["stop"] - t["start"] > s["stop"] - s["start"])))

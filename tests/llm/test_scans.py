@@ -34,6 +34,50 @@ def test_license_rules_suppress_what_lies_inside(spark):
     assert licenses.scan(spark.createDataFrame(LICENSED, "doc_id long, text string").limit(0)).count() == 0
 
 
+def _made(draw, parsed):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            kind, y = draw.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else draw.randint(*y))
+        elif op == "BRANCH":
+            out += _made(draw, draw.choice(x[1]))
+        elif op == "SUBPATTERN":
+            out += _made(draw, x[3])
+        elif op == "MAX_REPEAT":
+            out += "".join(_made(draw, x[2]) for _ in range(draw.randint(x[0], x[1])))
+    return out
+
+
+def test_license_rules_match_without_other_words(spark):
+    draw, table = random.Random(5), [(r[0], re.compile(f" (?:{r[2]})(?= )"), r[3], r[5]) for r in licenses.rules()]
+    made = [f"Foo {_made(draw, re._parser.parse(r[2]))} qux" for r in licenses.rules() for _ in range(4)]
+    assert {r[0] for r in licenses.rules()} >= {label for label, *_ in licenses.NAMES}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(made):
+        text = f" {' '.join(WORD.findall(t.translate(LOWER)))} "
+        spans = [(label, rank, base, text[: m.start()].count(" "), text[: m.end()].count(" ")) for label, p, rank, base in table for m in p.finditer(text)]
+        inside = lambda s: any(not o[2] and o[3] <= s[3] and o[4] >= s[4] and (o[1] > s[1] or (o[1] == s[1] and o[4] - o[3] > s[4] - s[3])) for o in spans)
+        assert spans and got[i] == ",".join(sorted({s[0] for s in spans if s[2] or not inside(s)})), t
+
+
+def test_license_names_need_no_further_word(spark):
+    want = {
+        "Licensed under GPL v3": "gpl-3.0", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0", "Distributed under MIT.": "mit", "released under the BSD 3-Clause": "bsd-3-clause",
+        "subject to the terms of EUPL 1.2": "eupl-1.2", "available under Apache 2.0": "apache-2.0", "released under CC0": "cc0-1.0", "mit einem Wort": "", "cddl 1.1 or lgpl 2.0": "",
+        "GNU Library General Public License 2.1": "gpl,lgpl-2.1",
+    }
+    spdx = "MPL-2.0 MPL-1.1 LGPL-2.1 LGPL-3.0 AGPL-3.0 EPL-1.0 EPL-2.0 CDDL-1.0 CPL-1.0 Artistic-1.0 Artistic-2.0 Apache-1.1 MS-PL MS-RL PostgreSQL OpenSSL GFDL-1.3 OFL-1.1 Python-2.0 ISC Zlib Unlicense WTFPL"
+    want |= {f"SPDX-License-Identifier: {x}": x.lower() for x in spdx.split()} | {"SPDX-License-Identifier: BSL-1.0": "boost-1.0", "SPDX-License-Identifier: CDDL-1.1": ""}
+    rows = list(enumerate(want))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == want
+
+
 def test_benchmark_passages_with_substitutions_are_found(spark):
     draw = random.Random(9)
     text = lambda n: [f"w{draw.randint(0, 5000)}" for _ in range(n)]
