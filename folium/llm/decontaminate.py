@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A seed is a fixed mask of word offsets: the words at those offsets are hashed, those between
-are ignored, so that a hit survives substitutions at ignored places. Seeds of all benchmark
+are ignored, so that a hit survives substitutions at ignored places. The masks are such that every stretch the
+comparison below accepts, with `least` of 10 or more, holds a hit. Seeds of all benchmark
 and document positions are joined. A hit gives a diagonal (document position minus item position); along
 each diagonal that was hit, item and document are compared word by word and the best scoring stretch is
 kept (a match scores 1, a difference -2). A document is contaminated by an item if that stretch
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folium.llm._store import cut
 
-MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 9))
-SPAN = 10
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 7))
+SPAN = 10  # least words of texts and items
 BROADCAST_SEEDS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,10 +35,10 @@ def word_list(text_col: str) -> Column:
 
 
 def _seeds(words: Column) -> Column:
-    """array<struct<seed, pos>>; empty where there are fewer words than the span."""
-    at = F.sequence(F.lit(0), F.size(words) - SPAN)
+    """array<struct<seed, pos>>; empty where there are fewer than SPAN words."""
 
     def of(mask: tuple[int, ...], number: int) -> Column:
+        at = F.sequence(F.lit(0), F.size(words) - 1 - mask[-1])
         return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(number), *[F.get(F.col("_hashes"), i + j) for j in mask]).alias("seed"), i.alias("pos")))
 
     got = F.concat(*[of(m, n) for n, m in enumerate(MASKS)])

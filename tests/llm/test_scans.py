@@ -100,6 +100,45 @@ def test_benchmark_passages_with_substitutions_are_found(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def _accepted(same):
+    """Equal words of the best stretch, as the comparison of one diagonal counts them."""
+    score = equal = best = best_equal = 0
+    for x in same:
+        equal = (equal if score > 0 else 0) + 1 if x else equal
+        score = max(score, 0) + 1 if x else score - 2
+        if score > best:
+            best, best_equal = score, equal
+    return best_equal
+
+
+def test_every_accepted_stretch_holds_a_seed():
+    found, todo = set(), [(1, 1, 1, (True,))]
+    while todo:  # all patterns of a positive score without a hit
+        score, best, equal, same = todo.pop()
+        for x in (True, False):
+            now, line = score + (1 if x else -2), (*same, x)
+            if now <= 0 or (x and any(len(line) > m[-1] and all(line[len(line) - 1 - m[-1] + j] for j in m) for m in decontaminate.MASKS)):
+                continue
+            assert not (now > best and equal + x >= 10), line
+            state = (now, max(best, now), min(equal + x, 10), line[-10:])
+            if state not in found:
+                found.add(state)
+                todo.append(state)
+
+
+def test_substitutions_of_every_period_and_phase_are_found(spark):
+    draw = random.Random(10)
+    text = lambda n: [f"w{draw.randint(0, 5000)}" for _ in range(n)]
+    kept = [[i % p != phase for i in range(n)] for p in range(4, 10) for phase in range(p) for n in (30, 60)]
+    kept += [[draw.random() > 0.2 for _ in range(30)] for _ in range(60)] + [[True, True, True, *[False, True, True] * 3, True]]
+    items = [(k, text(len(same))) for k, same in enumerate(kept)]
+    docs = [(k, " ".join(text(20) + [w if x else "other" for w, x in zip(item, kept[k])] + text(20))) for k, item in items]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k): _accepted(same) for k, same in enumerate(kept) if _accepted(same) >= 10}
+    assert len(got) > 100
+
+
 PERSONAL = "Mail a.b+c@x-y.example.org, ä@b.c x@y, ip 10.0.0.255 999.1.1.1, card 4111 1111 1111 1111 or 4111-1111-1111-1112, phone +49 (30) 1234-5678 +1 2."
 
 
