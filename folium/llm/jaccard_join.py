@@ -3,17 +3,23 @@
 A document is the set of its k-word shingles, as 64-bit hashes. Documents with equal sets form one class. Set sizes are
 cut into bands; two sets that may link lie in one band or in neighbouring ones. Of two linked
 sets whose smaller one is in band b at most H(b) elements are in only one of them. Elements
-are hashed into a few more segments than H(b) + 1. A set can be found by all of its segments; to look
+are hashed into a quarter more segments than H(b) + 1; some segments have their one-deletion neighbourhoods
+indexed too and count for two. A set can be found by all of its segments; to look
 others up it needs segments worth H(b) + 1 only, as fewer than that can differ (pigeonhole).
-It takes the cheapest: a segment that is empty, or holds only shingles that a bounded sample of documents shows to be
-popular, is equal in far too many sets. The first segments of a band, whose one-deletion neighbourhoods
-are indexed too, count for two if looked up with deletions. Only if all that is not enough
-are dear segments used as well. Costs choose among sufficient segments, so nothing is lost.
 
-Classes that share a signature are compared with the least class of the group (first within a
-task, then over all), not with each other. Components of the verified links follow. Where a group still holds more than one
-component, its members outside the largest component are compared with the others of
-the group. What remains unlinked has then been verified to differ, or is connected already.
+Which ones is a matter of cost, and the costs are exact: a first shuffle counts how many sets hold
+each segment's content. Contents that one set alone holds cost nothing and are done with; of the others a
+set skips the dearest ones as far as it may. So a passage that many documents share makes no candidates: they look
+each other up by what they do not share, and find nothing.
+
+All sets that hold a content by which some set looks others up are compared with one of those lookers, the hub, not with
+each other. Components of the verified links follow. Where a group still holds more than one
+component, its lookers and its members outside the largest component are compared across components, as
+far as sizes and parities of their elements allow a link. What remains unlinked has then been verified
+to differ, or is connected already.
+
+Hot groups: contents held by many sets of one partition are counted there and cross the first shuffle as one row; later
+joins on a content are salted by the size of its group.
 
 Defined cases: a null text is empty; a document without words has an empty set, links with
 nothing and is its own component; with fewer words than k the whole sequence is one shingle. Rows
@@ -22,6 +28,7 @@ equal in id give a row each. A null id is a component of its own unless linked.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +41,10 @@ from folium.llm._text import U, mix, shingle_sets, signed, texts
 from folium.llm.components import components
 
 BROADCAST_ROWS = 500_000
-SAMPLE, SAMPLE_CHARS, POPULAR = 8_000, 20_000, 4  # for costs: texts, their greatest length, how many make a shingle popular
 SLACK = 0.25  # further segments, so that dear ones can be left out
+SPREAD = 2_000  # members of a group for each salt
+CELLS = 256
+PARITY = [f"p{i}" for i in range(CELLS // 64)]
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -74,56 +83,45 @@ class Bands:
         return m, 0 if m < 2 else math.ceil(m / 100), far + 1
 
 
-def _signatures(s: np.ndarray, dear: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set for one band, and which of them the set looks others up by; by all of them it can be found.
-
-    dear: which elements are popular.
-    """
-    m, q, worth = bands.segments(band)
+def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set for one band, and which of them belong to segments with deletions."""
+    m, q, _ = bands.segments(band)
     at = (mix(s, 11) % U(m)).astype(np.int64)
     by = np.argsort(at, kind="stable")
     at, value = at[by], mix(s, 12)[by]
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     sums = np.zeros(m, U)
     sums[at[edge]] = np.add.reduceat(value, edge)
-    rare = np.zeros(m, bool)
-    rare[at[~dear[by]]] = True
-    chosen = np.argsort(~rare, kind="stable")[:worth]  # rare ones first
-    looks = np.zeros(m, bool)
-    looks[chosen] = True
-    twice = np.zeros(m, bool)
-    missing = worth - int(rare.sum())
-    if missing > 0:  # as far as possible, rare segments with deletions make up for dear ones
-        twice[np.flatnonzero(rare[:q])[:missing]] = True
-        drop = chosen[worth - missing :][: int(twice.sum())]
-        looks[drop] = False
     tag = mix(np.arange(m, dtype=U) + U(band << 32), 13)
     near = int(np.searchsorted(at, q))
     less = sums[at[:near]] - value[:near] + tag[at[:near]]
-    return mix(np.concatenate([sums + tag, less]), 14), np.concatenate([looks, twice[at[:near]]])
+    twice = np.ones(m + near, bool)
+    twice[q:m] = False
+    return mix(np.concatenate([sums + tag, less]), 14), twice
 
 
-def _emit(k: int, percent: int, bits: int, popular):
-    """Signature rows of a partition, groups within the partition already tied to their least class that looks up.
+def _emit(k: int, percent: int, bits: int):
+    """Signature rows of a partition, each distinct set once.
 
-    key: the first bits of a signature, then 0 if a looks others up by it, else 1; a: class; b: class to compare with (null: not tied yet).
+    key: the first bits of a signature, then whether its segment has deletions, then whether it serves as the
+    larger set of the band below; a: class; n: how many sets of the partition hold the signature, negative
+    but in the first of their rows.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, dear = Bands(percent), set(), popular.value
+        bands, seen = Bands(percent), set()
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
             key, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.lexsort((own, key))
+            by = np.argsort(key, kind="stable")
             key, own = key[by], own[by]
-            group = key >> 1
+            group = key >> 2
             first = np.concatenate([[True], group[1:] != group[:-1]])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            tied = (key[start] & 1 == 0) & ~first
-            hub = own[start]
-            keep = ~tied | (own != hub)
-            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep]), pa.array(hub[keep], mask=~tied[keep])], ["key", "a", "b"])
+            edge = np.flatnonzero(first)
+            size = np.diff(np.concatenate([edge, [len(key)]]))
+            n = np.repeat(size, size)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(np.where(first, n, -n))], ["key", "a", "n"])
 
         for batch in batches:
             for s in _sets(batch.column("text"), k):
@@ -131,10 +129,11 @@ def _emit(k: int, percent: int, bits: int, popular):
                     continue
                 seen.add(c)
                 b = bands.of(len(s))
-                is_dear = dear[np.searchsorted(dear, s).clip(0, len(dear) - 1)] == s if len(dear) else np.zeros(len(s), bool)
-                for band in (b, b - 1) if b and len(s) * percent <= 100 * (bands.edges[b] - 1) else (b,):
-                    key, looks = _signatures(s, is_dear, band, bands)
-                    parts.append((signed((key >> U(64 - bits) << U(1)) | ~looks), np.full(len(key), c, np.int64)))
+                below = b and len(s) * percent <= 100 * (bands.edges[b] - 1)
+                for band in (b, b - 1) if below else (b,):
+                    key, twice = _signatures(s, band, bands)
+                    key = (key >> U(64 - bits) << U(2)) | (twice.astype(U) << U(1)) | U(band != b)
+                    parts.append((signed(key), np.full(len(key), c, np.int64)))
                     held += len(key)
                 if held > 4_000_000:
                     yield flush()
@@ -145,42 +144,101 @@ def _emit(k: int, percent: int, bits: int, popular):
     return emit
 
 
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: those not tied yet are tied to the first of their group if it looks up."""
-    last_group, last_hub, last_looks = -1, 0, False
-    for batch in batches:
-        key, own = np.asarray(batch.column("key")), np.asarray(batch.column("a"))
-        b = np.asarray(batch.column("b").fill_null(0)).copy()
-        open_ = np.flatnonzero(np.asarray(batch.column("b").is_null()))
-        keep = np.ones(len(key), bool)
-        if len(open_):
-            group, mine = key[open_] >> 1, own[open_]
-            first = np.concatenate([[group[0] != last_group], group[1:] != group[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(open_)), -1))
-            hub = np.where(at < 0, last_hub, mine[at])
-            looks = np.where(at < 0, last_looks, key[open_][at] & 1 == 0)
-            b[open_] = hub
-            keep[open_] = looks & ~first & (mine != hub)
-            last_group, last_hub, last_looks = group[-1], hub[-1], bool(looks[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep]), pa.array(b[keep])], ["key", "a", "b"])
-
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose signature two or more sets hold, with the number of these sets."""
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))  # first rows of the last group, which may go on
+    for batch in itertools.chain(batches, [None]):
+        rows = kept
+        out = []
+        if batch is not None:
+            got = tuple(np.asarray(batch.column(c)) for c in ("key", "a", "n"))
+            rows = tuple(np.concatenate([x, y[got[2] > 0]]) for x, y in zip(kept, got, strict=True))
+            rest = got[2] < 0
+            out.append((got[0][rest], got[1][rest], -got[2][rest]))
+        key, own, n = rows
+        if len(key):
+            group = key >> 2
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            total = np.repeat(np.add.reduceat(n, edge), np.diff(np.concatenate([edge, [len(key)]])))
+            done = len(key) if batch is None else int(edge[-1])
+            kept = tuple(x[done:] for x in rows)
+            span = np.diff(np.concatenate([edge, [len(key)]]))
+            alone = (np.minimum.reduceat(own, edge) == np.maximum.reduceat(own, edge)) & (np.maximum.reduceat(n, edge) == 1)  # one set, met in several partitions
+            more = np.flatnonzero(~np.repeat(alone, span)[:done])
+            out.append((key[more], own[more], total[more]))
+        for x in out:
+            if len(x[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in x], ["key", "a", "n"])
+
+
+def _looks(percent: int):
+    """Which rows of each set it looks others up by: all but the dearest that it may skip. Rows come sorted by set."""
+
+    def choose(key: np.ndarray, own: np.ndarray, n: np.ndarray, size: np.ndarray, bands: Bands) -> pa.RecordBatch:
+        below, twice = key & 1, (key >> 1 & 1).astype(bool)
+        by = np.lexsort((-n, key, below, own))
+        by = by[np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (own[by][1:] != own[by][:-1])])]  # a set met in several partitions
+        key, own, n, size, below, twice = (x[by] for x in (key, own, n, size, below, twice))
+        first = np.concatenate([[True], (own[1:] != own[:-1]) | (below[1:] != below[:-1])])
+        of = np.cumsum(first) - 1
+        skip, weight = [], []
+        for s, low in zip(size[first].tolist(), below[first].tolist(), strict=True):
+            m, q, worth = bands.segments(bands.of(s) - low)
+            skip.append(m + q - worth)
+            weight.append(2 * q)
+        skip, weight = np.array(skip), np.array(weight)
+        cost = (n - 1).astype(float)
+        both = np.bincount(of, np.where(twice, cost, 0.0), len(skip))  # segments with deletions stand or fall together
+        some = np.flatnonzero(both)
+        one = np.flatnonzero(~twice)
+        part = np.concatenate([of[one], some])
+        price = np.concatenate([cost[one], both[some] / np.maximum(1, weight[some])])
+        worth = np.concatenate([np.ones(len(one), np.int64), weight[some]])
+        order = np.lexsort((-price, part))
+        run = np.cumsum(worth[order])
+        start = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+        run -= np.repeat(run[start] - worth[order][start], np.diff(np.concatenate([start, [len(order)]])))
+        stays = np.empty(len(order), bool)
+        stays[order] = run > skip[part[order]]
+        looks = np.empty(len(key), bool)
+        looks[one] = stays[: len(one)]
+        lump = np.zeros(len(skip), bool)
+        lump[some] = stays[len(one) :]
+        looks[twice] = lump[of[twice]]
+        return pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array(own), pa.array(n), pa.array(looks)], ["key", "a", "n", "looks"])
+
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))
+        for batch in batches:
+            rows = tuple(np.concatenate([x, np.asarray(batch.column(c))]) for x, c in zip(held, ("key", "a", "n", "size"), strict=True))
+            if not len(rows[0]):
+                continue
+            done = int(np.searchsorted(rows[1], rows[1][-1]))  # the last set may go on
+            if done:
+                yield choose(*(x[:done] for x in rows), bands)
+            held = tuple(x[done:] for x in rows)
+        if len(held[0]):
+            yield choose(*held, bands)
 
-CELLS = 64
+    return looks
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """How many elements fall into each of CELLS cells, a byte each (modulo 256). Two sets differ in at least as many
-    elements as their sketches do."""
-    return np.bincount((mix(s, 15) % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8).tobytes()
+def _sketch(s: np.ndarray) -> tuple[bytes, list[int]]:
+    """How many elements fall into each of CELLS / 4 cells, a byte each (modulo 256), and the parities of CELLS finer cells.
+    Two sets differ in at least as many elements as either of these does."""
+    count = np.bincount((mix(s, 15) % U(CELLS)).astype(np.int64), minlength=CELLS)
+    return count.reshape(-1, 4).sum(1).astype(np.uint8).tobytes(), np.packbits(count & 1).view(np.int64).tolist()
 
 
 def _digest(k: int, names: list[str]):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(s), _class_of(s), _sketch(s)) for s in _sets(batch.column("text"), k)]
-            n, c, sketch = zip(*got, strict=True) if got else ((), (), ())
+            got = [(len(s), _class_of(s), *_sketch(s)) for s in _sets(batch.column("text"), k)]
+            n, c, sketch, parity = zip(*got, strict=True) if got else ((), (), (), ())
             columns = [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *columns], [*names, "n_shingles", "class", "sketch"])
+            columns += [pa.array([p[i] for p in parity], pa.int64()) for i in range(CELLS // 64)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *columns], [*names, "n_shingles", "class", "sketch", *PARITY])
 
     return digest
 
@@ -190,11 +248,11 @@ def _near(percent: int):
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("_sa", "_sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS // 4) for c in ("_sa", "_sb"))
             apart = np.minimum(x - y, y - x).astype(np.int64).sum(1)
             total = np.asarray(batch.column("_na")) + np.asarray(batch.column("_nb"))
             keep = pa.array(apart * (100 + percent) <= (100 - percent) * total)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], ["a", "b", "n"])
 
     return near
 
@@ -209,27 +267,17 @@ def _contents(k: int):
     return contents
 
 
-def _shingle_rows(k: int):
-    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_sets(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets)) if sets else [], pa.int64())], ["shingle"])
-
-    return shingle_rows
-
-
-def _popular(rows: DataFrame, k: int) -> np.ndarray:
-    """Shingles that POPULAR or more texts of a sample share, sorted. The sample holds about SAMPLE texts, chosen by
-    their hash; it only guides costs."""
-    n = max(1, rows.count())
-    share = min(1_000_000, math.ceil(1_000_000 * SAMPLE / n))
-    some = rows.where((F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) < share) & (F.length("text") < SAMPLE_CHARS)).select("_row", "text").dropDuplicates(["_row"]).select("text")
-    found = some.mapInArrow(_shingle_rows(k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= POPULAR).select("shingle").toPandas()
-    return np.sort(found["shingle"].to_numpy(np.int64).view(U))
+def _salted(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """rows (with n: about how many rows share their value of `on`) joined with groups (one row for each value, n: the
+    greatest there), SPREAD rows to a salt."""
+    salts = lambda n: F.ceil(F.col(n) / SPREAD)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("a", F.lit(5)), salts("n")))
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts("n") - 1))).drop("n")
+    return rows.join(groups, [on, "_salt"]).drop("_salt")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """Those of the pairs (a, b; n: size of the group they come from) that link."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct()
     wanted = cut(wanted.join(classes, "class").select(F.col("class").alias("_class"), F.col("rep").alias("_rep")), "join-wanted")
     reps = wanted.select("_rep").distinct()
@@ -237,77 +285,101 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     chosen = docs.join(reps, F.col("_rep") == F.col("_row"), "left_semi").select("text")
     sets = cut(chosen.mapInArrow(_contents(k), "class long, elements array<long>").dropDuplicates(["class"]), "join-sets")
     left = pairs.join(sets.withColumnsRenamed({"class": "a", "elements": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"class": "b", "elements": "y"}), "b")
+    right = pairs.groupBy("b").agg(F.max("n").alias("n")).join(sets.withColumnsRenamed({"class": "b", "elements": "y"}), "b")
+    both = _salted(left, right, "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
+def _least(labelled: DataFrame) -> DataFrame:
+    """labelled with component_id, the least id of its component. Large components are few, and their ids are broadcast."""
+    least = cut(labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")), "join-least")
+    large = least.where(F.col("_n") > SPREAD).drop("_n")
+    if large.count() > BROADCAST_ROWS:
+        return labelled.join(least.drop("_n"), "component")
+    rest = labelled.join(F.broadcast(large), "component", "left_anti").join(least.where(F.col("_n") <= SPREAD).drop("_n"), "component")
+    return labelled.join(F.broadcast(large), "component").unionByName(rest)
+
+
 def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id_col, _row (hash of the text), n_shingles, class, component (a class; null for the empty set), component_id."""
+    """id_col, _row (hash of the text), n_shingles, class, component (a class; null for the empty set), class_id, component_id."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_row"))
     kind = dict(docs.dtypes)[id_col]
-    digests = cut(rows.mapInArrow(_digest(k, [id_col, "_row"]), f"`{id_col}` {kind}, _row long, n_shingles long, class long, sketch binary"), "join-digests")
-    classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(id_col).alias("least"))
+    parities = ", ".join(f"{p} long" for p in PARITY)
+    digests = cut(rows.mapInArrow(_digest(k, [id_col, "_row"]), f"`{id_col}` {kind}, _row long, n_shingles long, class long, sketch binary, {parities}"), "join-digests")
+    first = [F.first(c).alias(c) for c in ("sketch", *PARITY)]
+    classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("size"), *first, F.min(id_col).alias("least"))
     classes = cut(classes, "join-classes")
-    bits = min(62, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
-    popular = docs.sparkSession.sparkContext.broadcast(_popular(rows, k))
-    keyed = rows.select("text").mapInArrow(_emit(k, percent, bits, popular), "key long, a long, b long")
-    spread = F.when(F.col("b").isNull(), F.shiftright("key", 1)).otherwise(F.xxhash64("key", "a"))
-    tied = keyed.repartition(spread).sortWithinPartitions("key", "a").mapInArrow(_tie, "key long, a long, b long")
-    tied = cut(tied, "join-tied")
-    size = classes.select("class", "n", "sketch")
-    first = _fitting(tied.select("a", "b"), size, percent)
+    size = classes.select(F.col("class").alias("a"), "size", "sketch", *PARITY)
+    bits = min(61, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
+    keyed = rows.select("text").mapInArrow(_emit(k, percent, bits), "key long, a long, n long")
+    spread = F.when(F.col("n") > 0, F.shiftright("key", 2)).otherwise(F.xxhash64("key", "a"))
+    shared = cut(keyed.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, a long, n long"), "join-shared")
+    sized = shared.join(size.select("a", "size"), "a").sortWithinPartitions("a")
+    members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, looks boolean"), "join-members")
+    groups = members.groupBy("key").agg(F.min(F.when(F.col("looks"), F.col("a"))).alias("hub"), F.max("n").alias("n")).where("hub is not null")
+    members = cut(_salted(members, groups, "key"), "join-groups")
+    tied = members.where("a != hub").select("a", F.col("hub").alias("b"), "n")
+    first = cut(_fitting(tied, size, percent), "join-pairs")
     links = cut(_verify(first, rows, classes, k, percent), "join-links")
-    rest = cut(_unsettled(tied, components(links, "a", "b"), size, percent).join(first, ["a", "b"], "left_anti"), "join-rest")
+    rest = cut(_unsettled(members, components(links, "a", "b"), size, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
         links = cut(links.union(_verify(rest, rows, classes, k, percent)), "join-links")
     found = components(links, "a", "b")
-    labelled = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    own = digests.drop("sketch").join(labelled.join(least, "component").select("class", "component", "component_id"), "class", "left")
+    labelled = classes.select("class", "least").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = digests.drop("sketch", *PARITY).join(_least(labelled), "class", "left")
     some = F.col("n_shingles") > 0
     return own.select(
-        id_col, "_row", "n_shingles", "class", F.when(some, F.col("component")).alias("component"), F.when(some, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id")
+        id_col, "_row", "n_shingles", "class", F.when(some, F.col("component")).alias("component"), F.when(some, F.col("least")).otherwise(F.col(id_col)).alias("class_id"),
+        F.when(some, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"),
     )
 
 
 def similarity_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, n_shingles (size of its set), class (of equal sets), component_id.
+    """One row for each row of docs: id_col, n_shingles (size of its set), class_id (least id of the rows with an equal set), component_id.
 
     Two documents link if 100 * intersection >= percent * union of their sets of k-word shingles;
     component_id is the least id that links lead to.
     """
-    return _labelled(docs, k, percent, id_col, text_col).select(id_col, "n_shingles", "class", "component_id")
+    return _labelled(docs, k, percent, id_col, text_col).select(id_col, "n_shingles", "class_id", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, that stay if of each component only the row of least id (then least hash of its text) stays.
 
-    Documents without words stay. Of rows equal in id and text one stays.
+    Documents without words stay. Of rows equal in id and text the one of least hash of all its columns stays.
     """
     found = cut(_labelled(docs, k, percent, id_col, text_col), "join-found")
     firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col), F.col("_row"))).alias("s")).select(F.col(f"s.{id_col}").alias("_folium_id"), F.col("s._row").alias("_folium_text"))
-    stay = firsts.union(found.where("n_shingles = 0").select(id_col, "_row")).distinct()
-    rows = docs.withColumn("_folium_of", F.xxhash64(text_col)).join(stay, (F.col("_folium_of") == F.col("_folium_text")) & docs[id_col].eqNullSafe(F.col("_folium_id")), "left_semi")
-    return rows.dropDuplicates([id_col, "_folium_of"]).select(docs.columns)
+    stay = cut(firsts.union(found.where("n_shingles = 0").select(id_col, "_row")).distinct(), "join-stay")
+    rows = docs.withColumns({"_folium_of": F.xxhash64(text_col), "_folium_whole": F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])})
+    rows = rows.join(stay, (F.col("_folium_of") == F.col("_folium_text")) & docs[id_col].eqNullSafe(F.col("_folium_id")), "left_semi")
+    least = rows.groupBy(F.col(id_col).alias("_folium_id"), "_folium_of").agg(F.min("_folium_whole").alias("_folium_least")).select("_folium_least")
+    rows = rows.join(least, F.col("_folium_whole") == F.col("_folium_least"), "left_semi")
+    return rows.dropDuplicates(["_folium_whole"]).select(docs.columns)
 
 
 def _fitting(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, the lesser first, whose sizes and sketches allow a link."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct pairs, the lesser first, whose sizes and sketches allow a link; pairs: a, b, n (kept)."""
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("n").alias("n"))
     for c in ("a", "b"):
-        pairs = pairs.join(size.withColumnsRenamed({"class": c, "n": f"_n{c}", "sketch": f"_s{c}"}), c)
-    pairs = pairs.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b", "_na", "_nb", "_sa", "_sb")
-    return cut(pairs.mapInArrow(_near(percent), "a long, b long"), "join-pairs")
+        own = size.select(F.col("a").alias(c), F.col("size").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}"))
+        pairs = pairs.join(own, c) if c == "a" else pairs.join(own, (pairs["b"] == own["b"]) & (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))).drop(own["b"])
+    return pairs.select("a", "b", "n", "_na", "_nb", "_sa", "_sb").mapInArrow(_near(percent), "a long, b long, n long")
 
 
-def _unsettled(tied: DataFrame, found: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a signature: members outside a group's largest component with the others."""
-    group, looks = F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)) == 0
-    members = tied.select(group, "a", looks.alias("looks")).union(tied.select(group, F.col("b"), F.lit(True))).groupBy("key", "a").agg(F.bool_or("looks").alias("looks"))
+def _unsettled(members: DataFrame, found: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one group, one of them outside its largest component and one of them looking others up."""
     members = members.join(found.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    parts = members.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("main"))
-    members = cut(members.join(parts.where("parts > 1").select("key", F.col("main.c").alias("main")), "key"), "join-open")
-    outside = members.where("c != main").select("key", "a", "c", "looks")
-    others = members.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("looks").alias("looks_b"))
-    return _fitting(outside.join(others, "key").where("c != d and (looks or looks_b)"), size, percent)
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.bool_or("looks").alias("looks"), F.max("n").alias("n"))
+    parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("main"), F.max("n").alias("n"))
+    parts = cut(parts.where("parts > 1").select("key", F.col("main.c").alias("main"), "n"), "join-parts")
+    open_ = cut(_salted(members.drop("hub"), parts, "key").join(size.select("a", "size", *PARITY), "a"), "join-open")
+    names = {"a": "b", "c": "d", "looks": "looks_b", "size": "size_b", **{p: f"{p}_b" for p in PARITY}}
+    outside = open_.where("c != main").drop("main", "n")
+    others = open_.drop("main").withColumnsRenamed(names)
+    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+    x, y = F.col("size"), F.col("size_b")
+    fits = (F.col("c") != F.col("d")) & (F.col("looks") | F.col("looks_b")) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
+    pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select("a", "b", "n")
+    return _fitting(pairs, size, percent)

@@ -23,7 +23,7 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(_read(spark, sf_dir, "documents"), k=4, percent=85).drop("class")
+    return jaccard_join.similarity_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
