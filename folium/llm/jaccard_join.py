@@ -13,7 +13,7 @@ set skips the dearest ones as far as it may. So a passage that many documents sh
 each other up by what they do not share, and find nothing.
 
 All sets that hold a content by which some set looks others up are compared with one of those lookers, the hub, not with
-each other. Components of the verified links follow. Where a group still holds more than one
+each other; the hub is the looker that shares most with others, so of near copies the one nearest to their origin. Components of the verified links follow. Where a group still holds more than one
 component, its lookers and its members outside the largest component are compared across components, as
 far as sizes and parities of their elements allow a link. What remains unlinked has then been verified
 to differ, or is connected already.
@@ -172,7 +172,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _looks(percent: int):
-    """Which rows of each set it looks others up by: all but the dearest that it may skip. Rows come sorted by set."""
+    """Which rows of each set it looks others up by: all but the dearest that it may skip; rank: how much it shares. Rows come sorted by set."""
 
     def choose(key: np.ndarray, own: np.ndarray, n: np.ndarray, size: np.ndarray, bands: Bands) -> pa.RecordBatch:
         below, twice = key & 1, (key >> 1 & 1).astype(bool)
@@ -205,7 +205,9 @@ def _looks(percent: int):
         lump = np.zeros(len(skip), bool)
         lump[some] = stays[len(one) :]
         looks[twice] = lump[of[twice]]
-        return pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array(own), pa.array(n), pa.array(looks)], ["key", "a", "n", "looks"])
+        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rank = np.repeat(np.add.reduceat(n, edge), np.diff(np.concatenate([edge, [len(own)]])))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key >> 2, own, n, looks, rank)], ["key", "a", "n", "looks", "rank"])
 
     def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -316,9 +318,9 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     spread = F.when(F.col("n") > 0, F.shiftright("key", 2)).otherwise(F.xxhash64("key", "a"))
     shared = cut(keyed.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, a long, n long"), "join-shared")
     sized = shared.join(size.select("a", "size"), "a").sortWithinPartitions("a")
-    members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, looks boolean"), "join-members")
-    groups = members.groupBy("key").agg(F.min(F.when(F.col("looks"), F.col("a"))).alias("hub"), F.max("n").alias("n")).where("hub is not null")
-    members = cut(_salted(members, groups, "key"), "join-groups")
+    members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, looks boolean, rank long"), "join-members")
+    groups = members.groupBy("key").agg(F.max(F.when(F.col("looks"), F.struct("rank", "a"))).alias("hub"), F.max("n").alias("n")).where("hub is not null").withColumn("hub", F.col("hub.a"))
+    members = cut(_salted(members.drop("rank"), groups, "key"), "join-groups")
     tied = members.where("a != hub").select("a", F.col("hub").alias("b"), "n")
     first = cut(_fitting(tied, size, percent), "join-pairs")
     links = cut(_verify(first, rows, classes, k, percent), "join-links")
