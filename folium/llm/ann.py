@@ -1,19 +1,19 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the codebooks of residuals are fitted on a bounded sample (the rows with the
-least hash of their id); every row is indexed. A row's list is that of its nearest centroid,
+least hash of id and vector); every row is indexed. A row's list is that of its nearest centroid,
 its code the nearest codebook entry for each part of its residual. A query visits the lists nearest to it until
 they hold enough rows; there, a table of distances from the query's residual to all codebook entries
 gives each code an approximate distance (asymmetric: the query itself is not quantised). The best
 of each block are measured again on the original vectors.
 
-Lists are dealt in blocks of bounded size, so no list, however large, is one task. Equal vectors
+Lists, and the queries that visit one, are dealt in blocks of bounded size, so no list, however large, is one task. Equal vectors
 are searched for once, and of equal candidates only as many are kept as can be among the nearest of a query,
 those of least id: this loses nothing.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without
-id or whose length is not the commonest (the greater on a tie). Rows equal in id count once, with the least vector. With fewer
-candidates than k all are returned; ties go to the smaller id. Other columns are not read.
+id or whose length is not the commonest (the greater on a tie). Rows equal in id are rows of their own, as queries and as
+candidates of each other. With fewer candidates than k all are returned; ties go to the smaller id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from folium.llm._store import cut
 
 PART_DIM = 4  # components per code byte
 CODES = 256
-BLOCK_ROWS = 8_192
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def _encoded(shared):
     def encode(batches):
         for rows in batches:
             at, codes = shared.value.encode(np.array(rows["vec"].tolist(), np.float64))
-            yield pd.DataFrame({"id": rows["id"], "vec": rows["vec"], "list": at, "code": [c.tobytes() for c in codes]})
+            yield pd.DataFrame({"row": rows["row"], "id": rows["id"], "vec": rows["vec"], "list": at, "code": [c.tobytes() for c in codes]})
 
     return encode
 
@@ -107,7 +107,7 @@ def _visits(shared, counts: dict[int, int], enough: int, least: int):
             n = np.maximum(least, (held < enough).sum(1) + 1)
             n = np.minimum(n, len(index.centers))
             yield pd.DataFrame({
-                "query": np.repeat(rows["id"].to_numpy(), n), "vec": [v for v, m in zip(rows["vec"], n, strict=True) for _ in range(m)],
+                "query": np.repeat(rows["row"].to_numpy(), n), "vec": [v for v, m in zip(rows["vec"], n, strict=True) for _ in range(m)],
                 "list": np.concatenate([o[:m] for o, m in zip(order, n, strict=True)]) if len(n) else np.zeros(0, np.int64),
             })
 
@@ -120,8 +120,7 @@ def _search(shared, keep: int, again: int):
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(block):
-            block = block.sort_values("id")
-            ids = block["id"].to_numpy()
+            ids, rows = block["id"].to_numpy(), block["row"].to_numpy()
             vectors = np.array(block["vec"].tolist(), np.float64)
             codes = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(block), -1)
             center = int(block["list"].iloc[0])
@@ -129,9 +128,9 @@ def _search(shared, keep: int, again: int):
                 v = np.asarray(v, np.float64)
                 near = np.argsort(shared.value.distances(v, center, codes), kind="stable")[:again]
                 true = np.sqrt(((vectors[near] - v) ** 2).sum(1))
-                best = np.lexsort((ids[near], true))[:keep]
-                found.append(pd.DataFrame({"query": q, "id": ids[near][best], "score": true[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})
+                best = np.lexsort((rows[near], ids[near], true))[:keep]
+                found.append(pd.DataFrame({"query": q, "row": rows[near][best], "id": ids[near][best], "score": true[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "row": [], "id": [], "score": []}).astype({"query": "int64", "row": "int64", "id": "int64"})
 
     return search
 
@@ -139,7 +138,7 @@ def _search(shared, keep: int, again: int):
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sample_rows: int = 20_000, list_rows: int = 256, recall: float = 0.96, again: int = 128, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest other rows of each row whose id is divisible by `every`: query_id, rank, id_col, score (Euclidean distance).
 
-    sample_rows bounds the rows the index is fitted on. There is a list for about list_rows rows, at most sample_rows / 16. A query
+    About sample_rows rows at most fit the index; every row is indexed. There is a list for about list_rows rows, at most sample_rows / 16. A query
     visits as large a share of the rows as sampled queries need to find `recall` of their neighbours; clustered
     vectors need few lists, structureless ones most. again: codes measured again in each block.
     """
@@ -150,32 +149,41 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sample_rows: int
     spark = vectors.sparkSession
     if width is None:
         return spark.createDataFrame([], schema)
-    rows = cut(rows.where(F.size("vec") == width["d"]).groupBy("id").agg(F.min("vec").alias("vec")), "ann-rows")
+    rows = cut(rows.where(F.size("vec") == width["d"]).withColumn("row", F.monotonically_increasing_id()), "ann-rows")  # numbered once
     n = rows.count()
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toLocalIterator()], np.float64)
+    some = rows.withColumn("h", F.xxhash64("id", "vec", F.lit(seed)))
+    some = some if n <= sample_rows else some.where(F.col("h") <= F.lit(-(1 << 63) + (1 << 64) * sample_rows // n))
+    sample = np.array([r["vec"] for r in sorted(some.select("h", "vec").collect())], np.float64).reshape(-1, width["d"])
+    if not len(sample):  # all vectors are alike
+        sample = np.array([rows.first()["vec"]], np.float64)
     lists = int(min(max(1, n // list_rows), max(1, sample_rows // 16)))
     index = Index(sample, lists, seed)
     shared = spark.sparkContext.broadcast(index)
     keep = k + 1
-    same = Window.partitionBy("vec").orderBy("id")
+    same = Window.partitionBy("vec").orderBy("id", "row")
     some = rows.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= keep).drop("_r")
-    coded = cut(some.mapInPandas(_encoded(shared), "id long, vec array<double>, list int, code binary"), "ann-codes")
+    coded = cut(some.mapInPandas(_encoded(shared), "row long, id long, vec array<double>, list int, code binary"), "ann-codes")
     counts = coded.groupBy("list").agg(F.count("*").alias("n"))
     size = {r["list"]: r["n"] for r in counts.collect()}  # as many as there are lists: bounded
     asked = rows.where(F.col("id") % every == 0)
-    distinct = asked.groupBy("vec").agg(F.min("id").alias("id"))
+    distinct = asked.groupBy("vec").agg(F.min("row").alias("row"))
     enough = max(50 * k, math.ceil(index.share(sample, k, recall) * n))
-    visits = distinct.repartition("id").mapInPandas(_visits(shared, size, enough, min(4, lists)), "query long, vec array<double>, list int")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    counts = F.broadcast(spark.createDataFrame([(int(i), int(c)) for i, c in size.items()], "list int, n long"))
-    block = coded.join(counts, "list").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("n")
-    visits = visits.join(counts, "list").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
-    found = visits.groupBy("list", "block").cogroup(block.groupBy("list", "block")).applyInPandas(_search(shared, keep, again), "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy("score", "id")
+    visits = distinct.repartition("row").mapInPandas(_visits(shared, size, enough, min(4, lists)), "query long, vec array<double>, list int")
+    visits = cut(visits, "ann-visits")
+    asks = {r["list"]: r["n"] for r in visits.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    table = [(int(i), math.ceil(c / BLOCK_ROWS), math.ceil(asks.get(i, 0) / BLOCK_QUERIES)) for i, c in size.items()]
+    table = F.broadcast(spark.createDataFrame(table, "list int, blocks int, parts int").where("parts > 0"))
+    spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit(9)), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = coded.join(table, "list").withColumn("block", spread("row", "blocks")).withColumn("part", every_of("parts")).drop("blocks", "parts")
+    visits = visits.join(table, "list").withColumn("part", spread("query", "parts")).withColumn("block", every_of("blocks")).drop("blocks", "parts")
+    cells = ("list", "block", "part")
+    found = visits.groupBy(*cells).cogroup(block.groupBy(*cells)).applyInPandas(_search(shared, keep, again), "query long, row long, id long, score double")
+    best = Window.partitionBy("query").orderBy("score", "id", "row")
     found = cut(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).drop("_r"), "ann-found")
-    members = asked.join(distinct.withColumnRenamed("id", "query"), "vec").select("query", F.col("id").alias("query_id"))
-    out = members.join(found, "query").where("id != query_id")
-    own = Window.partitionBy("query_id").orderBy("score", "id")
+    members = asked.join(distinct.withColumnRenamed("row", "query"), "vec").select("query", F.col("id").alias("query_id"), F.col("row").alias("query_row"))
+    out = members.join(found, "query").where("row != query_row")
+    own = Window.partitionBy("query_row").orderBy("score", "id", "row")
     out = out.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 

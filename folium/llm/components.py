@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folium.llm._store import cut
+from folium.llm._store import cut, done
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -19,6 +19,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = cut(small.distinct(), "components")
+        following = cut(small.distinct(), "components")
+        done(now)
+        now = following
     own = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return own.union(now.select(F.col("v"), F.col("v"))).groupBy("node").agg(F.min("component").alias("component"))

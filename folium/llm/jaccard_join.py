@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folium.llm._store import cut, text_bytes
+from folium.llm._store import cut, done, split_join, text_bytes
 from folium.llm._text import U, mix, shingle_sets, signed, texts
 from folium.llm.components import components
 
@@ -294,13 +294,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
 
 def _least(labelled: DataFrame) -> DataFrame:
-    """labelled with component_id, the least id of its component. Large components are few, and their ids are broadcast."""
-    least = cut(labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")), "join-least")
-    large = least.where(F.col("_n") > SPREAD).drop("_n")
-    if large.count() > BROADCAST_ROWS:
-        return labelled.join(least.drop("_n"), "component")
-    rest = labelled.join(F.broadcast(large), "component", "left_anti").join(least.where(F.col("_n") <= SPREAD).drop("_n"), "component")
-    return labelled.join(F.broadcast(large), "component").unionByName(rest)
+    """labelled with component_id, the least id of its component."""
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return split_join(labelled, cut(least, "join-least"), "component", hot=SPREAD).drop("n")
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -319,8 +315,11 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     shared = cut(keyed.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, a long, n long"), "join-shared")
     sized = shared.join(size.select("a", "size"), "a").sortWithinPartitions("a")
     members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, looks boolean, rank long"), "join-members")
+    done(shared)
     groups = members.groupBy("key").agg(F.max(F.when(F.col("looks"), F.struct("rank", "a"))).alias("hub"), F.max("n").alias("n")).where("hub is not null").withColumn("hub", F.col("hub.a"))
-    members = cut(_salted(members.drop("rank"), groups, "key"), "join-groups")
+    grouped = cut(_salted(members.drop("rank"), groups, "key"), "join-groups")
+    done(members)
+    members = grouped
     tied = members.where("a != hub").select("a", F.col("hub").alias("b"), "n")
     first = cut(_fitting(tied, size, percent), "join-pairs")
     links = cut(_verify(first, rows, classes, k, percent), "join-links")

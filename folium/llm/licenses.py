@@ -5,7 +5,8 @@ one of which every match holds, and a word of its form, which every match holds
 any rule's are done with there. For the others, the rules whose own occur are
 tried: each is a regular expression over words with a label, a priority and a confidence. Detections that lie
 inside one of higher priority, or of equal priority and greater length, are suppressed; the rest
-give labels. The phrases of BASE are rules too; theirs are never suppressed.
+give labels. The phrases of BASE are rules too; theirs are never suppressed. A text is scanned in blocks of BLOCK
+words, read with REACH more on either side, more than a detection can be long: the work grows with its length.
 
 Defined cases: a null text is empty and has no words; words count from 0; every row gives one
 row, repeated ones too. Columns other than id and text are not read.
@@ -18,6 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLOCK, REACH = 256, 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The phrases and labels of the base scan.
@@ -160,13 +162,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gate = holds(alone) | (holds({r["form"] for g in groups.values() for r in g} - {""}) & holds(others))
     table = [{"words": k.split("|"), "rules": g} for k, g in groups.items()]
     table = F.from_json(F.lit(json.dumps(table)), "array<struct<words:array<string>,rules:array<struct<label:string,pattern:string,rank:int,sure:double,base:boolean,form:string>>>>")
-    near = F.filter(table, lambda g: F.exists(g["words"], lambda w: F.contains(F.col("_text"), w)))
-    tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.contains(F.col("_text"), r["form"]))
-    found = F.flatten(F.transform(tried, lambda r: _spans(F.col("_text"), r)))
-    rows = rows.withColumn("_found", F.when(gate, found))
+    words = F.split(F.trim("_text"), " ")
+    at = F.sequence(F.lit(0), F.col("n_words").cast("int") - 1, F.lit(BLOCK))
+
+    def block(i: Column) -> Column:
+        first = F.greatest(F.lit(0), i - REACH)
+        return F.struct(i.alias("at"), first.alias("first"), F.concat(F.lit(" "), F.array_join(F.slice(words, first + 1, i - first + BLOCK + REACH), " "), F.lit(" ")).alias("text"))
+
     wider = lambda s, t: (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["stop"] - t["start"] > s["stop"] - s["start"])))
-    kept = F.filter("_found", lambda s: s["base"] | ~F.exists("_found", lambda t: ~t["base"] & wider(s, t)))
-    rows = rows.withColumn("spans", F.sort_array(F.transform(kept, lambda s: F.struct(s["start"], s["stop"], s["label"], s["rank"], s["sure"], s["base"]))))
+
+    def found(b: Column) -> Column:
+        near = F.filter(table, lambda g: F.exists(g["words"], lambda w: F.contains(b["text"], w)))
+        tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.contains(b["text"], r["form"]))
+        every = F.flatten(F.transform(tried, lambda r: _spans(b["text"], r)))
+        return F.transform(F.array(every), lambda e: kept(b, e))[0]
+
+    def kept(b: Column, every: Column) -> Column:
+        inside = lambda s: (s["start"] >= b["at"] - b["first"]) & (s["start"] < b["at"] - b["first"] + BLOCK)
+        own = F.filter(every, lambda s: inside(s) & (s["base"] | ~F.exists(every, lambda t: ~t["base"] & wider(s, t))))
+        return F.transform(own, lambda s: F.struct((s["start"] + b["first"]).alias("start"), (s["stop"] + b["first"]).alias("stop"), s["label"].alias("label"), s["rank"].alias("rank"), s["sure"].alias("sure"), s["base"].alias("base")))
+
+    rows = rows.withColumn("spans", F.when(gate & (F.col("n_words") > 0), F.sort_array(F.flatten(F.transform(F.transform(at, block), found)))))
     base = F.filter("spans", lambda s: s["base"])
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",")
     starts = F.transform(base, lambda s: s["start"])

@@ -196,7 +196,7 @@ def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
         raise ValueError("order must be 1 to 6: a node is one 64-bit number")
     buckets = max(24, math.ceil(text_bytes(docs, text_col) / bucket_bytes))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), F.length("text")), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), F.col("text")), F.lit(buckets)).cast("int"))
     needs = cut(rows.groupBy("bucket").applyInArrow(_need(order), "bucket int, node long, n long"), "ppm-needs")
     counts = cut(needs.groupBy("node").agg(F.sum("n").alias("c")), "ppm-counts")
     grams, words = counts.where(F.col("node") < WORD), counts.where(F.col("node") >= WORD)

@@ -5,7 +5,8 @@ they are found over whole texts. The base spans come from patterns on the text.
 reads overlapping windows of the stretches one character at a time and a linear-chain CRF scores tags B and
 I of each kind and O. Per-character scores of overlapping windows are averaged into one
 sequence for each stretch (each window counts most in its middle), and one Viterbi path is
-decoded over the whole stretch, so a span across windows is one span. Decoded spans that overlap no base span and hold what their kind
+decoded over the whole stretch, so a span across windows is one span. Stretches longer than BLOCK characters
+are decoded in blocks that overlap by more than a span can be long, each giving the tags of its middle. Decoded spans that overlap no base span and hold what their kind
 must (an @, enough digits) are added.
 
 The model is trained on the spot: labelled spans are the base spans of a bounded sample of rows
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 # The base patterns and the order of kinds.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # as given, but tried once for each run of digits
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, STRIDE, MARGIN = 64, 32, 40
+BLOCK, OVERLAP, HELD = 2_048, 128, 1 << 17  # characters: decoded at once, read beyond a block, held at once
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 CLASSES = 40
 HIDDEN, EMBED = 20, 12
@@ -228,20 +230,29 @@ class Tagger:
                 self.w[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def decode(self, score: np.ndarray) -> np.ndarray:
-        """Best tags of one sequence of scores."""
-        length = len(score)
-        back = np.zeros((length, TAGS), np.int64)
-        best = score[0] + self.w["s"]
-        for t in range(1, length):
-            ways = best[:, None] + self.w["T"]
-            back[t] = ways.argmax(0)
-            best = ways.max(0) + score[t]
-        tags = np.zeros(length, np.int64)
-        tags[-1] = best.argmax()
-        for t in range(length - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        return tags
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tags of each sequence of scores."""
+        lens = np.array([len(x) for x in scores])
+        most = int(lens.max())
+        all_scores = np.zeros((len(scores), most, TAGS), np.float32)
+        for i, x in enumerate(scores):
+            all_scores[i, : len(x)] = x
+        back = np.zeros((most, len(scores), TAGS), np.int8)
+        best = all_scores[:, 0] + self.w["s"]
+        last = np.where(lens == 1, best.argmax(1), 0)
+        for t in range(1, most):
+            ways = best[:, :, None] + self.w["T"]
+            back[t] = ways.argmax(1)
+            best = ways.max(1) + all_scores[:, t]
+            last = np.where(lens == t + 1, best.argmax(1), last)
+        tags = np.zeros((len(scores), most), np.int8)
+        rows = np.arange(len(scores))
+        now = last
+        for t in range(most - 1, -1, -1):
+            now = np.where(lens == t + 1, last, now)
+            tags[:, t] = now
+            now = back[t][rows, now]
+        return [x[:n] for x, n in zip(tags, lens, strict=True)]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -316,28 +327,60 @@ def train(sample: list[str], seed: int = 3, steps: int = 220, batch: int = 48) -
 _BLEND = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
 
 
-def model_spans(tagger: Tagger, parts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """For each stretch its spans, from one path over the blended scores of its windows."""
+def _tags(tagger: Tagger, pieces: list[str]) -> list[np.ndarray]:
+    """Tags of each piece, from one path over the blended scores of its windows."""
     jobs, chars = [], []
-    for i, text in enumerate(parts):
+    for i, text in enumerate(pieces):
         c = characters(text)
         for s in range(0, max(1, len(c) - STRIDE), STRIDE):
             jobs.append((i, s))
             chars.append(np.pad(c[s : s + WINDOW], (0, max(0, WINDOW - len(c[s : s + WINDOW])))))
-    total = [np.zeros((len(t), TAGS)) for t in parts]
-    weight = [np.zeros(len(t)) for t in parts]
+    total = [np.zeros((len(t), TAGS)) for t in pieces]
+    weight = [np.zeros(len(t)) for t in pieces]
     for at in range(0, len(jobs), 512):
         score = tagger.scores(np.array(chars[at : at + 512]))
         for (i, s), own in zip(jobs[at : at + 512], score, strict=True):
-            n = min(WINDOW, len(parts[i]) - s)
+            n = min(WINDOW, len(pieces[i]) - s)
             total[i][s : s + n] += own[:n] * _BLEND[:n, None]
             weight[i][s : s + n] += _BLEND[:n]
+    blended = [score / w[:, None] for score, w in zip(total, weight, strict=True)]
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pieces)
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))  # those of like length together
+    for at in range(0, len(order), 64):
+        some = order[at : at + 64]
+        for i, tags in zip(some, tagger.decode([blended[i] for i in some]), strict=True):
+            out[i] = tags
+    return out
+
+
+def model_spans(tagger: Tagger, parts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """For each stretch its spans."""
+    tags = [np.zeros(len(t), np.int8) for t in parts]
+    held, size = [], 0
+
+    def settle() -> None:
+        found = _tags(tagger, [parts[i][max(0, a - OVERLAP) : b + OVERLAP] for i, a, b in held])
+        for (i, a, b), own in zip(held, found, strict=True):
+            skip = a - max(0, a - OVERLAP)
+            tags[i][a:b] = own[skip : skip + b - a]
+
+    for i, text in enumerate(parts):
+        for a in range(0, len(text), BLOCK):
+            b = min(len(text), a + BLOCK)
+            held.append((i, a, b))
+            size += b - a + 2 * OVERLAP
+            if size > HELD:
+                settle()
+                held, size = [], 0
+    if held:
+        settle()
     out = []
-    for text, score, w in zip(parts, total, weight, strict=True):
-        tags = tagger.decode(score / w[:, None]) if len(text) else []
+    for own in tags:
         spans, start, kind = [], -1, -1
-        for p, t in enumerate([*tags, 0]):
-            k = (int(t) - 1) // 2 if t else -1
+        some = np.flatnonzero(own)
+        for p in sorted({*some.tolist(), *(some + 1).tolist()}):
+            t = int(own[p]) if p < len(own) else 0
+            k = (t - 1) // 2 if t else -1
             if start >= 0 and (k != kind or t % 2 == 1):
                 spans.append((KINDS[kind], start, p))
                 start = -1
@@ -406,14 +449,20 @@ def _find(shared, names: list[str]):
     return find
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, seed: int = 3) -> DataFrame:
+def _sample(rows: DataFrame, sample_rows: int, sample_chars: int, seed: int) -> list[str]:
+    """About sample_rows different texts with a digit or @, those of least hash; only counts and these reach the driver."""
+    some = rows.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars)).withColumn("h", F.xxhash64("text", F.lit(seed)))
+    n = some.select("h").distinct().count()
+    below = F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample_rows // max(1, n)))
+    return [r["text"] for r in sorted(some.where(F.col("h") <= below).dropDuplicates(["h"]).select("h", "text").collect())]
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, sample_chars: int = 20_000, seed: int = 3) -> DataFrame:
     """One row for each row of docs: id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added).
 
-    sample_rows bounds the rows whose base spans train the tagger: those with a digit or @ of least hash.
+    The tagger learns from the base spans of about sample_rows texts, of those of up to sample_chars characters; all texts are searched.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    some = rows.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_rows)
-    tagger = train([r["text"] for r in some.collect()], seed)
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast(train(_sample(rows, sample_rows, sample_chars, seed), seed))
     kind = dict(docs.dtypes)[id_col]
     return rows.mapInArrow(_find(shared, [id_col]), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -141,12 +141,15 @@ def _fit(docs: DataFrame, labels: DataFrame, prior: float, dead: float, temperat
     """(broadcast model, scores of all rows, least key that stays)."""
     bad = (F.col("quality") != 1) | (F.coalesce("toxic", F.lit(0)) != 0)
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((~F.bool_or(bad)).alias("good"))
-    known = cut(known.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(most_labels), "quality-labels")
+    known = cut(known, "quality-all-labels")
+    n = known.count()
+    if n > most_labels:
+        known = cut(known.where(F.xxhash64(id_col, F.lit(seed), F.lit("label")) <= F.lit(-(1 << 63) + (1 << 64) * most_labels // n)), "quality-labels")
     held = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(5)) == 0
     ratio = log_ratios(docs, known.where(~held), prior, dead, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     scored = cut(_scored(docs, shared, temperature, seed, id_col, text_col, [id_col]).withColumnsRenamed({WEIGHT: "log_weight", KEY: "gumbel_key"}), "quality-scores")
-    check = scored.join(F.broadcast(known.where(held)), id_col).select("log_weight", "good").toPandas()
+    check = scored.join(F.broadcast(known.where(held)), id_col).groupBy(id_col).agg(F.max("log_weight").alias("log_weight"), F.first("good").alias("good")).toPandas()
     least = threshold(check["log_weight"].to_numpy(), check["good"].to_numpy().astype(bool))
     k = scored.where(F.col("log_weight") >= least).count()
     return shared, scored, kth_largest(scored, "gumbel_key", k) if k else float("inf")
@@ -155,8 +158,8 @@ def _fit(docs: DataFrame, labels: DataFrame, prior: float, dead: float, temperat
 def resample(docs: DataFrame, labels: DataFrame, prior: float = 4.0, dead: float = 1.5, temperature: float = 0.25, most_labels: int = 50_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, log_weight, gumbel_key, kept.
 
-    labels: id_col, quality, toxic (0 or 1). most_labels bounds the labelled rows used: those with the least
-    hash of their id. Four fifths of them fit the model, one fifth sets the threshold.
+    labels: id_col, quality, toxic (0 or 1). About most_labels labelled ids at most are used: those with the least
+    hash. Four fifths of them fit the model, one fifth sets the threshold.
     """
     _, scored, cutoff = _fit(docs, labels, prior, dead, temperature, most_labels, seed, id_col, text_col)
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(cutoff))

@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from folium.llm._store import cut
+from folium.llm._store import cut, done, split_join
 from folium.llm._text import U, mix, shingles, signed, texts
 
 ANCHOR = 12
@@ -92,6 +92,7 @@ def _suffixes(least: int):
     """For each wanted anchor the suffixes that belong to it, which follow each other: start of the first, and the hashes of their first words."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows equal in id and text are one text
         for batch in batches:
             wanted = batch.column("places").to_pylist()
             keys = batch.column("text_key").to_pylist()
@@ -99,6 +100,9 @@ def _suffixes(least: int):
             for row, part in texts(batch.column("text")):
                 part.words()
                 for i in range(part.rows):
+                    if keys[row + i] in seen:
+                        continue
+                    seen.add(keys[row + i])
                     words = part.hashes[part.word_at[i] : part.word_at[i + 1]]
                     h, first = shingles(words, ANCHOR), _prefixes(words, least)
                     order = np.argsort(h, kind="stable")
@@ -186,17 +190,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     places = rows.select("text", "text_key").mapInArrow(_first_pass(w), "anchor long, text_key long, pos int")
     places = cut(places, "repeats-anchors")
     live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("anchor", "n")
-    places = cut(places.join(live, "anchor"), "repeats-live")  # on its own, so that a frequent anchor's rows can be split
-    places = places.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "n", "pos")).alias("places"))  # bounded by the length of one text
+    shared = cut(split_join(places, cut(live, "repeats-anchor-counts"), "anchor"), "repeats-live")
+    done(places)
+    places = shared.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "n", "pos")).alias("places"))  # bounded by the length of one text
     wanted = places.join(classes.select("text_key", F.col("rep").alias("_rep")), "text_key").withColumnRenamed("text_key", "_key")
-    chosen = rows.join(wanted, (F.col(id_col) == F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
+    chosen = rows.join(wanted, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
     around = cut(chosen.mapInArrow(_suffixes(least), "anchor long, n long, text_key long, start int, run binary"), "repeats-suffixes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stretches = around.where(F.col("n") <= HOT).select("anchor", "text_key", "start", "run").repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
     if not around.where(F.col("n") > HOT).isEmpty():
         each = cut(around.where(F.col("n") > HOT).mapInArrow(_explode, "suffix long, text_key long, start int"), "repeats-each")
-        twice = each.groupBy("suffix").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo != hi").select("suffix")
-        met = cut(each.join(twice, "suffix").select("text_key", "start"), "repeats-met")  # on its own, as above
+        twice = each.groupBy("suffix").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("suffix", "n")
+        met = cut(split_join(each, cut(twice, "repeats-suffix-counts"), "suffix").select("text_key", "start"), "repeats-met")
+        done(each)
         stretches = stretches.unionByName(met.select("text_key", "start", (F.col("start") + least).alias("stop")))
     whole = classes.where("n_copies > 1").select("text_key", F.lit(0).alias("start"), F.col("n_words").alias("stop"))
     return _per_document(stretches.unionByName(whole).distinct(), digests, classes, id_col)
@@ -204,17 +210,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
 
 def _per_document(stretches: DataFrame, digests: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
     """Merges overlapping stretches of each text and gives them to its documents."""
-    kind = "array<struct<start:int,stop:int>>"
-    sorted_ = F.sort_array(F.collect_set(F.struct("start", "stop")))  # at most a few for each anchor of one text
-
-    def step(s, x):
-        last = F.element_at(s, -1)
-        joins = (F.size(s) > 0) & (last["stop"] >= x["start"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
-        return F.when(joins, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(longer))).otherwise(F.concat(s, F.array(x))).cast(kind)
-
-    merged = stretches.groupBy("text_key").agg(F.aggregate(sorted_, F.array().cast(kind), step).alias("passages"))
+    before = Window.partitionBy("text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)  # bounded by the length of one text
+    upto = Window.partitionBy("text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1)
+    numbered = stretches.withColumn("_new", new).withColumn("_part", F.sum("_new").over(upto))
+    parts = numbered.groupBy("text_key", "_part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    merged = parts.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("passages"), F.sum(F.col("stop") - F.col("start")).cast("int").alias("n_repeated"))
     merged = merged.join(classes.select("text_key", "n_copies"), "text_key")
-    total = F.aggregate("passages", F.lit(0), lambda s, x: s + x["stop"] - x["start"])
     out = digests.join(merged, "text_key")
-    return out.select(id_col, "n_words", total.alias("n_repeated"), F.size("passages").alias("n_passages"), "passages", "n_copies")
+    return out.select(id_col, "n_words", "n_repeated", F.size("passages").alias("n_passages"), "passages", "n_copies")

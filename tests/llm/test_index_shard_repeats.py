@@ -158,3 +158,26 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {a: find(a) for a in list(parent)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_equal_rows_are_split_over_shards(spark):
+    rows = spark.createDataFrame([(7, "same text") for _ in range(300)] + [(None, None)] * 5, "doc_id long, text string").repartition(4)
+    out = shard(rows, 1000)
+    got = out.groupBy("shard_id", "shard_bytes", "shard_rows").agg({"n_bytes": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 305
+    for r in got:
+        assert r["shard_bytes"] == r["sum(n_bytes)"] <= 1000 and r["shard_rows"] == r["count(1)"]
+
+
+def test_repeats_with_null_ids_and_repeated_rows(spark):
+    common = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, f"a b {common}"), (2, f"{common} c d e"), (2, f"{common} c d e"), (3, f"x {common}")]
+    got = sorted((r["doc_id"] or 0, r["n_repeated"], r["n_copies"]) for r in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 80, 1), (2, 83, 2), (2, 83, 2), (3, 80, 1)]
+
+
+def test_repeated_ids_are_neighbours_of_each_other(spark):
+    rows = [(100, [1.0, 2.0]), (100, [1.0, 2.5]), (1, [9.0, 9.0]), (100, [1.0, 2.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=2).collect()
+    assert len(got) == 6
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 100, 0.0), (1, 100, 0.0), (1, 100, 0.5), (2, 100, 0.5), (2, 100, 0.5), (2, 100, 0.5)]

@@ -202,3 +202,17 @@ def test_personal_data_rows(spark, tagger):
         assert r["base_sha256"] == pii.hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))| ({""} if not base else set())
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+
+
+def test_long_texts(spark):
+    rows = [(1, "the mit license " * 4000), (2, "word " * 700 + "all rights reserved " * 300)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_words"], got[1]["labels"], len(got[1]["spans"])) == (12000, "mit", 4000 + 3999)  # "the mit license", "license the mit"
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (300, 700, 700 + 3 * 299)
+
+
+def test_tags_of_long_stretches_join_up(tagger):
+    text = " ".join(f"call +49 30 {i:03d} {7000 + i}" for i in range(400))
+    got = pii.all_spans(tagger, [text])[0]
+    assert len(got[0]) == 400 and set(got[0]) <= set(got[1])
+    assert pii.all_spans(tagger, ["1" * 50_000]) == [([], [])]
