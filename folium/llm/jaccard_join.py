@@ -43,8 +43,8 @@ from folium.llm.components import components
 BROADCAST_ROWS = 500_000
 SLACK = 0.25  # further segments, so that dear ones can be left out
 SPREAD = 2_000  # members of a group for each salt
-CELLS = 256
-PARITY = [f"p{i}" for i in range(CELLS // 64)]
+FINEST, PARITIES = 12, 256  # bits of the finest cells, cells with parities
+PARITY = [f"p{i}" for i in range(PARITIES // 64)]
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -227,10 +227,11 @@ def _looks(percent: int):
 
 
 def _sketch(s: np.ndarray) -> tuple[bytes, list[int]]:
-    """How many elements fall into each of CELLS / 4 cells, a byte each (modulo 256), and the parities of CELLS finer cells.
-    Two sets differ in at least as many elements as either of these does."""
-    count = np.bincount((mix(s, 15) % U(CELLS)).astype(np.int64), minlength=CELLS)
-    return count.reshape(-1, 4).sum(1).astype(np.uint8).tobytes(), np.packbits(count & 1).view(np.int64).tolist()
+    """How many elements fall into each of some cells, a byte each (modulo 256), about four elements to a cell; and the
+    parities of PARITIES cells. Two sets differ in at least as many elements as either of these does."""
+    count = np.bincount((mix(s, 15) >> U(64 - FINEST)).astype(np.int64), minlength=1 << FINEST)
+    cells = 1 << min(FINEST, max(6, int(len(s) // 4).bit_length()))
+    return count.reshape(cells, -1).sum(1).astype(np.uint8).tobytes(), np.packbits(count.reshape(PARITIES, -1).sum(1) & 1).view(np.int64).tolist()
 
 
 def _digest(k: int, names: list[str]):
@@ -239,7 +240,7 @@ def _digest(k: int, names: list[str]):
             got = [(len(s), _class_of(s), *_sketch(s)) for s in _sets(batch.column("text"), k)]
             n, c, sketch, parity = zip(*got, strict=True) if got else ((), (), (), ())
             columns = [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch, pa.binary())]
-            columns += [pa.array([p[i] for p in parity], pa.int64()) for i in range(CELLS // 64)]
+            columns += [pa.array([p[i] for p in parity], pa.int64()) for i in range(PARITIES // 64)]
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *columns], [*names, "n_shingles", "class", "sketch", *PARITY])
 
     return digest
@@ -248,12 +249,16 @@ def _digest(k: int, names: list[str]):
 def _near(percent: int):
     """Of pairs with their sizes and sketches those that may link: their sketches differ no more than linked sets can."""
 
+    def apart(x: bytes, y: bytes) -> int:
+        x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+        y = y.reshape(len(x), -1).sum(1, dtype=np.uint8)  # as coarse as the other
+        return int(np.minimum(x - y, y - x).sum(dtype=np.int64))
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS // 4) for c in ("_sa", "_sb"))
-            apart = np.minimum(x - y, y - x).astype(np.int64).sum(1)
+            far = np.array([apart(x, y) for x, y in zip(batch.column("_sa").to_pylist(), batch.column("_sb").to_pylist(), strict=True)], np.int64)
             total = np.asarray(batch.column("_na")) + np.asarray(batch.column("_nb"))
-            keep = pa.array(apart * (100 + percent) <= (100 - percent) * total)
+            keep = pa.array(far * (100 + percent) <= (100 - percent) * total)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], ["a", "b", "n"])
 
     return near
