@@ -3,18 +3,21 @@
 A document is the set of its k-word shingles, as 64-bit hashes. Documents with equal sets form one class. Set sizes are
 cut into bands; two sets that may link lie in one band or in neighbouring ones. Of two linked
 sets whose smaller one is in band b at most H(b) elements are in only one of them. Elements
-are hashed into a quarter more segments than H(b) + 1; some segments have their one-deletion neighbourhoods
-indexed too and count for two. A set can be found by all of its segments; to look
-others up it needs segments worth H(b) + 1 only, as fewer than that can differ (pigeonhole).
-
-Which ones is a matter of cost, and the costs are exact: a first shuffle counts how many sets hold
-each segment's content. Contents that one set alone holds cost nothing and are done with; of the others a
-set skips the dearest ones as far as it may. So a passage that many documents share makes no candidates: they look
-each other up by what they do not share, and find nothing.
-
-All sets that hold a content by which some set looks others up are compared with one of those lookers, the hub, not with
-each other; the hub is the looker that shares most with others, so of near copies the one nearest to their origin. Components of the verified links follow. Where a group still holds more than one
-component, its lookers and its members outside the largest component are compared across components, as
+are hashed into a quarter more segments than H(b) + 1, m of them, so linked sets share c = m - H(b) contents at least. If each set
+leaves out the c - 1 dearest of its own in an order that is the same for all sets, they still share one (pigeonhole).
+A hundredth of the segments, q, have their one-deletion neighbourhoods indexed too. A band may use them: linked sets that share
+nothing there differ twice in each of these segments, so they share c + q contents of the others, and q more may be left
+out. For each band of sizes that is done if it makes the sum of costs less.
+
+The order is by cost, and the costs are exact: a first shuffle counts how many sets hold
+each segment's content. Contents that one set alone holds are done with; of the others a
+set keeps all but the dearest. So a passage that many documents share makes no candidates: each
+leaves its contents out and keeps what it does not share.
+
+All sets that keep a content are compared with one of them, the hub, not with
+each other; the hub is the set that shares most with others, so of near copies the one nearest to their origin.
+Components of the verified links follow. Where a group still holds more than one
+component, members outside the largest component are compared across components, as
 far as sizes and parities of their elements allow a link. What remains unlinked has then been verified
 to differ, or is connected already.
 
@@ -84,7 +87,7 @@ class Bands:
 
 
 def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set for one band, and which of them belong to segments with deletions."""
+    """Signatures of one set for one band, and their kinds: 0, 1 of a segment that has deletions too, 2 with a deletion."""
     m, q, _ = bands.segments(band)
     at = (mix(s, 11) % U(m)).astype(np.int64)
     by = np.argsort(at, kind="stable")
@@ -95,15 +98,14 @@ def _signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
     tag = mix(np.arange(m, dtype=U) + U(band << 32), 13)
     near = int(np.searchsorted(at, q))
     less = sums[at[:near]] - value[:near] + tag[at[:near]]
-    twice = np.ones(m + near, bool)
-    twice[q:m] = False
-    return mix(np.concatenate([sums + tag, less]), 14), twice
+    kind = np.repeat(np.array([1, 0, 2], U), [q, m - q, near])
+    return mix(np.concatenate([sums + tag, less]), 14), kind
 
 
 def _emit(k: int, percent: int, bits: int):
     """Signature rows of a partition, each distinct set once.
 
-    key: the first bits of a signature, then whether its segment has deletions, then whether it serves as the
+    key: the first bits of a signature, then two for its kind, then whether the set serves as the
     larger set of the band below; a: class; n: how many sets of the partition hold the signature, negative
     but in the first of their rows.
     """
@@ -116,7 +118,7 @@ def _emit(k: int, percent: int, bits: int):
             key, own = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.argsort(key, kind="stable")
             key, own = key[by], own[by]
-            group = key >> 2
+            group = key >> 3
             first = np.concatenate([[True], group[1:] != group[:-1]])
             edge = np.flatnonzero(first)
             size = np.diff(np.concatenate([edge, [len(key)]]))
@@ -131,8 +133,8 @@ def _emit(k: int, percent: int, bits: int):
                 b = bands.of(len(s))
                 below = b and len(s) * percent <= 100 * (bands.edges[b] - 1)
                 for band in (b, b - 1) if below else (b,):
-                    key, twice = _signatures(s, band, bands)
-                    key = (key >> U(64 - bits) << U(2)) | (twice.astype(U) << U(1)) | U(band != b)
+                    key, kind_of = _signatures(s, band, bands)
+                    key = (key >> U(64 - bits) << U(3)) | (kind_of << U(1)) | U(band != b)
                     parts.append((signed(key), np.full(len(key), c, np.int64)))
                     held += len(key)
                 if held > 4_000_000:
@@ -145,7 +147,7 @@ def _emit(k: int, percent: int, bits: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key those whose signature two or more sets hold, with the number of these sets."""
+    """Of rows sorted by key those whose signature two or more sets hold; group: the signature."""
     kept = tuple(np.zeros(0, np.int64) for _ in range(3))  # first rows of the last group, which may go on
     for batch in itertools.chain(batches, [None]):
         rows = kept
@@ -154,60 +156,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = tuple(np.asarray(batch.column(c)) for c in ("key", "a", "n"))
             rows = tuple(np.concatenate([x, y[got[2] > 0]]) for x, y in zip(kept, got, strict=True))
             rest = got[2] < 0
-            out.append((got[0][rest], got[1][rest], -got[2][rest]))
+            out.append((got[0][rest], got[1][rest]))
         key, own, n = rows
         if len(key):
-            group = key >> 2
+            group = key >> 3
             edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            total = np.repeat(np.add.reduceat(n, edge), np.diff(np.concatenate([edge, [len(key)]])))
             done = len(key) if batch is None else int(edge[-1])
             kept = tuple(x[done:] for x in rows)
             span = np.diff(np.concatenate([edge, [len(key)]]))
             alone = (np.minimum.reduceat(own, edge) == np.maximum.reduceat(own, edge)) & (np.maximum.reduceat(n, edge) == 1)  # one set, met in several partitions
             more = np.flatnonzero(~np.repeat(alone, span)[:done])
-            out.append((key[more], own[more], total[more]))
+            out.append((key[more], own[more]))
         for x in out:
             if len(x[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in x], ["key", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[0] >> 3), *[pa.array(y) for y in x]], ["group", "key", "a"])
 
 
 def _looks(percent: int):
-    """Which rows of each set it looks others up by: all but the dearest that it may skip; rank: how much it shares. Rows come sorted by set."""
+    """The rows of each set that it keeps, all but the dearest that it may skip: if a band does without deletions (plain), and
+    if it uses them (deletions). rank: how much the set shares. Rows come sorted by set."""
 
     def choose(key: np.ndarray, own: np.ndarray, n: np.ndarray, size: np.ndarray, bands: Bands) -> pa.RecordBatch:
-        below, twice = key & 1, (key >> 1 & 1).astype(bool)
-        by = np.lexsort((-n, key, below, own))
+        by = np.lexsort((-n, key, own))
         by = by[np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (own[by][1:] != own[by][:-1])])]  # a set met in several partitions
-        key, own, n, size, below, twice = (x[by] for x in (key, own, n, size, below, twice))
-        first = np.concatenate([[True], (own[1:] != own[:-1]) | (below[1:] != below[:-1])])
-        of = np.cumsum(first) - 1
-        skip, weight = [], []
-        for s, low in zip(size[first].tolist(), below[first].tolist(), strict=True):
-            m, q, worth = bands.segments(bands.of(s) - low)
-            skip.append(m + q - worth)
-            weight.append(2 * q)
-        skip, weight = np.array(skip), np.array(weight)
-        cost = (n - 1).astype(float)
-        both = np.bincount(of, np.where(twice, cost, 0.0), len(skip))  # segments with deletions stand or fall together
-        some = np.flatnonzero(both)
-        one = np.flatnonzero(~twice)
-        part = np.concatenate([of[one], some])
-        price = np.concatenate([cost[one], both[some] / np.maximum(1, weight[some])])
-        worth = np.concatenate([np.ones(len(one), np.int64), weight[some]])
-        order = np.lexsort((-price, part))
-        run = np.cumsum(worth[order])
-        start = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
-        run -= np.repeat(run[start] - worth[order][start], np.diff(np.concatenate([start, [len(order)]])))
-        stays = np.empty(len(order), bool)
-        stays[order] = run > skip[part[order]]
-        looks = np.empty(len(key), bool)
-        looks[one] = stays[: len(one)]
-        lump = np.zeros(len(skip), bool)
-        lump[some] = stays[len(one) :]
-        looks[twice] = lump[of[twice]]
+        by = by[np.lexsort((key[by], -n[by], key[by] & 1, own[by]))]  # the dearest in front
+        key, own, n, size, below, kind = key[by], own[by], n[by], size[by], key[by] & 1, key[by] >> 1 & 3
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (below[1:] != below[:-1])]))
+        span = np.diff(np.concatenate([first, [len(key)]]))
+        got = [(bands.of(s) - low, *bands.segments(bands.of(s) - low)) for s, low in zip(size[first].tolist(), below[first].tolist(), strict=True)]
+        band, m, q, worth = (np.repeat(x, span) for x in np.array(got).T)
+
+        def rank(which: np.ndarray) -> np.ndarray:
+            """How many rows of these, in the same set and band, stand before."""
+            before = np.cumsum(which) - which
+            return before - np.repeat(before[first], span)
+
+        plain = (kind < 2) & (rank(kind < 2) >= m - worth)
+        deletions = (kind > 0) | (rank(kind == 0) >= m + q - worth)
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        rank = np.repeat(np.add.reduceat(n, edge), np.diff(np.concatenate([edge, [len(own)]])))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key >> 2, own, n, looks, rank)], ["key", "a", "n", "looks", "rank"])
+        shares = np.repeat(np.add.reduceat(n, edge), np.diff(np.concatenate([edge, [len(own)]])))
+        some = plain | deletions
+        columns = [x[some] for x in (key >> 3, own, n, shares, band, plain, deletions)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "a", "n", "rank", "band", "plain", "deletions"])
 
     def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -314,15 +304,22 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     classes = digests.where("n_shingles > 0").groupBy("class").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("size"), *first, F.min(id_col).alias("least"))
     classes = cut(classes, "join-classes")
     size = classes.select(F.col("class").alias("a"), "size", "sketch", *PARITY)
-    bits = min(61, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
+    bits = min(60, math.ceil(math.log2(max(2, text_bytes(docs, text_col)))) + 12)  # so few unequal signatures meet that verifying them costs nothing
     keyed = rows.select("text").mapInArrow(_emit(k, percent, bits), "key long, a long, n long")
-    spread = F.when(F.col("n") > 0, F.shiftright("key", 2)).otherwise(F.xxhash64("key", "a"))
-    shared = cut(keyed.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, a long, n long"), "join-shared")
-    sized = shared.join(size.select("a", "size"), "a").sortWithinPartitions("a")
-    members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, looks boolean, rank long"), "join-members")
+    spread = F.when(F.col("n") > 0, F.shiftright("key", 3)).otherwise(F.xxhash64("key", "a"))
+    shared = cut(keyed.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "group long, key long, a long"), "join-shared")
+    counts = cut(shared.groupBy("group").agg(F.count("*").alias("n")), "join-counts")
+    counted = cut(split_join(shared, counts, "group").drop("group"), "join-counted")
     done(shared)
-    groups = members.groupBy("key").agg(F.max(F.when(F.col("looks"), F.struct("rank", "a"))).alias("hub"), F.max("n").alias("n")).where("hub is not null").withColumn("hub", F.col("hub.a"))
-    grouped = cut(_salted(members.drop("rank"), groups, "key"), "join-groups")
+    sized = counted.join(size.select("a", "size"), "a").repartition("a").sortWithinPartitions("a")  # a join may be broadcast or split: this keeps a set together
+    members = cut(sized.mapInArrow(_looks(percent), "key long, a long, n long, rank long, band long, plain boolean, deletions boolean"), "join-members")
+    done(counted)
+    cost = lambda c: F.sum(F.when(F.col(c), F.col("n") - 1).otherwise(0))
+    costs = members.groupBy("band").agg(cost("plain").alias("plain"), cost("deletions").alias("deletions")).collect()  # a row for each band of sizes
+    cheaper = [r["band"] for r in costs if r["deletions"] < r["plain"]]
+    chosen = members.where(F.when(F.col("band").isin(cheaper), F.col("deletions")).otherwise(F.col("plain"))).drop("band", "plain", "deletions")
+    groups = chosen.groupBy("key").agg(F.max(F.struct("rank", "a")).alias("hub"), F.max("n").alias("n"), F.count("*").alias("m")).where("m > 1")
+    grouped = cut(_salted(chosen.drop("rank"), groups.select("key", F.col("hub.a").alias("hub"), "n"), "key"), "join-groups")
     done(members)
     members = grouped
     tied = members.where("a != hub").select("a", F.col("hub").alias("b"), "n")
@@ -375,17 +372,17 @@ def _fitting(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, found: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one group, one of them outside its largest component and one of them looking others up."""
+    """Pairs of different components in one group, one of them outside its largest component."""
     members = members.join(found.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.bool_or("looks").alias("looks"), F.max("n").alias("n"))
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("n").alias("n"))
     parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("main"), F.max("n").alias("n"))
     parts = cut(parts.where("parts > 1").select("key", F.col("main.c").alias("main"), "n"), "join-parts")
     open_ = cut(_salted(members.drop("hub"), parts, "key").join(size.select("a", "size", *PARITY), "a"), "join-open")
-    names = {"a": "b", "c": "d", "looks": "looks_b", "size": "size_b", **{p: f"{p}_b" for p in PARITY}}
+    names = {"a": "b", "c": "d", "size": "size_b", **{p: f"{p}_b" for p in PARITY}}
     outside = open_.where("c != main").drop("main", "n")
     others = open_.drop("main").withColumnsRenamed(names)
     apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
     x, y = F.col("size"), F.col("size_b")
-    fits = (F.col("c") != F.col("d")) & (F.col("looks") | F.col("looks_b")) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
+    fits = (F.col("c") != F.col("d")) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
     pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select("a", "b", "n")
     return _fitting(pairs, size, percent)

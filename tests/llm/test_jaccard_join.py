@@ -46,6 +46,20 @@ def test_equals_brute_force(docs, rows, k, percent):
     assert got == want
 
 
+def test_a_set_is_kept_together_over_many_partitions(spark, docs, rows):
+    small = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in small}
+    for c, v in small.items():
+        spark.conf.set(c, v)
+    try:
+        part, sets = brute(rows, 4, 85)
+        got = keep_one(docs.repartition(8), 4, 85).count()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == len({part[n] for n in range(len(rows)) if sets[n]}) + len({rows[n][:2] for n in range(len(rows)) if not sets[n]})
+
+
 def test_one_stays_of_each_group(docs, rows):
     part, sets = brute(rows, 5, 80)
     got = keep_one(docs.withColumn("class", docs["lang"]))
