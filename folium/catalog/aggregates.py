@@ -93,7 +93,8 @@ def term_frequency(spark, sf_dir):
         return F.when(F.size("w") >= n, got)
 
     some = [runs(n) for n in (2, 3, 4)]
-    g = t.select("text", F.explode(F.concat(*[F.coalesce(s, F.array().cast("array<struct<n:int,term:string>>")) for s in some])).alias("g")).select("text", "g.*").distinct()
+    own = F.array_distinct(F.concat(*[F.coalesce(s, F.array().cast("array<struct<n:int,term:string>>")) for s in some]))  # each once a text, so the text stays behind
+    g = t.select(F.explode(own).alias("g")).select("g.*")
     return g.groupBy("term", "n").agg(F.count("*").alias("n_texts")).where("n_texts >= 3")
 
 

@@ -102,8 +102,8 @@ def first_use(spark, sf_dir):
 
 @query("w22_duplicate_number", "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY text) AS of_all FROM documents")
 def duplicate_number(spark, sf_dir):
-    w = Window.partitionBy("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(w.orderBy("doc_id")).alias("nth"), F.count("*").over(w).alias("of_all"))
+    w = Window.partitionBy("_key")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("_key")).select("doc_id", F.row_number().over(w.orderBy("doc_id")).alias("nth"), F.count("*").over(w).alias("of_all"))
 
 
 @query("w23_status_changes", "SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status FROM events")

@@ -47,7 +47,7 @@ def packed_turns(spark, sf_dir):
     return c.select("conv_id", F.explode("z").alias("z")).select("conv_id", F.col("z.b.id").alias("turn"), F.col("z.bin").alias("bin"))
 
 
-TREE = inline("node_id, parent_id, title", [("a", None, "Manual"), ("b", "a", "Use"), ("c", "b", "Start"), ("d", "b", "Stop"), ("e", "a", "Care"), ("f", None, "Index"), ("g", "d", "Now")])
+TREE = inline("node_id, parent_id, title", [("a", None, "Manual"), ("b", "a", "Use"), ("c", "b", "Start"), ("d", "b", "Stop"), ("e", "a", "Care"), ("f", None, "Index"), ("g", "d", "Now"), *[(f"n{i}", f"n{i - 1}" if i else "g", f"T{i}") for i in range(30)]])
 
 
 @query("w24_paths_to_root", f"""
@@ -68,10 +68,10 @@ def section_plan(spark, sf_dir):
     return C.section_plan(s, ("user_id", "event_type"))
 
 
-@query("x01_plan_kinds", "WITH m AS (SELECT DISTINCT o_custkey AS root, o_orderpriority AS target_id FROM orders WHERE o_custkey < 40), a AS (SELECT target_id, count(*) AS n FROM m GROUP BY 1), b AS (SELECT root, count(*) AS n FROM m GROUP BY 1) SELECT root, target_id, CASE WHEN a.n > 1 THEN 'merge' WHEN b.n > 1 THEN 'split' ELSE 'one-to-one' END AS kind FROM m JOIN a USING (target_id) JOIN b USING (root)")
+@query("x01_plan_kinds", "WITH m AS (SELECT DISTINCT o_custkey AS root, o_orderpriority AS target_id FROM orders), a AS (SELECT target_id, count(*) AS n FROM m GROUP BY 1), b AS (SELECT root, count(*) AS n FROM m GROUP BY 1) SELECT root, target_id, CASE WHEN a.n > 1 THEN 'merge' WHEN b.n > 1 THEN 'split' ELSE 'one-to-one' END AS kind FROM m JOIN a USING (target_id) JOIN b USING (root)")
 def plan_kinds(spark, sf_dir):
     """Merge, split and one-to-one mappings."""
-    return C.plan_kinds(table(spark, sf_dir, "orders").where("o_custkey < 40").select(F.col("o_custkey").alias("root"), F.col("o_orderpriority").alias("target_id")))
+    return C.plan_kinds(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderpriority").alias("target_id")))
 
 
 PAGE_BOXES = inline("page, page_size, kind, box_id, x0, y0, x1, y1", [

@@ -8,16 +8,16 @@ from folium.operators import records as R
 from folium.registry import inline, query, table, values
 
 
-@query("s10_line_numbers", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, a || '.' || b AS number FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, a ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS a FROM lineitem WHERE l_orderkey < 500))")
+@query("s10_line_numbers", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, a || '.' || b AS number FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, a ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS a FROM lineitem))")
 def line_numbers(spark, sf_dir):
     """Two levels of counters, the second restarting."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").withColumn("a", F.dense_rank().over(w))
+    l = table(spark, sf_dir, "lineitem").withColumn("a", F.dense_rank().over(w))
     b = F.row_number().over(Window.partitionBy("l_orderkey", "a").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"))
     return l.withColumn("b", b).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.concat_ws(".", F.col("a").cast("string"), F.col("b").cast("string")).alias("number"))
 
 
-FORMS = inline("n, roman_form, letter_form", [(1, "I", "a"), (4, "IV", "d"), (9, "IX", "i"), (14, "XIV", "n"), (26, "XXVI", "z"), (27, "XXVII", "aa"), (30, "XXX", "dd"), (39, "XXXIX", "mm")])
+FORMS = inline("n, roman_form, letter_form", [(1, "I", "a"), (4, "IV", "d"), (9, "IX", "i"), (14, "XIV", "n"), (26, "XXVI", "z"), (27, "XXVII", "aa"), (30, "XXX", "dd"), (39, "XXXIX", "mm"), (40, "XL", "nn"), (444, "CDXLIV", "b" * 18), (1990, "MCMXC", "n" * 77), (3999, "MMMCMXCIX", "u" * 154), (0, None, None)])
 
 
 @query("s10_number_forms", f"SELECT n, roman_form, letter_form FROM {FORMS}")
@@ -78,18 +78,15 @@ def segments(spark, sf_dir):
 
 
 @query("c11_cascade", """
-WITH RECURSIVE f AS (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7 AND l_orderkey < 2000 UNION SELECT b.l_orderkey FROM f JOIN lineitem a ON a.l_orderkey = f.l_orderkey AND a.l_suppkey < 12 JOIN lineitem b ON b.l_suppkey = a.l_suppkey AND b.l_partkey = a.l_partkey AND b.l_orderkey < 2000)
+WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), back AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT l_orderkey FROM u WHERE l_partkey = 7 UNION SELECT u.l_orderkey FROM f JOIN back USING (l_orderkey) JOIN u ON u.l_suppkey = back.l_suppkey AND u.l_partkey = back.l_partkey)
 SELECT l_orderkey FROM f""")
 def cascade(spark, sf_dir):
-    """What a failure reaches over shared units, to the fixed point (C11); parts of one supplier stand for units."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    reached = l.where("l_partkey = 7").select("l_orderkey").distinct()
-    n, before = reached.count(), -1
-    while n != before:
-        units = l.where("l_suppkey < 12").join(reached, "l_orderkey", "left_semi").select("l_partkey", "l_suppkey").distinct()
-        reached = reached.union(l.join(units, ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey")).distinct()
-        n, before = reached.count(), n
-    return reached
+    """What a failure reaches over shared units, to the fixed point (C11); returned parts of a supplier stand for units that pass it on."""
+    l = table(spark, sf_dir, "lineitem")
+    units = l.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    passing = l.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    return R.reached(units.where("l_partkey = 7"), units, passing, "l_orderkey", ["l_partkey", "l_suppkey"])
 
 
 @query("x15_present_sections", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY p_brand HAVING max(p_size) < 50) GROUP BY p_brand")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folium.operators.lineage import settle
+
 
 def numbered_steps(steps: DataFrame, keys: list[str], order: str, level: str, depth: int = 3) -> DataFrame:
     """Adds number ('1.2.1'): a counter for each level, deeper ones restart."""
@@ -16,15 +18,17 @@ def numbered_steps(steps: DataFrame, keys: list[str], order: str, level: str, de
 
 
 def roman(n: Column) -> Column:
-    """Numbers from 1 to 39 in Roman form."""
-    tens = F.element_at(F.array(*[F.lit(x) for x in ("", "X", "XX", "XXX")]), (F.floor(n / 10) + 1).cast("int"))
-    ones = F.element_at(F.array(*[F.lit(x) for x in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")]), (n % 10 + 1).cast("int"))
-    return F.concat(tens, ones)
+    """Numbers from 1 to 3999 in Roman form; null for others, which have none."""
+    parts = []
+    for place, (one, five, ten) in ((1000, "M  "), (100, "CDM"), (10, "XLC"), (1, "IVX")):
+        digits = ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)
+        parts.append(F.try_element_at(F.array(*[F.lit(x) for x in digits]), (F.floor(n / place) % 10 + 1).cast("int")))
+    return F.when(n.between(1, 3999), F.concat(*parts))
 
 
 def letter(n: Column) -> Column:
-    """a, b, ... z, aa, bb, ..."""
-    return F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
+    """a, b, ... z, aa, bb, ...; null below 1."""
+    return F.when(n >= 1, F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int")))
 
 
 def eligible(wanted: DataFrame, records: DataFrame) -> DataFrame:
@@ -53,3 +57,16 @@ def retried(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
     first = F.min(F.when(F.col("ok"), F.col("attempt")))
     out = attempts.where(F.col("attempt") <= most).groupBy(key).agg(first.alias("accepted_at"), F.count("*").alias("n"))
     return out.withColumn("state", F.when(F.col("accepted_at").isNotNull(), "accepted").when(F.col("n") >= most, "verbatim").otherwise("pending"))
+
+
+def reached(seeds: DataFrame, units: DataFrame, passing: DataFrame, key: str, unit: list[str]) -> DataFrame:
+    """The keys that a failure of the seeds reaches: a failed key fails its units in `passing`, a failed unit all its keys.
+
+    Each round starts from the keys that the last one has added.
+    """
+    found = fresh = settle(seeds.select(key).distinct())
+    while not fresh.isEmpty():
+        failed = passing.join(fresh, key, "left_semi").select(*unit).distinct()
+        fresh = settle(units.join(failed, unit, "left_semi").select(key).distinct().join(found, key, "left_anti"))
+        found = settle(found.unionByName(fresh))
+    return found

@@ -65,3 +65,23 @@ def cosine(a: Column, b: Column) -> Column:
     """Of two word arrays as bags given as sets with counts: here of arrays of doubles of equal length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def contained(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, head: int = 3) -> DataFrame:
+    """Pairs of a text (text_id, text) and a needle (needle_id, needle) whose words stand in it in a row; words are runs of a-z and 0-9.
+
+    Texts and needles meet by the hash of a needle's first `head` words; only then is a text read whole.
+    """
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    short = needles.select(needle_id, normal("needle").alias("_needle")).where("_needle != ''").withColumn("_words", F.split("_needle", " "))
+    short = short.withColumn("_n", F.least(F.size("_words"), F.lit(head))).withColumn("_head", F.xxhash64(F.array_join(F.slice("_words", 1, F.col("_n")), " ")))
+    lengths = sorted(r["_n"] for r in short.select("_n").distinct().collect())  # at most `head`
+
+    def heads(n: int):
+        return F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " "))))
+
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[heads(n) for n in lengths])))) if lengths else F.array().cast("array<bigint>")
+    split = texts.select(text_id, F.split(normal("text"), " ").alias("_words"))
+    met = split.select(text_id, F.explode(every).alias("_head")).join(short.select(needle_id, "_head"), "_head").select(text_id, needle_id).distinct()
+    both = met.join(texts.select(text_id, normal("text").alias("_text")), text_id).join(short.select(needle_id, "_needle"), needle_id)
+    return both.where(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_needle", F.lit(" ")))).select(text_id, needle_id)

@@ -8,6 +8,8 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folium.operators.lineage import settle
+
 WORD = r"\b\w\w+\b"
 
 
@@ -74,14 +76,19 @@ def packed(blocks: Column, budget: int) -> Column:
     return F.aggregate(blocks, state, step, lambda s: s["bins"])
 
 
-def paths_to_root(nodes: DataFrame, depth: int = 9) -> DataFrame:
-    """nodes: node_id, parent_id, title. Adds path ('A > B > C') by one join for each level."""
-    up = nodes.select(F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"), F.col("title").alias("_title"))
-    now = nodes.select("node_id", F.col("parent_id").alias("_at"), F.col("title").alias("path"))
-    for _ in range(depth):
-        step = now.join(up, F.col("_at") == F.col("_up"), "left")
-        now = step.select("node_id", F.col("_next").alias("_at"), F.when(F.col("_title").isNull(), F.col("path")).otherwise(F.concat_ws(" > ", "_title", "path")).alias("path"))
-    return now.select("node_id", "path")
+def paths_to_root(nodes: DataFrame) -> DataFrame:
+    """nodes: node_id, parent_id, title. Adds path ('A > B > C'). A node's parts double with each join, so a tree of depth d takes
+    log d of them. A node whose parent is missing is a root; nodes on or below a cycle give no row."""
+    up = nodes.select("node_id", F.col("parent_id").alias("_up"), F.col("title").alias("path"))
+    known = nodes.select(F.col("node_id").alias("_up"))
+    now = settle(up.join(known.withColumn("_here", F.lit(True)), "_up", "left").select("node_id", F.when(F.col("_here"), F.col("_up")).alias("_up"), "path"))
+    left, before = now.where("_up is not null").count(), -1
+    while left and left != before:
+        above = now.select(F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_above"))
+        step = now.join(above, "_up", "left")
+        now = settle(step.select("node_id", F.col("_next").alias("_up"), F.concat_ws(" > ", "_above", "path").alias("path")))
+        left, before = now.where("_up is not null").count(), left
+    return now.where("_up is null").select("node_id", "path")
 
 
 def section_plan(scores: DataFrame, names: tuple[str, str] = ("section_id", "target_id")) -> DataFrame:
@@ -96,7 +103,8 @@ def section_plan(scores: DataFrame, names: tuple[str, str] = ("section_id", "tar
 
 def plan_kinds(mapped: DataFrame) -> DataFrame:
     """mapped: root, target_id. merge: a target fed by several roots; split: a root that feeds several targets; else one-to-one."""
-    n_roots = F.size(F.collect_set("root").over(Window.partitionBy("target_id")))
-    n_targets = F.size(F.collect_set("target_id").over(Window.partitionBy("root")))
-    kind = F.when(n_roots > 1, "merge").when(n_targets > 1, "split").otherwise("one-to-one")
-    return mapped.distinct().select("root", "target_id", kind.alias("kind"))
+    pairs = mapped.select("root", "target_id").distinct()
+    roots = pairs.groupBy("target_id").agg(F.count("*").alias("_roots"))
+    targets = pairs.groupBy("root").agg(F.count("*").alias("_targets"))
+    kind = F.when(F.col("_roots") > 1, "merge").when(F.col("_targets") > 1, "split").otherwise("one-to-one")
+    return pairs.join(roots, "target_id").join(targets, "root").select("root", "target_id", kind.alias("kind"))

@@ -24,48 +24,55 @@ def attempts_in_window(events: DataFrame, key: str, minutes: int = 15) -> DataFr
     return events.withColumn("n_in_window", F.count("*").over(w))
 
 
-def _limited(most: int, minutes: int):
-    def limited(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        kept: list[pd.Timestamp] = []
-        allowed = []
-        for t in rows["ts"]:
-            kept = [k for k in kept if t - k < pd.Timedelta(minutes=minutes)]
-            allowed.append(len(kept) < most)
-            if allowed[-1]:
-                kept.append(t)  # rejected attempts do not count
-        return pd.DataFrame({"event_id": rows["event_id"], "allowed": allowed})
+def _in_order(events: DataFrame, key: str, columns: list[str], start, step, result: str, kind: str) -> DataFrame:
+    """event_id and step(state, *columns) for each event, a key's events in order of time; only one key's state is held.
 
-    return limited
+    However many events a key has, they pass in batches.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last, began = None, None, False
+        for rows in batches:
+            out = []
+            for k, *values in rows[[key, *columns]].itertuples(index=False, name=None):
+                k = None if pd.isna(k) else k
+                if not began or k != last:
+                    state, last, began = start(), k, True
+                out.append(step(state, *values))
+            yield pd.DataFrame({"event_id": rows["event_id"], result: out})
+
+    rows = events.select(key, "event_id", *columns).repartition(F.col(key)).sortWithinPartitions(key, "ts", "event_id")
+    return rows.mapInPandas(run, f"event_id long, {result} {kind}")
 
-def rate_limited(events: DataFrame, key: str, most: int = 10, minutes: int = 15) -> DataFrame:
-    """event_id, allowed: at most `most` allowed attempts within any `minutes`. One key's events are one group."""
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandas(_limited(most, minutes), "event_id long, allowed boolean")
 
+def rate_limited(events: DataFrame, key: str, most: int = 10, minutes: int = 15) -> DataFrame:
+    """event_id, allowed: at most `most` allowed attempts within any `minutes`; rejected ones do not count. State: the allowed times that still count."""
 
-def _lockouts(limit: int, minutes: int):
-    def lockouts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        failed, until, state = 0, pd.Timestamp.min, []
-        for t, kind in zip(rows["ts"], rows["event_type"], strict=True):
-            if t < until:
-                state.append("locked")
-                continue
-            if until != pd.Timestamp.min and failed >= limit:
-                failed, until = 0, pd.Timestamp.min
-            failed = failed + 1 if kind == "error" else 0
-            if failed >= limit:
-                until = t + pd.Timedelta(minutes=minutes)
-            state.append("lock" if failed >= limit else "open")
-        return pd.DataFrame({"event_id": rows["event_id"], "state": state})
+    def step(kept: list, t) -> bool:
+        kept[:] = [k for k in kept if t - k < pd.Timedelta(minutes=minutes)]
+        if len(kept) < most:
+            kept.append(t)
+            return True
+        return False
 
-    return lockouts
+    return _in_order(events, key, ["ts"], list, step, "allowed", "boolean")
 
 
 def lockouts(events: DataFrame, key: str, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """event_id, state: `limit` failures in a row lock a key for some minutes; expiry clears the count."""
-    return events.select(key, "event_id", "ts", "event_type").groupBy(key).applyInPandas(_lockouts(limit, minutes), "event_id long, state string")
+    """event_id, state: `limit` failures in a row lock a key for some minutes; expiry clears the count. State: failures, end of the lock."""
+
+    def step(s: dict, t, kind: str) -> str:
+        if s["until"] is not None and t < s["until"]:
+            return "locked"
+        if s["until"] is not None:
+            s["failed"], s["until"] = 0, None
+        s["failed"] = s["failed"] + 1 if kind == "error" else 0
+        if s["failed"] < limit:
+            return "open"
+        s["until"] = t + pd.Timedelta(minutes=minutes)
+        return "lock"
+
+    return _in_order(events, key, ["ts", "event_type"], lambda: {"failed": 0, "until": None}, step, "state", "string")
 
 
 def invalid_transitions(events: DataFrame, key: str) -> DataFrame:
