@@ -89,7 +89,8 @@ WITH RECURSIVE words AS (
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(k.class_id, d.doc_id) AS class_id, r.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS s FROM shingles GROUP BY doc_id)) k USING (doc_id)
 """,
 }
