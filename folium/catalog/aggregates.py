@@ -66,7 +66,7 @@ def issue_order(spark, sf_dir):
 
 @query("a07_label_coverage", "SELECT source, count(*) AS total, count(l.doc_id) AS covered, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(l.doc_id) / count(*) END AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
 def label_coverage(spark, sf_dir):
-    """Covered share of each source, 1 when empty."""
+    """Covered share of each source, 1 when empty."""
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l")).distinct(), "doc_id", "left")
     out = both.groupBy("source").agg(F.count("*").alias("total"), F.count("l").alias("covered"))
     return out.withColumn("ratio", S.covered_ratio(F.col("covered"), F.col("total")))
@@ -74,7 +74,7 @@ def label_coverage(spark, sf_dir):
 
 @query("a09_label_profile", "SELECT source, floor(1000 * avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END)) AS good_1000, floor(1000 * avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END)) AS toxic_1000, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def label_profile(spark, sf_dir):
-    """Mean label weights of a group."""
+    """Mean label weights of a group."""
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     share = lambda c: F.floor(1000 * F.avg(F.when(F.col(c) == 1, 1.0).otherwise(0.0))).cast("double")
     return both.groupBy("source").agg(share("quality").alias("good_1000"), share("toxic").alias("toxic_1000"), F.count("*").alias("n"))

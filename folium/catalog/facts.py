@@ -50,7 +50,7 @@ ROLES = inline("id, role_text", [(1, "the QA managers"), (2, "Operators"), (3, "
 
 @query("f12_names_and_risks", f"SELECT id, abbr, quoted, tags, role FROM {NAMES}")
 def names_and_risks(spark, sf_dir):
-    """Abbreviations, quoted names, risk tags and canonical roles."""
+    """Abbreviations, quoted names, risk tags and canonical roles."""
     n = values(spark, NAMES).select("id", "txt").join(values(spark, ROLES), "id")
     abbr = F.array_join(F.transform(X.abbreviations("txt"), lambda x: F.concat_ws("=", x["abbr"], x["full"])), ",")
     return n.select("id", abbr.alias("abbr"), F.array_join(X.quoted_names("txt"), ",").alias("quoted"), F.array_join(X.risk_tags("txt"), " ").alias("tags"), X.canonical_role("role_text").alias("role"))
@@ -68,7 +68,7 @@ m AS (SELECT unit, kind, value, row_number() OVER (PARTITION BY unit, kind ORDER
 SELECT coalesce(l.unit, m.unit) AS unit, coalesce(l.kind, m.kind) AS kind, CASE WHEN l.unit IS NULL THEN 'added' WHEN m.unit IS NULL THEN 'missing' ELSE 'changed' END AS change, l.value AS was, m.value AS now
 FROM l FULL JOIN m ON l.unit = m.unit AND l.kind = m.kind AND l.k = m.k""")
 def preservation(spark, sf_dir):
-    """Changed, missing and added values."""
+    """Changed, missing and added values."""
     return Q.compare_facts(values(spark, SOURCE), values(spark, DRAFT), "unit")
 
 

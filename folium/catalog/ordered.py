@@ -44,7 +44,7 @@ WITH c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY u
 r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM c)
 SELECT user_id, run::BIGINT AS run, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY user_id, run""")
 def event_runs(spark, sf_dir):
-    """Consecutive rows of one kind form one list."""
+    """Consecutive rows of one kind form one list."""
     runs = O.islands(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], O.changes("event_type", ["user_id"], ["ts", "event_id"]), "run")
     return runs.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 

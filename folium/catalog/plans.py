@@ -103,7 +103,7 @@ PAGE_TABLES = inline("doc_id, page, table_id, top, bottom, n_cols, deviation, he
 
 @query("w10_stitched_tables")
 def stitched_tables(spark, sf_dir):
-    """Tables continued over pages."""
+    """Tables continued over pages."""
     return L.stitched_tables(values(spark, PAGE_TABLES))
 
 

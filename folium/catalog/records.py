@@ -41,7 +41,7 @@ def eligible(spark, sf_dir):
 
 @query("x14_blockers", "SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN o_totalprice > 400000 THEN 'too large' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL)) AS blocker FROM orders")
 def blockers(spark, sf_dir):
-    """All that stands against approval."""
+    """All that stands against approval."""
     checks = {"open": F.col("o_orderstatus") == "O", "too large": F.col("o_totalprice") > 400000, "urgent": F.col("o_orderpriority").startswith("1")}
     return R.blockers(checks, table(spark, sf_dir, "orders"), "o_orderkey")
 
@@ -64,7 +64,7 @@ def retries(spark, sf_dir):
 
 @query("c18_find_replace", r"SELECT conv_id, turn, len(regexp_extract_all(text, '\b[Tt]he\b')) AS n, md5(regexp_replace(text, '\b([Tt])he\b', '\1hat', 'g')) AS after_md5 FROM conversations WHERE regexp_matches(text, '\b[Tt]he\b')")
 def find_replace(spark, sf_dir):
-    """Find and replace with whole words."""
+    """Find and replace with whole words."""
     c = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\b[Tt]he\b"))
     return c.select("conv_id", "turn", F.regexp_count("text", F.lit(r"\b[Tt]he\b")).alias("n"), F.md5(F.regexp_replace("text", r"\b([Tt])he\b", "$1hat")).alias("after_md5"))
 

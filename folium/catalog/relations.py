@@ -80,7 +80,7 @@ SELECT ref_id, s.section_id, CASE WHEN kind = 'external' THEN 'external' WHEN s.
  CASE WHEN s.number IS NULL THEN NULL WHEN string_split(s.number, '.')::INT[] > string_split(f.number, '.')::INT[] THEN 'below' WHEN string_split(s.number, '.')::INT[] < string_split(f.number, '.')::INT[] THEN 'above' ELSE 'here' END AS direction
 FROM {XREFS.replace('inline_rows', 'x')} LEFT JOIN {SECTIONS.replace('inline_rows', 's')} ON kind = 'section' AND s.number = x.target LEFT JOIN {UNITS.replace('inline_rows', 'u')} ON u.unit_id = x.from_unit LEFT JOIN {SECTIONS.replace('inline_rows', 'f')} ON f.section_id = u.section_id""")
 def resolved_references(spark, sf_dir):
-    """Cross references to sections, what is unresolved, and where the target lies."""
+    """Cross references to sections, what is unresolved, and where the target lies."""
     s = values(spark, SECTIONS)
     f = s.select("section_id", F.col("number").alias("from_number"))
     x = values(spark, XREFS).join(values(spark, UNITS).select(F.col("unit_id").alias("from_unit"), "section_id"), "from_unit", "left").join(f, "section_id", "left").drop("section_id")
@@ -121,7 +121,7 @@ WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h
 s AS (SELECT page_id, target_id, len(list_intersect(a, b)) AS same, len(list_distinct(list_concat(a, b))) AS al, least(len(a), len(b)) AS le, greatest(len(a), len(b)) AS mo FROM a, b)
 SELECT page_id, target_id, floor(1000 * CASE WHEN al = 0 THEN 0e0 WHEN same = al THEN 1e0 WHEN same = le AND le > 0 THEN 0.55e0 + 0.4e0 * le / mo ELSE 0.4e0 * same / al END) AS score_1000 FROM s""")
 def scored_targets(spark, sf_dir):
-    """Every section heading scored against the few targets (J19, F17, F19); the targets are a constant list."""
+    """Every section heading scored against the few targets (J19, F17); the targets are a constant list."""
     topics = lambda c: F.array_distinct(F.filter(F.split(T.normal(c), " "), lambda w: (w != "") & ~w.isin(*T.STOP_WORDS)))
     h = table(spark, sf_dir, "pages").select("page_id", topics(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)).alias("a"))
     t = values(spark, TARGETS).select("target_id", topics("name").alias("b"))
@@ -137,7 +137,7 @@ def issue_sections(spark, sf_dir):
 
 @query("j21_carried_over", "SELECT md5(d.text) AS issue, min(d.doc_id) AS doc_id, max(l.quality) AS resolution FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.text")
 def carried_over(spark, sf_dir):
-    """Findings keep the resolution that their signature had before."""
+    """Findings keep the resolution that their signature had before."""
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return both.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("quality").alias("resolution")).select(F.md5("text").alias("issue"), "doc_id", "resolution")
 
@@ -202,7 +202,7 @@ def case_insensitive(spark, sf_dir):
 
 @query("p05_domain_checks", "SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' WHEN o_totalprice < 1000 THEN 'price' END AS problem FROM orders WHERE o_orderstatus NOT IN ('O', 'F') OR o_totalprice < 1000")
 def domain_checks(spark, sf_dir):
-    """Rows outside their domains, to quarantine."""
+    """Rows outside their domains, to quarantine (P5)."""
     problem = F.when(~F.col("o_orderstatus").isin("O", "F"), "status").when(F.col("o_totalprice") < 1000, "price")
     return table(spark, sf_dir, "orders").select("o_orderkey", problem.alias("problem")).where("problem is not null")
 
@@ -211,7 +211,7 @@ def domain_checks(spark, sf_dir):
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), f AS (SELECT doc_id, t, length(t) >= 60 AS s, bool_or(length(t) >= 60) OVER (PARTITION BY doc_id) AS some_s FROM l WHERE trim(t) <> '')
 SELECT doc_id, count(*) AS n FROM f WHERE s OR NOT some_s GROUP BY doc_id""")
 def substantive(spark, sf_dir):
-    """Substantive lines of each document, or all that are not blank where none is."""
+    """Substantive lines of each document, or all that are not blank where none is."""
     l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).where("trim(t) != ''")
     s = F.length("t") >= 60
     l = l.select("doc_id", s.alias("s"), F.bool_or(s).over(Window.partitionBy("doc_id")).alias("some_s"))

@@ -52,7 +52,7 @@ def clean_json(spark, sf_dir):
 
 @query("p14_relative_paths", "SELECT page_id, regexp_replace(url, '^https?://[^/]+/?', '') AS path, 'assets/' || regexp_replace(url, '^https?://[^/]+/?', '') AS stored FROM pages")
 def relative_paths(spark, sf_dir):
-    """Paths made relative and set under another root."""
+    """Paths made relative and set under another root."""
     p = F.regexp_replace("url", "^https?://[^/]+/?", "")
     return table(spark, sf_dir, "pages").select("page_id", p.alias("path"), F.concat(F.lit("assets/"), p).alias("stored"))
 
@@ -86,7 +86,7 @@ def pages_by_breaks(spark, sf_dir):
 
 @query("x13_fallback_texts", "SELECT a.conv_id, a.turn, coalesce(b.text, a.text) AS shown, b.text IS NULL AS fell_back FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2")
 def fallback_texts(spark, sf_dir):
-    """Substitution with a fallback and what fell back."""
+    """Substitution with a fallback and what fell back."""
     c = table(spark, sf_dir, "conversations")
     b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
     return c.join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("other", "text").alias("shown"), F.col("other").isNull().alias("fell_back"))
@@ -97,7 +97,7 @@ RULESET = inline("rule_id, category, status, types", [("r1", "labels", "approved
 
 @query("x07_selected_rules", f"SELECT rule_id FROM {RULESET} WHERE status = 'approved' AND (types = '' OR list_has_any(string_split(types, ' '), ['list', 'text']))")
 def selected_rules(spark, sf_dir):
-    """Approved rules without content types or with one in common."""
+    """Approved rules without content types or with one in common."""
     r = values(spark, RULESET).where("status = 'approved'")
     return r.where((F.col("types") == "") | F.arrays_overlap(F.split("types", " "), F.array(F.lit("list"), F.lit("text")))).select("rule_id")
 
