@@ -5,6 +5,7 @@ from __future__ import annotations
 import folium.catalog.aggregates  # noqa: F401
 import folium.catalog.facts  # noqa: F401
 import folium.catalog.ordered  # noqa: F401
+import folium.catalog.planning  # noqa: F401
 import folium.catalog.plans  # noqa: F401
 import folium.catalog.records  # noqa: F401
 import folium.catalog.relations  # noqa: F401
