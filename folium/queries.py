@@ -11,6 +11,7 @@ import folium.catalog.plans  # noqa: F401
 import folium.catalog.records  # noqa: F401
 import folium.catalog.relations  # noqa: F401
 import folium.catalog.review  # noqa: F401
+import folium.catalog.rulesets  # noqa: F401
 import folium.catalog.sets  # noqa: F401
 import folium.catalog.sources  # noqa: F401
 import folium.catalog.text  # noqa: F401

@@ -59,3 +59,10 @@ def trace_csv(trace: DataFrame, path: str) -> None:
     """Lists become words set apart by spaces."""
     columns = [F.array_join(c, " ").alias(c) if t.startswith("array") else F.col(c) for c, t in trace.dtypes]
     trace.select(*columns).write.mode("errorifexists").csv(path, header=True)
+
+
+def glossary_lines(entries: DataFrame) -> DataFrame:
+    """Entries (source_term, target_term, note, case_sensitive, do_not_translate) as CSV lines, flags as yes or no."""
+    flag = lambda c: F.when(F.col(c), "yes").otherwise("no").alias(c)
+    row = F.struct("source_term", "target_term", F.coalesce("note", F.lit("")).alias("note"), flag("case_sensitive"), flag("do_not_translate"))
+    return entries.select(F.to_csv(row, {"escape": '"', "emptyValue": "", "nullValue": ""}).alias("line"))
