@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.operators import rules as R
+from folium.functions import signals as S
+from folium.operators import records, rules as R
 from folium.registry import inline, query, table, values
 from folium.sources import files
 
@@ -136,3 +137,43 @@ SELECT list_aggregate(list_transform([source_term, target_term, coalesce(note, '
 def glossary_lines(spark, sf_dir):
     """Glossary entries as CSV lines (K5); `glossary_lines` of the sources gives the same for a file."""
     return files.glossary_lines(values(spark, TERMS))
+
+
+NATION_CHANGES = inline("n_nationkey, n_name", [(1, "Changed"), (3, None), (99, "Nobody")])
+
+
+@query("p18_updated_rows", f"SELECT n.n_nationkey, coalesce(c.n_name, n.n_name) AS n_name, n_regionkey FROM nation n LEFT JOIN {NATION_CHANGES.replace('inline_rows', 'c')} ON c.n_nationkey = n.n_nationkey")
+def updated_rows(spark, sf_dir):
+    """Rows updated in allowed columns only."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return records.updated(nation, values(spark, NATION_CHANGES), "n_nationkey", ("n_name", "n_regionkey"))
+
+
+DUTIES = inline("n, txt", [
+    (1, "The Quality Manager informs the Manager."), (2, "QA Manager and Site QA Manager sign."), (3, "The Site QA Manager signs; the QA Manager files."), (4, "Each Head of Quality Control reviews it."), (5, "nobody signs"), (6, None),
+    (7, "It goes to the Head of Quality Control."),
+])
+
+
+@query("f13_roles")
+def role_phrases(spark, sf_dir):
+    """Role phrases, those within longer ones left out unless they stand alone too (F13); known cases in the tests."""
+    return values(spark, DUTIES).select("n", F.array_join(S.roles(F.col("txt")), ", ").alias("roles"))
+
+
+PROFILE = inline("n, body", [
+    (1, '{"template_id": "t", "icons": [1], "sections": [{"section_number": " 1 ", "title": "Scope", "required": false, "font_color_hex": "0", "instructions": [{"text": " Say where. ", "directive_type": "", "paragraph_index": 3}, {"text": "Be brief.", "directive_type": "formatting"}]}]}'),
+    (2, '{"template_id": "u", "sections": [{"section_number": "2", "section_name": "Roles", "instructions": []}]}'),
+])
+
+
+@query("p17_slim_profiles", f"""
+WITH s AS (SELECT n, body->>'template_id' AS template_id, unnest((body->'sections')::JSON[]) AS sec FROM (SELECT n, body::JSON AS body FROM {PROFILE}))
+SELECT n, template_id, trim(sec->>'section_number') AS section_number, trim(coalesce(sec->>'title', sec->>'section_name')) AS section_name, coalesce((sec->>'required')::BOOLEAN, true) AS required,
+ coalesce(array_to_string(list_transform((sec->'instructions')::JSON[], lambda i: coalesce(nullif(trim(i->>'directive_type'), ''), 'guidance') || ': ' || trim(i->>'text')), '; '), '') AS instructions FROM s""")
+def slim_profiles(spark, sf_dir):
+    """Template profiles cut down to their instructions; a directive that is missing is guidance."""
+    schema = "template_id string, sections array<struct<section_number:string,title:string,section_name:string,required:boolean,instructions:array<struct<text:string,directive_type:string>>>>"
+    s = values(spark, PROFILE).select("n", F.from_json("body", schema).alias("p")).select("n", "p.template_id", F.inline("p.sections"))
+    told = F.transform("instructions", lambda i: F.concat(F.coalesce(F.nullif(F.trim(i["directive_type"]), F.lit("")), F.lit("guidance")), F.lit(": "), F.trim(i["text"])))
+    return s.select("n", "template_id", F.trim("section_number").alias("section_number"), F.trim(F.coalesce("title", "section_name")).alias("section_name"), F.coalesce("required", F.lit(True)).alias("required"), F.coalesce(F.array_join(told, "; "), F.lit("")).alias("instructions"))

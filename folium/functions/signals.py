@@ -109,3 +109,26 @@ def served_paths(json: Column, document_id: Column) -> Column:
     """JSON text whose image_path, icon_path and path values become URLs of the document's assets, at any depth."""
     pattern = r'"(image_path|icon_path|path)"(\s*:\s*)"(?:[^"\\]*/)?([^"/\\]+)"'
     return F.regexp_replace(json, F.lit(pattern), F.concat(F.lit('"$1"$2"/documents/'), document_id, F.lit('/assets/$3"')))
+
+
+# Words that head a role phrase, and words that may stand before one without being part of it.
+ROLE_HEADS = (
+    "Owner|Manager|Head|Lead|Leader|Officer|Coordinator|Approver|Reviewer|Author|Representative|Expert|Administrator|Specialist|Supervisor|Director|Auditor|Inspector|Operator|Analyst|Designee|Sponsor|Steward"
+    "|Engineer|Scientist|Technician|Person|Committee|Board|Team|Department|User|Developer|Initiator|Assessor|Signatory|Requester|Requestor|Responsible|Approvers|Reviewers|Owners|Managers|Users"
+)
+ROLE_NOISE = "the|a|an|each|every|all|any|if|when|only|this|that|these|those|our|your|their|its|his|her|for|by|to|and|or"
+ROLE = rf"\bHead\s+of\s+[A-Z][\w&/-]*(?:\s+[A-Z][\w&/-]*){{0,4}}|\b(?:[A-Z][A-Za-z0-9&/-]*\s+){{0,4}}(?:{ROLE_HEADS})\b(?!\s+[A-Z][a-z])"
+
+
+def roles(text: Column) -> Column:
+    """Distinct role phrases of a text, sorted; a role that only stands within longer ones is left out."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    bare = F.transform(F.regexp_extract_all(plain, F.lit(ROLE), F.lit(0)), lambda r: F.regexp_replace(r, rf"^(?i:(?:{ROLE_NOISE}) )+", ""))
+    found = F.array_distinct(F.filter(bare, lambda r: (r != "") & (F.size(F.split(r, " ")) <= 6)))
+
+    def alone(role: Column) -> Column:
+        longer = F.filter(found, lambda r: F.length(r) > F.length(role))
+        rest = F.aggregate(longer, plain, lambda t, r: F.replace(t, r, F.lit("|")))
+        return F.contains(rest, role)
+
+    return F.array_sort(F.filter(found, alone))

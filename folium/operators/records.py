@@ -70,3 +70,14 @@ def reached(seeds: DataFrame, units: DataFrame, passing: DataFrame, key: str, un
         fresh = settle(units.join(failed, unit, "left_semi").select(key).distinct().join(found, key, "left_anti"))
         found = settle(found.unionByName(fresh))
     return found
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    """Rows with the non-null values of changes by key; a changed column that is not allowed is an error before any work."""
+    given = [c for c in changes.columns if c != key]
+    unknown = sorted(set(given) - set(allowed))
+    if unknown:
+        raise ValueError(f"columns that may not be changed: {', '.join(unknown)}")
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in given])
+    joined = rows.join(new, key, "left")
+    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in rows.columns])
