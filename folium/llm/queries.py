@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import ann, decontaminate, jaccard_join, licenses, lm_score, mixing, pii, quality, repeats, shard
+from folium.llm import ann, decontaminate, fill_middle, jaccard_join, licenses, lm_score, mixing, packing, pii, quality, repeats, shard, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,24 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_read(spark, sf_dir, "documents"))
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)}
+    return cut.withColumns(digests).drop("output")
+
+
+def vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    coded = vector_codes.label_errors(coded).withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_quality_resampling": quality_resampling,
     "op2_lm_scoring": lm_scoring,
@@ -68,6 +86,9 @@ QUERIES = {
     "op8_sharding": sharding,
     "op9_suffix_array_repeats": suffix_array_repeats,
     "op10_personal_data": personal_data,
+    "op11_best_fit_packing": best_fit_packing,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_vector_code_compression": vector_code_compression,
 }
 
 ORACLES = {
