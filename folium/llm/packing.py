@@ -36,70 +36,102 @@ from folium.llm._text import texts
 REMEMBERED = 400_000
 CHUNK = 4 << 20  # bytes of one text that are split into words at once
 BROADCAST_CELLS = 200_000
-# letters up to U+00FF and final punctuation: two pre-tokens, whatever stands around them
-_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+# letters up to U+00FF and final punctuation: two pre-tokens, whatever stands around them; else any other word
+_LINES = re.compile(rb"(?m)^(?:((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)|(.+))$")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _END = b" "  # no word is a space
 _workers: dict[tuple[str, int], "Words"] = {}
 
 
-class Words(dict):
-    """Numbers words as they come; ids() gives the token ids of numbered words."""
+class _Numbered(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+    def since(self, n: int) -> list[bytes]:
+        return list(islice(reversed(self), len(self) - n))[::-1]
+
+
+class _Parts(_Numbered):
+    """Numbered strings and their ids. Number 0 is the empty string."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, encode) -> None:
+        """encode: strings -> (their ids in a row, how many each has)."""
+        ids, size = encode(self.since(len(self.start)))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def gather(self, numbers: np.ndarray, size: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        """Puts the ids of parts, of given sizes, to given places."""
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(at, size) + within] = self.pool[np.repeat(self.start[numbers], size) + within]
+
+
+class Words(_Numbered):
+    """Numbers words as they come; ids() gives the token ids of numbered words. A word is some letters, then something else; either may be empty."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.last = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        tokens = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(tokens.values()) + 1, bool)
+        self.last[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.parts: dict[bytes, list[int]] = {b"": []}
+        self.letters, self.others = _Parts(), _Parts()
+        self.others[_END] = 1
+        self.others.learn(lambda _: (np.array([self.end_id], np.uint32), np.ones(1, np.int64)))
         self[_END] = 0
-        self.pool, self.start, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[bytes]) -> list[list[int]]:
-        """Words of one pre-token each, as one text: the last id of a pre-token says so."""
-        if not self.last:
-            return self._encode(words)
-        out, held = [], []
-        for i in self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids:
-            held.append(i)
-            if i in self.last:
-                out.append(held)
-                held = []
-        return out if len(out) == len(words) and not held else self._encode(words)
+        self.head, self.tail = np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of one pre-token each, many as one text: the last id of a pre-token says so."""
+        ids, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            found = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[found])
+            sizes = np.diff(ends, prepend=-1)
+            if len(ends) != len(some) or ends[-1] != len(found) - 1:  # a vocabulary without marks of word ends
+                found, sizes = self._encode(some)
+            ids.append(found)
+            size.append(sizes)
+        return np.concatenate(ids), np.concatenate(size)
 
     def learn(self) -> None:
         """Tokenises the words numbered since the last call."""
-        new = list(islice(reversed(self), len(self) - len(self.start)))[::-1]
-        split = [(m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (w, b"") for w in new]
-        letters = list(dict.fromkeys(a for (a, _), w in zip(split, new) if a not in self.parts and _SIMPLE.fullmatch(a)))
-        for at in range(0, len(letters), 1000):
-            some = letters[at : at + 1000]
-            self.parts.update(zip(some, self._encode_letters(some), strict=True))
-        rest = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.parts]
-        self.parts.update(zip(rest, self._encode(rest), strict=True))
-        ids = [self.parts[a] + self.parts[b] for a, b in split]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        new = self.since(len(self.head))
+        split = _LINES.findall(b"\n".join(new))
+        head = np.fromiter((self.letters[a.lower()] for a, _, _ in split), np.int32, len(new))
+        tail = np.fromiter((self.others[b or c] for _, b, c in split), np.int32, len(new))
+        self.letters.learn(self._encode_letters)
+        self.others.learn(self._encode)
+        self.head, self.tail = np.concatenate([self.head, head]), np.concatenate([self.tail, tail])
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each word's end."""
-        size = self.size[numbers]
-        ends = np.cumsum(size)
-        return self.pool[np.repeat(self.start[numbers] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+        head, tail = self.head[numbers], self.tail[numbers]
+        first, second = self.letters.size[head], self.others.size[tail]
+        ends = np.cumsum(first + second)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        self.letters.gather(head, first, ends - second - first, out)
+        self.others.gather(tail, second, ends - second, out)
+        return out, ends
 
 
 def _split(raw: bytes) -> Iterator[list[bytes]]:
