@@ -58,33 +58,42 @@ def uncovered_units(spark, sf_dir):
     return values(spark, GUIDE).join(cited, "unit_id", "left_anti").select("unit_id")
 
 
-UNITS = inline("unit_id, document, boilerplate, unit_type, text", [
-    ("u1", "d1", True, "paragraph", "028-BIS-00535 version 2"), ("u2", "d1", False, "paragraph", "This procedure describes the aims to reach and applies to all sites."), ("u3", "d1", False, "reference", "028-BIS-00535-RD00"),
-    ("u4", "d1", False, "paragraph", "As described in BI-VQD-10581-S the owner is responsible for the yearly review of files."), ("u5", "d1", False, "procedure_step", "Step 2: you must not skip it."), ("u6", "d2", False, "reference", "028-BIS-00535-RD00"),
-    ("u7", "d2", False, "paragraph", "Water is wet."), ("u8", "d2", False, "warning", "Never open."), ("u9", "d2", False, "definition", None), ("u10", "d2", False, "table_row", "BI-VQD-10581 title"),
-])
-CUE_ROWS = " UNION ALL ".join(f"SELECT unit_id, '{label}' AS label, {weight} AS w FROM u WHERE regexp_matches(text, '{cue}')" for label, weight, cue in R.CUES)
-TYPE_ROWS = " UNION ALL ".join(f"SELECT unit_id, {'''CASE WHEN part THEN 'associated_document' ELSE 'reference' END''' if label == 'reference' else repr(label)}, {weight} FROM u WHERE unit_type = '{kind}'" for kind, (label, weight) in R.TYPES.items())
+LANGUAGE_CUES = {"english": ("the", "of", "and", "is"), "german": ("der", "die", "und", "ist"), "french": ("le", "la", "et", "est"), "spanish": ("el", "los", "y", "es")}
+_COUNTS = " UNION ALL ".join(f"SELECT conv_id, turn, '{label}' AS label, least(3, len(list_filter(w, lambda x: x IN {own})))::DOUBLE AS weight FROM t" for label, own in LANGUAGE_CUES.items())
 
 
 @query("f16_unit_labels", f"""
-WITH s AS (SELECT * FROM {UNITS}), o AS (SELECT DISTINCT document, unnest(regexp_extract_all(text, '{R.DOCUMENT_ID}')) AS own FROM s WHERE boilerplate),
-i AS (SELECT DISTINCT unit_id, document, unnest(regexp_extract_all(text, '{R.DOCUMENT_ID}')) AS id FROM s), n AS (SELECT unit_id, len(regexp_extract_all(text, '{R.SCOPE_STRONG}')) AS strong, len(regexp_extract_all(text, '{R.SCOPE_WEAK}')) AS weak FROM s),
-u AS (SELECT *, EXISTS (SELECT 1 FROM i JOIN o ON o.document = i.document AND starts_with(id, own) AND id <> own WHERE i.unit_id = s.unit_id) AS part, EXISTS (SELECT 1 FROM i WHERE i.unit_id = s.unit_id) AS refers,
- len(regexp_extract_all(text, '[A-Za-z]+')) > 8 AND unit_type NOT IN ('reference', 'table_row') AS prose FROM s),
-e AS ({CUE_ROWS} UNION ALL {TYPE_ROWS} UNION ALL SELECT unit_id, 'associated_document', 2 FROM u WHERE part UNION ALL SELECT unit_id, 'reference', CASE WHEN prose THEN 0.4 ELSE 1.5 END FROM u WHERE refers AND NOT part
- UNION ALL SELECT unit_id, 'supporting_information', 0.6 FROM u WHERE refers AND NOT part AND prose UNION ALL SELECT unit_id, 'scope', least(1.5, 0.6 * strong + 0.2 * weak) FROM n WHERE strong > 0),
-a AS (SELECT * FROM e UNION ALL SELECT unit_id, 'supporting_information', 1 FROM u WHERE unit_id NOT IN (SELECT unit_id FROM e))
-SELECT unit_id, label, CAST(sum(w) AS DOUBLE) / CAST((SELECT sum(w) FROM a b WHERE b.unit_id = a.unit_id) AS DOUBLE) AS weight FROM a GROUP BY unit_id, label""")
+WITH t AS (SELECT conv_id, turn, role, string_split_regex(lower(text), '[^\\pL]+') AS w FROM conversations),
+e AS (SELECT * FROM ({_COUNTS} UNION ALL SELECT conv_id, turn, 'question', 0.5 FROM t WHERE role = 'user') WHERE weight > 0),
+a AS (SELECT * FROM e UNION ALL SELECT conv_id, turn, 'other', 1.0 FROM t WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM e))
+SELECT conv_id, turn, label, sum(weight) / any_value(total) AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY conv_id, turn) AS total FROM a) GROUP BY conv_id, turn, label""")
 def unit_labels(spark, sf_dir):
-    """Content labels of units from weighted evidence, shares of 1 (F16); sentences' obligations count as restrictions only."""
-    return R.unit_labels(values(spark, UNITS))
+    """Labels of turns from weighted evidence, shares of 1: words of languages, and the role (F16)."""
+    units = table(spark, sf_dir, "conversations").withColumn("unit_type", F.col("role"))
+    return R.unit_labels(units, ["conv_id", "turn"], LANGUAGE_CUES, {"user": ("question", 0.5)})
+
+
+_LINES = "SELECT doc_id AS document, unnest(s) AS text, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)"
+FORM = "[A-Z][a-z]{3,}"
+
 
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
 
-@query("x20_own_ids", f"SELECT DISTINCT document, unnest(regexp_extract_all(text, '{R.DOCUMENT_ID}')) AS own_id FROM {UNITS} WHERE boilerplate")
+
+@query("x20_own_ids", f"SELECT DISTINCT document, unnest(regexp_extract_all(text, '{FORM}')) AS own_id FROM ({_LINES}) WHERE n = 1")
 def own_document_ids(spark, sf_dir):
-    """Document ids that a document's own boilerplate names."""
-    return R.own_ids(values(spark, UNITS))
+    """Ids that a document's own first line names (X20). The form of ids is a parameter: capitalised words stand for them here."""
+    return R.own_ids(_lines(spark, sf_dir), FORM, F.col("n") == 0)
+
+
+@query("x20_part_ids", f"""
+WITH l AS ({_LINES}), o AS (SELECT DISTINCT document, unnest(regexp_extract_all(text, '{FORM}')) AS own_id FROM l WHERE n = 1), i AS (SELECT DISTINCT document, unnest(regexp_extract_all(text, '{FORM}')) AS part_id FROM l)
+SELECT document, own_id, part_id FROM i JOIN o USING (document) WHERE starts_with(part_id, own_id) AND part_id <> own_id""")
+def part_document_ids(spark, sf_dir):
+    """Ids that go on from one of the document's own."""
+    lines = _lines(spark, sf_dir)
+    return R.part_ids(lines, R.own_ids(lines, FORM, F.col("n") == 0), FORM)
 
 
 PARAGRAPHS = inline("n, style, outline, numbering, txt", [

@@ -24,7 +24,7 @@ PROHIBITION = ("do not", "don't", "must not", "cannot", "can not", "is not possi
 ICONS = ("infographic", "icon")
 FORMATTING = ("font", "arial", "header", "footer", "table of content", "toc", "style", "numbering", "page break", "formatting", "bold", "italic")
 REQUIREMENT = ("must ", "shall ", "ensure", "required", "delete", "insert ", "make sure")
-PLACEHOLDER = r"(?i)\$\{[^}]+\}|<<[^>]+>>|\[Insert\s+[^\]]+\]|\[Role\s*\d+\]|\bn\.0\b|BI-VQD-\d+"
+PLACEHOLDER = r"(?i)\$\{[^}]+\}|<<[^>]+>>|\[Insert\s+[^\]]+\]|\[Role\s*\d+\]|\bn\.0\b"
 # How a section says that it is optional, and that it takes no subsections.
 OPTIONAL = ("delete this section", "delete this chapter", "remove this section", "section is optional", "chapter is optional")
 NO_SUBSECTIONS = ("do not add sub", "no subsection", "no sub-chapter", "subchapters are not", "sub-chapters are not")
@@ -117,7 +117,9 @@ ROLE_HEADS = (
     "|Engineer|Scientist|Technician|Person|Committee|Board|Team|Department|User|Developer|Initiator|Assessor|Signatory|Requester|Requestor|Responsible|Approvers|Reviewers|Owners|Managers|Users"
 )
 ROLE_NOISE = "the|a|an|each|every|all|any|if|when|only|this|that|these|those|our|your|their|its|his|her|for|by|to|and|or"
-ROLE = rf"\bHead\s+of\s+[A-Z][\w&/-]*(?:\s+[A-Z][\w&/-]*){{0,4}}|\b(?:[A-Z][A-Za-z0-9&/-]*\s+){{0,4}}(?:{ROLE_HEADS})\b(?!\s+[A-Z][a-z])"
+# grammar, over text with single spaces: "Head of" and titles, or titles and a head word that no title follows
+TITLE = r"[A-Z][\w&/-]*"
+ROLE = "|".join((rf"\bHead of(?: {TITLE})+", rf"\b(?:{TITLE} )*(?:{ROLE_HEADS})\b(?! {TITLE})"))
 
 
 def roles(text: Column) -> Column:
