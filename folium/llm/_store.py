@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}  # by application
 
@@ -38,6 +38,15 @@ def done(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def row_key(columns: dict[str, str]) -> Column:
+    """A 64-bit hash of some columns (name: type) that tells which of them are null. Nested values are hashed as JSON with their nulls."""
+    parts = []
+    for name, kind in columns.items():
+        nested = any(x in kind for x in ("map<", "struct<", "array<"))
+        parts += [F.col(name).isNull(), F.to_json(F.struct(F.col(name)), {"ignoreNullFields": "false"}) if nested else F.col(name)]
+    return F.xxhash64(*parts)
+
+
 def split_join(rows: DataFrame, groups: DataFrame, key: str, hot: int = 5_000, most: int = 500_000) -> DataFrame:
     """rows joined with groups (one row for each key; n: how many rows have it). The keys of more than `hot` rows are
     few; while there are at most `most` of them they are broadcast, so that their rows stay where they are."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folium.llm._store import cut
+from folium.llm._store import cut, row_key
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 7))
 SPAN = 10  # least words of texts and items
@@ -52,13 +52,13 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row for each document and item that share a passage: id_col, _row (hash of id and text), item_col, n_equal,
+    """One row for each document and item that share a passage: id_col, _row (row_key of id and text), item_col, n_equal,
     n_length (words of the stretch), n_item (words of the item), doc_start, item_start (in words, from 0)."""
     items = benchmark.select(F.col(item_col), word_list("text").alias("_words")).where(F.size("_words") >= SPAN).distinct()
     items = cut(items, "bench-items")
     seeds = cut(_with_seeds(items).select(F.col(item_col), "seed", F.col("pos").alias("item_pos")), "bench-seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_row"))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), row_key({c: dict(docs.dtypes)[c] for c in (id_col, text_col)}).alias("_row"))
     mine = _with_seeds(rows.select("_row", word_list("text").alias("_words")))
     hits = mine.join(F.broadcast(seeds) if small else seeds, "seed").groupBy("_row", item_col, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("n_hits"))
     hits = cut(hits, "bench-hits")

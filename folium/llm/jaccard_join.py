@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folium.llm._store import cut, done, split_join, text_bytes
+from folium.llm._store import cut, done, row_key, split_join, text_bytes
 from folium.llm._text import U, mix, shingle_sets, signed, texts
 from folium.llm.components import components
 
@@ -355,11 +355,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = cut(_labelled(docs, k, percent, id_col, text_col), "join-found")
     firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(id_col), F.col("_row"))).alias("s")).select(F.col(f"s.{id_col}").alias("_folium_id"), F.col("s._row").alias("_folium_text"))
     stay = cut(firsts.union(found.where("n_shingles = 0").select(id_col, "_row")).distinct(), "join-stay")
-    rows = docs.withColumns({"_folium_of": F.xxhash64(text_col), "_folium_whole": F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])})
+    rows = docs.withColumns({"_folium_of": F.xxhash64(text_col), "_folium_whole": row_key(dict(docs.dtypes))})
     rows = rows.join(stay, (F.col("_folium_of") == F.col("_folium_text")) & docs[id_col].eqNullSafe(F.col("_folium_id")), "left_semi")
-    least = rows.groupBy(F.col(id_col).alias("_folium_id"), "_folium_of").agg(F.min("_folium_whole").alias("_folium_least")).select("_folium_least")
-    rows = rows.join(least, F.col("_folium_whole") == F.col("_folium_least"), "left_semi")
-    return rows.dropDuplicates(["_folium_whole"]).select(docs.columns)
+    least = rows.groupBy(F.col(id_col).alias("_folium_id"), F.col("_folium_of").alias("_folium_text")).agg(F.min("_folium_whole").alias("_folium_least"))
+    same = (F.col("_folium_of") == F.col("_folium_text")) & (F.col("_folium_whole") == F.col("_folium_least")) & F.col(id_col).eqNullSafe(F.col("_folium_id"))
+    return rows.join(least, same, "left_semi").dropDuplicates([id_col, "_folium_of", "_folium_whole"]).select(docs.columns)
 
 
 def _fitting(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:

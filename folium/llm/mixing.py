@@ -23,7 +23,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folium.llm._store import cut
+from folium.llm._store import cut, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP_ROWS, FAN_IN = 20_000, 64
@@ -83,8 +83,8 @@ def _pivot(seed: int):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: id_col, _row (hash of id, source and text), source, size, source_size, target, copies, taken."""
-    rows = docs.select(F.col(id_col), F.xxhash64(id_col, source_col, text_col).alias("_row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
+    """One row for each row of docs: id_col, _row (row_key of id, source and text), source, size, source_size, target, copies, taken."""
+    rows = docs.select(F.col(id_col), row_key({c: dict(docs.dtypes)[c] for c in (id_col, source_col, text_col)}).alias("_row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
     rows = cut(rows, "mix-rows")
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     same = F.broadcast(goals) if goals.count() <= 100_000 else goals
@@ -106,6 +106,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
             break
         groups = math.ceil(groups / FAN_IN)
         state, level = left.withColumn("slot", F.floor(F.col("slot") / FAN_IN)), level + 1
-    extra = decided.select(F.col("unit").alias("_row"), F.col("p").cast("long").alias("_extra"))
-    out = due.join(extra, "_row", "left").withColumn("copies", (F.floor("_rate") + F.coalesce("_extra", F.lit(0))).cast("long"))
+    extra = decided.select(F.col("unit"), F.col("source").alias("_source"), F.col("p").cast("long").alias("_extra"))
+    out = due.join(extra, (F.col("_row") == F.col("unit")) & F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("copies", (F.floor("_rate") + F.coalesce("_extra", F.lit(0))).cast("long"))
     return out.select(id_col, "_row", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
