@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folium.llm import decontaminate, jaccard_join, mixing, quality, shard
-from folium.llm._store import cut
+from folium.llm._store import cut, row_key
 
 SHARD_BYTES = 16 << 20
 BROADCAST_ROWS = 500_000
@@ -29,13 +29,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents that hold a benchmark passage go."""
     hit = cut(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("_row").alias("_folium_row")).distinct(), "pipeline-hit")
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    return docs.withColumn("_folium_row", F.xxhash64("doc_id", "text")).join(hit, "_folium_row", "left_anti").select(docs.columns)
+    return docs.withColumn("_folium_row", row_key({c: dict(docs.dtypes)[c] for c in ("doc_id", "text")})).join(hit, "_folium_row", "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it."""
     copies = mixing.mix(docs).groupBy(F.col("_row").alias("_folium_row")).agg(F.first("copies").alias("_folium_copies")).where("_folium_copies > 0")
-    rows = docs.withColumn("_folium_row", F.xxhash64("doc_id", "source", "text")).join(copies, "_folium_row")
+    rows = docs.withColumn("_folium_row", row_key({c: dict(docs.dtypes)[c] for c in ("doc_id", "source", "text")})).join(copies, "_folium_row")
     return rows.withColumn("_folium_copy", F.explode(F.sequence(F.lit(1), F.col("_folium_copies")))).select(docs.columns)
 
 
