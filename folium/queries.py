@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import folium.catalog.aggregates  # noqa: F401
+import folium.catalog.bags  # noqa: F401
 import folium.catalog.drafting  # noqa: F401
 import folium.catalog.edits  # noqa: F401
 import folium.catalog.facts  # noqa: F401
