@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from folium.catalog.text import WORDS
 from folium.functions import text as T
-from folium.operators import sets as S
+from folium.operators import sets as S, terms
 from folium.registry import inline, query, table, values
 
 
@@ -86,16 +86,8 @@ g AS (SELECT text, n, array_to_string(w[i : i + n - 1], ' ') AS term FROM (SELEC
 SELECT term, n, count(DISTINCT text) AS n_texts FROM g GROUP BY term, n HAVING count(DISTINCT text) >= 3""")
 def term_frequency(spark, sf_dir):
     """Runs of 2 to 4 words in three or more distinct texts."""
-    t = table(spark, sf_dir, "conversations").select("text").distinct().withColumn("w", F.split(T.normal("text"), " "))
-
-    def runs(n):
-        got = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("term")))
-        return F.when(F.size("w") >= n, got)
-
-    some = [runs(n) for n in (2, 3, 4)]
-    own = F.array_distinct(F.concat(*[F.coalesce(s, F.array().cast("array<struct<n:int,term:string>>")) for s in some]))  # each once a text, so the text stays behind
-    g = t.select(F.explode(own).alias("g")).select("g.*")
-    return g.groupBy("term", "n").agg(F.count("*").alias("n_texts")).where("n_texts >= 3")
+    t = table(spark, sf_dir, "conversations").select("text").distinct()
+    return terms.frequent_runs(t, F.array(F.split(T.normal("text"), " ")))
 
 
 @query("a13_usual_spelling", "SELECT k AS term, arg_max(w, (n, w)) AS spelling, max(n) AS n FROM (SELECT lower(w) AS k, w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL) GROUP BY k HAVING sum(n) >= 20")

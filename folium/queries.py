@@ -17,6 +17,7 @@ import folium.catalog.rulesets  # noqa: F401
 import folium.catalog.sets  # noqa: F401
 import folium.catalog.sources  # noqa: F401
 import folium.catalog.streams  # noqa: F401
+import folium.catalog.terms  # noqa: F401
 import folium.catalog.text  # noqa: F401
 import folium.catalog.trees  # noqa: F401
 from folium.registry import ORACLES, QUERIES
