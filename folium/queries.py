@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import folium.catalog.aggregates  # noqa: F401
 import folium.catalog.bags  # noqa: F401
+import folium.catalog.calls  # noqa: F401
 import folium.catalog.drafting  # noqa: F401
 import folium.catalog.edits  # noqa: F401
 import folium.catalog.facts  # noqa: F401
@@ -20,6 +21,7 @@ import folium.catalog.streams  # noqa: F401
 import folium.catalog.terms  # noqa: F401
 import folium.catalog.text  # noqa: F401
 import folium.catalog.trees  # noqa: F401
+import folium.catalog.versions  # noqa: F401
 from folium.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
