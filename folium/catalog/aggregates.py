@@ -105,12 +105,12 @@ def distinct_texts(spark, sf_dir):
 
 
 @query("a15_word_recall", f"""
-WITH w AS (SELECT item_id, unnest({WORDS}) AS w FROM benchmark), v AS (SELECT DISTINCT unnest({WORDS}) AS w FROM documents WHERE lang = 'en')
+WITH w AS (SELECT item_id, unnest({WORDS}) AS w FROM benchmark), v AS (SELECT DISTINCT unnest({WORDS}) AS w FROM documents)
 SELECT item_id, count(*) AS n_words, count(*) FILTER (v.w IS NULL) AS n_missing, CASE WHEN count(*) = 0 THEN 1.0 ELSE 1 - count(*) FILTER (v.w IS NULL) / count(*) END AS recall FROM w LEFT JOIN v USING (w) GROUP BY item_id""")
 def word_recall(spark, sf_dir):
     """Share of an item's words that the export holds."""
     w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.words("text")).alias("w"))
-    v = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.words("text")).alias("w")).distinct().withColumn("known", F.lit(1))
+    v = table(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("w")).distinct().withColumn("known", F.lit(1))
     out = w.join(v, "w", "left").groupBy("item_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_missing"))
     return out.withColumn("recall", F.when(F.col("n_words") == 0, 1.0).otherwise(1 - F.col("n_missing") / F.col("n_words")))
 

@@ -57,13 +57,13 @@ def near_duplicate_rules(spark, sf_dir):
 
 
 @query("u08_accounting", """
-WITH e AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3), p AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id)
+WITH e AS (SELECT doc_id FROM documents), p AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id)
 SELECT coalesce(e.doc_id, p.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'outside scope' WHEN p.n IS NULL THEN 'missing' WHEN p.n > 1 THEN 'placed twice' ELSE 'placed' END AS state, coalesce(p.n, 0) AS n FROM e FULL JOIN p ON e.doc_id = p.doc_id""")
 def accounting(spark, sf_dir):
     """Placed, missing, placed twice, outside the scope."""
     labels = table(spark, sf_dir, "labels")
     placed = labels.select("doc_id").union(labels.where("toxic = 1").select("doc_id"))
-    return S.accounting(table(spark, sf_dir, "documents").where("doc_id % 7 != 3"), placed, "doc_id")
+    return S.accounting(table(spark, sf_dir, "documents"), placed, "doc_id")
 
 
 ICONS = inline("icon_id, hash, meaning", [(1, 255, "warning"), (2, 254, "caution"), (3, 3840, "note"), (4, 65535, "stop"), (5, 251, None), (6, 3847, None)])
