@@ -1,14 +1,16 @@
 """Repeated passages by a sparse suffix array.
 
-Anchors are kept only at content-selected positions: where the hash of ANCHOR words is least within
-a window, so that every passage of `least` words holds one and its copies hold the same. Anchors that occur
-in one text only are dropped. A suffix belongs to the leftmost least anchor within its first `least` words; the
-suffixes of the anchors left are ordered by the hash (64 bits) of these words, so that equal ones lie together,
-however many share an anchor. Those that two different texts share are kept and merged for each text: every
-passage of `least` words is compared, longer ones by the suffixes along them.
-
-The suffixes of one anchor meet in one task, as 8 bytes each, while at most HOT places hold it. Those of a more
-frequent anchor get a row each and meet by aggregation and a join that can be split.
+Suffixes are retained only at content-selected positions: where the hash of ANCHOR words is least within a window, so
+that every passage of `least` words holds one and its copies hold the same. Those whose anchor occurs in one text
+only are dropped. The suffixes of one anchor are sorted by their words, and so are, reversed, the words before them;
+the words that neighbours in each order have in common give those of any two (the least between them). A match that
+reaches x words left of a retained suffix and `least` - x words from it on is a run in both orders at once: all
+suffixes of such a run that two different texts have are matched, and the match is extended to both sides as far as
+it holds. Words are compared as words (those over LONG bytes as their SHA-256), hashes only choose positions.
+
+The suffixes of one anchor meet in one task, with the words that passages around them can hold, while at most HOT
+places hold it. Those of a more frequent anchor get a row for each passage around them, which meet by 128-bit digests
+of their words, in an aggregation and a join that can be split.
 Texts equal as a whole are one text here, repeated from end to end.
 
 Defined cases: a null text is empty; words are runs of non-space with A-Z lower-cased; texts with fewer than
@@ -18,17 +20,20 @@ text give a row each. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folium.llm._store import cut, done, split_join
-from folium.llm._text import U, mix, shingles, signed, texts
+from folium.llm._text import Texts, U, shingles, signed, texts
 
 ANCHOR = 12
 HOT = 50_000  # places of one anchor that one task compares
+LONG = 64  # bytes of a word; longer ones are compared by digest
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -78,73 +83,125 @@ def _first_pass(w: int):
     return anchors
 
 
-def _prefixes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of k words of one text, by doubling."""
-    out, have = hashes, 1
-    while have < k:
-        step = min(have, k - have)
-        out = mix(mix(out[:-step], 3) + out[step:], 4)
-        have += step
-    return out
+def _joined(part: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all rows, each with one space after it, and where each begins (one more than words)."""
+    data, lens = part.data, part.ends - part.starts
+    long = np.flatnonzero(lens > LONG)
+    if len(long):
+        data, lens = data.copy(), lens.copy()
+        for k, start, end in zip(long.tolist(), part.starts[long].tolist(), part.ends[long].tolist(), strict=True):
+            data[start : start + 64] = np.frombuffer(hashlib.sha256(part.data[start:end].tobytes()).hexdigest().encode(), np.uint8)
+            lens[k] = 64
+    at = np.r_[0, np.cumsum(lens + 1)]
+    out = np.full(at[-1], 0x20, np.uint8)
+    within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    out[np.repeat(at[:-1], lens) + within] = data[np.repeat(part.starts, lens) + within]
+    return out, at
+
+
+def _around(batch: pa.RecordBatch, least: int, seen: set[int]) -> Iterator[tuple[int, int, int, int, int, np.ndarray, np.ndarray]]:
+    """Wanted places with the passages that belong to each, those whose leftmost least anchor it is: anchor, text, place, start of
+    the first passage, that of the last and one more, joined words of the batch, and where each word of the text begins in them."""
+    wanted, keys = batch.column("places").to_pylist(), batch.column("text_key").to_pylist()
+    for row, part in texts(batch.column("text")):
+        part.words()
+        joined, begins = _joined(part)
+        for i in range(part.rows):
+            if keys[row + i] in seen:  # rows equal in id and text are one text
+                continue
+            seen.add(keys[row + i])
+            first, last = part.word_at[i], part.word_at[i + 1]
+            h = shingles(part.hashes[first:last], ANCHOR)
+            order = np.argsort(h, kind="stable")
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.arange(len(h))
+            at = order[_window_min(rank, least - ANCHOR + 1)]  # the anchor of each passage; never decreases
+            pos = [place["pos"] for place in wanted[row + i]]
+            lo, hi = np.searchsorted(at, pos, "left").tolist(), np.searchsorted(at, pos, "right").tolist()
+            for place, x, y in zip(wanted[row + i], lo, hi, strict=True):
+                if x < y:
+                    yield place["anchor"], keys[row + i], place["pos"], x, y, joined, begins[first : last + 1]
 
 
 def _suffixes(least: int):
-    """For each wanted anchor the suffixes that belong to it, which follow each other: start of the first, and the hashes of their first words."""
+    """Retained suffixes with the words of the passages that belong to them; before: how many of these lie left of the suffix."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # rows equal in id and text are one text
+        seen: set[int] = set()
         for batch in batches:
-            wanted = batch.column("places").to_pylist()
-            keys = batch.column("text_key").to_pylist()
-            anchor, often, own, start, run = [], [], [], [], []
-            for row, part in texts(batch.column("text")):
-                part.words()
-                for i in range(part.rows):
-                    if keys[row + i] in seen:
-                        continue
-                    seen.add(keys[row + i])
-                    words = part.hashes[part.word_at[i] : part.word_at[i + 1]]
-                    h, first = shingles(words, ANCHOR), _prefixes(words, least)
-                    order = np.argsort(h, kind="stable")
-                    rank = np.empty(len(h), np.int64)
-                    rank[order] = np.arange(len(h))
-                    at = order[_window_min(rank, least - ANCHOR + 1)]  # the anchor of each suffix; never decreases
-                    pos = [place["pos"] for place in wanted[row + i]]
-                    lo, hi = np.searchsorted(at, pos, "left").tolist(), np.searchsorted(at, pos, "right").tolist()
-                    for place, x, y in zip(wanted[row + i], lo, hi, strict=True):
-                        if x < y:
-                            anchor.append(place["anchor"])
-                            often.append(place["n"])
-                            own.append(keys[row + i])
-                            start.append(x)
-                            run.append(first[x:y].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(often, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32()), pa.array(run, pa.binary())], ["anchor", "n", "text_key", "start", "run"])
+            anchor, own, at, before, words = [], [], [], [], []
+            for a, key, pos, x, y, joined, begins in _around(batch, least, seen):
+                anchor.append(a)
+                own.append(key)
+                at.append(pos)
+                before.append(pos - x)
+                words.append(joined[begins[x] : begins[y - 1 + least] - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(words, pa.binary())], ["anchor", "text_key", "pos", "before", "words"])
 
     return suffixes
 
 
-def _unfold(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, text, start and hash of each suffix."""
-    runs = rows.column("run").to_pylist()
-    count = np.array([len(r) // 8 for r in runs], np.int64)
-    row = np.repeat(np.arange(len(runs)), count)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, rows.column("text_key").to_numpy()[row], rows.column("start").to_numpy()[row] + within, np.frombuffer(b"".join(runs), U)
+def _passages(least: int):
+    """A row for each passage that belongs to a place: the digest of its words, text and start."""
 
-
-def _shared(rows: pa.Table, least: int) -> pa.RecordBatch:
-    """Stretches of suffixes whose first words another text has too."""
-    row, key, start, h = _unfold(rows)
-    order = np.argsort(h)
-    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-    key_of = key[order]
-    twice = np.minimum.reduceat(key_of, first) != np.maximum.reduceat(key_of, first)
-    kept = np.empty(len(h), bool)
-    kept[order] = np.repeat(twice, np.diff(np.r_[first, len(h)]))
-    before = np.r_[False, kept[:-1] & (row[1:] == row[:-1])]
-    after = np.r_[kept[1:] & (row[1:] == row[:-1]), False]
-    begins, ends = kept & ~before, kept & ~after
-    return pa.RecordBatch.from_arrays([pa.array(key[begins]), pa.array(start[begins].astype(np.int32)), pa.array((start[ends] + least).astype(np.int32))], ["text_key", "start", "stop"])
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            digest, own, start = [], [], []
+            for _, key, _, x, y, joined, begins in _around(batch, least, seen):
+                run, at = joined[begins[x] : begins[y - 1 + least]].tobytes(), (begins[x : y + least] - begins[x]).tolist()
+                for j in range(y - x):
+                    digest.append(hashlib.blake2b(run[at[j] : at[j + least]], digest_size=16).digest())
+                own += [key] * (y - x)
+                start += range(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(own, pa.int64()), pa.array(start, pa.int32())], ["passage", "text_key", "start"])
+
+    return passages
+
+
+def _sorted_runs(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by group and words, and how many words each has in common with its predecessor there (-1: another group)."""
+    rows = np.ascontiguousarray(np.column_stack([group, words]).astype(">u4"))
+    order = np.argsort(rows.view(f"S{4 * rows.shape[1]}").ravel(), kind="stable")
+    same = rows[order][1:] == rows[order][:-1]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1)) - 1
+    return order, np.r_[-1, common]
+
+
+def _matches(rows: pa.Table, least: int) -> pa.RecordBatch:
+    """Stretches around retained suffixes that a different text has too, extended to both sides. rows: sorted by anchor."""
+    rows = rows.combine_chunks()
+    lists = pc.split_pattern(rows.column("words").combine_chunks(), " ")
+    ids = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    anchor, key, pos, before = (rows.column(c).to_numpy() for c in ("anchor", "text_key", "pos", "before"))
+    n, own = len(count), np.cumsum(count) - count + before  # own: where the suffix begins
+    group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]])
+    none = -1 - np.arange(n)[:, None]  # past its end a row equals no other
+
+    def side(steps: np.ndarray, held: np.ndarray) -> np.ndarray:
+        inside = np.arange(len(steps)) < held[:, None]
+        return np.where(inside, ids[np.where(inside, own[:, None] + steps, 0)], none)
+
+    right, right_common = _sorted_runs(group, side(np.arange(least), count - before))
+    left, left_common = _sorted_runs(group, side(-1 - np.arange(least - ANCHOR), before))
+    kept = np.zeros((n, least - ANCHOR + 3), bool)  # by words left of the suffix, with a border
+    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for x in range(least - ANCHOR + 1):
+        run_right[right] = np.cumsum(right_common < least - x)
+        run_left[left] = np.cumsum(left_common < x)
+        held = np.flatnonzero((before >= x) & (count - before >= least - x))
+        if not len(held):
+            continue
+        run = run_right[held] * (n + 1) + run_left[held]
+        order = np.argsort(run, kind="stable")
+        held, run = held[order], run[order]
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        twice = np.minimum.reduceat(key[held], first) != np.maximum.reduceat(key[held], first)
+        kept[held, x + 1] = np.repeat(twice, np.diff(np.r_[first, len(held)]))
+    row, low = np.nonzero(kept[:, 1:] & ~kept[:, :-1])
+    _, high = np.nonzero(kept[:, :-1] & ~kept[:, 1:])  # in the same order
+    return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array((pos[row] - high + 1).astype(np.int32)), pa.array((pos[row] - low + least).astype(np.int32))], ["text_key", "start", "stop"])
 
 
 def _meet(least: int):
@@ -158,23 +215,15 @@ def _meet(least: int):
             anchor = batch.column("anchor").to_numpy()
             cut_at = int(np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])[-1])
             if cut_at or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
-                yield _shared(pa.Table.from_batches([*held, batch.slice(0, cut_at)]), least)
+                yield _matches(pa.Table.from_batches([*held, batch.slice(0, cut_at)]), least)
                 held = []
             held.append(batch.slice(cut_at))
         if held:
-            yield _shared(pa.Table.from_batches(held), least)
+            yield _matches(pa.Table.from_batches(held), least)
 
     return meet
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            _, key, start, h = _unfold(batch.slice(at, 1000))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(key), pa.array(start.astype(np.int32))], ["suffix", "text_key", "start"])
-
-
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that share a passage of at least `least` words with a different document.
 
@@ -190,18 +239,24 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     places = rows.select("text", "text_key").mapInArrow(_first_pass(w), "anchor long, text_key long, pos int")
     places = cut(places, "repeats-anchors")
     live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("anchor", "n")
-    shared = cut(split_join(places, cut(live, "repeats-anchor-counts"), "anchor"), "repeats-live")
+    live = cut(live, "repeats-anchor-counts")
+    shared = cut(split_join(places, live, "anchor"), "repeats-live")
     done(places)
     places = shared.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "n", "pos")).alias("places"))  # bounded by the length of one text
     wanted = places.join(classes.select("text_key", F.col("rep").alias("_rep")), "text_key").withColumnRenamed("text_key", "_key")
-    chosen = rows.join(wanted, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
-    around = cut(chosen.mapInArrow(_suffixes(least), "anchor long, n long, text_key long, start int, run binary"), "repeats-suffixes")
+
+    def chosen(which) -> DataFrame:
+        """Texts with those of their places."""
+        some = wanted.withColumn("places", F.filter("places", which)).where(F.size("places") > 0)
+        return rows.join(some, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
+
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretches = around.where(F.col("n") <= HOT).select("anchor", "text_key", "start", "run").repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
-    if not around.where(F.col("n") > HOT).isEmpty():
-        each = cut(around.where(F.col("n") > HOT).mapInArrow(_explode, "suffix long, text_key long, start int"), "repeats-each")
-        twice = each.groupBy("suffix").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("suffix", "n")
-        met = cut(split_join(each, cut(twice, "repeats-suffix-counts"), "suffix").select("text_key", "start"), "repeats-met")
+    around = chosen(lambda p: p["n"] <= HOT).mapInArrow(_suffixes(least), "anchor long, text_key long, pos int, before int, words binary")
+    stretches = around.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
+    if not live.where(F.col("n") > HOT).isEmpty():
+        each = cut(chosen(lambda p: p["n"] > HOT).mapInArrow(_passages(least), "passage binary, text_key long, start int"), "repeats-each")
+        twice = each.groupBy("passage").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("passage", "n")
+        met = cut(split_join(each, cut(twice, "repeats-passage-counts"), "passage").select("text_key", "start"), "repeats-met")
         done(each)
         stretches = stretches.unionByName(met.select("text_key", "start", (F.col("start") + least).alias("stop")))
     whole = classes.where("n_copies > 1").select("text_key", F.lit(0).alias("start"), F.col("n_words").alias("stop"))

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folium.llm.ann import nearest
@@ -181,3 +182,35 @@ def test_repeated_ids_are_neighbours_of_each_other(spark):
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=2).collect()
     assert len(got) == 6
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 100, 0.0), (1, 100, 0.0), (1, 100, 0.5), (2, 100, 0.5), (2, 100, 0.5), (2, 100, 0.5)]
+
+
+def test_matches_around_sorted_suffixes_equal_every_pair():
+    draw, least = random.Random(8), 16
+    for _ in range(40):
+        rows, spare = [], repeats.ANCHOR
+        for anchor in range(draw.randint(1, 4)):
+            for _ in range(draw.randint(1, 12)):
+                before = draw.randint(0, least - spare)
+                after = draw.randint(least - before, least)
+                words = ["ab"[draw.random() < 0.15] for _ in range(before + after)]  # the anchors differ at times: words decide
+                rows.append((anchor, draw.randint(1, 5), draw.randint(before, 99), before, " ".join(words).encode()))
+        table = pa.table(dict(zip(("anchor", "text_key", "pos", "before", "words"), map(list, zip(*rows)), strict=True)))
+        got = defaultdict(set)
+        for r in repeats._matches(table, least).to_pylist():
+            got[r["text_key"]] |= set(range(r["start"], r["stop"] - least + 1))
+        holders, want = defaultdict(set), defaultdict(set)
+        passages = [(anchor, before - j, tuple(w[j : j + least]), key, pos - before + j) for anchor, key, pos, before, words in rows for w in [words.split()] for j in range(len(w) - least + 1) if 0 <= before - j <= least - spare]
+        for anchor, left, words, key, _ in passages:
+            holders[anchor, left, words].add(key)
+        for anchor, left, words, key, start in passages:
+            if len(holders[anchor, left, words]) > 1:
+                want[key].add(start)
+        assert got == want
+
+
+def test_repeats_compare_long_words_to_their_ends(spark):
+    long = ["x" * 100 + str(i) for i in range(60)]
+    other = [*long[:30], long[30] + "y", *long[31:]]  # no 50 words in common with the first
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "a " + "\t".join(long[:55]))]
+    got = {r["doc_id"]: (r["n_repeated"], [tuple(p) for p in r["passages"]]) for r in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (55, [(0, 55)]), 3: (55, [(1, 56)])}
