@@ -99,62 +99,59 @@ def _joined(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _around(batch: pa.RecordBatch, least: int, seen: set[int]) -> Iterator[tuple[int, int, int, int, int, np.ndarray, np.ndarray]]:
-    """Wanted places with the passages that belong to each, those whose leftmost least anchor it is: anchor, text, place, start of
-    the first passage, that of the last and one more, joined words of the batch, and where each word of the text begins in them."""
-    wanted, keys = batch.column("places").to_pylist(), batch.column("text_key").to_pylist()
-    for row, part in texts(batch.column("text")):
-        part.words()
-        joined, begins = _joined(part)
-        for i in range(part.rows):
-            if keys[row + i] in seen:  # rows equal in id and text are one text
-                continue
-            seen.add(keys[row + i])
-            first, last = part.word_at[i], part.word_at[i + 1]
-            h = shingles(part.hashes[first:last], ANCHOR)
-            order = np.argsort(h, kind="stable")
-            rank = np.empty(len(h), np.int64)
-            rank[order] = np.arange(len(h))
-            at = order[_window_min(rank, least - ANCHOR + 1)]  # the anchor of each passage; never decreases
-            pos = [place["pos"] for place in wanted[row + i]]
-            lo, hi = np.searchsorted(at, pos, "left").tolist(), np.searchsorted(at, pos, "right").tolist()
-            for place, x, y in zip(wanted[row + i], lo, hi, strict=True):
-                if x < y:
-                    yield place["anchor"], keys[row + i], place["pos"], x, y, joined, begins[first : last + 1]
-
-
 def _suffixes(least: int):
-    """Retained suffixes with the words of the passages that belong to them; before: how many of these lie left of the suffix."""
+    """Retained suffixes with the words of the passages that belong to them, those whose leftmost least anchor is the suffix's;
+    before: how many of these words lie left of the suffix."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # rows equal in id and text are one text
         for batch in batches:
-            anchor, own, at, before, words = [], [], [], [], []
-            for a, key, pos, x, y, joined, begins in _around(batch, least, seen):
-                anchor.append(a)
-                own.append(key)
-                at.append(pos)
-                before.append(pos - x)
-                words.append(joined[begins[x] : begins[y - 1 + least] - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array(words, pa.binary())], ["anchor", "text_key", "pos", "before", "words"])
+            wanted, keys = batch.column("places").to_pylist(), batch.column("text_key").to_pylist()
+            anchor, often, own, at, before, words = [], [], [], [], [], []
+            for row, part in texts(batch.column("text")):
+                part.words()
+                joined, begins = _joined(part)
+                for i in range(part.rows):
+                    if keys[row + i] in seen:
+                        continue
+                    seen.add(keys[row + i])
+                    first, last = part.word_at[i], part.word_at[i + 1]
+                    h = shingles(part.hashes[first:last], ANCHOR)
+                    order = np.argsort(h, kind="stable")
+                    rank = np.empty(len(h), np.int64)
+                    rank[order] = np.arange(len(h))
+                    least_at = order[_window_min(rank, least - ANCHOR + 1)]  # the anchor of each passage; never decreases
+                    pos = [place["pos"] for place in wanted[row + i]]
+                    lo, hi = np.searchsorted(least_at, pos, "left").tolist(), np.searchsorted(least_at, pos, "right").tolist()
+                    for place, x, y in zip(wanted[row + i], lo, hi, strict=True):
+                        if x < y:
+                            anchor.append(place["anchor"])
+                            often.append(place["n"])
+                            own.append(keys[row + i])
+                            at.append(place["pos"])
+                            before.append(place["pos"] - x)
+                            words.append(joined[begins[first + x] : begins[first + y - 1 + least] - 1].tobytes())
+            columns = [pa.array(x, kind) for x, kind in ((anchor, pa.int64()), (often, pa.int64()), (own, pa.int64()), (at, pa.int32()), (before, pa.int32()), (words, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "n", "text_key", "pos", "before", "words"])
 
     return suffixes
 
 
 def _passages(least: int):
-    """A row for each passage that belongs to a place: the digest of its words, text and start."""
+    """A row for each passage that belongs to a suffix: the digest of its words, text and start."""
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            digest, own, start = [], [], []
-            for _, key, _, x, y, joined, begins in _around(batch, least, seen):
-                run, at = joined[begins[x] : begins[y - 1 + least]].tobytes(), (begins[x : y + least] - begins[x]).tolist()
-                for j in range(y - x):
-                    digest.append(hashlib.blake2b(run[at[j] : at[j + least]], digest_size=16).digest())
-                own += [key] * (y - x)
-                start += range(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(own, pa.int64()), pa.array(start, pa.int32())], ["passage", "text_key", "start"])
+            for at in range(0, batch.num_rows, 1000):
+                digest, own, start = [], [], []
+                for row in batch.slice(at, 1000).to_pylist():
+                    run = row["words"] + b" "
+                    begins = [0, *(np.flatnonzero(np.frombuffer(run, np.uint8) == 0x20) + 1).tolist()]
+                    n = len(begins) - least
+                    digest += [hashlib.blake2b(run[begins[j] : begins[j + least]], digest_size=16).digest() for j in range(n)]
+                    own += [row["text_key"]] * n
+                    start += range(row["pos"] - row["before"], row["pos"] - row["before"] + n)
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(own, pa.int64()), pa.array(start, pa.int32())], ["passage", "text_key", "start"])
 
     return passages
 
@@ -239,22 +236,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     places = rows.select("text", "text_key").mapInArrow(_first_pass(w), "anchor long, text_key long, pos int")
     places = cut(places, "repeats-anchors")
     live = places.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("anchor", "n")
-    live = cut(live, "repeats-anchor-counts")
-    shared = cut(split_join(places, live, "anchor"), "repeats-live")
+    shared = cut(split_join(places, cut(live, "repeats-anchor-counts"), "anchor"), "repeats-live")
     done(places)
     places = shared.groupBy("text_key").agg(F.collect_set(F.struct("anchor", "n", "pos")).alias("places"))  # bounded by the length of one text
     wanted = places.join(classes.select("text_key", F.col("rep").alias("_rep")), "text_key").withColumnRenamed("text_key", "_key")
-
-    def chosen(which) -> DataFrame:
-        """Texts with those of their places."""
-        some = wanted.withColumn("places", F.filter("places", which)).where(F.size("places") > 0)
-        return rows.join(some, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
-
+    chosen = rows.join(wanted, F.col(id_col).eqNullSafe(F.col("_rep")) & (F.col("text_key") == F.col("_key"))).select("text", "text_key", "places")
+    around = cut(chosen.mapInArrow(_suffixes(least), "anchor long, n long, text_key long, pos int, before int, words binary"), "repeats-suffixes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    around = chosen(lambda p: p["n"] <= HOT).mapInArrow(_suffixes(least), "anchor long, text_key long, pos int, before int, words binary")
-    stretches = around.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
-    if not live.where(F.col("n") > HOT).isEmpty():
-        each = cut(chosen(lambda p: p["n"] > HOT).mapInArrow(_passages(least), "passage binary, text_key long, start int"), "repeats-each")
+    stretches = around.where(F.col("n") <= HOT).drop("n").repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(least), "text_key long, start int, stop int")
+    if not around.where(F.col("n") > HOT).isEmpty():
+        each = cut(around.where(F.col("n") > HOT).mapInArrow(_passages(least), "passage binary, text_key long, start int"), "repeats-each")
         twice = each.groupBy("passage").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("passage", "n")
         met = cut(split_join(each, cut(twice, "repeats-passage-counts"), "passage").select("text_key", "start"), "repeats-met")
         done(each)
