@@ -33,12 +33,18 @@ NAMES = (
     ("bsd-2-clause", " bsd ", "(the )?(simplified|freebsd|2 clause) bsd|bsd 2 clause"),
     ("bsd-3-clause", " bsd ", "(the )?(new|modified|revised|3 clause) bsd|bsd 3 clause"),
     ("bsd-4-clause", " bsd ", "(the )?(original|4 clause) bsd|bsd 4 clause"),
+    ("bsd", " bsd ", "(the )?bsd"),
+    ("0bsd", " 0bsd ", "(the )?0bsd"),
+    ("mit-0", " mit 0 ", "(the )?mit 0"),
     ("isc", " isc ", "(the )?isc"),
-    ("gpl-2.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?2( 0)?|gpl ?v? ?2( 0)?"),
-    ("gpl-3.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?3( 0)?|gpl ?v? ?3( 0)?"),
+    ("gpl-2.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?2( 0)?|(gnu )?gpl ?(version |v ?)?2( 0)?"),
+    ("gpl-3.0", "general public licen| gpl", "(gnu )?general public licen[cs]e (version |v ?)?3( 0)?|(gnu )?gpl ?(version |v ?)?3( 0)?"),
     ("lgpl-2.1", "general public licen", "(gnu )?(lesser|library) general public licen[cs]e (version |v ?)?2( 1)?"),
     ("lgpl-3.0", "lesser general public licen", "(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?"),
     ("agpl-3.0", "affero general public licen", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("agpl-3.0", " affero gpl", "(gnu )?affero gpl ?(version |v ?)?3( 0)?"),
+    ("lgpl-2.1", " lesser gpl", "(gnu )?lesser gpl ?(version |v ?)?2( 1)?"),
+    ("lgpl-3.0", " lesser gpl", "(gnu )?lesser gpl ?(version |v ?)?3( 0)?"),
     ("mpl-1.1", "mozilla public licen", "mozilla public licen[cs]e (version |v ?)?1 1"),
     ("mpl-2.0", "mozilla public licen", "mozilla public licen[cs]e (version |v ?)?2( 0)?"),
     ("epl-1.0", "eclipse public licen", "eclipse public licen[cs]e (version |v ?)?1( 0)?"),
@@ -68,6 +74,7 @@ SHORT = (
     ("epl-1.0", "epl", 1, 0), ("epl-2.0", "epl", 2, 0), ("cddl-1.0", "cddl", 1, 0), ("cpl-1.0", "cpl", 1, 0), ("artistic-1.0", "artistic", 1, 0), ("artistic-2.0", "artistic", 2, 0),
     ("boost-1.0", "bsl", 1, 0), ("ofl-1.1", "ofl", 1, 1), ("python-2.0", "python", 2, 0), ("python-2.0", "psf", 2, 0), ("gfdl-1.3", "gfdl", 1, 3),
 )
+ALONE = ("lgpl", "agpl", "gfdl", "cddl", "mpl", "affero gpl", "lesser gpl")  # these and a version say enough without a form
 SPDX_ONLY = (("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("postgresql", "postgresql"), ("openssl", "openssl"))  # too common as words for the other forms
 # Creative Commons licences: their parts and versions make the rules.
 CC_PARTS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
@@ -81,10 +88,17 @@ FORMS = (
     ("subject to (the )?(terms of )?(the )?({name})( licen[cs]e)?", 6, 0.85, "subject to "),
     ("({name}) licen[cs]e", 4, 0.8, " licen"),
     ("licen[cs]e ({name})", 3, 0.7, " licen"),
+    ("dual licen[cs]ed (under )?([a-z0-9]{1,20} ){1,8}(and|or) (the )?({name})", 1, 0.8, " dual licen"),
 )
 # Notices that name no licence: label, keywords, expression, priority, confidence.
 NOTICES = (
     ("gpl", "general public licen", "(gnu )?general public licen[cs]e", 2, 0.75),
+    ("gpl", " gpl ", "(gnu )?gpl(?! v?[0-9])", 2, 0.6),
+    ("lgpl", " lgpl ", "(gnu )?lgpl(?! v?[0-9])", 2, 0.6),
+    ("lgpl", " lesser gpl ", "(gnu )?lesser gpl(?! v?[0-9])", 2, 0.6),
+    ("agpl", " agpl ", "(gnu )?agpl(?! v?[0-9])", 2, 0.6),
+    ("agpl", " affero gpl ", "(gnu )?affero gpl(?! v?[0-9])", 2, 0.6),
+    ("agpl", "affero general public licen", "(gnu )?affero general public licen[cs]e", 3, 0.75),
     ("lgpl", "lesser general public licen", "(gnu )?lesser general public licen[cs]e", 3, 0.75),
     ("apache", "apache", "apache( software)? licen[cs]e", 2, 0.7),
     ("mozilla", "mozilla public licen", "mozilla public licen[cs]e", 2, 0.7),
@@ -105,13 +119,13 @@ def rules() -> list[tuple[str, str, str, int, float, bool, str]]:
     names = list(NAMES)
     for label, short, major, minor in SHORT:
         version = f"{major} {minor}" if minor else f"{major}( 0|(?! [0-9] ))"
-        names.append((label, f" {short}", f"{short} ?(version |v ?)?{version}"))
+        names.append((label, f" {short}", f"(gnu )?{short} ?(version |v ?)?{version}" if short in ALONE else f"{short} ?(version |v ?)?{version}"))
     for parts in CC_PARTS:
         long = " ".join(CC_WORDS[p] for p in parts.split())
         names += [(f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", " cc by " if short else "creative commons", f"cc {parts} {v}" if short else f"creative commons {long} {v}") for v in CC_VERSIONS for short in (True, False)]
     for label, keywords, name in names:
         found += [(label, keywords, form.replace("{name}", name), rank, sure, False, word) for form, rank, sure, word in FORMS]
-        if label.startswith("cc-") or "licen" in name:  # the name alone says enough
+        if label.startswith("cc-") or "licen" in name or any(f"{short} ?(" in name for short in ALONE):  # the name alone says enough
             found.append((label, keywords, name, 2, 0.8, False, ""))
     form, rank, sure, word = FORMS[0]
     found += [(label, word, form.replace("{name}", name), rank, sure, False, word) for label, name in SPDX_ONLY]

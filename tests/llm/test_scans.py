@@ -216,3 +216,16 @@ def test_tags_of_long_stretches_join_up(tagger):
     got = pii.all_spans(tagger, [text])[0]
     assert len(got[0]) == 400 and set(got[0]) <= set(got[1])
     assert pii.all_spans(tagger, ["1" * 50_000]) == [([], [])]
+
+
+def test_plain_notices_give_their_labels(spark):
+    want = {
+        "licensed under the GNU GPL version 2": "gpl-2.0", "GPL version 2": "gpl-2.0", "see the GNU GPL": "gpl", "AGPLv3": "agpl-3.0", "GNU Affero GPL v3": "agpl-3.0",
+        "BSD License": "bsd", "licensed under the terms of the BSD license": "bsd", "the new BSD license": "bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: 0BSD": "0bsd", "SPDX-License-Identifier: MIT-0": "mit-0", "SPDX-License-Identifier: MIT": "mit", "Dual licensed under MIT and GPL": "gpl,mit",
+        "dual licensed under the GPL and MIT": "gpl,mit", "dual-licensed under the GPLv2 or the BSD license": "bsd,gpl-2.0", "GNU LGPL v2.1": "lgpl-2.1", "GPLv3": "gpl-3.0",
+        "an MPL 2.0 file": "mpl-2.0", "the gnu manual": "", "a bsd system": "", "mit students": "",
+    }
+    rows = list(enumerate(want))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {text: got[i] for i, text in rows} == want
