@@ -141,14 +141,6 @@ def longer_words(spark, sf_dir):
     return w.groupBy(F.length("w").alias("len")).agg(F.count("*").alias("n"))
 
 
-BOXES = inline("page, part, x0, y0, x1, y1", [(1, "t1", 10, 20, 50, 40), (1, "t1", 12, 42, 60, 80), (1, "t2", 100, 5, 140, 15), (2, "t1", 0, 0, 8, 8), (2, "t1", 6, 9, 30, 31)])
-
-
-@query("a24_box_union", f"SELECT page, part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {BOXES} GROUP BY page, part")
-def box_union(spark, sf_dir):
-    return values(spark, BOXES).groupBy("page", "part").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
-
-
 @query("a25_manifest", "SELECT md5(html) AS asset, min(page_id) AS first_page, max(length(html)) AS size, count(*) AS n FROM pages GROUP BY md5(html)")
 def manifest(spark, sf_dir):
     """Distinct assets with size and hash."""

@@ -74,39 +74,6 @@ def plan_kinds(spark, sf_dir):
     return C.plan_kinds(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderpriority").alias("target_id")))
 
 
-PAGE_BOXES = inline("page, page_size, kind, box_id, x0, y0, x1, y1", [
-    (1, 600, "text", "title", 50, 20, 550, 50), (1, 600, "text", "left1", 50, 100, 280, 200), (1, 600, "text", "left2", 50, 205, 280, 400), (1, 600, "text", "right1", 320, 100, 550, 300), (1, 600, "text", "right2", 320, 305, 550, 400),
-    (2, 600, "icon", "i1", 10, 10, 30, 30), (2, 600, "text", "t1", 40, 8, 200, 32), (2, 600, "icon", "i2", 10, 28, 30, 48), (2, 600, "text", "t2", 40, 34, 200, 60),
-])
-
-
-@query("w21_reading_order")
-def reading_order(spark, sf_dir):
-    """Reading order by XY-cut."""
-    return L.reading_order(values(spark, PAGE_BOXES).drop("kind"))
-
-
-@query("j16_icon_texts")
-def icon_texts(spark, sf_dir):
-    """Icons and the texts beside them, each text once."""
-    return L.icon_texts(values(spark, PAGE_BOXES).where("page = 2").drop("page_size"))
-
-
-@query("s05_box_clusters")
-def box_clusters(spark, sf_dir):
-    """Clusters of boxes that meet within five points."""
-    return L.box_clusters(values(spark, PAGE_BOXES).select("page", "box_id", "x0", "y0", "x1", "y1"))
-
-
-PAGE_TABLES = inline("doc_id, page, table_id, top, bottom, n_cols, deviation, header_same", [("a", 9, "t1", 0.5, 0.9, 2, 99, False), ("a", 11, "t2", 0.1, 0.8, 2, 3, False), ("a", 12, "t3", 0.05, 0.3, 2, 4, True), ("a", 13, "t4", 0.5, 0.9, 2, 1, True), ("b", 1, "t5", 0.6, 0.95, 3, 99, False), ("b", 2, "t6", 0.1, 0.2, 4, 1, True)])
-
-
-@query("w10_stitched_tables")
-def stitched_tables(spark, sf_dir):
-    """Tables continued over pages."""
-    return L.stitched_tables(values(spark, PAGE_TABLES))
-
-
 @query("r05_attempts_in_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS n_in_window FROM events")
 def attempts_in_window(spark, sf_dir):
     """Attempts within 15 minutes before each."""

@@ -98,20 +98,6 @@ def first_cited(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.count("*").alias("n"))
 
 
-POINTS = inline("page, point_id, x, y", [(1, "p1", 15, 25), (1, "p2", 130, 10), (1, "p3", 55, 41), (2, "p4", 7, 8), (2, "p5", 400, 400)])
-RECTS = inline("page, box_id, x0, y0, x1, y1", [(1, "b1", 10, 20, 150, 240), (1, "b2", 12, 22, 60, 80), (1, "b3", 100, 5, 140, 15), (2, "b4", 0, 0, 8, 8), (2, "b5", 6, 9, 30, 31)])
-
-
-@query("j17_points_in_boxes", f"SELECT p.page, point_id, box_id FROM {POINTS.replace('inline_rows', 'p')} JOIN {RECTS.replace('inline_rows', 'b')} ON p.page = b.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-def points_in_boxes(spark, sf_dir):
-    return R.point_in_box(values(spark, POINTS), values(spark, RECTS))
-
-
-@query("j18_outermost_boxes", f"SELECT * FROM {RECTS.replace('inline_rows', 'b')} WHERE NOT EXISTS (SELECT 1 FROM {RECTS.replace('inline_rows', 'o')} WHERE o.page = b.page AND o.box_id <> b.box_id AND b.x0 >= o.x0 AND b.y0 >= o.y0 AND b.x1 <= o.x1 AND b.y1 <= o.y1)")
-def outermost_boxes(spark, sf_dir):
-    return R.outermost(values(spark, RECTS))
-
-
 TARGETS = inline("target_id, name", [(1, "purpose"), (2, "records and forms"), (3, "procedure"), (4, "the erre"), (5, "anin of that")])
 TOPIC = "list_distinct(list_filter(string_split(lower(trim(regexp_replace({0}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))), ' '), lambda w: w <> '' AND w NOT IN " + str(T.STOP_WORDS) + "))"
 

@@ -46,11 +46,17 @@ def point_in_box(points: DataFrame, boxes: DataFrame, cell: int = 100) -> DataFr
     return p.join(b, ["page", "_cx", "_cy"]).where(inside).select("page", "point_id", "box_id")
 
 
-def outermost(boxes: DataFrame) -> DataFrame:
-    """Boxes not inside another one of their page."""
-    o = boxes.select("page", F.col("box_id").alias("_o"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = (F.col("x0") >= F.col("_x0")) & (F.col("y0") >= F.col("_y0")) & (F.col("x1") <= F.col("_x1")) & (F.col("y1") <= F.col("_y1")) & (F.col("box_id") != F.col("_o"))
-    held = boxes.join(o, "page").where(inside).select("page", "box_id").distinct()
+def outermost(boxes: DataFrame, cell: int = 100) -> DataFrame:
+    """Boxes not inside another one of their page; of equal boxes the one of the least box_id stays. A box inside another has its corner in
+    that one, so both meet in a cell of a grid and the join is on equal keys."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    sides = ("x0", "y0", "x1", "y1")
+    b = boxes.select("page", "box_id", *sides, at("x0").alias("_cx"), at("y0").alias("_cy"))
+    o = boxes.select("page", F.col("box_id").alias("_o"), *[F.col(c).alias(f"_{c}") for c in sides])
+    o = o.withColumn("_cx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn("_cy", F.explode(F.sequence(at("_y0"), at("_y1"))))
+    inside = (F.col("x0") >= F.col("_x0")) & (F.col("y0") >= F.col("_y0")) & (F.col("x1") <= F.col("_x1")) & (F.col("y1") <= F.col("_y1"))
+    equal = (F.col("x0") == F.col("_x0")) & (F.col("y0") == F.col("_y0")) & (F.col("x1") == F.col("_x1")) & (F.col("y1") == F.col("_y1"))
+    held = b.join(o, ["page", "_cx", "_cy"]).where(inside & F.when(equal, F.col("_o") < F.col("box_id")).otherwise(F.col("_o") != F.col("box_id"))).select("page", "box_id").distinct()
     return boxes.join(held, ["page", "box_id"], "left_anti")
 
 

@@ -7,6 +7,26 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+COLUMNS = (("title", 50, 500, 80), ("left", 50, 230, 40), ("right", 320, 230, 40))  # name, x0, width, letters in a row
+PAGE_SIZE, ROW, PER_PAGE = 600, 12, 11
+
+
+def typeset(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """page ('document-number'), seq, col, box_id, n_rows, x0, y0, x1, y1: texts set in pages of a title and two columns of five blocks.
+
+    A line that is not blank is a block, as high as its letters need; a block of an odd number of letters has more space below it.
+    Null texts give no blocks; positions depend on one page only, so a document of any length is set by windows over its pages.
+    """
+    blocks = docs.select(id_col, F.posexplode(F.filter(F.split(text_col, "\n"), lambda t: F.trim(t) != "")).alias("seq", "_t"))
+    at = F.col("seq") % PER_PAGE
+    pick = lambda i: F.when(at == 0, COLUMNS[0][i]).when(at <= PER_PAGE // 2, COLUMNS[1][i]).otherwise(COLUMNS[2][i])
+    blocks = blocks.select(F.concat_ws("-", id_col, F.floor(F.col("seq") / PER_PAGE)).alias("page"), "seq", pick(0).alias("col"), pick(1).alias("x0"), pick(2).alias("_w"), F.ceil(F.length("_t") / pick(3)).cast("int").alias("n_rows"), (4 + 4 * (F.length("_t") % 2)).alias("_gap"))
+    high, before = F.col("n_rows") * ROW, Window.partitionBy("page", "col").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    title = F.first("n_rows").over(Window.partitionBy("page").orderBy("seq")) * ROW
+    top = 20 + F.when(F.col("col") == "title", 0).otherwise(title + 50) + F.coalesce(F.sum(high + F.col("_gap")).over(before), F.lit(0))
+    placed = blocks.withColumn("y0", top.cast("int"))
+    return placed.select("page", "seq", "col", F.concat(F.lit("b"), F.lpad(F.col("seq").cast("string"), 7, "0")).alias("box_id"), "n_rows", "x0", "y0", (F.col("x0") + F.col("_w")).alias("x1"), (F.col("y0") + high).alias("y1"))
+
 
 def _order(boxes: list[tuple], page: float, turn: int = 0) -> list[tuple]:
     """XY-cut: split at the widest gap of at least 3% of the page, on alternating axes; leaves by top, then left."""
@@ -29,9 +49,13 @@ def _page_order(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page": rows["page"].iloc[0], "box_id": [b[0] for b in done], "place": range(1, len(done) + 1)})
 
 
+def _page(boxes: DataFrame) -> str:
+    return f"page {boxes.schema['page'].dataType.simpleString()}"
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
     """boxes: page, page_size, box_id, x0, y0, x1, y1. A page's boxes are one group."""
-    return boxes.groupBy("page").applyInPandas(_page_order, "page long, box_id string, place int")
+    return boxes.groupBy("page").applyInPandas(_page_order, f"{_page(boxes)}, box_id string, place int")
 
 
 def _icons(rows: pd.DataFrame) -> pd.DataFrame:
@@ -48,13 +72,13 @@ def _icons(rows: pd.DataFrame) -> pd.DataFrame:
             best = min(best, (rank, t.box_id)) if best else (rank, t.box_id)
         if best:
             taken.add(best[1])
-        out.append((int(rows["page"].iloc[0]), i.box_id, best[1] if best else None))
+        out.append((rows["page"].iloc[0], i.box_id, best[1] if best else None))
     return pd.DataFrame(out, columns=["page", "icon_id", "text_id"])
 
 
 def icon_texts(boxes: DataFrame) -> DataFrame:
     """boxes: page, kind (icon or text), box_id, x0, y0, x1, y1."""
-    return boxes.groupBy("page").applyInPandas(_icons, "page long, icon_id string, text_id string")
+    return boxes.groupBy("page").applyInPandas(_icons, f"{_page(boxes)}, icon_id string, text_id string")
 
 
 def _clusters(gap: float):
@@ -82,7 +106,7 @@ def _clusters(gap: float):
 
 def box_clusters(boxes: DataFrame, gap: float = 5.0) -> DataFrame:
     """Boxes of a page that meet within `gap`, over others too, are one cluster, named by its least box."""
-    return boxes.groupBy("page").applyInPandas(_clusters(gap), "page long, box_id string, cluster string")
+    return boxes.groupBy("page").applyInPandas(_clusters(gap), f"{_page(boxes)}, box_id string, cluster string")
 
 
 def stitched_tables(tables: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import folium.catalog.calls  # noqa: F401
 import folium.catalog.drafting  # noqa: F401
 import folium.catalog.edits  # noqa: F401
 import folium.catalog.facts  # noqa: F401
+import folium.catalog.layouts  # noqa: F401
 import folium.catalog.ordered  # noqa: F401
 import folium.catalog.planning  # noqa: F401
 import folium.catalog.plans  # noqa: F401

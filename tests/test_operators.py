@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from folium.operators import relations
 from folium.plans import chunking, layout
 from folium.queries import QUERIES
 from folium.sources import files
@@ -27,10 +28,31 @@ def test_topics_split_where_terms_change(spark):
     assert [r["part"] for r in got] == [1, 1, 2, 1, 1]
 
 
+BOXES = "page long, page_size int, kind string, box_id string, x0 int, y0 int, x1 int, y1 int"
+
+
 def test_reading_order_and_icons(spark):
-    got = {r["box_id"]: r["place"] for r in QUERIES["w21_reading_order"](spark, SF).where("page = 1").collect()}
+    rows = [(1, 600, "text", "title", 50, 20, 550, 50), (1, 600, "text", "left1", 50, 100, 280, 200), (1, 600, "text", "left2", 50, 205, 280, 400), (1, 600, "text", "right1", 320, 100, 550, 300), (1, 600, "text", "right2", 320, 305, 550, 400)]
+    got = {r["box_id"]: r["place"] for r in layout.reading_order(spark.createDataFrame(rows[::-1], BOXES)).collect()}
     assert sorted(got, key=got.get) == ["title", "left1", "left2", "right1", "right2"]
-    assert {r["icon_id"]: r["text_id"] for r in QUERIES["j16_icon_texts"](spark, SF).collect()} == {"i1": "t1", "i2": "t2"}
+    rows = [(2, 600, "icon", "i1", 10, 10, 30, 30), (2, 600, "text", "t1", 40, 8, 200, 32), (2, 600, "icon", "i2", 10, 28, 30, 48), (2, 600, "text", "t2", 40, 34, 200, 60)]
+    assert {r["icon_id"]: r["text_id"] for r in layout.icon_texts(spark.createDataFrame(rows, BOXES)).collect()} == {"i1": "t1", "i2": "t2"}
+
+
+def test_outermost_keeps_one_of_equal_boxes(spark):
+    rows = [(1, "a", 0, 0, 350, 350), (1, "b", 0, 0, 350, 350), (1, "c", 120, 130, 140, 150), (1, "d", 340, 340, 360, 360), (2, "c", 120, 130, 140, 150), (None, "e", 0, 0, 1, 1)]
+    got = layout_boxes(spark, rows)
+    assert got == {(1, "a"), (1, "d"), (2, "c"), (None, "e")}
+
+
+def layout_boxes(spark, rows):
+    boxes = spark.createDataFrame(rows, "page long, box_id string, x0 int, y0 int, x1 int, y1 int")
+    return {(r["page"], r["box_id"]) for r in relations.outermost(boxes).collect()}
+
+
+def test_typeset_of_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "\n \n"), (4, "a\n\nb")], "doc_id long, text string")
+    assert [(r["page"], r["col"], r["y0"], r["y1"]) for r in layout.typeset(docs).orderBy("seq").collect()] == [("4-0", "title", 20, 32), ("4-0", "left", 82, 94)]
 
 
 def test_box_clusters_follow_chains(spark):
@@ -41,7 +63,9 @@ def test_box_clusters_follow_chains(spark):
 
 
 def test_tables_continue_over_pages(spark):
-    got = {r["table_id"]: r["group_id"] for r in QUERIES["w10_stitched_tables"](spark, SF).collect()}
+    rows = [("a", 9, "t1", 0.5, 0.9, 2, 99, False), ("a", 11, "t2", 0.1, 0.8, 2, 3, False), ("a", 12, "t3", 0.05, 0.3, 2, 4, True), ("a", 13, "t4", 0.5, 0.9, 2, 1, True), ("b", 1, "t5", 0.6, 0.95, 3, 99, False), ("b", 2, "t6", 0.1, 0.2, 4, 1, True)]
+    tables = spark.createDataFrame(rows, "doc_id string, page int, table_id string, top double, bottom double, n_cols int, deviation int, header_same boolean")
+    got = {r["table_id"]: r["group_id"] for r in layout.stitched_tables(tables).collect()}
     assert got == {"t1": "t1", "t2": "t1", "t3": "t1", "t4": "t4", "t5": "t5", "t6": "t6"}
 
 
