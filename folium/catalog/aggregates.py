@@ -147,27 +147,32 @@ def manifest(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.md5("html").alias("asset")).agg(F.min("page_id").alias("first_page"), F.max(F.length("html")).alias("size"), F.count("*").alias("n"))
 
 
-RUNNING = inline("doc_id, page, zone, line", [("a", 1, "top", "Quality Manual"), ("a", 2, "top", "quality  manual"), ("a", 3, "top", "QUALITY MANUAL"), ("a", 4, "top", "Chapter"), ("a", 1, "bottom", "Page 1 of 4"), ("a", 2, "bottom", "Page 2 of 4"), ("a", 3, "bottom", "Page 3 of 4"), ("a", 4, "body", "quality manual"), ("b", 1, "top", "Only"), ("c", 1, "top", "Twice"), ("c", 2, "top", "Twice")])
+_LINES = "generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '') AS s FROM documents)"
 
 
 @query("a03_running_texts", f"""
-WITH l AS (SELECT doc_id, page, zone, regexp_replace(lower(trim(regexp_replace(line, '[ \\t]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS t FROM {RUNNING}), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id)
-SELECT doc_id, t, count(DISTINCT page) AS n_pages FROM l JOIN p USING (doc_id) WHERE zone <> 'body' AND pages > 1 GROUP BY doc_id, t, pages HAVING count(DISTINCT page) >= greatest(2, pages // 2)""")
+WITH l AS (SELECT doc_id, i // 10 AS page, i, regexp_replace(lower(trim(regexp_replace(line, '[ \\t]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS t FROM (SELECT doc_id, {_LINES})),
+z AS (SELECT *, i IN (min(i) OVER w, max(i) OVER w) AS edge, max(page) OVER (PARTITION BY doc_id) + 1 AS pages FROM l WINDOW w AS (PARTITION BY doc_id, page))
+SELECT doc_id, t, count(DISTINCT page) AS n_pages FROM z WHERE edge AND pages > 1 GROUP BY doc_id, t, pages HAVING count(DISTINCT page) >= greatest(2, pages // 2)""")
 def running_texts(spark, sf_dir):
-    """Header and footer texts: at page edges, on max(2, half) of the pages."""
-    lines = values(spark, RUNNING).withColumn("t", F.regexp_replace(T.normal("line"), "[0-9]+", "#"))
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    found = lines.where("zone != 'body'").groupBy("doc_id", "t").agg(F.countDistinct("page").alias("n_pages")).join(pages, "doc_id")
-    return found.where((F.col("pages") > 1) & (F.col("n_pages") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))).drop("pages")
+    """Header and footer texts: at page edges, on max(2, half) of the pages (A3, P9); ten lines that are not blank are a page."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda t: F.trim(t) != "")).alias("i", "line")).withColumn("page", F.floor(F.col("i") / 10))
+    w = Window.partitionBy("doc_id", "page")
+    lines = lines.select("doc_id", "page", F.regexp_replace(T.normal("line"), "[0-9]+", "#").alias("t"), ((F.col("i") == F.min("i").over(w)) | (F.col("i") == F.max("i").over(w))).alias("edge"))
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where("pages > 1")
+    found = lines.where("edge").groupBy("doc_id", "t").agg(F.countDistinct("page").alias("n_pages")).join(pages, "doc_id")
+    return found.where(F.col("n_pages") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2))).drop("pages")
 
 
-ABBREVIATIONS = inline("pos, abbr, full_term", [(1, "SOP", "standard operating procedure"), (4, "SOP", "standard operation plan"), (2, "QA", "quality assurance"), (6, "QA", "quality assurance"), (3, "CAPA", None)])
+_ABBR = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1])), '') || p_type[1]"
 
 
-@query("a19_abbreviations", f"SELECT abbr, count(DISTINCT full_term) > 1 AS conflict, min(pos) AS first_use, min(CASE WHEN full_term IS NOT NULL THEN pos END) AS first_spelled, count(full_term) = 0 AS is_undefined FROM {ABBREVIATIONS} GROUP BY abbr")
+@query("a19_abbreviations", f"SELECT abbr, count(DISTINCT full_term) > 1 AS conflict, min(pos) AS first_use, min(CASE WHEN full_term IS NOT NULL THEN pos END) AS first_spelled, count(full_term) = 0 AS is_undefined FROM (SELECT p_partkey AS pos, {_ABBR} AS abbr, CASE WHEN p_size % 3 <> 0 THEN p_name || ' ' || p_type END AS full_term FROM part) GROUP BY abbr")
 def abbreviations(spark, sf_dir):
-    """Conflicting and undefined abbreviations, first use and first spelling."""
-    return values(spark, ABBREVIATIONS).groupBy("abbr").agg((F.countDistinct("full_term") > 1).alias("conflict"), F.min("pos").alias("first_use"), F.min(F.when(F.col("full_term").isNotNull(), F.col("pos"))).alias("first_spelled"), (F.count("full_term") == 0).alias("is_undefined"))
+    """Conflicting and undefined abbreviations, first use and first spelling (A19): part names by their initials, not spelled out at each third size."""
+    initials = F.array_join(F.transform(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), lambda x: F.upper(F.substring(x, 1, 1))), "")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), initials.alias("abbr"), F.when(F.col("p_size") % 3 != 0, F.concat_ws(" ", "p_name", "p_type")).alias("full_term"))
+    return p.groupBy("abbr").agg((F.countDistinct("full_term") > 1).alias("conflict"), F.min("pos").alias("first_use"), F.min(F.when(F.col("full_term").isNotNull(), F.col("pos"))).alias("first_spelled"), (F.count("full_term") == 0).alias("is_undefined"))
 
 
 @query("a23_usage_sums", "SELECT event_type, count(props) AS n, sum(length(props)) AS chars, floor(sum(value)) AS value FROM events GROUP BY event_type")

@@ -1,4 +1,4 @@
-"""Queries over facts, preservation checks and gates. Driver tables hold next to none of these, so inline texts do."""
+"""Queries over facts, preservation checks and gates; where the given texts hold none, rows of given tables are written as sentences."""
 
 from __future__ import annotations
 
@@ -6,33 +6,44 @@ from pyspark.sql import functions as F
 
 from folium.functions import facts as X, text as T
 from folium.operators import quality as Q
-from folium.registry import inline, query, table, values
+from folium.registry import query, table
 
-TEXTS = inline("id, txt, want", [
-    (1, "finish within three working days", "deadline:<=3 business_day"), (2, "hold for 12 calendar days", "duration:12 calendar_day"), (3, "twice a month", "frequency:2/1 month"),
-    (4, "every 12 months", "frequency:1/1 year"), (5, "at least 80 %", "percentage:>=80%"), (6, "weigh 2,500 mg", "number:2500 mg"), (7, "on 3 March 2024 or 04.03.2024", "date:2024-03-03,date:2024-03-04"),
-    (8, "see section 2.4 and table 7", ""), (9, "between 4 and 2.50 kg, every two weeks", "frequency:1/2 week,number:2.5 kg,number:4"), (10, "Released 2024-05-06", "date:2024-05-06"),
-])
+_WORD = "(" + ", ".join(f"'{w}'" for w in X.NUMBER_WORDS) + ")"
+_PRICE = "round(l_extendedprice * 100)::BIGINT"
 
 
-@query("f10_values", f"SELECT id, want AS found FROM {TEXTS}")
+
+@query("f10_values", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_sort([
+  'date:' || strftime(l_shipdate, '%Y-%m-%d'), 'duration:' || l_quantity::INT || ' business_day', 'percentage:<=' || round(l_discount * 100)::INT || '%', 'deadline:<=' || (l_linenumber % 12 + 1) || ' week',
+  'frequency:' || CASE l_returnflag WHEN 'A' THEN '1/1 year' WHEN 'N' THEN '2/1 week' ELSE '1/' || (l_linenumber + 2) || ' day' END,
+  'number:' || {_PRICE} // 100 || CASE WHEN {_PRICE} % 100 = 0 THEN '' WHEN {_PRICE} % 10 = 0 THEN '.' || {_PRICE} % 100 // 10 ELSE '.' || lpad(({_PRICE} % 100)::VARCHAR, 2, '0') END || ' kg'
+]), ',') AS found FROM lineitem""")
 def fact_values(spark, sf_dir):
-    """Values in canonical form, as kind and text (F8, F9, F10); the SQL side holds the expected forms."""
-    rows = values(spark, TEXTS).select("id", F.explode_outer(X.values("txt")).alias("v"))
-    rows = rows.select("id", F.concat_ws(":", "v.kind", X.canonical(F.col("v.kind"), F.col("v.raw"))).alias("x"))
-    return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("x") != "", F.col("x")))), ",").alias("found"))
+    """Values in canonical form, as kind and text (F8, F9, F10). Each line item is written as a sentence; SQL states the facts from its columns."""
+    day, word = F.col("l_shipdate"), F.element_at(F.array(*[F.lit(w) for w in X.NUMBER_WORDS]), F.col("l_linenumber") % 12 + 1)
+    spelled = F.concat_ws(" ", F.dayofmonth(day), F.element_at(F.array(*[F.lit(m.capitalize()) for m in X.MONTHS]), F.month(day)), F.year(day))
+    shown = F.when(F.col("l_linenumber") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("l_linenumber") % 3 == 1, F.date_format(day, "d.M.yyyy")).otherwise(spelled)
+    often = F.when(F.col("l_returnflag") == "A", "every 12 months").when(F.col("l_returnflag") == "N", "Twice a week").otherwise(F.concat(F.lit("every "), F.col("l_linenumber") + 2, F.lit(" days")))
+    txt = F.concat(
+        F.lit("Ship on "), shown, F.lit("; hold for "), F.col("l_quantity").cast("int"), F.lit(" working days. Grant at most "), F.round(F.col("l_discount") * 100).cast("int"), F.lit(" %; reply within "), word,
+        F.lit(" weeks, see section 2.4 and table 7; weigh "), F.format_number("l_extendedprice", 2), F.lit(" kg "), often, F.lit("."),
+    )
+    found = F.transform(X.values(txt), lambda v: F.concat_ws(":", v["kind"], X.canonical(v["kind"], v["raw"])))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.array_sort(found), ",").alias("found"))
 
 
-SENTENCES = inline("id, txt, want", [
-    (1, "Operators must wear gloves.", "obligation"), (2, "Gloves must not be reused.", "prohibition"), (3, "The file may be archived and should be signed.", "permission recommendation"),
-    (4, "Approved in May 2024.", ""), (5, "Staff are required to log in; they can never share keys.", "capability obligation prohibition"), (6, "It rains.", ""),
-])
+SENTENCES = {"1": "Operators must wear gloves.", "2": "Gloves must not be reused.", "3": "The file may be archived and should be signed.", "4": "Staff are required to log in; they can never share keys."}
 
 
-@query("f11_modalities", f"SELECT id, want AS modalities FROM {SENTENCES}")
+@query("f11_modalities", "SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'obligation' WHEN '2' THEN 'prohibition' WHEN '3' THEN 'permission recommendation' WHEN '4' THEN 'capability obligation prohibition' ELSE '' END AS modalities FROM orders")
 def modality_sets(spark, sf_dir):
-    """Modalities of sentences (F11); the SQL side holds the expected sets."""
-    return values(spark, SENTENCES).select("id", F.array_join(F.array_sort(X.modalities("txt")), " ").alias("modalities"))
+    """Modalities of sentences (F11): each order gives one of its priority, the last kind a month that is no modal verb."""
+    kind = F.substring("o_orderpriority", 1, 1)
+    txt = F.concat_ws(" ", F.lit("Approved in May"), F.year("o_orderdate")).alias("txt")
+    for k, sentence in SENTENCES.items():
+        txt = F.when(kind == k, F.concat_ws(" ", F.lit(sentence), F.lit("Order"), "o_orderkey")).otherwise(txt)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(X.modalities(txt)), " ").alias("modalities"))
 
 
 @query("f11_modal_documents", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\b(must|shall|should|may|can)\b')) AS n FROM documents")
@@ -41,23 +52,22 @@ def modal_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"\b(must|shall|should|may|can)\b")).alias("n"))
 
 
-NAMES = inline("id, txt, abbr, quoted, tags, role", [
-    (1, "The Standard Operating Procedure (SOP) names \"Quality Unit Lead\".", "SOP=Standard Operating Procedure", "Quality Unit Lead", "", "quality assurance manager"),
-    (2, "Report each deviation (XY) unless approved.", "", "", "deviation approval", "operator"), (3, "Keep records; toxic waste at most 5 kg", "", "", "safety limit record", "boss"),
-])
-ROLES = inline("id, role_text", [(1, "the QA managers"), (2, "Operators"), (3, "a boss")])
-
-
-@query("f12_names_and_risks", f"SELECT id, abbr, quoted, tags, role FROM {NAMES}")
+@query("f12_names_and_risks", """
+SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1])), '') || p_type[1] || '=' || p_name || ' ' || lower(p_type) AS abbr, p_name AS quoted,
+  CASE p_size % 4 WHEN 0 THEN 'deviation approval' WHEN 1 THEN 'safety limit record' WHEN 2 THEN 'record' ELSE '' END AS tags, CASE p_size % 3 WHEN 0 THEN 'quality assurance manager' WHEN 1 THEN 'operator' ELSE 'boss' END AS role FROM part""")
 def names_and_risks(spark, sf_dir):
-    """Abbreviations, quoted names, risk tags and canonical roles."""
-    n = values(spark, NAMES).select("id", "txt").join(values(spark, ROLES), "id")
+    """Abbreviations, quoted names, risk tags and canonical roles (F12, F14, F15, F39): each part is written as a sentence, SQL states what it holds."""
+    words = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    short = F.array_join(F.transform(F.split(words, " "), lambda x: F.upper(F.substring(x, 1, 1))), "")
+    risk = F.when(F.col("p_size") % 4 == 0, "Report each change (XYZQ) unless approved.").when(F.col("p_size") % 4 == 1, "Keep records; toxic waste at most 5 kg.").when(F.col("p_size") % 4 == 2, "Then archive it.").otherwise("It rains.")
+    role = F.when(F.col("p_size") % 3 == 0, "the QA managers").when(F.col("p_size") % 3 == 1, "Operators").otherwise("a boss")
+    txt = F.concat(F.lit("Use the "), words, F.lit(" ("), short, F.lit('), a "'), F.col("p_name"), F.lit('" of "one". '), risk)
+    n = table(spark, sf_dir, "part").select("p_partkey", txt.alias("txt"), role.alias("role_text"))
     abbr = F.array_join(F.transform(X.abbreviations("txt"), lambda x: F.concat_ws("=", x["abbr"], x["full"])), ",")
-    return n.select("id", abbr.alias("abbr"), F.array_join(X.quoted_names("txt"), ",").alias("quoted"), F.array_join(X.risk_tags("txt"), " ").alias("tags"), X.canonical_role("role_text").alias("role"))
+    return n.select("p_partkey", abbr.alias("abbr"), F.array_join(X.quoted_names("txt"), ",").alias("quoted"), F.array_join(X.risk_tags("txt"), " ").alias("tags"), X.canonical_role("role_text").alias("role"))
 
 
-SOURCE = inline("unit, kind, value", [("u1", "number", "5 mg"), ("u1", "number", "7 mg"), ("u1", "date", "2024-01-01"), ("u2", "duration", "3 day"), ("u3", "number", "4"), ("u3", "number", "4")])
-DRAFT = inline("unit, kind, value", [("u1", "number", "5 mg"), ("u1", "number", "8 mg"), ("u2", "duration", "3 day"), ("u2", "number", "9"), ("u3", "number", "4")])
+SOURCE, DRAFT = (f"(SELECT user_id AS unit, event_type AS kind, floor(value / 100)::INT::VARCHAR AS value FROM events WHERE hour(ts) {side} 12)" for side in ("<", ">="))
 
 
 @query("c09_preservation", f"""
@@ -68,8 +78,9 @@ m AS (SELECT unit, kind, value, row_number() OVER (PARTITION BY unit, kind ORDER
 SELECT coalesce(l.unit, m.unit) AS unit, coalesce(l.kind, m.kind) AS kind, CASE WHEN l.unit IS NULL THEN 'added' WHEN m.unit IS NULL THEN 'missing' ELSE 'changed' END AS change, l.value AS was, m.value AS now
 FROM l FULL JOIN m ON l.unit = m.unit AND l.kind = m.kind AND l.k = m.k""")
 def preservation(spark, sf_dir):
-    """Changed, missing and added values."""
-    return Q.compare_facts(values(spark, SOURCE), values(spark, DRAFT), "unit")
+    """Changed, missing and added values (C9): those of a user's mornings against the afternoons."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("kind"), F.floor(F.col("value") / 100).cast("string").alias("value"), (F.hour("ts") < 12).alias("early"))
+    return Q.compare_facts(e.where("early").drop("early"), e.where("not early").drop("early"), "unit")
 
 
 @query("c09_number_preservation", r"""

@@ -32,18 +32,15 @@ def nested_children(spark, sf_dir):
     return both.select("o_orderkey", F.array_join(F.col("c").cast("array<string>"), " ").alias("lines"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-CLAIMS = inline("claim_id, unit_csv", [("c1", "u1 u2 u1"), ("c2", "u3"), ("c3", None), ("c4", "u9")])
-UNITS = inline("unit_id, section_id, unit_text", [("u1", "s1", "Wash hands for 20 seconds."), ("u2", "s1", "See section 2."), ("u3", "s2", "Keep records for 5 years.")])
-SECTIONS = inline("section_id, number, heading", [("s1", "1", "Procedure"), ("s2", "2", "Records"), ("s3", "2.1", "Forms"), ("s4", "10", "Terms")])
-
-
-@query("j04_trace", f"""
-SELECT c.claim_id, c.unit_id, u.section_id, s.heading FROM (SELECT DISTINCT claim_id, unit_id FROM (SELECT claim_id, unnest(CASE WHEN unit_csv IS NULL THEN [NULL] ELSE string_split(unit_csv, ' ') END) AS unit_id FROM {CLAIMS})) c
-LEFT JOIN {UNITS.replace('inline_rows', 'u')} ON u.unit_id = c.unit_id LEFT JOIN {SECTIONS.replace('inline_rows', 's')} ON s.section_id = u.section_id""")
+@query("j04_trace", """
+SELECT DISTINCT o_orderkey AS claim_id, l_suppkey AS unit_id, s_nationkey AS section_id, n_name AS heading FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0 LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 0""")
 def trace(spark, sf_dir):
-    """Claims with their cited units and sections."""
-    claims = values(spark, CLAIMS).select("claim_id", F.split("unit_csv", " ").alias("unit_ids"))
-    return R.trace(claims, values(spark, UNITS).select("unit_id", "section_id"), values(spark, SECTIONS).select("section_id", "heading"))
+    """Claims with their cited units and sections (J4, J5): orders cite suppliers, which stand in nations; some of both are unknown."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("unit_ids"))
+    claims = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("claim_id"), "unit_ids")
+    units = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("unit_id"), F.col("s_nationkey").alias("section_id"))
+    return R.trace(claims, units, table(spark, sf_dir, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("section_id"), F.col("n_name").alias("heading")))
 
 
 @query("j06_missing_keys", """
@@ -72,26 +69,6 @@ def in_use(spark, sf_dir):
     return both.groupBy("p_partkey").agg(F.countDistinct("l_orderkey").alias("n_orders"), F.array_join(ids.cast("array<string>"), " ").alias("first_orders"))
 
 
-XREFS = inline("ref_id, from_unit, kind, target", [("x1", "u1", "section", "2"), ("x2", "u1", "section", "7"), ("x3", "u3", "external", "ISO 1"), ("x4", "u2", "section", "2.1"), ("x5", "u3", "section", "10")])
-
-
-@query("j10_resolved_references", f"""
-SELECT ref_id, s.section_id, CASE WHEN kind = 'external' THEN 'external' WHEN s.section_id IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution,
- CASE WHEN s.number IS NULL THEN NULL WHEN string_split(s.number, '.')::INT[] > string_split(f.number, '.')::INT[] THEN 'below' WHEN string_split(s.number, '.')::INT[] < string_split(f.number, '.')::INT[] THEN 'above' ELSE 'here' END AS direction
-FROM {XREFS.replace('inline_rows', 'x')} LEFT JOIN {SECTIONS.replace('inline_rows', 's')} ON kind = 'section' AND s.number = x.target LEFT JOIN {UNITS.replace('inline_rows', 'u')} ON u.unit_id = x.from_unit LEFT JOIN {SECTIONS.replace('inline_rows', 'f')} ON f.section_id = u.section_id""")
-def resolved_references(spark, sf_dir):
-    """Cross references to sections, what is unresolved, and where the target lies."""
-    s = values(spark, SECTIONS)
-    f = s.select("section_id", F.col("number").alias("from_number"))
-    x = values(spark, XREFS).join(values(spark, UNITS).select(F.col("unit_id").alias("from_unit"), "section_id"), "from_unit", "left").join(f, "section_id", "left").drop("section_id")
-    x = x.join(s.select(F.col("number").alias("target"), "section_id", F.lit("section").alias("kind")), ["kind", "target"], "left")
-    parts = lambda c: F.split(c, "[.]").cast("array<int>")  # noqa: E731  10 comes after 2
-    known = F.when(F.col("section_id").isNotNull(), parts(F.col("target")))
-    way = F.when(known > parts(F.col("from_number")), "below").when(known < parts(F.col("from_number")), "above").when(known.isNotNull(), "here")
-    state = F.when(F.col("kind") == "external", "external").when(F.col("section_id").isNull(), "unresolved").otherwise("resolved")
-    return x.select("ref_id", "section_id", state.alias("resolution"), way.alias("direction"))
-
-
 @query("j11_first_cited", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS n FROM events GROUP BY user_id, event_type")
 def first_cited(spark, sf_dir):
     """The first citation of a target within a unit wins."""

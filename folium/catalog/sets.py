@@ -78,15 +78,15 @@ def hamming_match(spark, sf_dir):
     return pairs.groupBy("icon_id").agg(F.min_by("m", "k").alias("meaning"))
 
 
-CELLS = inline("cell, parts", [(1, "Step 1 open|open|Step|close"), (2, "only|only"), (3, "a b|b c|c")])
+CELLS = "(SELECT page_id AS cell, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS parts FROM pages)"
 
 
-@query("u06_cell_texts", f"SELECT cell, string_agg(x, '|' ORDER BY nth) AS text FROM (SELECT cell, p, x, min(i) AS nth FROM (SELECT cell, string_split(parts, '|') AS p, unnest(string_split(parts, '|')) AS x, generate_subscripts(string_split(parts, '|'), 1) AS i FROM {CELLS}) GROUP BY ALL) WHERE NOT list_any_value(list_filter(p, lambda y: y <> x AND contains(y, x))) IS NOT NULL GROUP BY cell")
+@query("u06_cell_texts", f"SELECT cell AS page_id, string_agg(x, ' ' ORDER BY nth) AS text FROM (SELECT cell, p, x, min(i) AS nth FROM (SELECT cell, string_split(parts, ' ') AS p, unnest(string_split(parts, ' ')) AS x, generate_subscripts(string_split(parts, ' '), 1) AS i FROM {CELLS}) GROUP BY ALL) WHERE NOT list_any_value(list_filter(p, lambda y: y <> x AND contains(y, x))) IS NOT NULL GROUP BY cell")
 def cell_texts(spark, sf_dir):
-    """Parts of a cell that another part contains are dropped."""
-    rows = values(spark, CELLS).withColumn("p", F.array_distinct(F.split("parts", "[|]")))
+    """Parts of a text that another part contains are dropped (U6): words of each page's first heading."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.array_distinct(F.split(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1), " ")).alias("p"))
     kept = F.filter("p", lambda x: ~F.exists("p", lambda y: (y != x) & y.contains(x)))
-    return rows.select("cell", F.array_join(kept, "|").alias("text"))
+    return rows.select("page_id", F.array_join(kept, " ").alias("text"))
 
 
 @query("u10_longest_matches")

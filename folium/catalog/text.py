@@ -89,27 +89,6 @@ def token_estimates(spark, sf_dir):
     return docs.groupBy("lang").agg(F.sum("t").alias("tokens"), F.max("t").alias("largest"))
 
 
-HEADINGS = inline("id, h", [(1, "1.2 Purpose"), (2, "A. Scope of use"), (3, "Section 4: Records"), (4, "3) "), (5, "Procedure steps"), (6, "Appendix B Reference forms"), (7, "10.4.2. Annex: list"), (8, "References")])
-
-
-def _cut(column, pattern):
-    return f"coalesce(nullif(regexp_replace({column}, '{pattern}', ''), ''), {column})"
-
-
-TITLE = _cut(_cut(_cut("trim(h)", r"^[0-9]+(\.[0-9]+)*[.)]?[ \t]+"), r"^[A-Z][.)][ \t]+"), r"^(Section|Chapter|Appendix) [0-9A-Z]+[:.]?[ \t]+")
-
-
-@query("f29_headings", f"""
-SELECT id, {TITLE} AS title,
- CASE WHEN regexp_matches(lower(h), 'procedure|step|instruction') THEN 'procedure' WHEN regexp_matches(lower(h), 'reference|bibliography') THEN 'reference' WHEN regexp_matches(lower(h), 'appendix|annex') THEN 'appendix' ELSE 'section' END AS kind,
- left(trim(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS slug
-FROM {HEADINGS}""")
-def headings(spark, sf_dir):
-    """Titles without numbers, their kind and slug."""
-    h = values(spark, HEADINGS)
-    return h.select("id", T.without_number("h").alias("title"), T.chunk_type(F.col("h")).alias("kind"), T.slug("h").alias("slug"))
-
-
 @query("f30_lead_sentences", """
 SELECT doc_id, CASE WHEN strpos(text, '. ') > 0 AND strpos(text, '. ') < 180 THEN left(text, strpos(text, '. ')) WHEN length(text) > 140 THEN left(text, 140) || '...' ELSE text END AS lead FROM documents""")
 def lead_sentences(spark, sf_dir):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from folium.plans import tree as T
+from folium.functions import text as X
+from folium.plans import chunking as C, tree as T
 from folium.registry import query, table
 from folium.sources import pages as P
 
@@ -131,3 +132,80 @@ def resolved_references(spark, sf_dir):
     target = F.lag("section").over(Window.partitionBy("doc_id").orderBy("seq"))
     refs = heads.select("doc_id", "seq", target.alias("target")).where("target IS NOT NULL").withColumn("phrase", F.concat(F.lit("see "), "target", F.lit(", not 1"), "target"))
     return T.resolved(refs, T.number_map(elements, "doc_id", F.length("content") % 3 != 0), "doc_id").drop("phrase")
+
+
+def _heads(spark, sf_dir):
+    """Headings of the tree of lines: doc_id, seq, section (path), up (path of the heading above), title."""
+    heads = T.numbered(T.line_elements(table(spark, sf_dir, "documents")), "doc_id").where("ordinal = 0 AND section <> '0'")
+    return heads.select("doc_id", "seq", "section", F.when(F.contains("section", F.lit(".")), F.regexp_replace("section", r"\.[0-9]+$", "")).alias("up"), F.col("content").alias("title"))
+
+
+_TITLED = LINE_SQL + TREE_SQL + ", titled AS (SELECT h.doc, h.seq, h.parent, h.path, e.content AS title FROM heads h JOIN elements e ON e.doc = h.doc AND e.seq = h.seq)"
+
+
+@query("w11_heading_numbers", _TITLED + " SELECT doc AS doc_id, seq, title, path AS number FROM titled")
+def heading_numbers(spark, sf_dir):
+    """Counters of any depth; deeper ones restart (W11, S10): short lines of documents as headings of up to five levels."""
+    return _heads(spark, sf_dir).select("doc_id", "seq", "title", F.col("section").alias("number"))
+
+
+@query("w03_heading_parents", _TITLED + " SELECT a.doc AS doc_id, a.seq, a.title, b.title AS parent FROM titled a LEFT JOIN titled b ON b.doc = a.doc AND b.seq = a.parent")
+def heading_parents(spark, sf_dir):
+    """Nearest heading before of a lower level, any number of levels."""
+    heads = _heads(spark, sf_dir)
+    above = heads.select("doc_id", F.col("section").alias("up"), F.col("title").alias("parent"))
+    return heads.join(above, ["doc_id", "up"], "left").select("doc_id", "seq", "title", "parent")
+
+
+@query("w24_paths_to_root", _TITLED + """, r AS (
+  SELECT doc, seq, path AS section, title AS path FROM titled WHERE parent IS NULL
+  UNION ALL
+  SELECT t.doc, t.seq, t.path, r.path || ' > ' || t.title FROM titled t JOIN r ON r.doc = t.doc AND r.seq = t.parent
+)
+SELECT doc || ':' || section AS node_id, path FROM r""")
+def paths_to_root(spark, sf_dir):
+    """Titles from the root down to each heading (W24); a path's parts double with each join."""
+    node = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", "doc_id", c))
+    return C.paths_to_root(_heads(spark, sf_dir).select(node("section").alias("node_id"), node("up").alias("parent_id"), "title"))
+
+
+def _cut(column, pattern):
+    return f"coalesce(nullif(regexp_replace({column}, '{pattern}', ''), ''), {column})"
+
+
+_TITLE = _cut(_cut(_cut("trim(h)", r"^[0-9]+(\.[0-9]+)*[.)]?[ \t]+"), r"^[A-Z][.)][ \t]+"), r"^(Section|Chapter|Appendix) [0-9A-Z]+[:.]?[ \t]+")
+
+
+@query("f29_headings", _TITLED + f""", n AS (SELECT doc, seq, CASE seq % 4 WHEN 1 THEN 'Section ' || left(path, 1) || ': ' WHEN 2 THEN 'A. ' WHEN 3 THEN 'Appendix B ' ELSE path || ' ' END || title AS h FROM titled)
+SELECT doc AS doc_id, seq, {_TITLE} AS title,
+ CASE WHEN regexp_matches(lower(h), 'procedure|step|instruction') THEN 'procedure' WHEN regexp_matches(lower(h), 'reference|bibliography') THEN 'reference' WHEN regexp_matches(lower(h), 'appendix|annex') THEN 'appendix' ELSE 'section' END AS kind,
+ left(trim(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS slug
+FROM n""")
+def headings(spark, sf_dir):
+    """Titles without numbers, their kind and slug (F29, F31, F33): headings with numbers and names of four forms before them."""
+    form, number = F.col("seq") % 4, F.substring("section", 1, 1)
+    lead = F.when(form == 1, F.concat(F.lit("Section "), number, F.lit(": "))).when(form == 2, "A. ").when(form == 3, "Appendix B ").otherwise(F.concat("section", F.lit(" ")))
+    h = _heads(spark, sf_dir).select("doc_id", "seq", F.concat(lead, "title").alias("h"))
+    return h.select("doc_id", "seq", X.without_number("h").alias("title"), X.chunk_type(F.col("h")).alias("kind"), X.slug("h").alias("slug"))
+
+
+@query("j10_resolved_references", _TITLED + r""", x AS (
+  SELECT doc, seq, 'down' AS way, path AS own, path || '.1' AS target, CASE WHEN length(title) % 5 = 0 THEN 'external' ELSE 'section' END AS kind FROM titled
+  UNION ALL
+  SELECT doc, seq, 'up', path, regexp_replace(path, '\.[0-9]+$', ''), 'section' FROM titled WHERE parent IS NOT NULL
+)
+SELECT x.doc AS doc_id, x.seq, x.way, s.seq AS target_seq, CASE WHEN kind = 'external' THEN 'external' WHEN s.seq IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution,
+  CASE WHEN s.seq IS NULL THEN NULL WHEN string_split(target, '.')::INT[] > string_split(own, '.')::INT[] THEN 'below' WHEN string_split(target, '.')::INT[] < string_split(own, '.')::INT[] THEN 'above' ELSE 'here' END AS direction
+FROM x LEFT JOIN titled s ON kind = 'section' AND s.doc = x.doc AND s.path = x.target""")
+def resolved_sections(spark, sf_dir):
+    """Cross references to sections, what is unresolved, and where the target lies (J10, J12): each heading refers to its first child and the one above."""
+    heads = _heads(spark, sf_dir)
+    down = heads.select("doc_id", "seq", F.lit("down").alias("way"), F.col("section").alias("own"), F.concat("section", F.lit(".1")).alias("target"), F.when(F.length("title") % 5 == 0, "external").otherwise("section").alias("kind"))
+    up = heads.where("up IS NOT NULL").select("doc_id", "seq", F.lit("up").alias("way"), F.col("section").alias("own"), F.col("up").alias("target"), F.lit("section").alias("kind"))
+    known = heads.select("doc_id", F.col("section").alias("target"), F.lit("section").alias("kind"), F.col("seq").alias("target_seq"))
+    x = down.unionByName(up).join(known, ["doc_id", "kind", "target"], "left")
+    parts = lambda c: F.split(c, "[.]").cast("array<int>")  # noqa: E731  10 comes after 2
+    there = F.when(F.col("target_seq").isNotNull(), parts("target"))
+    way = F.when(there > parts("own"), "below").when(there < parts("own"), "above").when(there.isNotNull(), "here")
+    state = F.when(F.col("kind") == "external", "external").when(F.col("target_seq").isNull(), "unresolved").otherwise("resolved")
+    return x.select("doc_id", "seq", "way", "target_seq", state.alias("resolution"), way.alias("direction"))
