@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.operators import units as U
-from folium.registry import inline, query, table, values
+from folium.registry import derived, inline, query, table, values
 
 
 def named(relation: str, name: str) -> str:
@@ -51,9 +51,7 @@ def rule_bearing(spark, sf_dir):
     return values(spark, SECTIONS).where(~F.col("number").eqNullSafe("0") & ~heading.isin(NO_RULES) & ~own).select("section_id")
 
 
-SIGNALS = inline("section_id, target, name_score, label_score, cosine", [
-    ("s1", "t1", 0.9, 0.2, 0.11), ("s1", "t2", 0.1, 0.84, 0.42), ("s2", "t1", 0.79, 0.31, 0.5), ("s2", "t2", 0.0, 0.92, 0.77), ("s3", "t1", 0.8, 0.5, 0.25), ("s3", "t2", 0.3, 0.0, 0.0),
-])
+SIGNALS = "(SELECT user_id AS section_id, event_type AS target, (count(*) % 97) / 97e0 AS name_score, (max(event_id) % 97) / 97e0 AS label_score, (min(event_id) % 89) / 89e0 AS cosine FROM events GROUP BY user_id, event_type) AS inline_rows"
 
 
 @query("f19_combined_scores", f"""
@@ -62,16 +60,13 @@ SELECT section_id, target, content, round(w * name_score + (1 - w) * content, 3)
  (SELECT section_id, CASE WHEN max(name_score) >= 0.8 THEN 0.7 ELSE 0.35 END AS w FROM {SIGNALS} GROUP BY section_id) AS m ON m.section_id = s.section_id)""")
 def combined_scores(spark, sf_dir):
     """Name and content scores of a section for each target (F19): the name leads where one name is strong, else the content."""
-    s = values(spark, SIGNALS).select("section_id", "target", *[F.col(c).cast("double").alias(c) for c in ("name_score", "label_score", "cosine")])
+    s = derived(spark, sf_dir, SIGNALS).select("section_id", "target", *[F.col(c).cast("double").alias(c) for c in ("name_score", "label_score", "cosine")])
     best = s.groupBy("section_id").agg(F.when(F.max("name_score") >= 0.8, 0.7).otherwise(0.35).alias("w"))
     s = s.join(best, "section_id").withColumn("content", F.round(0.75 * F.col("label_score") + 0.25 * F.col("cosine"), 3))
     return s.select("section_id", "target", "content", F.round(F.col("w") * F.col("name_score") + (1 - F.col("w")) * F.col("content"), 3).alias("combined"))
 
 
-PHRASES = inline("ref_id, phrase, old_number, new_number, old_item, new_item", [
-    ("r1", "see section 2.1, step 3", "2.1", "4.2", "3", "5"), ("r2", "see 12.1 and 2.10 and 2.1.", "2.1", "4.2", None, None), ("r3", "chapter 2.1.4", "2.1", "4", None, None),
-    ("r4", "Step 3 of the list", "9", "8", "3", "7"), ("r5", "step 3 before 2, No. 3 after", "2", "6", "3", "7"), ("r6", "section 5", None, None, "5", "6"), ("r7", "step 30 and step 3", None, None, "3", "4"),
-])
+PHRASES = "(SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS ref_id, 'See ' || CASE WHEN l_suppkey % 3 = 0 THEN '1' ELSE 'section ' END || l_linenumber || '.' || l_partkey || ', Step ' || l_suppkey || ' and ' || l_linenumber || '.' || l_partkey || '.1' AS phrase, CASE WHEN l_returnflag <> 'R' THEN l_linenumber || '.' || l_partkey END AS old_number, CASE WHEN l_returnflag <> 'R' THEN '9.' || l_suppkey END AS new_number, '' || l_suppkey AS old_item, CASE WHEN l_linestatus = 'O' THEN '' || (l_suppkey + 1) END AS new_item FROM lineitem) AS inline_rows"
 
 
 @query("f27_shown_numbers", r"""
@@ -83,7 +78,7 @@ FROM (SELECT *, CASE WHEN hit THEN regexp_extract(phrase, before, 1) END AS head
   FROM (SELECT *, '^(|.*?[^0-9.])' || replace(old_number, '.', '\.') || '(?:$|[^0-9.]|\.$|\.[^0-9])' AS before FROM """ + PHRASES + ")))")
 def shown_numbers(spark, sf_dir):
     """Reference phrases with their new numbers (F27): the first free-standing old number, then the item number behind it."""
-    p = values(spark, PHRASES)
+    p = derived(spark, sf_dir, PHRASES)
     quoted = F.concat(F.lit(r"(?s)^(.*?)(?<![\d.])\Q"), "old_number", F.lit(r"\E(?!\d|\.\d)"))
     hit = F.coalesce(F.rlike("phrase", "quoted"), F.lit(False))
     p = p.withColumn("quoted", quoted).withColumn("head", F.when(hit, F.expr("regexp_extract(phrase, quoted, 1)")))
@@ -94,7 +89,7 @@ def shown_numbers(spark, sf_dir):
     return p.select("ref_id", F.concat(F.coalesce(F.concat("head", "new_number"), F.lit("")), F.coalesce(renamed, "tail")).alias("shown"))
 
 
-CELL_TEXTS = inline("cell_id, cell_text", [("c1", "Quality\nWorking Copy\nunit"), ("c2", "o\nW"), ("c3", " QA \n\n ab \n12"), ("c4", "work\u200bing\nStep 1"), ("c5", None), ("c6", "COPY of\ncopy")])
+CELL_TEXTS = "(SELECT conv_id || ':' || turn AS cell_id, CASE WHEN turn % 2 = 1 THEN 'Working' || chr(10) || 'Copy' || chr(10) ELSE '' END || replace(text, ' ', chr(10)) AS cell_text FROM conversations) AS inline_rows"
 # fixed values: lines that a watermark leaves in a cell
 MARKS = ["o", "w", "copy", "working", "working copy"]
 
@@ -107,13 +102,10 @@ def clean_cells(spark, sf_dir):
     """Cells without what a watermark left in them (F32): its words, and lines of one or two letters; no text gives an empty one."""
     lines = F.transform(F.split(F.replace("cell_text", F.lit("\u200b"), F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~F.regexp_replace(F.lower(x), r"\s+", " ").isin(MARKS) & ~x.rlike(r"^\p{L}{1,2}$"))
-    return values(spark, CELL_TEXTS).select("cell_id", F.coalesce(F.array_join(kept, " "), F.lit("")).alias("cleaned"))
+    return derived(spark, sf_dir, CELL_TEXTS).select("cell_id", F.coalesce(F.array_join(kept, " "), F.lit("")).alias("cleaned"))
 
 
-EXPANSIONS = inline("pair_id, a, b", [
-    ("p1", "Lab's Lean Approach", "lean approaches"), ("p2", "Lab’s Lean Approach", "Lean Approach"), ("p3", "Quality Unit", "Quality Units"),
-    ("p4", "Unit", "Community"), ("p5", "", "x"), ("p6", "", ""), ("p7", "gas law", "ga law"), ("p8", "Process-owner", "the process owners list"),
-])
+EXPANSIONS = "(SELECT a.p_partkey AS pair_id, upper(a.p_name) || '''s ' || a.p_type AS a, CASE WHEN a.p_size % 3 = 0 THEN b.p_name || 's' ELSE split_part(a.p_name, ' ', 2) || 's ' || lower(b.p_type) END AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) AS inline_rows"
 
 
 @query("f40_same_meaning", r"""
@@ -129,14 +121,10 @@ def same_meaning(spark, sf_dir):
 
     x, y = stems("a"), stems("b")
     both = (F.trim(x) != "") & (F.trim(y) != "")
-    return values(spark, EXPANSIONS).select("pair_id", ((x == y) | (both & (x.contains(y) | y.contains(x)))).alias("same"))
+    return derived(spark, sf_dir, EXPANSIONS).select("pair_id", ((x == y) | (both & (x.contains(y) | y.contains(x)))).alias("same"))
 
 
-CELLS = inline("table_id, row_index, col, text", [
-    ("t1", 0, 0, "Role"), ("t1", 0, 1, "Duty"), ("t1", 1, 0, ""), ("t1", 1, 1, "under the header"), ("t1", 2, 0, "Owner"), ("t1", 2, 1, "approves"), ("t1", 3, 0, None), ("t1", 3, 1, "and reviews"),
-    ("t1", 4, 0, " "), ("t1", 4, 1, "each year"), ("t1", 5, 0, ""), ("t1", 5, 1, ""), ("t1", 6, 0, ""), ("t1", 6, 1, "after a blank row"), ("t1", 7, 0, "User"), ("t1", 7, 1, ""), ("t1", 8, 0, ""), ("t1", 8, 1, "reads"),
-    ("t2", 0, 0, "A"), ("t2", 0, 1, "B"), ("t2", 1, 0, "k"), ("t2", 1, 1, "v"), ("t2", 2, 0, ""), ("t2", 2, 1, "w"), ("t2", 2, 2, "wider"), ("t2", 3, 0, ""), ("t2", 3, 1, "x"),
-])
+CELLS = "(SELECT conv_id AS table_id, turn AS row_index, 0 AS col, CASE WHEN length(text) % 3 > 0 THEN '' ELSE split_part(text, ' ', 1) END AS text FROM conversations UNION ALL SELECT conv_id, turn, 1, split_part(text, ' ', 2) FROM conversations UNION ALL SELECT conv_id, turn, 2, split_part(text, ' ', 3) FROM conversations WHERE length(text) % 7 > 0) AS inline_rows"
 
 
 @query("w09_continued_rows", f"""
@@ -149,14 +137,10 @@ SELECT m.table_id, into_row AS row_index, col, coalesce(string_agg(trim(text), '
 FROM merged AS m JOIN {named(CELLS, 'c')} ON c.table_id = m.table_id AND c.row_index = m.row_index GROUP BY m.table_id, into_row, col""")
 def continued_rows(spark, sf_dir):
     """Table rows of empty key merged into the row that they continue, in chains."""
-    return U.continued_rows(values(spark, CELLS))
+    return U.continued_rows(derived(spark, sf_dir, CELLS))
 
 
-UNITS = inline("section, seq, unit_type, text, icon, table_id", [
-    ("a", 1, "paragraph", "Wear gloves.", True, None), ("a", 2, "paragraph", "Laboratory", False, None), ("a", 3, "bullet", "Warehouse ", False, None), ("a", 4, "paragraph", "It ends here.", False, None), ("a", 5, "bullet", "Office", False, None),
-    ("a", 6, "paragraph", "You need:", True, None), ("a", 7, "bullet", "a pump", False, None), ("a", 8, "bullet", "a hose:", False, None), ("a", 9, "bullet", "long", False, None), ("a", 10, "procedure_step", "Start", False, None),
-    ("b", 1, "table_row", "r1", False, "t1"), ("b", 2, "table_row", "r2", False, "t1"), ("b", 3, "table_row", "r3", False, "t2"), ("b", 4, "paragraph", "Then:", False, None), ("b", 5, "table_row", "r4", False, "t2"), ("b", 6, "procedure_step", "Go:", False, None), ("b", 7, "procedure_step", "Stop", True, None),
-])
+UNITS = "(SELECT conv_id AS section, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS seq, CASE length(text) % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'procedure_step' ELSE 'table_row' END AS unit_type, CASE WHEN length(text) % 5 = 0 THEN left(text, 40) || ':' WHEN length(text) % 5 < 3 THEN left(text, 30) ELSE text END AS text, length(text) % 3 = 0 AS icon, CASE WHEN length(text) % 4 = 3 THEN 't' || (length(text) % 2) END AS table_id FROM conversations) AS inline_rows"
 
 
 @query("w15_icon_rows", rf"""
@@ -166,7 +150,7 @@ walk AS (SELECT section, seq, pos, seq AS head, icon AS is_open FROM marked WHER
 SELECT section, seq, head FROM walk""")
 def icon_rows(spark, sf_dir):
     """Units with the icon unit that they label, or themselves."""
-    return U.icon_rows(values(spark, UNITS)).select("section", "seq", "head")
+    return U.icon_rows(derived(spark, sf_dir, UNITS)).select("section", "seq", "head")
 
 
 @query("w16_items", f"""
@@ -175,15 +159,16 @@ WITH RECURSIVE walk AS (SELECT section, seq, table_id, seq AS first FROM {UNITS}
 SELECT section, row_number() OVER (PARTITION BY section ORDER BY first) AS item, first, count(*) AS n FROM walk GROUP BY section, first""")
 def unit_items(spark, sf_dir):
     """Consecutive rows of one table as one item, other units as their own."""
-    return U.items(values(spark, UNITS))
+    return U.items(derived(spark, sf_dir, UNITS))
 
 
 @query("x03_extended_lists", f"""
-SELECT i.section, i.seq AS intro, u.seq FROM {named(UNITS, 'i')} JOIN {named(UNITS, 'u')} ON u.section = i.section AND u.seq > i.seq AND u.unit_type IN ('bullet', 'procedure_step')
-WHERE rtrim(i.text) LIKE '%:' AND NOT EXISTS (SELECT 1 FROM {named(UNITS, 'm')} WHERE m.section = i.section AND m.seq > i.seq AND m.seq < u.seq AND m.unit_type <> u.unit_type)""")
+WITH t AS (SELECT *, CASE WHEN unit_type IS DISTINCT FROM lag(unit_type) OVER (PARTITION BY section ORDER BY seq) THEN 1 ELSE 0 END AS turn FROM {UNITS}), r AS (SELECT *, sum(turn) OVER (PARTITION BY section ORDER BY seq) AS run FROM t)
+SELECT i.section, i.seq AS intro, u.seq FROM r AS i JOIN r AS n ON n.section = i.section AND n.seq = i.seq + 1 JOIN r AS u ON u.section = i.section AND u.run = n.run AND u.seq > i.seq
+WHERE rtrim(i.text) LIKE '%:' AND u.unit_type IN ('bullet', 'procedure_step')""")
 def extended_lists(spark, sf_dir):
     """The list items that a line ending in a colon takes along: those right behind it, of the first one's type."""
-    return U.extended_lists(values(spark, UNITS))
+    return U.extended_lists(derived(spark, sf_dir, UNITS))
 
 
 TARGETS = inline("section_id, heading, slot_id, instruction", [("s1", "Scope", "s1.a", "Describe the  scope and who is affected."), ("s2", "Process Steps", "s2.a", "List each step."), ("s2", "Process Steps", "s2.b", "Name the owner of a step"), ("s3", "Records", "s3.a", "None")])
@@ -341,8 +326,8 @@ def section_scope(spark, sf_dir):
     return covered.join(any_, "target").where("substantive OR (worded AND NOT some)").select("target", "unit_id")
 
 
-CITING = inline("unit_id, unit_text", [("u1", "See section 2, Section 2 and section 2.1 (a+b)."), ("u2", "Nothing here."), ("u3", "cf. annex A")])
-CITED = inline("unit_id, ref_at, raw_text, ref_target", [("u1", 1, "section 2", "s2"), ("u1", 2, "section 2", "s2b"), ("u1", 3, "section 2.1", "s21"), ("u1", 4, "(a+b)", "eq"), ("u2", 1, "section 9", "s9"), ("u2", 2, "", "x"), ("u3", 1, "Annex A", "aa")])
+CITING = "(SELECT conv_id || ':' || turn AS unit_id, text AS unit_text FROM conversations) AS inline_rows"
+CITED = "(SELECT conv_id || ':' || turn AS unit_id, 1 AS ref_at, split_part(text, ' ', 2) AS raw_text, 's1' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 2 AS ref_at, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS raw_text, 's2' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 3 AS ref_at, upper(split_part(text, ' ', 4)) AS raw_text, 's3' AS ref_target FROM conversations) AS inline_rows"
 
 
 @query("f26_reference_tokens", f"""
@@ -354,15 +339,15 @@ SELECT unit_id, arg_max(tokenized, k) AS tokenized FROM walk GROUP BY unit_id"""
 def reference_tokens(spark, sf_dir):
     """Units with a token for each internal reference (F26): longest phrases first, one occurrence for each, whatever the case."""
     order = F.struct((-F.length("raw_text")).alias("longest"), "ref_at", "raw_text", "ref_target")
-    refs = values(spark, CITED).where("raw_text <> ''").groupBy("unit_id").agg(F.array_sort(F.collect_list(order)).alias("refs"))
+    refs = derived(spark, sf_dir, CITED).where("raw_text <> ''").groupBy("unit_id").agg(F.array_sort(F.collect_list(order)).alias("refs"))
     first = lambda text, r: F.regexp_replace(
-        text, F.concat(F.lit(r"(?is)^(?<before>.*?)\Q"), r["raw_text"], F.lit(r"\E")), F.concat(F.lit("${before}{{ref:"), r["ref_target"], F.lit("}}"))
+        text, F.concat(F.lit(r"(?isu)^(?<before>.*?)\Q"), r["raw_text"], F.lit(r"\E")), F.concat(F.lit("${before}{{ref:"), r["ref_target"], F.lit("}}"))
     )
     folded = F.aggregate("refs", F.col("unit_text"), first)
-    return values(spark, CITING).join(refs, "unit_id", "left").select("unit_id", F.coalesce(folded, "unit_text").alias("tokenized"))
+    return derived(spark, sf_dir, CITING).join(refs, "unit_id", "left").select("unit_id", F.coalesce(folded, "unit_text").alias("tokenized"))
 
 
-DUTIES = inline("table_id, col, text", [("t1", 0, "Task"), ("t1", 1, "R"), ("t1", 2, "A/C"), ("t1", 3, "signs"), ("t1", 4, " "), ("t1", 1, "i 2)"), ("t2", 0, "R"), ("t2", 1, "Reads"), ("t2", 2, "RACI"), ("t2", 1, "Rest"), ("t2", 2, "writes"), ("t3", 0, "Only")])
+DUTIES = "(SELECT conv_id AS table_id, 0 AS col, left(split_part(text, ' ', 1), 1) AS text FROM conversations UNION ALL SELECT conv_id AS table_id, 1 AS col, left(split_part(text, ' ', 2), 1) AS text FROM conversations UNION ALL SELECT conv_id AS table_id, 2 AS col, left(split_part(text, ' ', 3), 1) AS text FROM conversations UNION ALL SELECT conv_id AS table_id, 3 AS col, left(split_part(text, ' ', 4), 1) AS text FROM conversations) AS inline_rows"
 
 
 @query("a16_duty_tables", r"SELECT table_id, round(coalesce(avg(CASE WHEN regexp_full_match(upper(trim(text)), '[RACIX](\s*[&/,+]?\s*[RACIX]){0,3}\s*[0-9¹²³⁴⁵⁶⁷⁸⁹)]*') THEN 1.0 ELSE 0.0 END) FILTER (WHERE col > 0 AND trim(text) <> ''), 0), 4) AS share, coalesce(avg(CASE WHEN regexp_full_match(upper(trim(text)), '[RACIX](\s*[&/,+]?\s*[RACIX]){0,3}\s*[0-9¹²³⁴⁵⁶⁷⁸⁹)]*') THEN 1.0 ELSE 0.0 END) FILTER (WHERE col > 0 AND trim(text) <> ''), 0) >= 0.3 AS duties FROM " + DUTIES + " GROUP BY table_id")
@@ -371,4 +356,4 @@ def duty_tables(spark, sf_dir):
     # fixed value: one to four duty letters with marks between them, then footnote digits
     letters = F.upper(F.trim("text")).rlike(r"^[RACIX](\s*[&/,+]?\s*[RACIX]){0,3}\s*[0-9¹²³⁴⁵⁶⁷⁸⁹)]*$")
     share = F.coalesce(F.avg(F.when((F.col("col") > 0) & (F.trim("text") != ""), letters.cast("double"))), F.lit(0.0))
-    return values(spark, DUTIES).groupBy("table_id").agg(F.round(share, 4).alias("share"), (share >= 0.3).alias("duties"))
+    return derived(spark, sf_dir, DUTIES).groupBy("table_id").agg(F.round(share, 4).alias("share"), (share >= 0.3).alias("duties"))

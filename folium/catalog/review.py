@@ -4,30 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.registry import inline, query, values
+from folium.registry import derived, query
 
-PROTECTED = inline("unit_id, heading, boilerplate, unit_text", [
-    ("u1", "Scope", False, "Applies to all sites."), ("u2", "Scope", True, "Approved by QA."), ("u3", "Scope", False, "  "), ("u4", "Table of  Contents", False, "1 Scope"), ("u5", "CONTENTS", False, "2 Roles"),
-    ("u6", "Contents of the kit", False, "A pump."), ("u7", None, False, "No section."),
-])
+PROTECTED = "(SELECT conv_id || ':' || turn AS unit_id, CASE turn % 4 WHEN 1 THEN 'Table of  Contents' WHEN 2 THEN split_part(text, ' ', 1) END AS heading, length(text) % 5 = 0 AS boilerplate, CASE WHEN length(text) % 11 = 0 THEN ' ' ELSE text END AS unit_text FROM conversations) AS inline_rows"
 
 
 @query("p08_protected_units", rf"SELECT unit_id FROM {PROTECTED} WHERE NOT regexp_matches(lower(coalesce(heading, '')), '^\s*(table\s+of\s+contents?|contents)\s*$') AND NOT boilerplate AND trim(unit_text) <> ''")
 def protected_units(spark, sf_dir):
     """Units whose facts are protected: no boilerplate, no blank text, no table of contents."""
     contents = F.lower(F.coalesce("heading", F.lit(""))).rlike(r"^\s*(table\s+of\s+contents?|contents)\s*$")
-    return values(spark, PROTECTED).where(~contents & ~F.col("boilerplate") & (F.trim("unit_text") != "")).select("unit_id")
+    return derived(spark, sf_dir, PROTECTED).where(~contents & ~F.col("boilerplate") & (F.trim("unit_text") != "")).select("unit_id")
 
 
-SEGMENTS = inline("segment_id, origin, target", [("g1", "llm", "a"), ("g2", None, None), ("g3", "copied", "c"), ("g4", "repair", "d"), ("g5", "llm", "e"), ("g6", "edited", "f"), ("g7", "copied", "g"), ("g8", "llm", "h")])
-ISSUES = inline("segment_id, severity, resolved", [("g1", "high", False), ("g1", "low", False), ("g2", "medium", False), ("g4", "blocking", False), ("g5", "high", True), ("g6", "high", False), ("g8", "low", False)])
+SEGMENTS = "(SELECT conv_id || ':' || turn AS segment_id, CASE length(text) % 5 WHEN 0 THEN 'llm' WHEN 1 THEN 'copied' WHEN 2 THEN 'repair' WHEN 3 THEN 'edited' END AS origin, CASE WHEN length(text) % 7 > 0 THEN text END AS target FROM conversations) AS inline_rows"
+ISSUES = "(SELECT conv_id || ':' || (turn + 1) AS segment_id, CASE length(text) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'blocking' END AS severity, length(text) % 3 = 0 AS resolved FROM conversations) AS inline_rows"
 
 
 @query("p13_repair_candidates", f"SELECT segment_id FROM {SEGMENTS.replace('inline_rows', 's')} WHERE (origin IS NULL OR origin = 'llm') AND segment_id IN (SELECT segment_id FROM {ISSUES} WHERE NOT resolved AND severity IN ('medium', 'high', 'blocking'))")
 def repair_candidates(spark, sf_dir):
     """Segments with an open issue of medium severity or more that have had no retranslation."""
-    open_ = values(spark, ISSUES).where(~F.col("resolved") & F.col("severity").isin("medium", "high", "blocking"))
-    return values(spark, SEGMENTS).where("origin IS NULL OR origin = 'llm'").join(open_, "segment_id", "left_semi").select("segment_id")
+    open_ = derived(spark, sf_dir, ISSUES).where(~F.col("resolved") & F.col("severity").isin("medium", "high", "blocking"))
+    return derived(spark, sf_dir, SEGMENTS).where("origin IS NULL OR origin = 'llm'").join(open_, "segment_id", "left_semi").select("segment_id")
 
 
 @query("a11_translation_scores", f"""
@@ -37,10 +34,10 @@ def translation_scores(spark, sf_dir):
     """Shares of segments done, translated, copied and repaired."""
     total, copied = F.greatest(F.count("*"), F.lit(1)), F.count_if(F.col("origin") == "copied")
     share = lambda n, name: F.round(n / total, 4).alias(name)
-    return values(spark, SEGMENTS).agg(share(F.count("target"), "unit_coverage"), share(F.count("target") - copied, "translated"), share(copied, "copied"), share(F.count_if(F.col("origin") == "repair"), "repaired"))
+    return derived(spark, sf_dir, SEGMENTS).agg(share(F.count("target"), "unit_coverage"), share(F.count("target") - copied, "translated"), share(copied, "copied"), share(F.count_if(F.col("origin") == "repair"), "repaired"))
 
 
-PLACED = inline("job_id, total, placed, skipped, blue, loose_headings, warnings", [("j1", 40, 40, 0, 0, 0, 0), ("j2", 40, 30, 4, 0, 0, 0), ("j3", 10, 14, 0, 0, 2, 0), ("j4", 0, 0, 0, 0, 0, 0), ("j5", 8, 8, 1, 3, 1, 1), ("j6", 5, 5, 0, 0, 0, 1)])
+PLACED = "(SELECT l_orderkey AS job_id, CAST(sum(l_quantity) AS INT) - 1 AS total, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS INT) AS placed, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN l_quantity < 4 THEN 1 ELSE 0 END) AS blue, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) AS loose_headings, sum(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END) AS warnings FROM lineitem GROUP BY l_orderkey) AS inline_rows"
 
 
 @query("a08_content_coverage", f"""
@@ -49,14 +46,14 @@ FROM (SELECT *, round(CASE WHEN total = 0 THEN 100.0 ELSE least(100.0, (placed -
 def content_coverage(spark, sf_dir):
     """Placed less skipped content of all, at most 100 %, and the status of a job (A8); without content 100 %."""
     share = F.when(F.col("total") == 0, 100.0).otherwise(F.least(F.lit(100.0), (F.col("placed") - F.col("skipped")) * 100.0 / F.col("total")))
-    p = values(spark, PLACED).withColumn("coverage", F.round(share.cast("double"), 1))
+    p = derived(spark, sf_dir, PLACED).withColumn("coverage", F.round(share.cast("double"), 1))
     warned = (F.col("loose_headings") > 0) | (F.col("warnings") > 0) | (F.col("coverage") < 80)
     return p.select("job_id", "coverage", F.when(F.col("blue") > 0, "needs_review").when(warned, "pass_with_warnings").otherwise("pass").alias("status"))
 
 
-BEFORE = inline("claim_id, claim_text, units", [("c1", "Wash hands.", "u1"), ("c2", "Keep records.", "u2 u3"), ("c3", "Sign the form.", "u4")])
-AFTER = inline("claim_id, claim_text, units", [("d1", "Keep records.", "u2 u3"), ("d2", "Wash hands.", "u9"), ("d3", "Sign the form.", "u4"), ("d4", "New.", "u5")])
-FINDINGS = inline("finding, claim_id", [("f1", "c1"), ("f2", "c2"), ("f3", "c2"), ("f3", "c3"), ("f4", "c1"), ("f4", "c3")])
+BEFORE = "(SELECT conv_id || ':' || turn AS claim_id, text AS claim_text, role AS units FROM conversations) AS inline_rows"
+AFTER = "(SELECT 'n' || conv_id || ':' || turn AS claim_id, text AS claim_text, CASE WHEN length(text) % 9 = 0 THEN 'other' ELSE role END AS units FROM conversations WHERE length(text) % 11 > 0) AS inline_rows"
+FINDINGS = "(SELECT conv_id || ':' || (turn % 2) AS finding, conv_id || ':' || turn AS claim_id FROM conversations) AS inline_rows"
 
 
 @query("j24_carried_findings", f"""
@@ -65,8 +62,8 @@ SELECT finding, string_agg(new_id, ',' ORDER BY new_id) AS claims FROM (SELECT f
 def carried_findings(spark, sf_dir):
     """Findings all of whose claims stand unchanged (same text and units) in the next version, under the claims' new ids."""
     signature = F.xxhash64("claim_text", "units").alias("signature")
-    before = values(spark, BEFORE).select("claim_id", signature)
-    after = values(spark, AFTER).select(F.col("claim_id").alias("new_id"), signature)
-    moved = values(spark, FINDINGS).join(before, "claim_id").join(after, "signature", "left").groupBy("finding")
+    before = derived(spark, sf_dir, BEFORE).select("claim_id", signature)
+    after = derived(spark, sf_dir, AFTER).select(F.col("claim_id").alias("new_id"), signature)
+    moved = derived(spark, sf_dir, FINDINGS).join(before, "claim_id").join(after, "signature", "left").groupBy("finding")
     moved = moved.agg(F.array_join(F.array_sort(F.collect_list("new_id")), ",").alias("claims"), F.count("*").alias("n"), F.count("new_id").alias("moved"))
     return moved.where("n = moved").select("finding", "claims")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from folium.functions import text as T
-from folium.registry import inline, query, table, values
+from folium.registry import derived, query, table
 
 NORMAL = r"lower(trim(regexp_replace({0}, '[ \t\r\n\f\x0B]+', ' ', 'g')))"
 NORMAL_TEXT = NORMAL.format("text")
@@ -120,7 +120,7 @@ def script_and_numbers(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(signs == 0, 1.0).otherwise(F.length(F.regexp_replace("text", "[^A-Za-zÀ-ÿ]", "")) / signs).alias("latin_share"), F.regexp_count("text", F.lit(r"[0-9]+([.,][0-9]+)*")).alias("n_numbers"))
 
 
-TAGGED = inline("id, src, tgt", [(1, "press ⟦1⟧OK⟦/1⟧ now", "⟦1⟧OK⟦/1⟧ drücken"), (2, "⟦1⟧a⟦/1⟧ ⟦2⟧b⟦/2⟧", "⟦1⟧a⟦/1⟧ b"), (3, "plain", "⟦3⟧plain"), (4, "⟦1⟧x⟦/1⟧", "⟦/1⟧x⟦1⟧")])
+TAGGED = "(SELECT conv_id || ':' || turn AS id, '⟦1⟧' || split_part(text, ' ', 1) || '⟦/1⟧ ' || '⟦2⟧' || split_part(text, ' ', 2) || '⟦/2⟧' AS src, CASE length(text) % 5 WHEN 0 THEN '⟦2⟧' || split_part(text, ' ', 2) || '⟦/2⟧' || '⟦1⟧' || split_part(text, ' ', 1) || '⟦/1⟧ ' WHEN 1 THEN '⟦1⟧' || split_part(text, ' ', 1) || '⟦/1⟧ ' || split_part(text, ' ', 2) WHEN 2 THEN '⟦1⟧' || split_part(text, ' ', 1) || '⟦/1⟧ ' || '⟦2⟧' || split_part(text, ' ', 2) || '⟦/2⟧' || '⟦3⟧' WHEN 3 THEN 'none' ELSE '⟦1⟧' || split_part(text, ' ', 1) || '⟦/1⟧ ' || '⟦2⟧' || split_part(text, ' ', 2) || '⟦/2⟧' END AS tgt FROM conversations) AS inline_rows"
 
 
 @query("f25_tags", f"""
@@ -128,5 +128,5 @@ SELECT id, array_to_string(list_sort(list_filter(s, lambda x: NOT list_contains(
 FROM (SELECT id, regexp_extract_all(src, '⟦/?[0-9]+⟧') AS s, regexp_extract_all(tgt, '⟦/?[0-9]+⟧') AS t FROM {TAGGED})""")
 def tags(spark, sf_dir):
     """Tags that a translation lost, added or moved."""
-    t = values(spark, TAGGED).select("id", *[F.regexp_extract_all(c, F.lit("⟦/?[0-9]+⟧"), F.lit(0)).alias(c) for c in ("src", "tgt")])
+    t = derived(spark, sf_dir, TAGGED).select("id", *[F.regexp_extract_all(c, F.lit("⟦/?[0-9]+⟧"), F.lit(0)).alias(c) for c in ("src", "tgt")])
     return t.select("id", F.array_join(F.array_sort(F.array_except("src", "tgt")), " ").alias("lost"), F.array_join(F.array_sort(F.array_except("tgt", "src")), " ").alias("added"), (F.col("src") == F.col("tgt")).alias("same_order"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -29,6 +31,13 @@ def values(spark: SparkSession, relation: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {relation}")
 
 
+def derived(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
+    """A relation over given tables, in SQL that Spark and DuckDB both read: what a query takes in, made the same way for both."""
+    names = set(re.findall(r"\b(?:FROM|JOIN) ([a-z]+)\b", relation))
+    text = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", r"\1 {\2}", relation)
+    return spark.sql(f"SELECT * FROM {text}", **{n: table(spark, sf_dir, n) for n in names})
+
+
 def inline(columns: str, rows: list[tuple]) -> str:
     """A relation of constants that both Spark and ANSI SQL read."""
     names = [c.strip() for c in columns.split(",")]
