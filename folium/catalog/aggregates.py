@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from folium.catalog.text import WORDS
 from folium.functions import text as T
 from folium.operators import sets as S, terms
-from folium.registry import inline, query, table, values
+from folium.registry import derived, query, table
 
 
 @query("a01_node_counts", r"""
@@ -39,21 +39,21 @@ def batch_progress(spark, sf_dir):
     )
 
 
-ISSUES = inline("issue_id, gate, severity, resolved", [("i1", "content", 3, False), ("i2", "content", 1, False), ("i3", "style", 2, True), ("i4", "refs", 2, False), ("i5", None, 4, False)])
-GATES = inline("gate", [(g,) for g in ("content", "style", "refs", "structure", "terms", "safety", "figures", "tables")])
+ISSUES = "(SELECT 'i' || d.doc_id AS issue_id, CASE WHEN d.n_chars % 7 > 0 THEN d.source END AS gate, 1 + l.toxic + 2 * (1 - l.quality) AS severity, d.n_chars % 3 = 0 AS resolved FROM documents d JOIN labels l ON l.doc_id = d.doc_id) AS inline_rows"
+GATES = "(SELECT DISTINCT source AS gate FROM documents) AS inline_rows"
 
 
 @query("a06_gate_counts", f"SELECT g.gate, count(i.issue_id) AS n_open FROM {GATES.replace('inline_rows', 'g')} LEFT JOIN {ISSUES.replace('inline_rows', 'i')} ON i.gate = g.gate AND NOT i.resolved GROUP BY g.gate")
 def gate_counts(spark, sf_dir):
     """Open issues of every gate, zero ones too."""
-    issues = values(spark, ISSUES).where("not resolved")
-    return values(spark, GATES).join(issues, "gate", "left").groupBy("gate").agg(F.count("issue_id").alias("n_open"))
+    issues = derived(spark, sf_dir, ISSUES).where("not resolved")
+    return derived(spark, sf_dir, GATES).join(issues, "gate", "left").groupBy("gate").agg(F.count("issue_id").alias("n_open"))
 
 
 @query("a26_worst_open", f"SELECT o.gate, coalesce(max(CASE WHEN NOT resolved THEN severity END), -1) AS worst FROM {GATES.replace('inline_rows', 'o')} LEFT JOIN {ISSUES.replace('inline_rows', 'i')} ON i.gate = o.gate GROUP BY o.gate")
 def worst_open(spark, sf_dir):
     """Greatest severity of open issues, -1 without any."""
-    both = values(spark, GATES).join(values(spark, ISSUES), "gate", "left")
+    both = derived(spark, sf_dir, GATES).join(derived(spark, sf_dir, ISSUES), "gate", "left")
     return both.groupBy("gate").agg(F.coalesce(F.max(F.when(~F.col("resolved"), F.col("severity"))), F.lit(-1)).alias("worst"))
 
 
@@ -61,7 +61,7 @@ def worst_open(spark, sf_dir):
 def issue_order(spark, sf_dir):
     """Open first, without gate last, worst first (T4)."""
     w = Window.orderBy("resolved", F.col("gate").isNull(), F.desc("severity"), "issue_id")
-    return values(spark, ISSUES).select("issue_id", F.row_number().over(w).alias("place"))
+    return derived(spark, sf_dir, ISSUES).select("issue_id", F.row_number().over(w).alias("place"))
 
 
 @query("a07_label_coverage", "SELECT source, count(*) AS total, count(l.doc_id) AS covered, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(l.doc_id) / count(*) END AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")

@@ -195,9 +195,9 @@ def linked_instructions(spark, sf_dir):
     return found.groupBy("slot_id").agg(F.array_join(F.array_sort(F.collect_list("instruction_id")), ",").alias("instructions"))
 
 
-RULES = inline("rule_id, origin, status, cited", [("B1", "baseline", "approved", ""), ("B9", "baseline", "candidate", ""), ("G1", "guide", "candidate", "u1 u2"), ("G2", "guide", "rejected", ""), ("G3", "guide", "candidate", "u1 u8 u9"), ("M1", "manual", "candidate", "")])
-BUILT_IN = inline("rule_id, status", [("B1", "approved"), ("B2", "approved")])
-KNOWN_UNITS = inline("unit_id", [("u1",), ("u2",), ("u3",)])
+RULES = "(SELECT 'R' || p_partkey AS rule_id, CASE p_size % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'guide' ELSE 'manual' END AS origin, CASE p_partkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'candidate' ELSE 'rejected' END AS status, CASE WHEN p_size % 4 = 0 THEN '' ELSE 's' || (p_partkey % 20) || ' s' || (p_size * 3) END AS cited FROM part) AS inline_rows"
+BUILT_IN = "(SELECT 'R' || (p_partkey * 2) AS rule_id, 'approved' AS status FROM part) AS inline_rows"
+KNOWN_UNITS = "(SELECT 's' || s_suppkey AS unit_id FROM supplier) AS inline_rows"
 
 
 @query("x05_rule_problems", f"""
@@ -207,16 +207,16 @@ SELECT rule_id, 'unknown units ' || string_agg(unit, ',' ORDER BY unit) FROM (SE
 WHERE unit NOT IN (SELECT unit_id FROM {KNOWN_UNITS}) GROUP BY rule_id""")
 def rule_problems(spark, sf_dir):
     """What keeps a reviewed rule set from being saved (X5): false origin, no citation, citations of unknown units."""
-    rules = values(spark, RULES)
-    false_origin = rules.where("origin = 'baseline'").join(values(spark, BUILT_IN), "rule_id", "left_anti").select("rule_id", F.lit("not built in").alias("problem"))
+    rules = derived(spark, sf_dir, RULES)
+    false_origin = rules.where("origin = 'baseline'").join(derived(spark, sf_dir, BUILT_IN), "rule_id", "left_anti").select("rule_id", F.lit("not built in").alias("problem"))
     guide = rules.where("origin = 'guide'")
     bare = guide.where("cited = ''").select("rule_id", F.lit("no citation").alias("problem"))
-    cited = guide.where("cited <> ''").select("rule_id", F.explode(F.split("cited", " ")).alias("unit_id")).join(values(spark, KNOWN_UNITS), "unit_id", "left_anti")
+    cited = guide.where("cited <> ''").select("rule_id", F.explode(F.split("cited", " ")).alias("unit_id")).join(derived(spark, sf_dir, KNOWN_UNITS), "unit_id", "left_anti")
     unknown = cited.groupBy("rule_id").agg(F.concat(F.lit("unknown units "), F.array_join(F.array_sort(F.collect_list("unit_id")), ",")).alias("problem"))
     return false_origin.unionByName(bare).unionByName(unknown)
 
 
-NAMED = inline("rule_id", [("G2",), ("G3",), ("Z7",)])
+NAMED = "(SELECT 'R' || (p_partkey * 3) AS rule_id FROM part) AS inline_rows"
 
 
 @query("x06_approved", f"""
@@ -225,15 +225,15 @@ SELECT rule_id, CASE WHEN status = 'candidate' THEN 'approved' ELSE status END A
 UNION ALL SELECT rule_id, NULL, 'unknown' FROM {NAMED} WHERE rule_id NOT IN (SELECT rule_id FROM {RULES} UNION ALL SELECT rule_id FROM {BUILT_IN})""")
 def approved(spark, sf_dir):
     """Rules after approving all candidates, and after approving the named ones (X6); missing built-in rules come back first, unknown names are told."""
-    rules, names = values(spark, RULES).select("rule_id", "status"), values(spark, NAMED).withColumn("named", F.lit(True))
-    full = rules.unionByName(values(spark, BUILT_IN).join(rules, "rule_id", "left_anti")).join(names, "rule_id", "full")
+    rules, names = derived(spark, sf_dir, RULES).select("rule_id", "status"), derived(spark, sf_dir, NAMED).withColumn("named", F.lit(True))
+    full = rules.unionByName(derived(spark, sf_dir, BUILT_IN).join(rules, "rule_id", "left_anti")).join(names, "rule_id", "full")
     every = F.when(F.col("status") == "candidate", "approved").otherwise(F.col("status"))
     only = F.when(F.col("status").isNull(), "unknown").when(F.col("named"), "approved").otherwise(F.col("status"))
     return full.select("rule_id", every.alias("all_candidates"), only.alias("named_only"))
 
 
-SLOTS = inline("slot_ref, required, instruction", [("scope.text", True, "Write the scope"), ("roles.table", True, None), ("steps.list", False, "Steps")])
-OVERRIDES = inline("slot_ref, required, instruction", [("scope.text", False, None), ("roles.table", None, "List all roles"), ("annex.note", True, None)])
+SLOTS = "(SELECT 'o' || o_orderkey AS slot_ref, o_orderstatus = 'F' AS required, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS instruction FROM orders) AS inline_rows"
+OVERRIDES = "(SELECT 'o' || (o_orderkey + 5) AS slot_ref, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS required, CASE WHEN o_orderkey % 4 > 0 THEN 'for ' || o_custkey END AS instruction FROM orders WHERE o_orderkey % 2 = 0) AS inline_rows"
 
 
 @query("x11_overridden_slots", f"""
@@ -241,8 +241,8 @@ SELECT s.slot_ref, coalesce(CAST(o.required AS BOOLEAN), s.required) AS required
 UNION ALL SELECT slot_ref, NULL, NULL, false FROM {OVERRIDES} WHERE slot_ref NOT IN (SELECT slot_ref FROM {SLOTS})""")
 def overridden_slots(spark, sf_dir):
     """Slots under their overrides, column by column, and overrides whose slot is unknown (X11)."""
-    over = values(spark, OVERRIDES).select("slot_ref", F.col("required").cast("boolean").alias("o_required"), F.col("instruction").alias("o_instruction"), F.lit(True).alias("over"))
-    full = values(spark, SLOTS).withColumn("known", F.lit(True)).join(over, "slot_ref", "full").withColumn("known", F.coalesce("known", F.lit(False)))
+    over = derived(spark, sf_dir, OVERRIDES).select("slot_ref", F.col("required").cast("boolean").alias("o_required"), F.col("instruction").alias("o_instruction"), F.lit(True).alias("over"))
+    full = derived(spark, sf_dir, SLOTS).withColumn("known", F.lit(True)).join(over, "slot_ref", "full").withColumn("known", F.coalesce("known", F.lit(False)))
     return full.select(
         "slot_ref",
         F.when(F.col("known"), F.coalesce("o_required", "required")).alias("required"),
@@ -251,34 +251,31 @@ def overridden_slots(spark, sf_dir):
     )
 
 
-GAPS = inline("issue_id, gate, slot_id, resolved, note", [("i1", "missing_slot", "a", True, "n/a here"), ("i2", "missing_slot", "b", False, None), ("i3", "lost_value", "a", True, "fine"), ("i4", "missing_slot", None, True, "whole"), ("i5", "missing_slot", "c", True, None)])
+GAPS = "(SELECT l_orderkey || ':' || l_partkey AS issue_id, CASE WHEN l_returnflag = 'R' THEN 'missing_slot' ELSE 'lost_value' END AS gate, CASE WHEN l_quantity > 5 THEN 's' || l_linenumber END AS slot_id, l_linestatus = 'F' AS resolved, CASE WHEN l_tax > 0.02 THEN 'by ' || l_suppkey END AS note FROM lineitem) AS inline_rows"
 
 
 @query("x16_accepted_gaps", f"SELECT slot_id, issue_id, note FROM {GAPS} WHERE gate = 'missing_slot' AND resolved AND slot_id IS NOT NULL")
 def accepted_gaps(spark, sf_dir):
     """Required slots whose gap a reviewer has accepted."""
-    return values(spark, GAPS).where((F.col("gate") == "missing_slot") & F.col("resolved") & F.col("slot_id").isNotNull()).select("slot_id", "issue_id", "note")
+    return derived(spark, sf_dir, GAPS).where((F.col("gate") == "missing_slot") & F.col("resolved") & F.col("slot_id").isNotNull()).select("slot_id", "issue_id", "note")
 
 
-CLAIMS = inline("claim_id, target, slot_id, kind, gap, callout, units", [
-    ("c1", "t1", "a", "text", False, None, "u1"), ("c2", "t1", "a", "heading", False, None, ""), ("c3", "t1", "b", "text", True, "note", ""), ("c4", "t1", "b", "text", False, "note", "u1 u2"), ("c5", "t1", "b", "text", False, "note", "u1 u3"),
-    ("c6", "t1", "c", "text", False, "tip", "u9"), ("c7", "t2", "a", "step", False, "alarm", "u1"), ("c8", "t2", "a", "step", False, "note", ""), ("c9", "t2", "a", "step", False, "note", "u1"),
-])
+CLAIMS = "(SELECT 'o' || o_orderkey AS claim_id, 't' || o_custkey AS target, 's' || (o_orderkey % 7) AS slot_id, CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'heading' ELSE 'step' END AS kind, o_orderkey % 11 = 0 AS gap, CASE left(o_orderpriority, 1) WHEN '1' THEN 'note' WHEN '2' THEN 'tip' WHEN '3' THEN 'alarm' END AS callout, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'u' || (o_orderkey % 10) ELSE 'u' || (o_orderkey % 10) || ' v' || (o_orderkey % 7) END AS units FROM orders) AS inline_rows"
 
 
 @query("x17_placed_claims", f"SELECT claim_id, target, slot_id FROM {CLAIMS} WHERE NOT gap AND kind <> 'heading'")
 def placed_claims(spark, sf_dir):
     """Claims of nested drafts with their places, without gap markers and headings."""
     claim = F.struct("claim_id", "kind", "gap")
-    drafts = values(spark, CLAIMS).groupBy("target", "slot_id").agg(F.collect_list(claim).alias("claims"))
+    drafts = derived(spark, sf_dir, CLAIMS).groupBy("target", "slot_id").agg(F.collect_list(claim).alias("claims"))
     drafts = drafts.groupBy("target").agg(F.collect_list(F.struct("slot_id", "claims")).alias("slots"))
     placed = drafts.select("target", F.explode("slots").alias("slot")).select("target", "slot.slot_id", F.explode("slot.claims").alias("claim"))
     return placed.where("NOT claim.gap AND claim.kind <> 'heading'").select("claim.claim_id", "target", "slot_id")
 
 
 PALETTE = inline("kind", [("note",), ("tip",)])
-SLOT_CALLOUTS = inline("slot_id, slot_kind", [("a", None), ("b", None), ("c", "tip")])
-ASSIGNED = inline("target, unit_id, kind", [("t1", "u1", "note"), ("t1", "u2", "note"), ("t1", "u2", "tip"), ("t1", "u3", "tip")])
+SLOT_CALLOUTS = "(SELECT DISTINCT 's' || (o_orderkey % 7) AS slot_id, CASE o_orderkey % 7 WHEN 2 THEN 'tip' WHEN 3 THEN 'note' END AS slot_kind FROM orders) AS inline_rows"
+ASSIGNED = "(SELECT DISTINCT 't' || o_custkey AS target, 'u' || (o_orderkey % 10) AS unit_id, 'note' AS kind FROM orders WHERE o_orderkey % 3 > 0 UNION SELECT 't' || o_custkey, 'v' || (o_orderkey % 7), 'note' FROM orders WHERE o_orderkey % 5 > 0) AS inline_rows"
 
 
 @query("x19_callout_faults", f"""
@@ -287,25 +284,19 @@ WHERE callout IS NOT NULL AND NOT gap AND (callout NOT IN (SELECT kind FROM {PAL
  len(string_split(units, ' ')) = (SELECT count(*) FROM {named(ASSIGNED, 'a')} WHERE a.target = c.target AND a.kind = c.callout AND list_contains(string_split(c.units, ' '), a.unit_id)))))""")
 def callout_faults(spark, sf_dir):
     """Claims in a callout that the palette lacks, or that neither their slot nor the plan of all their units gives them."""
-    c = values(spark, CLAIMS).where("callout IS NOT NULL AND NOT gap")
+    c = derived(spark, sf_dir, CLAIMS).where("callout IS NOT NULL AND NOT gap")
     cited = c.where("units <> ''").select("claim_id", "target", F.col("callout").alias("kind"), F.explode(F.split("units", " ")).alias("unit_id"))
-    planned = cited.join(values(spark, ASSIGNED).withColumn("has", F.lit(True)), ["target", "unit_id", "kind"], "left")
+    planned = cited.join(derived(spark, sf_dir, ASSIGNED).withColumn("has", F.lit(True)), ["target", "unit_id", "kind"], "left")
     planned = planned.groupBy("claim_id").agg(F.every(F.coalesce("has", F.lit(False))).alias("planned"))
     c = c.join(values(spark, PALETTE).select(F.col("kind").alias("callout"), F.lit(True).alias("offered")), "callout", "left")
-    c = c.join(values(spark, SLOT_CALLOUTS), "slot_id", "left").join(planned, "claim_id", "left")
+    c = c.join(derived(spark, sf_dir, SLOT_CALLOUTS), "slot_id", "left").join(planned, "claim_id", "left")
     fits = F.coalesce(F.col("slot_kind") == F.col("callout"), F.lit(False)) | F.coalesce("planned", F.lit(False))
     fault = F.when(F.col("offered").isNull(), "not in the palette").when(~fits, "not planned")
     return c.select("claim_id", fault.alias("fault")).where("fault IS NOT NULL")
 
 
-MAPPED = inline("mapping_id, target, status, mapping_type, sections, units", [
-    ("m1", "t1", "mapped", "one_to_one", "s1", ""), ("m2", "t1", "needs_review", "split", "s2", "u4"), ("m3", "t2", "mapped", "split", "s2 s3", "u5"), ("m4", "t2", "rejected", "one_to_one", "s1", ""),
-    ("m5", None, "mapped", "one_to_one", "s1", ""), ("m6", "t3", "mapped", "one_to_one", "s4", ""), ("m7", "t1", "mapped", "merge", "s1", ""),
-])
-SOURCE_UNITS = inline("section_id, unit_id, unit_text, boilerplate, unit_type", [
-    ("s1", "u1", "First.", False, "paragraph"), ("s1", "u2", "Page 1", True, "paragraph"), ("s1", "u3", " ", False, "figure"), ("s2", "u4", "Split one.", False, "paragraph"), ("s2", "u5", "Split two.", False, "paragraph"),
-    ("s3", "u6", "Third.", False, "paragraph"), ("s3", "u7", "", False, "paragraph"), ("s4", "u8", "Only a footer", True, "paragraph"), ("s4", "u9", " ", True, "paragraph"),
-])
+MAPPED = "(SELECT o_orderkey AS mapping_id, CASE WHEN o_orderkey % 13 > 0 THEN 't' || o_custkey END AS target, CASE o_orderstatus WHEN 'F' THEN 'mapped' WHEN 'O' THEN 'needs_review' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'split' ELSE 'one_to_one' END AS mapping_type, 's' || CAST(floor(o_orderkey / 75) AS INT) || ' s' || CAST(floor(o_orderkey / 75) + 1 AS INT) AS sections, CASE WHEN o_orderkey % 6 = 0 THEN 'u' || CAST(floor(o_orderkey / 75) * 10 + o_orderkey % 10 AS INT) ELSE '' END AS units FROM orders) AS inline_rows"
+SOURCE_UNITS = "(SELECT 's' || CAST(floor(p_partkey / 10) AS INT) AS section_id, 'u' || p_partkey AS unit_id, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE p_name END AS unit_text, p_size % 3 = 0 AS boilerplate, CASE WHEN p_size % 14 = 0 THEN 'figure' ELSE 'paragraph' END AS unit_type FROM part) AS inline_rows"
 
 
 @query("j13_section_scope", f"""
@@ -315,10 +306,10 @@ covered AS (SELECT DISTINCT target, unit_id, trim(unit_text) <> '' AS worded, NO
 SELECT target, unit_id FROM covered AS c WHERE substantive OR (worded AND NOT EXISTS (SELECT 1 FROM covered AS d WHERE d.target = c.target AND d.substantive))""")
 def section_scope(spark, sf_dir):
     """The passages that the section plan sends to each target (J13): listed units of a split section, else all; substantive ones where there are any."""
-    parts = values(spark, MAPPED).where("target IS NOT NULL AND status IN ('mapped', 'needs_review')")
+    parts = derived(spark, sf_dir, MAPPED).where("target IS NOT NULL AND status IN ('mapped', 'needs_review')")
     parts = parts.select("mapping_id", "target", "mapping_type", F.split("units", " ").alias("listed"), F.explode(F.split("sections", " ")).alias("section_id"))
-    covered = parts.join(values(spark, SOURCE_UNITS), "section_id").withColumn("named", (F.col("mapping_type") == "split") & F.array_contains("listed", F.col("unit_id")))
-    some = parts.join(values(spark, SOURCE_UNITS), "section_id").where("mapping_type = 'split' AND array_contains(listed, unit_id)").select("mapping_id", "section_id", F.lit(True).alias("split")).distinct()
+    covered = parts.join(derived(spark, sf_dir, SOURCE_UNITS), "section_id").withColumn("named", (F.col("mapping_type") == "split") & F.array_contains("listed", F.col("unit_id")))
+    some = parts.join(derived(spark, sf_dir, SOURCE_UNITS), "section_id").where("mapping_type = 'split' AND array_contains(listed, unit_id)").select("mapping_id", "section_id", F.lit(True).alias("split")).distinct()
     covered = covered.join(some, ["mapping_id", "section_id"], "left").where("named OR split IS NULL")
     worded = F.trim("unit_text") != ""
     covered = covered.select("target", "unit_id", worded.alias("worded"), (~F.col("boilerplate") & (worded | (F.col("unit_type") == "figure"))).alias("substantive")).distinct()
@@ -327,7 +318,7 @@ def section_scope(spark, sf_dir):
 
 
 CITING = "(SELECT conv_id || ':' || turn AS unit_id, text AS unit_text FROM conversations) AS inline_rows"
-CITED = "(SELECT conv_id || ':' || turn AS unit_id, 1 AS ref_at, split_part(text, ' ', 2) AS raw_text, 's1' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 2 AS ref_at, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS raw_text, 's2' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 3 AS ref_at, upper(split_part(text, ' ', 4)) AS raw_text, 's3' AS ref_target FROM conversations) AS inline_rows"
+CITED = "(SELECT conv_id || ':' || turn AS unit_id, 1 AS ref_at, split_part(text, ' ', 2) AS raw_text, 's1' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 2 AS ref_at, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS raw_text, 's2' AS ref_target FROM conversations UNION ALL SELECT conv_id || ':' || turn AS unit_id, 3 AS ref_at, lower(split_part(text, ' ', 4)) AS raw_text, 's3' AS ref_target FROM conversations) AS inline_rows"
 
 
 @query("f26_reference_tokens", f"""
