@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from folium.catalog.text import WORDS
 from folium.functions import text as T
-from folium.operators import sets as S, terms
+from folium.operators import ordered as O, sets as S, terms
 from folium.registry import derived, query, table
 
 
@@ -60,8 +60,8 @@ def worst_open(spark, sf_dir):
 @query("t04_issue_order", f"SELECT issue_id, row_number() OVER (ORDER BY resolved, CASE WHEN gate IS NULL THEN 1 ELSE 0 END, severity DESC, issue_id) AS place FROM {ISSUES}")
 def issue_order(spark, sf_dir):
     """Open first, without gate last, worst first (T4)."""
-    w = Window.orderBy("resolved", F.col("gate").isNull(), F.desc("severity"), "issue_id")
-    return derived(spark, sf_dir, ISSUES).select("issue_id", F.row_number().over(w).alias("place"))
+    issues = derived(spark, sf_dir, ISSUES).withColumn("loose", F.col("gate").isNull())
+    return O.places(issues, "resolved", "loose", F.desc("severity"), "issue_id").select("issue_id", "place")
 
 
 @query("a07_label_coverage", "SELECT source, count(*) AS total, count(l.doc_id) AS covered, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(l.doc_id) / count(*) END AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from folium.operators import records as R
-from folium.registry import inline, query, table, values
+from folium.registry import derived, inline, query, table, values
 
 
 @query("s10_line_numbers", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, a || '.' || b AS number FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, a ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS a FROM lineitem))")
@@ -26,8 +26,8 @@ def number_forms(spark, sf_dir):
     return values(spark, FORMS).select("n", R.roman(F.col("n")).alias("roman_form"), R.letter(F.col("n")).alias("letter_form"))
 
 
-WANTED = inline("record_id, version", [("r1", -1), ("r1", 1), ("r2", -1), ("r3", 9), ("r9", -1)])
-RECORDS = inline("record_id, version, status", [("r1", 1, "ready"), ("r1", 2, "draft"), ("r2", 3, "approved"), ("r3", 1, "ready")])
+WANTED = "(SELECT o_custkey AS record_id, CASE WHEN max(o_orderkey) % 2 = 0 THEN -1 ELSE min(o_orderkey) END AS version FROM orders GROUP BY o_custkey) AS inline_rows"
+RECORDS = "(SELECT o_custkey AS record_id, o_orderkey AS version, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'draft' ELSE 'approved' END AS status FROM orders) AS inline_rows"
 
 
 @query("x09_eligible", f"""
@@ -35,8 +35,8 @@ SELECT w.record_id, coalesce(w.v, l.last) AS version, CASE WHEN l.last IS NULL T
 FROM (SELECT record_id, CASE WHEN version >= 0 THEN version END AS v FROM {WANTED}) w LEFT JOIN (SELECT record_id, max(version) AS last FROM {RECORDS} GROUP BY 1) l USING (record_id) LEFT JOIN {RECORDS.replace('inline_rows', 'r')} ON r.record_id = w.record_id AND r.version = coalesce(w.v, l.last)""")
 def eligible(spark, sf_dir):
     """Latest or named version, and why it cannot be used."""
-    wanted = values(spark, WANTED).withColumn("version", F.when(F.col("version") >= 0, F.col("version")))
-    return R.eligible(wanted, values(spark, RECORDS))
+    wanted = derived(spark, sf_dir, WANTED).withColumn("version", F.when(F.col("version") >= 0, F.col("version")))
+    return R.eligible(wanted, derived(spark, sf_dir, RECORDS))
 
 
 @query("x14_blockers", "SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN o_totalprice > 400000 THEN 'too large' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL)) AS blocker FROM orders")

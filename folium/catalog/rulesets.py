@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import signals as S
 from folium.operators import records, rules as R
-from folium.registry import inline, query, table, values
+from folium.registry import derived, inline, query, table, values
 from folium.sources import files
 
 RULES = inline("rule_id, category, params, cited", [
@@ -121,13 +121,13 @@ def paragraph_kinds(spark, sf_dir):
     return p.where((F.trim("txt") != "") & ~marked).withColumn("level", level).select("n", kind.alias("kind"), "level")
 
 
-TOKENS = inline("token, family, revoked_at", [("a", "f1", None), ("b", "f1", "2024-01-01"), ("c", "f2", None), ("d", None, None)])
+TOKENS = "(SELECT 'k' || o_orderkey AS token, CASE WHEN o_custkey % 9 > 0 THEN 'f' || o_custkey END AS family, CASE WHEN o_orderstatus = 'F' THEN '' || o_orderdate END AS revoked_at FROM orders) AS inline_rows"
 
 
 @query("p04_live_tokens", f"SELECT family, count(*) AS live FROM {TOKENS} WHERE revoked_at IS NULL GROUP BY family")
 def live_tokens(spark, sf_dir):
     """Only rows that the partial index covers: not revoked."""
-    return values(spark, TOKENS).where(F.col("revoked_at").isNull()).groupBy("family").agg(F.count("*").alias("live"))
+    return derived(spark, sf_dir, TOKENS).where(F.col("revoked_at").isNull()).groupBy("family").agg(F.count("*").alias("live"))
 
 
 @query("p15_renamed_keys", "SELECT n_nationkey AS id, n_name AS title, n_regionkey AS region_id FROM nation")
@@ -137,7 +137,7 @@ def renamed_keys(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(*names).withColumnsRenamed(names)
 
 
-TERMS = inline("source_term, target_term, note, case_sensitive, do_not_translate", [("risk", "Risiko", None, False, False), ("A, B", 'das "B"', "two", True, False), ("GMP", "", "keep", True, True)])
+TERMS = "(SELECT p_name || CASE WHEN p_size % 3 = 0 THEN ', ' || p_partkey ELSE ' ' || p_partkey END AS source_term, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'das \"' || p_name || '\"' ELSE p_type END AS target_term, CASE WHEN p_size % 5 > 0 THEN p_brand END AS note, p_size % 2 = 0 AS case_sensitive, p_size % 7 = 0 AS do_not_translate FROM part) AS inline_rows"
 
 
 @query("k05_glossary_lines", """
@@ -145,7 +145,7 @@ SELECT list_aggregate(list_transform([source_term, target_term, coalesce(note, '
  lambda x: CASE WHEN contains(x, ',') OR contains(x, '"') THEN '"' || replace(x, '"', '""') || '"' ELSE x END), 'string_agg', ',') AS line FROM """ + TERMS)
 def glossary_lines(spark, sf_dir):
     """Glossary entries as CSV lines (K5); `glossary_lines` of the sources gives the same for a file."""
-    return files.glossary_lines(values(spark, TERMS))
+    return files.glossary_lines(derived(spark, sf_dir, TERMS))
 
 
 NATION_CHANGES = inline("n_nationkey, n_name", [(1, "Changed"), (3, None), (99, "Nobody")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.registry import inline, query, table, values
+from folium.registry import derived, query, table
 from folium.sources import files, pages as P
 
 
@@ -20,14 +20,14 @@ def heading_levels(spark, sf_dir):
     return e.groupBy("page_id", "level").agg(F.count("*").alias("n"))
 
 
-PAIRS = inline("doc_id, seq, label, value", [("a", 1, "Document Title", " Cleaning "), ("a", 2, "Title of form", "Other"), ("a", 3, "Version", ""), ("a", 4, "version no", "3.0"), ("b", 1, "subtitle", "x"), ("b", 2, "Number", "SOP-7")])
+PAIRS = "(SELECT o_custkey AS doc_id, o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'Document Title' WHEN 1 THEN 'Number of ' || o_orderpriority WHEN 2 THEN 'Version' WHEN 3 THEN 'version no' ELSE 'subtitle' END AS label, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE ' ' || o_orderkey || ' ' END AS value FROM orders) AS inline_rows"
 
 
 @query("s11_metadata", f"""
 SELECT doc_id, name, arg_min(trim(value), seq) AS value FROM (SELECT *, CASE WHEN regexp_matches(lower(label), '\\b(title)\\b') THEN 'title' WHEN regexp_matches(lower(label), '\\b(version)\\b') THEN 'version' WHEN regexp_matches(lower(label), '\\b(number|no)\\b') THEN 'number' END AS name FROM {PAIRS}) WHERE name IS NOT NULL AND trim(value) <> '' GROUP BY ALL""")
 def metadata(spark, sf_dir):
     """Metadata from label and value rows."""
-    return P.metadata(values(spark, PAIRS), {"title": "title", "version": "version", "number": "number|no"})
+    return P.metadata(derived(spark, sf_dir, PAIRS), {"title": "title", "version": "version", "number": "number|no"})
 
 
 @query("s14_table_scan", "SELECT * FROM nation")
@@ -57,21 +57,23 @@ def relative_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", p.alias("path"), F.concat(F.lit("assets/"), p).alias("stored"))
 
 
-@query("p11_grey_fills", f"SELECT id, lower(fill[1:2]) = lower(fill[3:4]) AND lower(fill[3:4]) = lower(fill[5:6]) AND ('0x' || fill[1:2])::INT >= 160 AS is_grey FROM {inline('id, fill', [(1, 'D9D9D9'), (2, '303030'), (3, 'FFEECC'), (4, 'a0A0a0')])}")
+FILLS = "(SELECT p_partkey AS id, left(md5('' || p_partkey), 2) || upper(left(md5('' || p_partkey), 2)) || CASE WHEN p_size % 3 = 0 THEN substr(md5('' || p_partkey), 3, 2) ELSE left(md5('' || p_partkey), 2) END AS fill FROM part) AS inline_rows"
+
+
+@query("p11_grey_fills", f"SELECT id, lower(fill[1:2]) = lower(fill[3:4]) AND lower(fill[3:4]) = lower(fill[5:6]) AND ('0x' || fill[1:2])::INT >= 160 AS is_grey FROM {FILLS}")
 def grey_fills(spark, sf_dir):
     """Fills that are grey: equal parts, light enough."""
-    rows = values(spark, inline("id, fill", [(1, "D9D9D9"), (2, "303030"), (3, "FFEECC"), (4, "a0A0a0")]))
     r, g, b = (F.upper(F.substring("fill", i, 2)) for i in (1, 3, 5))
-    return rows.select("id", ((r == g) & (g == b) & (F.conv(r, 16, 10).cast("int") >= 160)).alias("is_grey"))
+    return derived(spark, sf_dir, FILLS).select("id", ((r == g) & (g == b) & (F.conv(r, 16, 10).cast("int") >= 160)).alias("is_grey"))
 
 
-MARKS = inline("id, txt, font, width", [(1, "DRAFT", 40, 100), (2, "draft copy", 10, 100), (3, "Confidential", 10, 400), (4, "text", 50, 500)])
+MARKS = "(SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'DRAFT ' WHEN 1 THEN 'Confidential: ' WHEN 2 THEN 'Photocopy of ' ELSE '' END || p_name AS txt, p_size AS font, p_partkey % 500 AS width FROM part) AS inline_rows"
 
 
 @query("s04_watermarks", f"SELECT id, regexp_matches(lower(txt), 'draft|confidential|copy') AND (font > 30 OR width > 0.4 * 600) AS is_watermark FROM {MARKS}")
 def watermarks(spark, sf_dir):
     """A watermark has a keyword and is large."""
-    return values(spark, MARKS).select("id", (F.lower("txt").rlike("draft|confidential|copy") & ((F.col("font") > 30) | (F.col("width") > 0.4 * 600))).alias("is_watermark"))
+    return derived(spark, sf_dir, MARKS).select("id", (F.lower("txt").rlike("draft|confidential|copy") & ((F.col("font") > 30) | (F.col("width") > 0.4 * 600))).alias("is_watermark"))
 
 
 @query("s07_pages_by_breaks", "SELECT doc_id, i, 1 + sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS page FROM (SELECT doc_id, i, i % 5 = 4 AS b FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))")
@@ -92,13 +94,13 @@ def fallback_texts(spark, sf_dir):
     return c.join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("other", "text").alias("shown"), F.col("other").isNull().alias("fell_back"))
 
 
-RULESET = inline("rule_id, category, status, types", [("r1", "labels", "approved", ""), ("r2", "labels", "candidate", ""), ("r3", "dates", "approved", "table list"), ("r4", "labels", "approved", "figure")])
+RULESET = "(SELECT p_partkey AS rule_id, p_brand AS category, CASE p_size % 3 WHEN 0 THEN 'candidate' ELSE 'approved' END AS status, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'table list' WHEN 2 THEN 'figure' ELSE 'text' END AS types FROM part) AS inline_rows"
 
 
 @query("x07_selected_rules", f"SELECT rule_id FROM {RULESET} WHERE status = 'approved' AND (types = '' OR list_has_any(string_split(types, ' '), ['list', 'text']))")
 def selected_rules(spark, sf_dir):
     """Approved rules without content types or with one in common."""
-    r = values(spark, RULESET).where("status = 'approved'")
+    r = derived(spark, sf_dir, RULESET).where("status = 'approved'")
     return r.where((F.col("types") == "") | F.arrays_overlap(F.split("types", " "), F.array(F.lit("list"), F.lit("text")))).select("rule_id")
 
 

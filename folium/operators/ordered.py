@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folium.operators.lineage import settle
+
 NO_LIMIT = (Window.unboundedPreceding, -1)
 
 
@@ -69,3 +71,14 @@ def best_and_margin(df: DataFrame, keys: list[str], target: str, score: str) ->
         F.max(F.when(F.col("_n") == 1, F.col(target))).alias("best"), F.max(F.when(F.col("_n") == 1, F.col(score))).alias("score"),
         (F.max(F.when(F.col("_n") == 1, F.col(score))) - F.coalesce(F.max(F.when(F.col("_n") == 2, F.col(score))), F.lit(0))).alias("margin"),
     )
+
+
+def places(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in a total order, without bringing them into one task: ranges of the order are numbered on their own
+    and moved on by the counts of those before. Only counts, one for each range, meet in one place. Ties take any order among themselves."""
+    ranged = settle(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
