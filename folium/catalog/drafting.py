@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import signals as S
 from folium.operators import drafts as D
-from folium.registry import inline, query, table, values
+from folium.registry import derived, inline, query, table, values
 
 
 def named(relation: str, name: str) -> str:
@@ -169,9 +169,7 @@ def slot_plan(spark, sf_dir):
     return D.slot_statuses(values(spark, PLAN), values(spark, PLACED))
 
 
-GRID = inline("table_id, row_index, col, text", [
-    ("t1", 0, 0, "Icon"), ("t1", 0, 1, ""), ("t1", 0, 3, "Meaning"), ("t1", 1, 1, "pen"), ("t1", 1, 4, "write"), ("t1", 2, 0, "eye"), ("t1", 2, 3, "read"), ("t1", 2, 2, " "), ("t2", 0, 0, "a"), ("t2", 0, 1, "b"), ("t2", 1, 2, "c"), ("t3", 0, 0, ""),
-])
+GRID = "(SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 0 AS col, CASE WHEN (length(text) + 0) % 3 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations UNION ALL SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 1 AS col, CASE WHEN (length(text) + 1) % 4 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations UNION ALL SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 2 AS col, CASE WHEN (length(text) + 2) % 5 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations UNION ALL SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 3 AS col, CASE WHEN (length(text) + 3) % 6 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations UNION ALL SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 4 AS col, CASE WHEN (length(text) + 4) % 7 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations UNION ALL SELECT conv_id AS table_id, CAST(turn AS INT) AS row_index, 5 AS col, CASE WHEN (length(text) + 5) % 3 = 0 THEN '' || length(text) ELSE ' ' END AS text FROM conversations) AS inline_rows"
 
 
 @query("a17_grid_columns", f"""
@@ -181,27 +179,27 @@ f AS (SELECT table_id, col, r, nth, 1 AS grp FROM o WHERE nth = 1 UNION ALL
 SELECT table_id, col, grp FROM f""")
 def grid_columns(spark, sf_dir):
     """Columns of a sparse grid in groups that never hold text in the same row."""
-    return D.occupied_groups(values(spark, GRID))
+    return D.occupied_groups(derived(spark, sf_dir, GRID))
 
 
-ENTRIES = inline("block, kind, nth, chars", [("b1", "term", 1, 30), ("b1", "term", 2, 30), ("b1", "role", 1, 20), ("b1", "ref", 1, 25), ("b2", "term", 1, 10), ("b3", "role", 1, 40), ("b3", "role", 2, 60), ("b3", "ref", 1, 20), ("b4", "ref", 1, 101)])
+ENTRIES = "(SELECT conv_id AS block, CASE length(text) % 3 WHEN 0 THEN 'term' WHEN 1 THEN 'role' ELSE 'ref' END AS kind, turn AS nth, length(text) % 60 AS chars FROM conversations) AS inline_rows"
 
 
 @query("x08_bounded_memory", f"""
 SELECT * FROM (SELECT *, sum(chars) OVER (PARTITION BY block ORDER BY CASE kind WHEN 'ref' THEN 0 WHEN 'role' THEN 1 ELSE 2 END, nth) AS used FROM {ENTRIES}) WHERE used <= 100""")
 def bounded_memory(spark, sf_dir):
     """What a block remembers within a budget: terms go first, then roles, then references."""
-    return D.bounded_memory(values(spark, ENTRIES), 100)
+    return D.bounded_memory(derived(spark, sf_dir, ENTRIES), 100)
 
 
-JOBS = inline("job_id, status, running, created", [("j1", "drafting", False, 3), ("j2", "done", False, 1), ("j3", "pending", False, 2), ("j4", "planning_slots", True, 4), ("j5", "awaiting_review", False, 5), ("j6", "failed", False, 6)])
+JOBS = "(SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'drafting' WHEN 'signup' THEN 'pending' ELSE 'planning_slots' END AS status, value > 120 AS running, event_id AS created FROM events) AS inline_rows"
 
 
 @query("r04_resumed_jobs", f"SELECT job_id, status AS stage, 'resumed' AS event FROM {JOBS} WHERE NOT running AND status IN ('pending', 'planning_slots', 'drafting')")
 def resumed_jobs(spark, sf_dir):
     """Jobs that a stopped process left in a stage of work, with the event that resumes them."""
     left = ~F.col("running") & F.col("status").isin("pending", "planning_slots", "drafting")
-    return values(spark, JOBS).where(left).select("job_id", F.col("status").alias("stage"), F.lit("resumed").alias("event"))
+    return derived(spark, sf_dir, JOBS).where(left).select("job_id", F.col("status").alias("stage"), F.lit("resumed").alias("event"))
 
 
 PASSAGES = inline("passage_id, text, slots", [("a", "Sign the form, then  file it.", "who what"), ("b", "Sign the form and file it.", "who what"), ("c", "File it; sign it.", "who what"), ("d", "Sign it.", "who what"), ("e", "Über alles gilt: ja.", "who"), ("f", "Left alone", "who")])

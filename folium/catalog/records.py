@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from folium.operators import records as R
-from folium.registry import derived, inline, query, table, values
+from folium.registry import derived, query, table
 
 
 @query("s10_line_numbers", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, a || '.' || b AS number FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, a ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS a FROM lineitem))")
@@ -17,13 +17,16 @@ def line_numbers(spark, sf_dir):
     return l.withColumn("b", b).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.concat_ws(".", F.col("a").cast("string"), F.col("b").cast("string")).alias("number"))
 
 
-FORMS = inline("n, roman_form, letter_form", [(1, "I", "a"), (4, "IV", "d"), (9, "IX", "i"), (14, "XIV", "n"), (26, "XXVI", "z"), (27, "XXVII", "aa"), (30, "XXX", "dd"), (39, "XXXIX", "mm"), (40, "XL", "nn"), (444, "CDXLIV", "b" * 18), (1990, "MCMXC", "n" * 77), (3999, "MMMCMXCIX", "u" * 154), (0, None, None)])
+_DIGITS = lambda one, five, ten: str(["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten])
 
 
-@query("s10_number_forms", f"SELECT n, roman_form, letter_form FROM {FORMS}")
+@query("s10_number_forms", f"""
+SELECT p_partkey, n, CASE WHEN n BETWEEN 1 AND 3999 THEN repeat('M', n // 1000) || {_DIGITS("C", "D", "M")}[n // 100 % 10 + 1] || {_DIGITS("X", "L", "C")}[n // 10 % 10 + 1] || {_DIGITS("I", "V", "X")}[n % 10 + 1] END AS roman_form,
+  CASE WHEN n > 0 THEN repeat(chr((97 + (n - 1) % 26)::INT), (n - 1) // 26 + 1) END AS letter_form FROM (SELECT p_partkey, p_partkey * 7 % 4000 AS n FROM part)""")
 def number_forms(spark, sf_dir):
-    """Roman and letter forms of list numbers (S10); the SQL side holds the expected forms."""
-    return values(spark, FORMS).select("n", R.roman(F.col("n")).alias("roman_form"), R.letter(F.col("n")).alias("letter_form"))
+    """Roman and letter forms of list numbers (S10), of numbers from 0 to 3999 spread over the parts."""
+    n = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 4000).cast("int").alias("n"))
+    return n.select("p_partkey", "n", R.roman(F.col("n")).alias("roman_form"), R.letter(F.col("n")).alias("letter_form"))
 
 
 WANTED = "(SELECT o_custkey AS record_id, CASE WHEN max(o_orderkey) % 2 = 0 THEN -1 ELSE min(o_orderkey) END AS version FROM orders GROUP BY o_custkey) AS inline_rows"

@@ -96,10 +96,7 @@ def part_document_ids(spark, sf_dir):
     return R.part_ids(lines, R.own_ids(lines, FORM, F.col("n") == 0), FORM)
 
 
-PARAGRAPHS = inline("n, style, outline, numbering, txt", [
-    (1, "Heading 2", None, None, "Roles"), (2, "Title", None, None, "Guide"), (3, "Custom", 2, "1.1.1", "Deep"), (4, "List Bullet 2", 1, None, "dot"), (5, "List Number", None, None, "first"), (6, "Normal", None, "3", "third"),
-    (7, "Normal", None, None, "plain"), (8, "Normal", None, None, " "), (9, "Watermark Box", None, None, "x"), (10, "Normal", None, None, "draft of May"), (11, "List Paragraph", None, None, "item"), (12, "Heading 9", None, None, "too deep"),
-])
+PARAGRAPHS = "(SELECT conv_id || ':' || turn AS n, CASE length(text) % 12 WHEN 0 THEN 'Heading ' || (1 + length(text) % 9) WHEN 1 THEN 'Title' WHEN 2 THEN 'Custom' WHEN 3 THEN 'List Bullet 2' WHEN 4 THEN 'List Number' WHEN 5 THEN 'Watermark Box' WHEN 6 THEN 'List Paragraph' WHEN 7 THEN 'Heading 9' ELSE 'Normal' END AS style, CASE WHEN length(text) % 5 = 0 THEN length(text) % 4 END AS outline, CASE WHEN length(text) % 7 = 0 THEN '' || turn END AS numbering, CASE WHEN length(text) % 11 = 0 THEN ' ' WHEN length(text) % 13 = 0 THEN 'draft of ' || text ELSE text END AS txt FROM conversations) AS inline_rows"
 # fixed values: styles of lists, words of watermarks
 LIST_STYLES = ["List Bullet", "List Bullet 2", "List Bullet 3", "List Number", "List Number 2", "List Number 3", "List Paragraph"]
 WATERMARKS = "WORKING COPY|DRAFT|CONFIDENTIAL|DO NOT DISTRIBUTE|WATERMARK"
@@ -112,7 +109,7 @@ FROM (SELECT *, CASE WHEN style = 'Title' THEN 1 WHEN regexp_matches(style, '^He
 WHERE trim(txt) <> '' AND NOT regexp_matches(upper(txt || '|' || CASE WHEN contains(upper(style), 'WATERMARK') THEN 'WATERMARK' ELSE '' END), '{WATERMARKS}')""")
 def paragraph_kinds(spark, sf_dir):
     """Paragraphs as headings with level, list items, numbered steps or plain; watermarks and blank ones go."""
-    p = values(spark, PARAGRAPHS).withColumn("outline", F.col("outline").cast("int"))
+    p = derived(spark, sf_dir, PARAGRAPHS).withColumn("outline", F.col("outline").cast("int"))
     listed, numbered = F.col("style").isin(LIST_STYLES), F.col("numbering").isNotNull()
     styled = F.regexp_extract("style", "^Heading ([1-6])$", 1)
     level = F.when(F.col("style") == "Title", 1).when(styled != "", F.try_to_number(styled, F.lit("9")).cast("int")).when(~listed, F.col("outline") + 1)

@@ -89,16 +89,43 @@ def cell_texts(spark, sf_dir):
     return rows.select("page_id", F.array_join(kept, " ").alias("text"))
 
 
-@query("u10_longest_matches")
+HITS = """
+WITH RECURSIVE w AS (SELECT conv_id || ':' || turn AS doc, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+h AS (SELECT doc, i AS s, i + 1 + length(word) % 4 AS e FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY s - e, s) AS nth FROM h)"""
+
+
+@query("u10_longest_matches", HITS + """, walk AS (
+  SELECT doc, nth, [{'s': s, 'e': e}] AS chosen FROM k WHERE nth = 1
+  UNION ALL
+  SELECT k.doc, k.nth, CASE WHEN len(list_filter(chosen, lambda x: x.s < k.e AND k.s < x.e)) = 0 THEN list_append(chosen, {'s': k.s, 'e': k.e}) ELSE chosen END FROM walk JOIN k ON k.doc = walk.doc AND k.nth = walk.nth + 1
+)
+SELECT doc, array_to_string(list_transform(list_sort(chosen), lambda x: x.s || '-' || x.e), ',') AS spans FROM (SELECT doc, arg_max(chosen, nth) AS chosen FROM walk GROUP BY doc)""")
 def longest_matches(spark, sf_dir):
-    """Of overlapping terms the longest first, then those that fit beside it."""
-    hits = values(spark, inline("doc, term, start_at, end_at", [("d1", "data sheet", 7, 17), ("d1", "safety data sheet", 0, 17), ("d1", "sheet metal", 12, 23), ("d1", "metal", 18, 23)]))
-    order = F.array_sort(F.collect_list(F.struct((F.col("start_at") - F.col("end_at")).alias("neg"), "start_at", "end_at", "term")))
-    kind = "array<struct<neg:int,start_at:int,end_at:int,term:string>>"
-    fits = lambda s, x: ~F.exists(s, lambda t: (x["start_at"] < t["end_at"]) & (t["start_at"] < x["end_at"]))
-    chosen = F.aggregate(order, F.array().cast(kind), lambda s, x: F.when(fits(s, x), F.concat(s, F.array(x))).otherwise(s).cast(kind))
-    found = hits.groupBy("doc").agg(chosen.alias("c"))
-    return found.select("doc", F.array_join(F.transform(F.array_sort(F.transform("c", lambda x: F.struct(x["start_at"], x["term"]))), lambda x: x["term"]), ",").alias("terms"))
+    """Of overlapping terms the longest first, then those that fit beside it (U10): at each word of a turn a term of one to four words begins."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), F.posexplode(F.split("text", " ")).alias("at", "word"))
+    hits = c.select("doc", (F.col("at") + 1).alias("start_at"), (F.col("at") + 2 + F.length("word") % 4).alias("end_at"))
+    found = S.longest_matches(hits.withColumn("term", F.concat_ws("-", "start_at", "end_at")), "doc")
+    return found.select("doc", F.array_join("terms", ",").alias("spans"))
+
+
+_GRAMS = """
+WITH w AS (SELECT conv_id || ':' || turn AS text_id, string_split(lower(regexp_replace(text, '[.,\n]+', ' ', 'g')), ' ') AS w FROM conversations),
+p AS (SELECT DISTINCT text_id, n, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT text_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT text_id, list_filter(w, lambda x: x <> '') AS w, unnest([2, 3]) AS n FROM w)))"""
+
+
+@query("u11_absorbed_phrases", _GRAMS + """, c AS (SELECT term, count(*) AS n FROM p GROUP BY term)
+SELECT a.term AS short, b.term AS long, c.n AS n_short, count(*) AS n_both FROM p a JOIN p b ON a.text_id = b.text_id AND a.n = 2 AND b.n = 3 AND (starts_with(b.term, a.term || ' ') OR ends_with(b.term, ' ' || a.term)) JOIN c ON c.term = a.term
+WHERE c.n >= 2 GROUP BY ALL HAVING count(*) >= 0.75 * c.n""")
+def absorbed_phrases(spark, sf_dir):
+    """A phrase of two words that two or more texts hold yields to a longer one that covers 75% of them (U11). A long phrase gives its own parts, so phrases of a text are not paired."""
+    words = F.filter(F.split(F.lower(F.regexp_replace("text", r"[.,\n]+", " ")), " "), lambda x: x != "")
+    w = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("text_id"), words.alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    n = w.select("text_id", F.explode(F.array_distinct(runs(2))).alias("short")).groupBy("short").agg(F.count("*").alias("n_short")).where("n_short >= 2")
+    long = w.select("text_id", F.explode(F.array_distinct(runs(3))).alias("long"))
+    parts = F.array_distinct(F.array(F.substring_index("long", " ", 2), F.substring_index("long", " ", -2)))
+    both = long.select("long", F.explode(parts).alias("short")).groupBy("short", "long").agg(F.count("*").alias("n_both"))
+    return both.join(n, "short").where(F.col("n_both") >= 0.75 * F.col("n_short")).select("short", "long", "n_short", "n_both")
 
 
 @query("u12_intersect_except", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS both_, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_docs")

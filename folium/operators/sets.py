@@ -33,3 +33,14 @@ def covered_ratio(covered: Column, total: Column) -> Column:
 
 def keep_last(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def longest_matches(hits: DataFrame, key: str) -> DataFrame:
+    """hits: key, term, start_at, end_at (exclusive). key and terms: of overlapping terms the longest first, on a tie the first; those that fit
+    beside the chosen ones follow; terms in order of place. A key's hits are one array: give a text or a stretch of one as the key."""
+    order = F.array_sort(F.collect_list(F.struct((F.col("start_at") - F.col("end_at")).alias("neg"), "start_at", "end_at", "term")))
+    kind = "array<struct<neg:int,start_at:int,end_at:int,term:string>>"
+    fits = lambda s, x: ~F.exists(s, lambda t: (x["start_at"] < t["end_at"]) & (t["start_at"] < x["end_at"]))
+    chosen = F.aggregate(order.cast(kind), F.array().cast(kind), lambda s, x: F.when(fits(s, x), F.concat(s, F.array(x))).otherwise(s).cast(kind))
+    found = hits.groupBy(key).agg(chosen.alias("_c"))
+    return found.select(key, F.transform(F.array_sort(F.transform("_c", lambda x: F.struct(x["start_at"], x["term"]))), lambda x: x["term"]).alias("terms"))

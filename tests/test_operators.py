@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folium.operators import relations
+from folium.operators import relations, sets
 from folium.plans import chunking, layout
 from folium.queries import QUERIES
 from folium.sources import files
@@ -70,7 +70,9 @@ def test_tables_continue_over_pages(spark):
 
 
 def test_longest_matches(spark):
-    assert [(r["doc"], r["terms"]) for r in QUERIES["u10_longest_matches"](spark, SF).collect()] == [("d1", "safety data sheet,metal")]
+    rows = [("d1", "data sheet", 7, 17), ("d1", "safety data sheet", 0, 17), ("d1", "sheet metal", 12, 23), ("d1", "metal", 18, 23)]
+    hits = spark.createDataFrame(rows, "doc string, term string, start_at int, end_at int")
+    assert [tuple(r) for r in sets.longest_matches(hits, "doc").collect()] == [("d1", ["safety data sheet", "metal"])]
 
 
 def by_user(spark):
