@@ -112,16 +112,14 @@ def term_presence(spark, sf_dir):
     return values(spark, TRANSLATED).select("n", S.term_present(F.col("txt"), F.col("term"), F.col("east")).alias("present"))
 
 
-ASSETS = inline("n, document_id, body", [
-    (1, "d1", '{"path": "/data/x/a.png", "kids": [{"icon_path":"b.svg", "title": "/data/x"}]}'), (2, "d2", '{"image_path": "C/d/e/long name.jpg", "path": null, "path2": "/k/l"}'), (3, "d3", "[]"),
-])
+ASSETS = "(SELECT page_id AS n, 'd' || page_id AS document_id, '{\"image_path\": \"' || url || '\", \"list\": [{\"path\":\"pic\", \"name\": \"a/b\"}, {\"icon_path\" : \"/x/' || page_id || '.png\"}]}' AS body FROM pages) AS inline_rows"
 
 
 @query("p16_served_paths", r"""
 SELECT n, regexp_replace(body, '"(image_path|icon_path|path)"(\s*:\s*)"([^"]*/)?([^"/]+)"', '"\1"\2"/documents/' || document_id || '/assets/\4"', 'g') AS body FROM """ + ASSETS)
 def served_paths(spark, sf_dir):
     """Asset paths in JSON at any depth become URLs of their document."""
-    return values(spark, ASSETS).select("n", S.served_paths(F.col("body"), F.col("document_id")).alias("body"))
+    return derived(spark, sf_dir, ASSETS).select("n", S.served_paths(F.col("body"), F.col("document_id")).alias("body"))
 
 
 SLOTS = inline("slot_id, status", [("s1", "mapped"), ("s2", "mapped"), ("s3", "not_found"), ("s4", "not_found"), ("s5", "mapped")])

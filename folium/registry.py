@@ -34,7 +34,8 @@ def values(spark: SparkSession, relation: str) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
     """A relation over given tables, in SQL that Spark and DuckDB both read: what a query takes in, made the same way for both."""
     names = set(re.findall(r"\b(?:FROM|JOIN) ([a-z]+)\b", relation))
-    text = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", r"\1 {\2}", relation)
+    literal = relation.replace("{", "{{").replace("}", "}}")  # braces of its own, JSON for one, stay as they are
+    text = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", r"\1 {\2}", literal)
     return spark.sql(f"SELECT * FROM {text}", **{n: table(spark, sf_dir, n) for n in names})
 
 
