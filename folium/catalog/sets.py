@@ -132,18 +132,3 @@ def absorbed_phrases(spark, sf_dir):
 def intersect_except(spark, sf_dir):
     d, l = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     return d.intersect(l).agg(F.count("*").alias("both_")).join(F.broadcast(d.exceptAll(l.distinct()).distinct().agg(F.count("*").alias("only_docs"))), how="inner")
-
-
-PHRASES = inline("term, text_id", [("data sheet", 1), ("data sheet", 2), ("data sheet", 3), ("safety data sheet", 1), ("safety data sheet", 2), ("safety data sheet", 3), ("sheet", 1), ("sheet", 2), ("sheet", 3), ("sheet", 4), ("sheet", 5)])
-
-
-@query("u11_absorbed_phrases", f"""
-SELECT a.term AS short, b.term AS long, n AS n_short, count(*) AS n_both FROM {PHRASES.replace('inline_rows', 'a')} JOIN {PHRASES.replace('inline_rows', 'b')} ON a.text_id = b.text_id AND a.term <> b.term AND contains(b.term, a.term)
-JOIN (SELECT term, count(*) AS n FROM {PHRASES} GROUP BY term) c ON c.term = a.term GROUP BY ALL HAVING count(*) >= 0.75 * n""")
-def absorbed_phrases(spark, sf_dir):
-    """A phrase yields to a longer one that covers 75% of its texts."""
-    p = values(spark, PHRASES)
-    n = p.groupBy("term").agg(F.count("*").alias("n"))
-    pairs = p.withColumnsRenamed({"term": "short"}).join(p.withColumnsRenamed({"term": "long"}), "text_id").where(F.col("long").contains(F.col("short")) & (F.col("long") != F.col("short")))
-    both = pairs.groupBy("short", "long").agg(F.count("*").alias("n_both")).join(n.withColumnsRenamed({"term": "short", "n": "n_short"}), "short")
-    return both.where(F.col("n_both") >= 0.75 * F.col("n_short"))

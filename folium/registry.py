@@ -13,6 +13,9 @@ ORACLES: dict = {}
 def query(name: str, oracle: str | None = None):
     """Registers a (spark, sf_dir) -> DataFrame function."""
 
+    if name in QUERIES:
+        raise ValueError(f"query {name} is registered twice")
+
     def add(f):
         QUERIES[name] = f
         if oracle:
