@@ -43,6 +43,21 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert [f[1] for f in got[2300]] == [100, *range(2000, 2009)]
 
 
+def test_neighbours_are_the_nearest_of_any_rows(spark):
+    draw = np.random.default_rng(1)
+    scales = np.exp(4 * draw.normal(size=(3000, 1))) * draw.normal(size=(3000, 32))
+    apart = draw.normal(size=(3000, 32))  # the queries lie elsewhere than most rows
+    apart[::100] = 5 + 0.1 * draw.normal(size=(30, 32))
+    apart[1::50] = 5 + 2 * draw.normal(size=(60, 32))
+    for x in (scales, apart, 1e6 + draw.normal(size=(3000, 16))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in nearest(df, every=100, k=10, sample_rows=1000, again=16).collect():
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        for q in range(0, 3000, 100):
+            assert [i for _, i in sorted(got[q])] == [i for i, _ in brute_nearest(dict(enumerate(x)), q, 10)]
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in nearest(df).orderBy("rank").collect()] == [(1, 2), (2, 1)]
