@@ -18,7 +18,9 @@ All sets that keep a content are compared with one of them, the hub, not with
 each other; the hub is the set that shares most with others, so of near copies the one nearest to their origin.
 Components of the verified links follow. Where a group still holds more than one
 component, members outside the largest component are compared across components, as
-far as sizes and parities of their elements allow a link. What remains unlinked has then been verified
+far as sizes and parities of their elements allow a link. Two sets that share many contents meet at the first of them, in
+the order of contents, and at few others: a row has the set's BEFORE contents before its own, and where those of two rows
+overlap the sets have met before. What remains unlinked has then been verified
 to differ, or is connected already.
 
 Hot groups: contents held by many sets of one partition are counted there and cross the first shuffle as one row; later
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folium.llm._store import cut, done, row_key, split_join, text_bytes
 from folium.llm._text import U, mix, shingle_sets, signed, texts
@@ -46,6 +48,7 @@ from folium.llm.components import components
 BROADCAST_ROWS = 500_000
 SLACK = 0.25  # further segments, so that dear ones can be left out
 SPREAD = 2_000  # members of a group for each salt
+BEFORE = 16  # contents of a set before each of its own
 FINEST, PARITIES = 12, 256  # bits of the finest cells, cells with parities
 PARITY = [f"p{i}" for i in range(PARITIES // 64)]
 
@@ -377,12 +380,15 @@ def _unsettled(members: DataFrame, found: DataFrame, size: DataFrame, percent: i
     parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("n").alias("n"))
     parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("main"), F.max("n").alias("n"))
     parts = cut(parts.where("parts > 1").select("key", F.col("main.c").alias("main"), "n"), "join-parts")
-    open_ = cut(_salted(members.drop("hub"), parts, "key").join(size.select("a", "size", *PARITY), "a"), "join-open")
-    names = {"a": "b", "c": "d", "size": "size_b", **{p: f"{p}_b" for p in PARITY}}
+    earlier = Window.partitionBy("a").orderBy("key").rowsBetween(-BEFORE, -1)
+    open_ = _salted(members.drop("hub"), parts, "key").withColumn("before", F.collect_list("key").over(earlier))
+    open_ = cut(open_.join(size.select("a", "size", *PARITY), "a"), "join-open")
+    names = {"a": "b", "c": "d", "size": "size_b", "before": "before_b", **{p: f"{p}_b" for p in PARITY}}
     outside = open_.where("c != main").drop("main", "n")
     others = open_.drop("main").withColumnsRenamed(names)
     apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
     x, y = F.col("size"), F.col("size_b")
     fits = (F.col("c") != F.col("d")) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
+    fits &= ~F.arrays_overlap("before", "before_b")
     pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select("a", "b", "n")
     return _fitting(pairs, size, percent)

@@ -1,7 +1,9 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
+from folium.llm import jaccard_join
 from folium.llm.jaccard_join import Bands, keep_one, similarity_components
 
 
@@ -82,6 +84,18 @@ def test_segments_outnumber_the_difference():
             assert m >= worth > 15 * (size + other) // 185 and q <= m
 
 
+def test_sets_that_share_many_contents_meet_once(spark, monkeypatch):
+    draw = random.Random(3)
+    held = {a: set(range(100)) if a < 3 else set(draw.sample(range(1000), 80)) for a in range(1, 12)}
+    members = spark.createDataFrame([(k, a, 11, 11) for a, keys in held.items() for k in keys], "key long, a long, n long, hub long")
+    found = spark.createDataFrame([], "node long, component long")
+    size = spark.createDataFrame([(a, 100, b"", *[0] * len(jaccard_join.PARITY)) for a in held], f"a long, size long, sketch binary, {', '.join(f'{p} long' for p in jaccard_join.PARITY)}")
+    monkeypatch.setattr(jaccard_join, "_fitting", lambda pairs, size, percent: pairs)
+    got = Counter(tuple(sorted((r["a"], r["b"]))) for r in jaccard_join._unsettled(members, found, size, 80).collect())
+    assert set(got) == {(a, b) for a in held for b in held if a < b and held[a] & held[b]}  # each pair that shares a content
+    assert got[1, 2] <= 2  # one content, a row for each that is outside the largest component there
+
+
 def test_empty_table(empty):
     assert similarity_components(empty).count() == 0
     assert keep_one(empty).count() == 0
