@@ -16,11 +16,18 @@ leaves its contents out and keeps what it does not share.
 
 All sets that keep a content are compared with one of them, the hub, not with
 each other; the hub is the set that shares most with others, so of near copies the one nearest to their origin.
-Components of the verified links follow. Where a group still holds more than one
-component, members outside the largest component are compared across components, as
-far as sizes and parities of their elements allow a link. Two sets that share many contents meet at the first of them, in
-the order of contents, and at few others: a row has the set's BEFORE contents before its own, and where those of two rows
-overlap the sets have met before. What remains unlinked has then been verified
+Components of the verified links follow. All that were compared with one hub are its star; two sets that share a kept content
+lie in one star. Where a star holds more than one component, members outside the largest are compared across components, as far as
+sizes and parities of their elements allow a link, if at most OUTSIDE are outside. Two sets that share many hubs meet at the
+first of them, in the order of hubs, and at few others: a row has the set's BEFORE hubs before its own, and where those of two rows
+overlap the sets have met before.
+
+In a larger star members meet by what they do not share with the hub. Near copies of one text differ from it in different places:
+if x and y differ from the hub in dx and dy elements, they differ from each other in dx + dy less twice the elements common to both
+differences. Where dx + dy alone is small enough they link, and one comparison with the member nearest to the hub finds that.
+Otherwise a link asks for some number of common elements, so the differences share one even if each leaves out its most
+frequent elements, one less than that number; and where they meet first, enough must follow in both. Members of the hub's
+component and others have different numbers, so these meet apart. What remains unlinked has then been verified
 to differ, or is connected already.
 
 Hot groups: contents held by many sets of one partition are counted there and cross the first shuffle as one row; later
@@ -35,11 +42,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folium.llm._store import cut, done, row_key, split_join, text_bytes
 from folium.llm._text import U, mix, shingle_sets, signed, texts
@@ -48,8 +56,9 @@ from folium.llm.components import components
 BROADCAST_ROWS = 500_000
 SLACK = 0.25  # further segments, so that dear ones can be left out
 SPREAD = 2_000  # members of a group for each salt
-BEFORE = 16  # contents of a set before each of its own
-FINEST, PARITIES = 12, 256  # bits of the finest cells, cells with parities
+OUTSIDE = 1_000  # members of a star outside its largest component that are compared with all others as they are
+BEFORE = 16  # hubs of a set before each of its own
+FINEST, PARITIES = 12, 1024  # bits of the finest cells, cells with parities
 PARITY = [f"p{i}" for i in range(PARITIES // 64)]
 
 
@@ -276,14 +285,18 @@ def _salted(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
     return rows.join(groups, [on, "_salt"]).drop("_salt")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b; n: size of the group they come from) that link."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct()
+def _elements(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """class, elements for the classes in wanted (class), read from one text of each."""
     wanted = cut(wanted.join(classes, "class").select(F.col("class").alias("_class"), F.col("rep").alias("_rep")), "join-wanted")
     reps = wanted.select("_rep").distinct()
     reps = F.broadcast(reps) if wanted.count() <= BROADCAST_ROWS else reps
     chosen = docs.join(reps, F.col("_rep") == F.col("_row"), "left_semi").select("text")
-    sets = cut(chosen.mapInArrow(_contents(k), "class long, elements array<long>").dropDuplicates(["class"]), "join-sets")
+    return cut(chosen.mapInArrow(_contents(k), "class long, elements array<long>").dropDuplicates(["class"]), "join-sets")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b; n: size of the group they come from) that link."""
+    sets = _elements(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct(), docs, classes, k)
     left = pairs.join(sets.withColumnsRenamed({"class": "a", "elements": "x"}), "a")
     right = pairs.groupBy("b").agg(F.max("n").alias("n")).join(sets.withColumnsRenamed({"class": "b", "elements": "y"}), "b")
     both = _salted(left, right, "b")
@@ -328,7 +341,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     tied = members.where("a != hub").select("a", F.col("hub").alias("b"), "n")
     first = cut(_fitting(tied, size, percent), "join-pairs")
     links = cut(_verify(first, rows, classes, k, percent), "join-links")
-    rest = cut(_unsettled(members, components(links, "a", "b"), size, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
+    elements = partial(_elements, docs=rows, classes=classes, k=k)
+    rest = cut(_unsettled(members, components(links, "a", "b"), size, percent, elements).join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
         links = cut(links.union(_verify(rest, rows, classes, k, percent)), "join-links")
     found = components(links, "a", "b")
@@ -374,21 +388,82 @@ def _fitting(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n", "_na", "_nb", "_sa", "_sb").mapInArrow(_near(percent), "a long, b long, n long")
 
 
-def _unsettled(members: DataFrame, found: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one group, one of them outside its largest component."""
-    members = members.join(found.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.max("n").alias("n"))
-    parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("main"), F.max("n").alias("n"))
-    parts = cut(parts.where("parts > 1").select("key", F.col("main.c").alias("main"), "n"), "join-parts")
-    earlier = Window.partitionBy("a").orderBy("key").rowsBetween(-BEFORE, -1)
-    open_ = _salted(members.drop("hub"), parts, "key").withColumn("before", F.collect_list("key").over(earlier))
-    open_ = cut(open_.join(size.select("a", "size", *PARITY), "a"), "join-open")
-    names = {"a": "b", "c": "d", "size": "size_b", "before": "before_b", **{p: f"{p}_b" for p in PARITY}}
-    outside = open_.where("c != main").drop("main", "n")
-    others = open_.drop("main").withColumnsRenamed(names)
-    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """key, main (the component c of most rows), n (rows), out (rows outside it) of the groups that hold more than one component."""
+    parts = rows.groupBy(key, "c").agg(F.count("*").alias("m")).groupBy(key)
+    parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("n"))
+    return parts.where("parts > 1").select(key, F.col("main.c").alias("main"), "n", (F.col("n") - F.col("main.m")).alias("out"))
+
+
+def _across(rows: DataFrame, key: str, names: list[str], fits: Column, percent: int) -> DataFrame:
+    """Pairs a, b of rows (a, c, size, main, names) with one key, of different components and fitting sizes; those of b end in _b, its c is d."""
+    others = rows.drop("main").withColumnsRenamed({"a": "b", "c": "d", **{x: f"{x}_b" for x in ("size", *names)}})
+    outside = rows.where("c != main")
     x, y = F.col("size"), F.col("size_b")
-    fits = (F.col("c") != F.col("d")) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
-    fits &= ~F.arrays_overlap("before", "before_b")
-    pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select("a", "b", "n")
+    fits = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least(x, y) >= percent * F.greatest(x, y)) & fits
+    return outside.join(others, (outside[key] == others[key]) & fits)
+
+
+def _unsettled(members: DataFrame, found: DataFrame, size: DataFrame, percent: int, elements: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs of different components in one star, one of them outside its largest component.
+
+    elements: gives the elements of classes; without it large stars are treated like small ones.
+    """
+    tied = members.select("hub", "a").distinct().join(found.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left")
+    tied = cut(tied.withColumn("c", F.coalesce("c", "a")), "join-tied")
+    parts = cut(_parts(tied, "hub").where("n > 2"), "join-parts")  # a hub and another have been compared
+    earlier = Window.partitionBy("a").orderBy("hub").rowsBetween(-BEFORE, -1)
+    stars = cut(split_join(tied, parts, "hub", hot=SPREAD).withColumn("before", F.collect_list("hub").over(earlier)), "join-stars")
+    small = stars.where(F.col("out") <= OUTSIDE) if elements else stars
+    open_ = cut(small.join(size.select("a", "size", *PARITY), "a"), "join-open")
+    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+    fits = (apart * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("size_b"))) & ~F.arrays_overlap("before", "before_b")
+    pairs = _across(open_.drop("out"), "hub", ["n", "before", *PARITY], fits, percent).select("a", "b", "n")
+    if elements and not (large := stars.where(F.col("out") > OUTSIDE)).isEmpty():
+        pairs = pairs.union(_by_differences(large, elements, percent))
     return _fitting(pairs, size, percent)
+
+
+def _by_differences(stars: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b, n) of different components in stars (hub, a, c, n: members) that may link, by what they do not share with the hub."""
+    sets = elements(stars.select(F.col("a").alias("class")).distinct())
+    left = stars.select("hub", "a", "c", "n").join(sets.withColumnsRenamed({"class": "a", "elements": "x"}), "a")
+    right = stars.groupBy("hub").agg(F.max("n").alias("n")).join(sets.withColumnsRenamed({"class": "hub", "elements": "y"}), "hub")
+    both = _salted(left, right, "hub").withColumn("difference", F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
+    both = both.select("hub", "a", "c", "n", F.size("x").cast("long").alias("size"), F.size("difference").cast("long").alias("apart"), "difference")
+    # x and y link if excess(x) + excess(y) <= 2 * (100 + percent) * elements common to both differences
+    both = both.withColumn("excess", (100 + percent) * F.col("apart") - (100 - percent) * F.col("size"))
+    both = cut(both.repartition("hub", "a"), "join-differences")
+
+    own, other = F.col("a") == F.col("hub"), F.col("a") != F.col("hub")
+    parts = both.groupBy("hub", "c").agg(F.max(own).alias("own"), F.min(F.when(other, F.col("excess"))).alias("least"), F.min(F.struct("excess", "a")).alias("nearest"), F.count("*").alias("n"))
+    hubs = parts.groupBy("hub").agg(
+        F.max(F.when(F.col("own"), F.col("c"))).alias("main"), F.min(F.when(F.col("own"), F.col("least"))).alias("within"),
+        F.min(F.when(~F.col("own"), F.col("least"))).alias("without"), F.min("nearest").alias("nearest"), F.sum("n").alias("n"),
+    )
+
+    def reach(least: str) -> Column:
+        """How many elements of a difference, the rarest, meet those of members with this excess or more; none without such members."""
+        common = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(least)) / (2 * (100 + percent))), F.col("apart") - F.floor((100 - percent) * F.col("size") / percent))
+        return F.when(F.col(least).isNotNull(), F.col("apart") - common + 1)
+
+    rows = split_join(both.drop("difference", "n"), cut(hubs, "join-hubs"), "hub", hot=SPREAD).where(other)
+    inside = F.col("c") == F.col("main")
+    rows = rows.withColumn("reach", F.array(F.when(inside, reach("without")).otherwise(reach("within")), F.when(~inside, reach("without"))))
+    rows = cut(rows.withColumnRenamed("n", "m").drop("within", "without"), "join-reach")
+    sure = rows.where(~inside & (F.col("excess") + F.col("nearest.excess") <= 0)).select("a", F.col("nearest.a").alias("b"), F.col("m").alias("n"))
+
+    met = both.select("hub", "a", F.explode("difference").alias("element")).select(F.xxhash64("hub", "element").alias("key"), "hub", "a")
+    held = met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    held = cut(held.groupBy("hub", "a").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held")), "join-held")
+    alone = F.col("apart") - F.size("held")  # those that no other holds stand in front
+
+    def front(side: int) -> Column:
+        most = F.greatest(F.lit(0), F.coalesce(F.col("reach")[side], F.lit(0)) - alone).cast("int")
+        return F.transform(F.slice("held", F.lit(1), most), lambda e, i: F.struct(F.xxhash64(e["key"], F.lit(side)).alias("key"), (F.size("held") - i).alias("left")))
+
+    shared = rows.join(held, ["hub", "a"]).select("a", "c", "m", "size", "excess", F.explode(F.concat(front(0), front(1))).alias("e"))
+    shared = cut(shared.select("e.key", "e.left", "a", "c", "m", "size", "excess"), "join-prefixes")
+    open_ = cut(split_join(shared, cut(_parts(shared, "key"), "join-parts"), "key").drop("n", "out"), "join-open")
+    enough = F.col("excess") + F.col("excess_b") <= 2 * (100 + percent) * F.least("left", "left_b")
+    return _across(open_, "key", ["m", "excess", "left"], enough, percent).select("a", "b", F.col("m").alias("n")).union(sure)

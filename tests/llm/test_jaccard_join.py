@@ -96,6 +96,53 @@ def test_sets_that_share_many_contents_meet_once(spark, monkeypatch):
     assert got[1, 2] <= 2  # one content, a row for each that is outside the largest component there
 
 
+@pytest.fixture(scope="module")
+def copies():
+    """Near copies of one text, changed little, near the limit and far; some copied on; copies cut short and run on."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    origin = [word() for _ in range(240)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in draw.sample(range(len(words)), n):
+            words[at] = word()
+        return words
+
+    texts = [origin] + [changed(origin, n) for n in range(1, 13) for _ in range(7)]
+    texts += [changed(t, 3) for t in texts[60:] for _ in range(2)]
+    texts += [origin[: 240 - 6 * n] for n in range(1, 9)] + [origin + [word() for _ in range(6 * n)] for n in range(1, 9)]
+    return [(n, " ".join(t), "en", "s") for n, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("k", "percent", "outside"), [(4, 85, 0), (5, 80, 0), (2, 60, 1), (4, 85, 1000)])
+def test_differences_from_a_hub_lose_no_link(spark, monkeypatch, rows, copies, k, percent, outside):
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", outside)
+    given = [(n, r[1], *r[2:]) for n, r in enumerate([*copies, *rows])]
+    part, _ = brute(given, k, percent)
+    got = similarity_components(spark.createDataFrame(given, "doc_id long, text string, lang string, source string"), k, percent)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(part))
+
+
+@pytest.mark.parametrize("outside", [1000, 20])
+def test_near_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch, outside):
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", outside, raising=False)
+    draw = random.Random(6)
+    origin = [f"word{n}" for n in range(600)]
+    given = [(0, " ".join(origin), "en", "s")]
+    for n in range(1, 120):
+        words = list(origin)
+        for at in draw.sample(range(len(words)), 8 if n % 2 else 15):  # linked with the first or not, at four words and 85 per cent
+            words[at] = f"new{n}x{at}"
+        given.append((n, " ".join(words), "en", "s"))
+    met, fitting = [], jaccard_join._fitting
+    monkeypatch.setattr(jaccard_join, "_fitting", lambda pairs, size, percent: met.append(pairs.count()) or fitting(pairs, size, percent))
+    part, _ = brute(given, 4, 85)
+    got = similarity_components(spark.createDataFrame(given, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(part))
+    assert len(set(part)) > 50 and len(met) == 2 and met[1] < 2 * len(given)
+
+
 def test_empty_table(empty):
     assert similarity_components(empty).count() == 0
     assert keep_one(empty).count() == 0
