@@ -44,9 +44,11 @@ def icon_rows(units: DataFrame) -> DataFrame:
     """Units (section, seq, unit_type, text, icon) with `head`: the icon unit whose label lines they are, or themselves.
 
     A label line is a paragraph or bullet of 1 to 80 characters without icon that does not end in . : or ;
+    Spaces of any kind around it do not count; a line feed at its end does, so what stands before that is not the end.
     """
-    text = F.trim(F.coalesce("text", F.lit("")))
-    label = F.col("unit_type").isin("paragraph", "bullet") & ~F.col("icon") & F.length(text).between(1, 80) & ~text.rlike("[.:;]$")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\p{Zs}+|\p{Zs}+\z", "")
+    label = F.col("unit_type").isin("paragraph", "bullet") & ~F.col("icon") & F.length(text).between(1, 80) & ~text.rlike(r"[.:;]\z")
+    label = F.coalesce(label, F.lit(False))
     upto = Window.partitionBy("section").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(~label, F.struct("icon", "seq")), ignorenulls=True).over(upto)
     marked = units.withColumn("_label", label).withColumn("_last", last)

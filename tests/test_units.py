@@ -22,6 +22,15 @@ def test_icon_units_take_their_labels(spark):
     assert {k: v for k, v in got.items() if v != k[1]} == {("a", 2): 1, ("a", 3): 1, ("a", 7): 6}
 
 
+def test_labels_end_where_their_last_character_is(spark):
+    ends = ["", ".", ".\n", "\n.", "\n", ". ", ".\u00a0", ".\u00a0\n", ";\u3000", ":\u2003 "]
+    rows = [("s", 2 * i + k, "bullet", ("icon", f"Office{end}")[k], k == 0) for i, end in enumerate(ends) for k in (0, 1)]
+    rows += [("t", 0, "bullet", "icon", True), ("t", 1, None, "no type", False), ("t", 2, "bullet", "Office", False), ("u", 0, "bullet", "icon", True), ("u", 1, "bullet", "\u00a0", False), ("u", 2, "bullet", "x" * 80 + "\u3000", True), ("u", 3, "bullet", "\u2003" + "x" * 80, False)]
+    got = {(r["section"], r["seq"]): r["head"] for r in units.icon_rows(spark.createDataFrame(rows, "section string, seq int, unit_type string, text string, icon boolean")).collect()}
+    assert {ends[seq // 2] for (s, seq), head in got.items() if s == "s" and head != seq} == {"", ".\n", "\n", ".\u00a0\n"}
+    assert {k: v for k, v in got.items() if k[0] != "s" and v != k[1]} == {("u", 3): 2}
+
+
 def test_rows_of_a_table_are_one_item(spark):
     got = sorted((r["section"], r["first"], r["n"]) for r in units.items(frame(spark)).collect())
     assert [x for x in got if x[0] == "b"] == [("b", 1, 2), ("b", 3, 1), ("b", 4, 1), ("b", 5, 1), ("b", 6, 1), ("b", 7, 1)]
