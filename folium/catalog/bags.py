@@ -25,8 +25,7 @@ def bag_cosine(spark, sf_dir):
 @query("j19_best_targets", f"""WITH {_BAGS} SELECT * FROM (SELECT doc_id, item_id, row_number() OVER w AS rank, cosine, cosine - coalesce(lead(cosine) OVER w, 0) AS margin FROM c WHERE cosine >= {SOME} WINDOW w AS (PARTITION BY doc_id ORDER BY cosine DESC, item_id)) WHERE rank <= 3""")
 def best_targets(spark, sf_dir):
     """The three best items of each document among those of a cosine of 0.3 or more, with margins."""
-    pairs = B.similar(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), SOME, "doc_id", "item_id")
-    return B.best(pairs, "doc_id", "item_id")
+    return B.best_similar(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), SOME, "doc_id", "item_id")
 
 
 _TURNS = r"""
