@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 COLUMNS = (("title", 50, 500, 80), ("left", 50, 230, 40), ("right", 320, 230, 40))  # name, x0, width, letters in a row
 PAGE_SIZE, ROW, PER_PAGE = 600, 12, 11
+EDGES = ("x0", "y0", "x1", "y1")
 
 
 def typeset(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,42 +47,67 @@ def _order(boxes: list[tuple], page: float, turn: int = 0) -> list[tuple]:
     return sorted(boxes, key=lambda b: (b[2], b[1]))
 
 
-def _page_order(rows: pd.DataFrame) -> pd.DataFrame:
-    boxes = list(rows[["box_id", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-    done = _order(boxes, float(rows["page_size"].iloc[0]))
-    return pd.DataFrame({"page": rows["page"].iloc[0], "box_id": [b[0] for b in done], "place": range(1, len(done) + 1)})
-
-
 def _page(boxes: DataFrame) -> str:
     return f"page {boxes.schema['page'].dataType.simpleString()}"
 
 
+def _by_page(boxes: DataFrame, of_page: Callable[..., tuple[list, ...]], columns: tuple[str, ...], out: dict[str, str]) -> DataFrame:
+    """Rows (page, *out) from of_page(first row, columns and edges as lists) of each page, its boxes sorted by box_id; many pages go to Python at once.
+
+    of_page returns a list for each column of out: row numbers of boxes (or None) for strings, else whole numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch["boxes"]
+            rows, ends = pages.flatten(), np.cumsum(pages.value_lengths().to_numpy()).tolist()
+            lists = [pa.array(rows.field(c)).to_numpy(zero_copy_only=False).tolist() for c in (*columns, *EDGES)]
+            found: list[list] = [[] for _ in range(1 + len(out))]
+            for k, (lo, hi) in enumerate(zip([0, *ends], ends)):
+                values = of_page(lo, *(x[lo:hi] for x in lists))
+                found[0] += [k] * len(values[0])
+                for x, more in zip(found[1:], values):
+                    x += more
+            arrays = [rows.field("box_id").take(pa.array(x, pa.int64())) if kind == "string" else pa.array(x, pa.int32()) for x, kind in zip(found[1:], out.values())]
+            yield pa.RecordBatch.from_arrays([batch["page"].take(pa.array(found[0], pa.int64())), *arrays], names=["page", *out])
+
+    box = F.struct(F.isnull("box_id").alias("_unnamed"), "box_id", *EDGES, *(c for c in columns if c != "box_id"))
+    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return pages.mapInArrow(run, ", ".join([_page(boxes), *(f"{name} {kind}" for name, kind in out.items())]))
+
+
+def _page_order(first: int, size: list, *edges: list) -> tuple[list, ...]:
+    done = _order(list(zip(range(first, first + len(size)), *edges)), float(size[0]))
+    return [b[0] for b in done], list(range(1, len(done) + 1))
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """boxes: page, page_size, box_id, x0, y0, x1, y1. A page's boxes are one group."""
-    return boxes.groupBy("page").applyInPandas(_page_order, f"{_page(boxes)}, box_id string, place int")
+    """boxes: page, page_size, box_id, x0, y0, x1, y1. A page's boxes are one group; equal places go by box."""
+    return _by_page(boxes, _page_order, ("page_size",), {"box_id": "string", "place": "int"})
 
 
-def _icons(rows: pd.DataFrame) -> pd.DataFrame:
+def _icons(first: int, kind: list, names: list, *edges: list) -> tuple[list, ...]:
     """Icons in order each take the best text not yet taken: vertical overlap of at least a quarter, not left of the icon."""
-    icons, texts, taken, out = rows[rows["kind"] == "icon"].sort_values("box_id"), rows[rows["kind"] == "text"], set(), []
-    for i in icons.itertuples():
+    rows = list(zip(range(first, first + len(kind)), *edges))
+    texts, icons, took = [b for b, k in zip(rows, kind) if k == "text"], [b for b, k in zip(rows, kind) if k == "icon"], []
+    for _, x0, y0, x1, y1 in icons:
         best = None
-        for t in texts.itertuples():
-            both = min(i.y1, t.y1) - max(i.y0, t.y0)
-            share = both / max(1e-9, min(i.y1 - i.y0, t.y1 - t.y0))
-            if t.box_id in taken or share < 0.25 or t.x1 <= i.x0:
+        for t, t_x0, t_y0, t_x1, t_y1 in texts:
+            both = min(y1, t_y1) - max(y0, t_y0)
+            share = both / max(1e-9, min(y1 - y0, t_y1 - t_y0))
+            if share < 0.25 or t_x1 <= x0:
                 continue
-            rank = (-share, abs(t.x0 - i.x1), t.box_id)
-            best = min(best, (rank, t.box_id)) if best else (rank, t.box_id)
+            rank = (-share, abs(t_x0 - x1), t)
+            best = rank if best is None else min(best, rank)
+        took.append(best[2] if best else None)
         if best:
-            taken.add(best[1])
-        out.append((rows["page"].iloc[0], i.box_id, best[1] if best else None))
-    return pd.DataFrame(out, columns=["page", "icon_id", "text_id"])
+            texts = [t for t in texts if names[t[0] - first] != names[best[2] - first]]
+    return [b[0] for b in icons], took
 
 
 def icon_texts(boxes: DataFrame) -> DataFrame:
     """boxes: page, kind (icon or text), box_id, x0, y0, x1, y1."""
-    return boxes.groupBy("page").applyInPandas(_icons, f"{_page(boxes)}, icon_id string, text_id string")
+    return _by_page(boxes, _icons, ("kind", "box_id"), {"icon_id": "string", "text_id": "string"})
 
 
 def _clusters(gap: float):

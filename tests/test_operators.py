@@ -1,10 +1,11 @@
 """Operators that SQL cannot express, against small brute-force versions and known cases."""
 
 import os
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from folium.operators import relations, sets
 from folium.plans import chunking, layout
@@ -39,6 +40,48 @@ def test_reading_order_and_icons(spark):
     assert {r["icon_id"]: r["text_id"] for r in layout.icon_texts(spark.createDataFrame(rows, BOXES)).collect()} == {"i1": "t1", "i2": "t2"}
 
 
+def test_many_pages_in_few_calls(spark):
+    draw = random.Random(2)
+    rows = [(page, 600, draw.choice(["text", "text", "icon"]), f"b{draw.randrange(30):02d}", draw.randrange(0, 500, 50), draw.randrange(0, 500, 20), 0, 0) for page in [*range(70), None] for _ in range(draw.randint(1, 15))]
+    rows = [(*r[:6], r[4] + draw.randrange(20, 200, 20), r[5] + draw.randrange(10, 50, 10)) for r in rows]
+    pages = defaultdict(list)
+    for r in rows:
+        pages[r[0]].append((r[3], *r[4:]))
+    boxes = spark.createDataFrame(rows, BOXES)
+    calls = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    for frame in (layout.reading_order(boxes), layout.icon_texts(boxes)):
+        assert "MapInArrow" in calls(frame) and "FlatMapGroups" not in calls(frame)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "7", old):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = defaultdict(list)
+        for r in sorted(layout.reading_order(boxes).collect(), key=lambda r: r["place"]):
+            got[r["page"]].append(r["box_id"])
+        assert got == {page: [b[0] for b in layout._order(sorted(b), 600.0)] for page, b in pages.items()}
+        assert Counter(tuple(r) for r in layout.icon_texts(boxes).collect()) == icons_one_by_one(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_pages_stay_whole_when_their_parts_are_united(spark):
+    parts = [spark.range(3000, numPartitions=2).selectExpr("id % 1000 AS page", f"'{kind}' AS kind", f"'{kind[0]}' || id AS box_id", f"{x} AS x0", "id AS y0", f"{x + 9} AS x1", "id + 10 AS y1").repartition(4, "page") for kind, x in (("icon", 0), ("text", 10))]
+    parts = [p.withColumn("n", F.count("*").over(Window.partitionBy("page"))).where(f"page < {most}").drop("n") for p, most in zip(parts, (20, 1000))]
+    got = layout.icon_texts(parts[0].unionByName(parts[1])).collect()
+    assert len(got) == 60 and {(r["icon_id"][1:], r["text_id"]) for r in got} == {(str(i), f"t{i}") for i in range(3000) if i % 1000 < 20}
+
+
+def icons_one_by_one(rows):
+    out = Counter()
+    for page in {r[0] for r in rows}:
+        taken = set()
+        for i in sorted((r for r in rows if r[0] == page and r[2] == "icon"), key=lambda r: r[3:]):
+            share = lambda t: (min(i[7], t[7]) - max(i[5], t[5])) / min(i[7] - i[5], t[7] - t[5])  # noqa: B023, E731
+            fit = [(-share(t), abs(t[4] - i[6]), t[3]) for t in rows if t[0] == page and t[2] == "text" and t[3] not in taken and share(t) >= 0.25 and t[6] > i[4]]
+            best = min(fit)[2] if fit else None
+            taken.add(best)
+            out[page, i[3], best] += 1
+    return out
+
+
 def test_outermost_keeps_one_of_equal_boxes(spark):
     rows = [(1, "a", 0, 0, 350, 350), (1, "b", 0, 0, 350, 350), (1, "c", 120, 130, 140, 150), (1, "d", 340, 340, 360, 360), (2, "c", 120, 130, 140, 150), (None, "e", 0, 0, 1, 1)]
     got = layout_boxes(spark, rows)
