@@ -29,7 +29,7 @@ def fact_values(spark, sf_dir):
         F.lit("Ship on "), shown, F.lit("; hold for "), F.col("l_quantity").cast("int"), F.lit(" working days. Grant at most "), F.round(F.col("l_discount") * 100).cast("int"), F.lit(" %; reply within "), word,
         F.lit(" weeks, see section 2.4 and table 7; weigh "), F.format_number("l_extendedprice", 2), F.lit(" kg "), often, F.lit("."),
     )
-    items = table(spark, sf_dir, "lineitem").withColumn("txt", txt).withColumn("v", X.values("txt"))
+    items = X.with_values(table(spark, sf_dir, "lineitem").withColumn("txt", txt), "txt", "v")
     found = F.transform("v", lambda v: F.concat_ws(":", v["kind"], X.canonical(v["kind"], v["raw"])))
     return items.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.array_sort(found), ",").alias("found"))
 

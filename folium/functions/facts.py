@@ -5,30 +5,39 @@ Kinds claim their places in a fixed order; what one has claimed is blanked befor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Number words, units, months.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 TIME_UNITS = "(second|minute|hour|day|week|month|year)s?"
 NUM = "([0-9]+(?:[.,][0-9]+)*|" + "|".join(NUMBER_WORDS) + ")"
-CLAIMS = (
-    ("reference", r"\b(?:section|table|figure|step|appendix) [0-9]+(?:\.[0-9]+)*(?: and (?:section|table|figure|step|appendix) [0-9]+(?:\.[0-9]+)*)?"),
-    ("date", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b|\b[0-9]{1,2} (?:" + "|".join(MONTHS) + r") [0-9]{4}\b"),
-    ("frequency", rf"\b(?:once|twice|thrice) (?:a|per|every) {TIME_UNITS.replace('(', '(?:')}\b|\bevery (?:{NUM[1:-1]}) {TIME_UNITS.replace('(', '(?:')}\b"),
-    ("deadline", rf"\bwithin (?:{NUM[1:-1]}) (?:working |business |calendar )?{TIME_UNITS.replace('(', '(?:')}\b"),
-    ("duration", rf"\b(?:{NUM[1:-1]}) (?:working |business |calendar )?{TIME_UNITS.replace('(', '(?:')}\b"),
-    ("percentage", r"(?:at least |at most )?[0-9]+(?:[.,][0-9]+)? ?%"),
-    ("number", r"\b[0-9]+(?:[.,][0-9]+)*(?: (?:mg|g|kg|ml|l|mm|cm|m))?\b"),
+_CLAIMS = (
+    ("reference", "stfa", r"\b(?:section|table|figure|step|appendix) [0-9]+(?:\.[0-9]+)*(?: and (?:section|table|figure|step|appendix) [0-9]+(?:\.[0-9]+)*)?"),
+    ("date", "0-9", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b|\b[0-9]{1,2} (?:" + "|".join(MONTHS) + r") [0-9]{4}\b"),
+    ("frequency", "ote", rf"\b(?:once|twice|thrice) (?:a|per|every) {TIME_UNITS.replace('(', '(?:')}\b|\bevery (?:{NUM[1:-1]}) {TIME_UNITS.replace('(', '(?:')}\b"),
+    ("deadline", "w", rf"\bwithin (?:{NUM[1:-1]}) (?:working |business |calendar )?{TIME_UNITS.replace('(', '(?:')}\b"),
+    ("duration", "0-9otfsen", rf"\b(?:{NUM[1:-1]}) (?:working |business |calendar )?{TIME_UNITS.replace('(', '(?:')}\b"),
+    ("percentage", "a0-9", r"(?:at least |at most )?[0-9]+(?:[.,][0-9]+)? ?%"),
+    ("number", "0-9", r"\b[0-9]+(?:[.,][0-9]+)*(?: (?:mg|g|kg|ml|l|mm|cm|m))?\b"),
 )
+#: kind and pattern; a look at the first character spares the pattern at most places
+CLAIMS = tuple((kind, f"(?=[{first}])(?:{pattern})") for kind, first, pattern in _CLAIMS)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it stands there: array functions are not compiled, so nothing else shares it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def number(text: Column) -> Column:
     """Digits without separators of thousands and trailing zeros, or a number word, as a canonical string."""
-    word = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), text)
-    plain = F.regexp_replace(F.regexp_replace(text, ",(?=[0-9]{3}(?:[^0-9]|$))", ""), ",", ".")
-    trimmed = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    return F.when(word > 0, word.cast("string")).otherwise(trimmed)
+    word = lambda t: F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), t)
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, ",(?=[0-9]{3}(?:[^0-9]|$))", ""), ",", ".")
+    trimmed = lambda p: F.when(p.contains("."), F.regexp_replace(p, r"\.?0+$", "")).otherwise(p)
+    return _once(text, lambda t: F.when(word(t) > 0, word(t).cast("string")).otherwise(_once(plain(t), trimmed)))
 
 
 def unit(text: Column) -> Column:
@@ -49,7 +58,7 @@ def canonical(kind: Column, raw: Column) -> Column:
         .when(raw.rlike(spelled), F.concat_ws("-", F.regexp_extract(raw, spelled, 2), F.lpad(month, 2, "0"), part(spelled, 1))).otherwise(raw)
     )
     times = F.when(raw.startswith("once"), "1").when(raw.startswith("twice"), "2").when(raw.startswith("thrice"), "3")
-    each = F.when((n == "12") & (tail == "month"), "1/1 year").otherwise(F.concat(F.lit("1/"), n, F.lit(" "), tail))
+    each = _once(F.concat(n, F.lit(" "), tail), lambda every: F.when(every == "12 month", "1/1 year").otherwise(F.concat(F.lit("1/"), every)))
     percent = F.concat(F.when(raw.startswith("at least"), ">=").when(raw.startswith("at most"), "<=").otherwise(""), n, F.lit("%"))
     measure = F.regexp_extract(raw, r" ([a-z]+)$", 1)
     return (
@@ -71,6 +80,18 @@ def values(text: Column | str) -> Column:
     return F.concat(*found)
 
 
+def with_values(rows: DataFrame, text_col: str, out: str) -> DataFrame:
+    """rows and `out`, the values() of a text. What earlier kinds leave of it is a column of its own, so it is computed once and not by each later kind."""
+    given, found = rows.columns, []
+    rows = rows.withColumn("_rest", F.lower(text_col))
+    for k, (kind, pattern) in enumerate(CLAIMS):
+        hits, rest = F.regexp_extract_all("_rest", F.lit(f"({pattern})"), F.lit(1)), F.regexp_replace("_rest", pattern, " ¤ ")
+        if kind != "reference":
+            found.append(_tagged(F.col(f"_hits{k}"), kind))
+        rows = rows.withColumns({f"_hits{k}": hits, "_rest": rest})
+    return rows.select(*given, F.concat(*found).alias(out))
+
+
 def _tagged(hits: Column, kind: str) -> Column:
     return F.transform(hits, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("raw")))
 

@@ -27,6 +27,15 @@ def test_values_in_canonical_form(spark):
     assert column(spark, [t for t, _ in VALUES], form) == [w for _, w in VALUES]
 
 
+def test_values_look_once_for_each_kind(spark):
+    rows = spark.createDataFrame([(t,) for t, _ in VALUES], "t string").withColumn("u", F.upper("t"))
+    found = X.with_values(rows, "u", "v")
+    assert [r["v"] for r in found.collect()] == [r["v"] for r in rows.select(X.values("u").alias("v")).collect()] and found.columns == ["t", "u", "v"]
+    found = found.select(F.transform("v", lambda v: v["raw"]).alias("raw"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") < len(X.CLAIMS) and plan.count("regexp_extract_all(") == len(X.CLAIMS) - 1
+
+
 def test_modalities(spark):
     assert column(spark, [t for t, _ in MODALITIES], lambda t: F.array_join(F.array_sort(X.modalities(t)), " ")) == [w for _, w in MODALITIES]
 
